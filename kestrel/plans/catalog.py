@@ -12,7 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrel.operators import filters as FL
 from kestrel.operators import knn as K
+from kestrel.operators import stats as ST
+from kestrel.sources import ingest as I
 from kestrel.sources import tables as S
 
 R6 = 6
@@ -36,7 +39,156 @@ def knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
                         filters=FILTERED), "distance")
 
 
+def knn_l2_squared(spark, sf):
+    return _round(K.knn(S.corpus(spark, sf), S.query_vectors(spark, sf), k=5, metric="l2_squared"),
+                  "distance")
+
+
+def knn_ip(spark, sf):
+    return _round(K.knn(S.corpus(spark, sf), S.query_vectors(spark, sf), k=5, metric="ip"), "score")
+
+
+def knn_batch(spark, sf):
+    return _round(K.knn(S.corpus(spark, sf), S.query_vectors(spark, sf), k=10, metric="l2"), "distance")
+
+
+SPARSE = {"author": "author3", "category": "es"}
+
+
+def knn_k_exceeds_n(spark, sf):
+    return _round(K.knn(S.corpus(spark, sf), S.query_vectors(spark, sf), k=50, metric="l2",
+                        filters=SPARSE), "distance")
+
+
+TEXT_FILTERS = {"date_to": "2021-06-30", "tags": "src3"}
+
+
+def knn_filtered_text(spark, sf):
+    return _round(K.knn(I.collection(spark, sf), S.query_vectors(spark, sf), k=5, metric="l2_squared",
+                        filters=TEXT_FILTERS, mode="text"), "distance")
+
+
+def _label_ids(spark, sf):
+    return S.read_table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+
+
+def search_by_id(spark, sf):
+    return _round(K.search_by_id(S.corpus(spark, sf), _label_ids(spark, sf), k=5, strict=False),
+                  "distance")
+
+
+def unknown_ids(spark, sf):
+    return K.unknown_ids(S.corpus(spark, sf), _label_ids(spark, sf))
+
+
+def lookup_by_id(spark, sf):
+    return K.lookup_by_id(S.corpus(spark, sf), _label_ids(spark, sf))
+
+
+def _filter_query(filters, cols, mode="null"):
+    def run(spark, sf):
+        src = S.corpus(spark, sf) if mode == "null" else I.collection(spark, sf)
+        return FL.apply_filters(src, filters, mode).select("id", *cols)
+    return run
+
+
+CONJ = {"author": "author3", "category": "en", "date_from": "2020-03-01", "date_to": "2022-06-30",
+        "tags": "en", "unknown_key": "ignored"}
+
+
+def dimension_violations(spark, sf):
+    return I.dimension_violations(S.read_table(spark, sf, "embeddings"), 64)
+
+
+def valid_queries(spark, sf):
+    return ST.valid_queries(S.query_texts(spark, sf))
+
+
+def document_count(spark, sf):
+    return ST.document_count(S.corpus(spark, sf))
+
+
+def distinct_categories(spark, sf):
+    return ST.distinct_categories(S.corpus(spark, sf))
+
+
+def corpus_stats(spark, sf):
+    return ST.corpus_stats(S.corpus(spark, sf))
+
+
+def sample_queries(spark, sf):
+    return ST.sample_queries(S.corpus(spark, sf).select("id"), n=50, seed=42)
+
+
+def export_embeddings(spark, sf):
+    return I.export_embeddings(S.corpus(spark, sf), limit=10000)
+
+
+def parse_vector_text(spark, sf):
+    return I.vector_text_roundtrip(S.corpus(spark, sf))
+
+
+def load_raw_documents(spark, sf):
+    return I.load_raw_documents(S.read_table(spark, sf, "documents"), 10000)
+
+
+def load_sample_embeddings(spark, sf):
+    return I.load_sample_embeddings(S.read_table(spark, sf, "embeddings"),
+                                    S.read_table(spark, sf, "documents"), 10000, dim=64)
+
+
+def embed_documents(spark, sf):
+    from kestrel.functions.embed import embed_documents as emb
+    return emb(S.read_table(spark, sf, "documents"), dim=64)
+
+
+def _json_fields(df, *extra):
+    return df.select(*extra,
+        "id", F.length("content").cast("long").alias("content_len"), "author", "date", "category",
+        "source", F.get_json_object("metadata", "$.tags").alias("meta_tags"),
+        F.get_json_object("metadata", "$.n_chars").cast("long").alias("meta_n_chars"))
+
+
+def ingest_null_defaults(spark, sf):
+    table = I.ingest(spark, S.ingest_batch(spark, sf), mode="null")
+    return _json_fields(table, F.array_join("tags", ",").alias("tags"))
+
+
+def ingest_empty_defaults(spark, sf):
+    table = I.ingest(spark, S.ingest_batch(spark, sf), mode="empty")
+    return _json_fields(table)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_l2": knn_l2,
     "knn_filtered": knn_filtered,
+    "knn_l2_squared": knn_l2_squared,
+    "knn_ip": knn_ip,
+    "knn_batch": knn_batch,
+    "knn_k_exceeds_n": knn_k_exceeds_n,
+    "knn_filtered_text": knn_filtered_text,
+    "search_by_id": search_by_id,
+    "unknown_ids": unknown_ids,
+    "lookup_by_id": lookup_by_id,
+    "filter_author": _filter_query({"author": "author3"}, ["author"]),
+    "filter_category": _filter_query({"category": "fr"}, ["category"]),
+    "filter_date_range": _filter_query({"date_from": "2020-06-01", "date_to": "2021-06-30"}, ["date"]),
+    "filter_date_text": _filter_query({"date_to": "2021-06-30"}, ["date"], mode="text"),
+    "filter_tag": _filter_query({"tags": "src3"}, ["source"]),
+    "filter_tag_json": _filter_query({"tags": "src3"}, ["source"], mode="text"),
+    "filter_source": _filter_query({"source": "src5"}, ["source"]),
+    "filter_conjunction": _filter_query(CONJ, ["author", "category", "date", "source"]),
+    "dimension_violations": dimension_violations,
+    "valid_queries": valid_queries,
+    "document_count": document_count,
+    "distinct_categories": distinct_categories,
+    "corpus_stats": corpus_stats,
+    "sample_queries": sample_queries,
+    "export_embeddings": export_embeddings,
+    "parse_vector_text": parse_vector_text,
+    "load_raw_documents": load_raw_documents,
+    "load_sample_embeddings": load_sample_embeddings,
+    "embed_documents": embed_documents,
+    "ingest_null_defaults": ingest_null_defaults,
+    "ingest_empty_defaults": ingest_empty_defaults,
 }

@@ -27,9 +27,9 @@ COLLECTION_CTE = """collection AS (
          coalesce(CAST(date AS VARCHAR), '') AS date, coalesce(category, '') AS category,
          coalesce(source, '') AS source,
          CASE WHEN len(tags) > 0
-              THEN concat('{"tags":', to_json(tags),
-                          CASE WHEN metadata IS NULL THEN '}' ELSE concat(',"n_chars":',
-                               json_extract_string(metadata, '$.n_chars'), '}') END)
+              THEN CASE WHEN metadata IS NULL THEN concat('{"tags":', to_json(tags), '}')
+                        ELSE concat('{"n_chars":', json_extract_string(metadata, '$.n_chars'),
+                                    ',"tags":', to_json(tags), '}') END
               ELSE coalesce(metadata, '{}') END AS metadata
   FROM corpus)"""
 
@@ -83,4 +83,65 @@ _C = _q(CORPUS_CTE, QUERIES_CTE)
 SQL: dict[str, str] = {
     "knn_l2": _C(knn_sql("l2", 5)),
     "knn_filtered": _C(knn_sql("l2", 5, where="WHERE c.category = 'en' AND c.date <= DATE '2021-12-31'")),
+    "knn_l2_squared": _C(knn_sql("l2_squared", 5)),
+    "knn_ip": _C(knn_sql("ip", 5)),
+    "knn_batch": _C(knn_sql("l2", 10)),
+    "knn_k_exceeds_n": _C(knn_sql("l2", 50, where="WHERE c.author = 'author3' AND c.category = 'es'")),
+    "knn_filtered_text": _q(CORPUS_CTE, COLLECTION_CTE, QUERIES_CTE)(knn_sql(
+        "l2_squared", 5, source="collection",
+        where="WHERE c.date <= '2021-06-30' AND "
+              "coalesce(list_contains(CAST(json_extract(c.metadata, '$.tags') AS VARCHAR[]), 'src3'), false)")),
+    "search_by_id": _q(CORPUS_CTE, """queries AS (
+  SELECT DISTINCT c.id AS query_id, c.embedding AS q_emb FROM labels l JOIN corpus c ON c.id = l.doc_id)""")(
+        knn_sql("l2_squared", 5)),
+    "unknown_ids": _q(CORPUS_CTE)(
+        "SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT id FROM corpus)"),
+    "lookup_by_id": _q(CORPUS_CTE)(
+        "SELECT id, content, 0.0::DOUBLE AS distance, coalesce(metadata, '{}') AS metadata FROM corpus "
+        "WHERE id IN (SELECT doc_id FROM labels)"),
+    "filter_author": _q(CORPUS_CTE)("SELECT id, author FROM corpus WHERE author = 'author3'"),
+    "filter_category": _q(CORPUS_CTE)("SELECT id, category FROM corpus WHERE category = 'fr'"),
+    "filter_date_range": _q(CORPUS_CTE)(
+        "SELECT id, date FROM corpus WHERE date >= DATE '2020-06-01' AND date <= DATE '2021-06-30'"),
+    "filter_date_text": _q(CORPUS_CTE, COLLECTION_CTE)(
+        "SELECT id, date FROM collection WHERE date <= '2021-06-30'"),
+    "filter_tag": _q(CORPUS_CTE)("SELECT id, source FROM corpus WHERE list_contains(tags, 'src3')"),
+    "filter_tag_json": _q(CORPUS_CTE, COLLECTION_CTE)(
+        "SELECT id, source FROM collection WHERE "
+        "coalesce(list_contains(CAST(json_extract(metadata, '$.tags') AS VARCHAR[]), 'src3'), false)"),
+    "filter_source": _q(CORPUS_CTE)("SELECT id, source FROM corpus WHERE source = 'src5'"),
+    "filter_conjunction": _q(CORPUS_CTE)(
+        "SELECT id, author, category, date, source FROM corpus WHERE author = 'author3' AND category = 'en' "
+        "AND date >= DATE '2020-03-01' AND date <= DATE '2022-06-30' AND list_contains(tags, 'en')"),
+    "dimension_violations": "SELECT vec_id AS id, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings "
+                            "WHERE coalesce(len(embedding), -1) <> 64",
+    "valid_queries": "SELECT item_id AS query_id, text FROM benchmark WHERE length(trim(text)) > 0",
+    "document_count": _q(CORPUS_CTE)("SELECT count(*) AS n_documents FROM corpus"),
+    "distinct_categories": _q(CORPUS_CTE)(
+        "SELECT DISTINCT category FROM corpus WHERE category IS NOT NULL AND category <> '' "
+        "ORDER BY category LIMIT 50"),
+    "corpus_stats": _q(CORPUS_CTE)(
+        "SELECT count(*) AS n_documents, count(embedding) AS n_vectors, "
+        "CAST(count(DISTINCT nullif(category, '')) AS BIGINT) AS n_categories, "
+        "array_to_string(list_sort(list_distinct(list(nullif(category, '')))), ',') AS categories FROM corpus"),
+    "sample_queries": _q(CORPUS_CTE)(
+        "SELECT id FROM corpus ORDER BY md5(concat(CAST(id AS VARCHAR), ':42')), id LIMIT 50"),
+    "export_embeddings": _q(CORPUS_CTE)("SELECT id, embedding FROM corpus ORDER BY id LIMIT 10000"),
+    "parse_vector_text": _q(CORPUS_CTE)(
+        "SELECT id, CAST(len(embedding) AS BIGINT) AS dim, "
+        "CAST(string_split(trim(CAST(embedding AS VARCHAR), '[]'), ',') AS FLOAT[]) = embedding AS exact "
+        "FROM corpus"),
+    "load_raw_documents": "SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS id, "
+                          "text AS content, '' AS title, CAST([] AS VARCHAR[]) AS authors "
+                          "FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 10000)",
+    "ingest_null_defaults": _q(CORPUS_CTE)(
+        "SELECT CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS id, CAST(length(content) AS BIGINT) AS content_len, "
+        "author, date, category, source, NULL::VARCHAR AS meta_tags, "
+        "CASE WHEN metadata IS NULL THEN NULL ELSE CAST(json_extract_string(metadata, '$.n_chars') AS BIGINT) END "
+        "AS meta_n_chars, array_to_string(tags, ',') AS tags FROM corpus"),
+    "ingest_empty_defaults": _q(CORPUS_CTE, COLLECTION_CTE)(
+        "SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS id, "
+        "CAST(length(content) AS BIGINT) AS content_len, author, date, category, source, "
+        "CAST(json_extract(metadata, '$.tags') AS VARCHAR) AS meta_tags, "
+        "CAST(json_extract_string(metadata, '$.n_chars') AS BIGINT) AS meta_n_chars FROM collection"),
 }
