@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.operators import filters as FL
+from kestrel.operators import hybrid as HY
+from kestrel.operators import keyword as KW
+from kestrel.operators import rag as RG
 from kestrel.operators import knn as K
 from kestrel.operators import stats as ST
 from kestrel.sources import ingest as I
@@ -159,6 +162,97 @@ def ingest_empty_defaults(spark, sf):
     return _json_fields(table)
 
 
+def _doc_postings(spark, sf):
+    return KW.postings(S.read_table(spark, sf, "documents"), "doc_id", "text")
+
+
+def postings(spark, sf):
+    return _doc_postings(spark, sf)
+
+
+def term_stats(spark, sf):
+    return KW.term_stats(_doc_postings(spark, sf))
+
+
+def query_terms(spark, sf):
+    return KW.query_terms(S.query_texts(spark, sf))
+
+
+def keyword_match(spark, sf):
+    return KW.keyword_match(KW.postings(S.corpus(spark, sf)), KW.query_terms(S.query_texts(spark, sf)))
+
+
+def keyword_rank(spark, sf):
+    ranked = KW.keyword_rank(KW.postings(S.corpus(spark, sf)), KW.query_terms(S.query_texts(spark, sf)))
+    return _round(ranked, "score").select("query_id", "id", "score", "rank")
+
+
+def semantic_rank(spark, sf):
+    return HY.semantic_rank(S.corpus(spark, sf), S.hybrid_queries(spark, sf)).select(
+        "query_id", "id", "distance", "rank")
+
+
+def _hybrid(spark, sf, k=5):
+    return HY.hybrid_search(S.corpus(spark, sf), S.hybrid_queries(spark, sf), k=k)
+
+
+def hybrid_rrf(spark, sf):
+    return _round(_hybrid(spark, sf), "rrf_score")
+
+
+def retrieve_vector(spark, sf):
+    return _round(HY.retrieve(S.corpus(spark, sf), S.hybrid_queries(spark, sf), k=5, use_hybrid=False,
+                              filters={"source": "src3"}), "distance")
+
+
+def _vector_hits(spark, sf):
+    return K.knn(S.corpus(spark, sf), S.query_vectors(spark, sf), k=5, metric="l2")
+
+
+def hydrate_hits(spark, sf):
+    return _round(RG.hydrate(_vector_hits(spark, sf), S.corpus(spark, sf)), "distance")
+
+
+def hit_cards(spark, sf):
+    return RG.hit_cards(RG.hydrate(_vector_hits(spark, sf), S.corpus(spark, sf)))
+
+
+def _hybrid_hydrated(spark, sf):
+    return RG.hydrate(_hybrid(spark, sf), S.corpus(spark, sf), score="rrf_score")
+
+
+def rag_context(spark, sf):
+    return RG.contexts(_hybrid_hydrated(spark, sf))
+
+
+def rag_prompts(spark, sf):
+    return RG.prompts(S.hybrid_queries(spark, sf), _hybrid_hydrated(spark, sf))
+
+
+def rag_response(spark, sf):
+    q = S.hybrid_queries(spark, sf)
+    hits = HY.retrieve(S.corpus(spark, sf), q, k=5, use_hybrid=False, filters={"category": "en"})
+    resp = RG.responses(q, RG.hydrate(hits, S.corpus(spark, sf)), engine="exact")
+    return resp.select("query_id", "query", "retrieval_engine", "answer",
+                       F.size("documents").cast("long").alias("n_documents"),
+                       F.array_join(F.transform("documents", lambda d: d["id"].cast("string")), ",").alias("doc_ids"))
+
+
+def rag_batch(spark, sf):
+    from kestrel.functions.embed import embed_column
+    q = S.query_texts(spark, sf)
+    q = q.withColumn("embedding", embed_column(F.col("text"), 64))
+    hits = HY.retrieve(S.corpus(spark, sf), q, k=5, use_hybrid=True)
+    return RG.prompts(q, RG.hydrate(hits, S.corpus(spark, sf)))
+
+
+def assemble_chunks(spark, sf):
+    conv = S.read_table(spark, sf, "conversations")
+    lines = conv.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"),
+                        F.to_json(F.struct(F.col("text").alias("response"))).alias("line"))
+    return RG.assemble_chunks(lines)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_l2": knn_l2,
     "knn_filtered": knn_filtered,
@@ -191,4 +285,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "embed_documents": embed_documents,
     "ingest_null_defaults": ingest_null_defaults,
     "ingest_empty_defaults": ingest_empty_defaults,
+    "postings": postings,
+    "term_stats": term_stats,
+    "query_terms": query_terms,
+    "keyword_match": keyword_match,
+    "keyword_rank": keyword_rank,
+    "semantic_rank": semantic_rank,
+    "hybrid_rrf": hybrid_rrf,
+    "retrieve_vector": retrieve_vector,
+    "hydrate_hits": hydrate_hits,
+    "hit_cards": hit_cards,
+    "rag_context": rag_context,
+    "rag_prompts": rag_prompts,
+    "rag_response": rag_response,
+    "rag_batch": rag_batch,
+    "assemble_chunks": assemble_chunks,
 }

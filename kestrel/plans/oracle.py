@@ -80,6 +80,68 @@ def _q(*ctes: str):
 
 _C = _q(CORPUS_CTE, QUERIES_CTE)
 
+
+
+def keyword_ctes(question_sql: str) -> list[str]:
+    """CTEs: post (corpus postings), qt, nt, m (matches), sc (scores)."""
+    sw = stop_words_sql()
+    return [
+        tokens_cte("corpus", "id", "content"),
+        f"post AS (SELECT id, term, pos FROM tok WHERE term NOT IN ({sw}))",
+        f"""qt AS (SELECT DISTINCT query_id, term FROM (
+  SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM ({question_sql}))
+  WHERE term NOT IN ({sw}))""",
+        "nt AS (SELECT query_id, count(*) AS n_terms FROM qt GROUP BY query_id)",
+        """m AS (SELECT h.query_id, h.id FROM (
+  SELECT qt.query_id, dt.id, count(*) AS n_hit FROM qt JOIN (SELECT DISTINCT id, term FROM post) dt
+  ON qt.term = dt.term GROUP BY qt.query_id, dt.id) h JOIN nt ON h.query_id = nt.query_id
+  WHERE h.n_hit = nt.n_terms)""",
+        """mpr AS (SELECT p.id, p.pos, p.term, qt.query_id,
+  row_number() OVER (PARTITION BY qt.query_id, p.id ORDER BY p.pos) AS rn
+  FROM post p JOIN qt ON p.term = qt.term JOIN m ON m.query_id = qt.query_id AND m.id = p.id)""",
+        """la AS (SELECT mpr.query_id, mpr.id, mpr.pos, mpr.rn,
+  max(CASE WHEN mpr.term = t.term THEN mpr.pos END) OVER w AS last_pos,
+  max(CASE WHEN mpr.term = t.term THEN mpr.rn END) OVER w AS last_rn
+  FROM mpr JOIN qt t ON mpr.query_id = t.query_id
+  WINDOW w AS (PARTITION BY mpr.query_id, mpr.id, t.term ORDER BY mpr.pos
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+        """lf AS (SELECT l.query_id, l.id, l.pos, l.rn, min(l.last_pos) AS lft, min(l.last_rn) AS left_rn,
+  count(l.last_pos) AS n_seen FROM la l GROUP BY l.query_id, l.id, l.pos, l.rn)""",
+        """cv AS (SELECT lf.query_id, lf.id, lft, left_rn, min(pos) AS q, min(rn) AS q_rn
+  FROM lf JOIN nt ON lf.query_id = nt.query_id WHERE n_seen = n_terms
+  GROUP BY lf.query_id, lf.id, lft, left_rn)""",
+        """sc AS (SELECT query_id, id,
+  round(sum(0.1::DOUBLE / (1 + ((q - lft) - (q_rn - left_rn)))), 9) AS score
+  FROM cv GROUP BY query_id, id)""",
+    ]
+
+
+BENCH_Q = "SELECT item_id AS query_id, text FROM benchmark"
+
+
+def hybrid_ctes(k: int = 5, candidates: int = 20, c: int = 60) -> list[str]:
+    return [CORPUS_CTE, HYBRID_QUERIES_CTE, *keyword_ctes("SELECT query_id, text FROM hq"),
+            f"""sem AS (SELECT query_id, id, rank() OVER (PARTITION BY query_id ORDER BY distance) AS s_rank
+  FROM ({knn_sql('l2', candidates, queries='hq')}))""",
+            f"""kw AS (SELECT query_id, id, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS k_rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM sc)
+  WHERE rn <= {candidates})""",
+            f"""fused AS (SELECT coalesce(s.query_id, k.query_id) AS query_id, coalesce(s.id, k.id) AS id,
+  coalesce(1.0::DOUBLE / ({c} + s.s_rank), 0.0) + coalesce(1.0::DOUBLE / ({c} + k.k_rank), 0.0) AS rrf_score
+  FROM sem s FULL OUTER JOIN kw k ON s.query_id = k.query_id AND s.id = k.id)""",
+            f"""hyb AS (SELECT query_id, rank, id, rrf_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) AS rank FROM fused)
+  WHERE rank <= {k})"""]
+
+
+PROMPT_SQL = ("concat('You are a helpful assistant. Answer the user''s question using ONLY the provided '"
+              " || 'context documents.' || chr(10) || 'If the answer is not contained in the context, say \"I don''t '"
+              " || 'have enough information to answer that.\"' || chr(10) || chr(10) || 'Context:' || chr(10), "
+              "ctx.context, chr(10) || chr(10) || 'Question: ', hq.text, chr(10) || 'Answer:')")
+
+CONTEXT_SQL = ("string_agg(concat('Document ', CAST(h.id AS VARCHAR), ': ', c.content), chr(10) || chr(10) "
+               "ORDER BY h.rank, h.id)")
+
 SQL: dict[str, str] = {
     "knn_l2": _C(knn_sql("l2", 5)),
     "knn_filtered": _C(knn_sql("l2", 5, where="WHERE c.category = 'en' AND c.date <= DATE '2021-12-31'")),
@@ -144,4 +206,50 @@ SQL: dict[str, str] = {
         "CAST(length(content) AS BIGINT) AS content_len, author, date, category, source, "
         "CAST(json_extract(metadata, '$.tags') AS VARCHAR) AS meta_tags, "
         "CAST(json_extract_string(metadata, '$.n_chars') AS BIGINT) AS meta_n_chars FROM collection"),
+    "postings": with_ctes(tokens_cte("documents", "doc_id", "text")) +
+        f"SELECT id, term, pos FROM tok WHERE term NOT IN ({stop_words_sql()})",
+    "term_stats": with_ctes(tokens_cte("documents", "doc_id", "text")) +
+        f"SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM tok WHERE term NOT IN ({stop_words_sql()}) "
+        "GROUP BY term",
+    "query_terms": with_ctes(*keyword_ctes(BENCH_Q)[2:3]) + "SELECT query_id, term FROM qt",
+    "keyword_match": with_ctes(CORPUS_CTE, *keyword_ctes(BENCH_Q)[:5]) + "SELECT query_id, id FROM m",
+    "keyword_rank": with_ctes(CORPUS_CTE, *keyword_ctes(BENCH_Q)) +
+        "SELECT query_id, id, round(score, 6) AS score, "
+        "rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM sc",
+    "semantic_rank": with_ctes(CORPUS_CTE, HYBRID_QUERIES_CTE) +
+        "SELECT query_id, id, distance, rank() OVER (PARTITION BY query_id ORDER BY distance) AS rank "
+        f"FROM ({knn_sql('l2', 20, queries='hq')})",
+    "hybrid_rrf": with_ctes(*hybrid_ctes()) +
+        "SELECT query_id, rank, id, round(rrf_score, 6) AS rrf_score FROM hyb",
+    "retrieve_vector": with_ctes(CORPUS_CTE, HYBRID_QUERIES_CTE) +
+        knn_sql("l2", 5, queries="hq", where="WHERE c.source = 'src3'"),
+    "hydrate_hits": with_ctes(CORPUS_CTE, QUERIES_CTE) +
+        f"SELECT h.query_id, h.rank, h.id, h.distance, c.content, coalesce(c.metadata, '{{}}') AS metadata "
+        f"FROM ({knn_sql('l2', 5)}) h JOIN corpus c ON c.id = h.id",
+    "hit_cards": with_ctes(CORPUS_CTE, QUERIES_CTE) +
+        "SELECT h.query_id, h.rank AS position, h.id, printf('%.4f', h.d) AS score, "
+        "coalesce(nullif(json_extract_string(c.metadata, '$.author'), ''), 'arXiv') AS author, "
+        "coalesce(nullif(json_extract_string(c.metadata, '$.category'), ''), 'cs.AI') AS category, "
+        "coalesce(array_to_string(CAST(json_extract(c.metadata, '$.tags') AS VARCHAR[]), ','), '') AS tags "
+        "FROM (SELECT query_id, rank, id, d FROM (SELECT q.query_id, c.id, "
+        + dist_sql("l2", "c.embedding", "q.q_emb") + " AS d, row_number() OVER (PARTITION BY q.query_id ORDER BY "
+        + dist_sql("l2", "c.embedding", "q.q_emb") + ", c.id) AS rank FROM corpus c CROSS JOIN queries q) "
+        "WHERE rank <= 5) h JOIN corpus c ON c.id = h.id",
+    "rag_context": with_ctes(*hybrid_ctes()) +
+        f"SELECT h.query_id, count(*) AS n_hits, {CONTEXT_SQL} AS context "
+        "FROM hyb h JOIN corpus c ON c.id = h.id GROUP BY h.query_id",
+    "rag_prompts": with_ctes(*hybrid_ctes(), "ctx AS (SELECT h.query_id, count(*) AS n_hits, "
+                             f"{CONTEXT_SQL} AS context FROM hyb h JOIN corpus c ON c.id = h.id GROUP BY h.query_id)") +
+        "SELECT hq.query_id, coalesce(ctx.n_hits, 0) AS n_hits, "
+        f"CASE WHEN coalesce(ctx.n_hits, 0) > 0 THEN {PROMPT_SQL} END AS prompt, "
+        "CASE WHEN coalesce(ctx.n_hits, 0) = 0 THEN 'No documents found matching your query.' END AS answer "
+        "FROM hq LEFT JOIN ctx ON ctx.query_id = hq.query_id",
+    "rag_response": with_ctes(CORPUS_CTE, HYBRID_QUERIES_CTE) +
+        "SELECT hq.query_id, hq.text AS query, 'exact' AS retrieval_engine, "
+        "CASE WHEN count(h.id) = 0 THEN 'No documents found matching your query.' END AS answer, "
+        "count(h.id) AS n_documents, coalesce(string_agg(CAST(h.id AS VARCHAR), ',' ORDER BY h.rank), '') AS doc_ids "
+        f"FROM hq LEFT JOIN ({knn_sql('l2', 5, queries='hq', where=chr(10) + 'WHERE c.category = ' + chr(39) + 'en' + chr(39))}) h "
+        "ON h.query_id = hq.query_id GROUP BY hq.query_id, hq.text",
+    "assemble_chunks": "SELECT conv_id AS request_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS response "
+                       "FROM conversations GROUP BY conv_id",
 }
