@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrel.operators import ann as AN
 from kestrel.operators import filters as FL
+from kestrel.operators import metrics as ME
 from kestrel.operators import hybrid as HY
 from kestrel.operators import keyword as KW
 from kestrel.operators import rag as RG
@@ -253,6 +255,132 @@ def assemble_chunks(spark, sf):
     return RG.assemble_chunks(lines)
 
 
+# IVF and LSH settings of the registered plans
+NLIST, NPROBE, BANDS, BITS = 16, 4, 8, 6
+
+
+def _ivf(spark, sf):
+    return AN.ivf_build(S.corpus(spark, sf), nlist=NLIST, seed=42)
+
+
+def ivf_assign(spark, sf):
+    return _ivf(spark, sf).table.select("id", "cluster")
+
+
+def ivf_search(spark, sf):
+    return _round(AN.ivf_search(AN.ivf_save(_ivf(spark, sf)), S.query_vectors(spark, sf), k=5,
+                                nprobe=NPROBE), "distance")
+
+
+def ivf_exhaustive(spark, sf):
+    return _round(AN.ivf_search(AN.ivf_save(_ivf(spark, sf)), S.query_vectors(spark, sf), k=5,
+                                nprobe=NLIST), "distance")
+
+
+def ivf_reloaded_search(spark, sf):
+    saved = AN.ivf_save(_ivf(spark, sf))
+    reloaded = AN.ivf_load(spark, saved.path)
+    return _round(AN.ivf_search(reloaded, S.query_vectors(spark, sf), k=5, nprobe=NPROBE), "distance")
+
+
+def ann_lsh_codes(spark, sf):
+    return AN.lsh_codes(S.corpus(spark, sf), bands=BANDS, bits=BITS)
+
+
+def _lsh_hits(spark, sf, k=5):
+    return AN.lsh_search(S.corpus(spark, sf), S.query_vectors(spark, sf), k=k, bands=BANDS, bits=BITS)
+
+
+def ann_lsh(spark, sf):
+    return _round(_lsh_hits(spark, sf), "distance")
+
+
+def _truth(spark, sf, k=5):
+    return ME.exact_truth(K.knn(S.corpus(spark, sf), S.query_vectors(spark, sf), k=k))
+
+
+def _lsh_quality(spark, sf, gt_k=5):
+    return ME.recall_precision(_lsh_hits(spark, sf), _truth(spark, sf, gt_k), 5)
+
+
+def recall_at_k(spark, sf):
+    q = _lsh_quality(spark, sf)
+    return _round(q.select(F.lit("lsh").alias("strategy"), "k", "n_queries", "recall", "precision"),
+                  "recall", "precision")
+
+
+def recall_vs_gt(spark, sf):
+    q = _lsh_quality(spark, sf, gt_k=50)
+    return _round(q.select(F.lit("lsh").alias("strategy"), "k", F.lit(50).cast("long").alias("gt_k"),
+                           "n_queries", "recall", "precision"), "recall", "precision")
+
+
+def f1_at_k(spark, sf):
+    return _round(_lsh_quality(spark, sf).select(F.lit("lsh").alias("strategy"), "k", "f1"), "f1")
+
+
+def mrr(spark, sf):
+    return _round(_lsh_quality(spark, sf).select(F.lit("lsh").alias("strategy"), "k", "mrr"), "mrr")
+
+
+def _samples(spark, sf):
+    return ME.samples_from_events(S.read_table(spark, sf, "events"))
+
+
+LAT_COLS = ("cold_ms", "warm_ms", "p50_ms", "p95_ms", "p99_ms", "throughput_qps")
+
+
+def latency_summary(spark, sf):
+    return _round(ME.latency_summary(_samples(spark, sf)), *LAT_COLS)
+
+
+def latency_percentiles(spark, sf):
+    return _round(ME.latency_percentiles(_samples(spark, sf)), "p50_ms", "p95_ms", "p99_ms")
+
+
+def latency_speedup(spark, sf):
+    return _round(ME.latency_speedup(ME.latency_summary(_samples(spark, sf)), "view"), "warm_ms", "speedup")
+
+
+def latency_target_check(spark, sf):
+    return _round(ME.latency_target_check(ME.latency_summary(_samples(spark, sf))), "warm_ms")
+
+
+def _strategy_row(name, hits, truth, share):
+    q = ME.recall_precision(hits, truth, 5)
+    return q.select(F.lit(name).alias("strategy"), "k", "n_queries", "recall", "precision", "f1", "mrr",
+                    F.lit(float(share)).alias("share"))
+
+
+def eval_matrix(spark, sf):
+    corpus, qv = S.corpus(spark, sf), S.query_vectors(spark, sf)
+    truth = _truth(spark, sf)
+    rows = [_strategy_row("exact", K.knn(corpus, qv, k=5), truth, 1.0)]
+    index = AN.ivf_save(AN.ivf_build(corpus, nlist=NLIST, seed=42))
+    for nprobe in (NPROBE, 2 * NPROBE):
+        rows.append(_strategy_row(f"ivf_{NLIST}_{nprobe}", AN.ivf_search(index, qv, k=5, nprobe=nprobe),
+                                  truth, AN.ivf_share(index, qv, nprobe)))
+    cand = AN.lsh_candidates(corpus, qv, BANDS, BITS).agg(F.sum("n_candidates")).first()[0] or 0
+    n_pairs = qv.count() * corpus.count()
+    rows.append(_strategy_row(f"lsh_{BANDS}_{BITS}", _lsh_hits(spark, sf), truth,
+                              cand / n_pairs if n_pairs else 0.0))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def eval_report(spark, sf):
+    lat = ME.latency_summary(_samples(spark, sf))
+    truth = _truth(spark, sf)
+    corpus, qv = S.corpus(spark, sf), S.query_vectors(spark, sf)
+    rec = (ME.recall_precision(K.knn(corpus, qv, k=5), truth, 5)
+           .select(F.lit("kestrel").alias("engine"), F.lit("exact").alias("index_type"), "*")
+           .unionByName(ME.recall_precision(_lsh_hits(spark, sf), truth, 5)
+                        .select(F.lit("kestrel").alias("engine"), F.lit("lsh").alias("index_type"), "*")))
+    return _round(ME.report_rows(lat, rec), "value")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_l2": knn_l2,
     "knn_filtered": knn_filtered,
@@ -300,4 +428,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rag_response": rag_response,
     "rag_batch": rag_batch,
     "assemble_chunks": assemble_chunks,
+    "ivf_assign": ivf_assign,
+    "ivf_search": ivf_search,
+    "ivf_exhaustive": ivf_exhaustive,
+    "ivf_reloaded_search": ivf_reloaded_search,
+    "ann_lsh_codes": ann_lsh_codes,
+    "ann_lsh": ann_lsh,
+    "recall_at_k": recall_at_k,
+    "recall_vs_gt": recall_vs_gt,
+    "f1_at_k": f1_at_k,
+    "mrr": mrr,
+    "latency_summary": latency_summary,
+    "latency_percentiles": latency_percentiles,
+    "latency_speedup": latency_speedup,
+    "latency_target_check": latency_target_check,
+    "eval_matrix": eval_matrix,
+    "eval_report": eval_report,
 }

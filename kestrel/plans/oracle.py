@@ -142,6 +142,66 @@ PROMPT_SQL = ("concat('You are a helpful assistant. Answer the user''s question
 CONTEXT_SQL = ("string_agg(concat('Document ', CAST(h.id AS VARCHAR), ': ', c.content), chr(10) || chr(10) "
                "ORDER BY h.rank, h.id)")
 
+
+
+def lsh_codes_cte(name: str, source: str, id_col: str, emb_col: str, bands: int = 8, bits: int = 6,
+                  dim: int = 64) -> str:
+    return f"""{name} AS (
+  SELECT id, CAST(band AS INTEGER) AS band,
+         CAST(sum(CASE WHEN dot >= 0 THEN (CAST(1 AS BIGINT) << CAST(bit AS INTEGER)) ELSE 0 END) AS BIGINT) AS code
+  FROM (SELECT ev.id, p.band, p.bit, sum(ev.v * p.s) AS dot
+        FROM (SELECT {id_col} AS id, CAST(generate_subscripts({emb_col}, 1) - 1 AS BIGINT) AS d,
+                     CAST(unnest({emb_col}) AS DOUBLE) AS v FROM {source}) ev
+        JOIN (SELECT l AS band, j AS bit, dd AS d,
+                     CASE WHEN substr(md5(concat(l, ':', j, ':', dd)), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS s
+              FROM range({bands}) t1(l), range({bits}) t2(j), range({dim}) t3(dd)) p ON ev.d = p.d
+        GROUP BY ev.id, p.band, p.bit)
+  GROUP BY id, band)"""
+
+
+LSH_CTES = [CORPUS_CTE, QUERIES_CTE, lsh_codes_cte("ccodes", "corpus", "id", "embedding"),
+            lsh_codes_cte("qcodes", "embeddings", "vec_id", "embedding"),
+            """cand AS (SELECT DISTINCT q.id AS query_id, c.id FROM qcodes q JOIN ccodes c
+  ON q.band = c.band AND q.code = c.code)""",
+            f"""lsh AS (SELECT query_id, rank, id, distance FROM (
+  SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
+    SELECT cand.query_id, cand.id, {dist_sql('l2', 'c.embedding', 'q.q_emb')} AS distance
+    FROM cand JOIN corpus c ON c.id = cand.id JOIN queries q ON q.query_id = cand.query_id) s)
+  WHERE rank <= 5)"""]
+
+
+def quality_ctes(results: str, truth_k: int) -> list[str]:
+    return [f"truth AS (SELECT query_id, id FROM ({knn_sql('l2', truth_k)}))",
+            "ntr AS (SELECT query_id, count(*) AS n_truth FROM truth GROUP BY query_id)",
+            f"""hits AS (SELECT r.query_id, count(*) AS n_hit, min(r.rank) AS first_hit
+  FROM (SELECT query_id, id, min(rank) AS rank FROM {results} WHERE rank <= 5 GROUP BY query_id, id) r
+  JOIN truth t ON r.query_id = t.query_id AND r.id = t.id GROUP BY r.query_id)""",
+            """qq AS (SELECT ntr.query_id, n_truth, coalesce(n_hit, 0) AS n_hit, first_hit
+  FROM ntr LEFT JOIN hits ON hits.query_id = ntr.query_id)""",
+            """qa AS (SELECT count(*) AS n_queries, coalesce(avg(n_hit / n_truth), 0.0) AS recall,
+  coalesce(avg(n_hit / 5.0), 0.0) AS precision, coalesce(avg(coalesce(1.0 / first_hit, 0.0)), 0.0) AS mrr FROM qq)"""]
+
+
+SAMPLES_CTES = [
+    """s AS (SELECT event_type AS engine, 'flat' AS index_type, ts, event_id AS sample_id, value AS seconds
+  FROM events)""",
+    """sq AS (SELECT *, row_number() OVER (PARTITION BY engine, index_type ORDER BY ts, sample_id) AS seq FROM s)""",
+    """warm AS (SELECT *, row_number() OVER (PARTITION BY engine, index_type ORDER BY seconds, seq) AS pos,
+  count(*) OVER (PARTITION BY engine, index_type) AS n FROM sq WHERE seq > 5)""",
+    """pct AS (SELECT engine, index_type,
+  max(CASE WHEN pos = CAST(floor(n * 0.5::DOUBLE) AS BIGINT) + 1 THEN seconds * 1000.0 END) AS p50_ms,
+  max(CASE WHEN pos = CAST(floor(n * 0.95::DOUBLE) AS BIGINT) + 1 THEN seconds * 1000.0 END) AS p95_ms,
+  max(CASE WHEN pos = CAST(floor(n * 0.99::DOUBLE) AS BIGINT) + 1 THEN seconds * 1000.0 END) AS p99_ms
+  FROM warm GROUP BY engine, index_type)""",
+    """base AS (SELECT engine, index_type,
+  avg(CASE WHEN seq <= 5 THEN seconds END) * 1000.0 AS cold_ms,
+  avg(CASE WHEN seq > 5 THEN seconds END) * 1000.0 AS warm_ms,
+  count(CASE WHEN seq > 5 THEN 1 END) AS nw, sum(CASE WHEN seq > 5 THEN seconds END) AS tw
+  FROM sq GROUP BY engine, index_type)""",
+    """summ AS (SELECT b.engine, b.index_type, cold_ms, warm_ms, p50_ms, p95_ms, p99_ms,
+  CASE WHEN coalesce(tw, 0) > 0 THEN nw / tw ELSE 0.0 END AS throughput_qps
+  FROM base b LEFT JOIN pct p ON p.engine = b.engine AND p.index_type = b.index_type)"""]
+
 SQL: dict[str, str] = {
     "knn_l2": _C(knn_sql("l2", 5)),
     "knn_filtered": _C(knn_sql("l2", 5, where="WHERE c.category = 'en' AND c.date <= DATE '2021-12-31'")),
@@ -252,4 +312,42 @@ SQL: dict[str, str] = {
         "ON h.query_id = hq.query_id GROUP BY hq.query_id, hq.text",
     "assemble_chunks": "SELECT conv_id AS request_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS response "
                        "FROM conversations GROUP BY conv_id",
+    "ivf_exhaustive": _C(knn_sql("l2", 5)),
+    "ann_lsh_codes": with_ctes(CORPUS_CTE, lsh_codes_cte("ccodes", "corpus", "id", "embedding")) +
+        "SELECT id, band, code FROM ccodes",
+    "ann_lsh": with_ctes(*LSH_CTES) + "SELECT query_id, rank, id, round(distance, 6) AS distance FROM lsh",
+    "recall_at_k": with_ctes(*LSH_CTES, *quality_ctes("lsh", 5)) +
+        "SELECT 'lsh' AS strategy, CAST(5 AS BIGINT) AS k, n_queries, round(recall, 6) AS recall, "
+        "round(precision, 6) AS precision FROM qa",
+    "recall_vs_gt": with_ctes(*LSH_CTES, *quality_ctes("lsh", 50)) +
+        "SELECT 'lsh' AS strategy, CAST(5 AS BIGINT) AS k, CAST(50 AS BIGINT) AS gt_k, n_queries, "
+        "round(recall, 6) AS recall, round(precision, 6) AS precision FROM qa",
+    "f1_at_k": with_ctes(*LSH_CTES, *quality_ctes("lsh", 5)) +
+        "SELECT 'lsh' AS strategy, CAST(5 AS BIGINT) AS k, round(CASE WHEN recall + precision > 0 "
+        "THEN 2 * recall * precision / (recall + precision) ELSE 0.0 END, 6) AS f1 FROM qa",
+    "mrr": with_ctes(*LSH_CTES, *quality_ctes("lsh", 5)) +
+        "SELECT 'lsh' AS strategy, CAST(5 AS BIGINT) AS k, round(mrr, 6) AS mrr FROM qa",
+    "latency_summary": with_ctes(*SAMPLES_CTES) +
+        "SELECT engine, index_type, round(cold_ms, 6) AS cold_ms, round(warm_ms, 6) AS warm_ms, "
+        "round(p50_ms, 6) AS p50_ms, round(p95_ms, 6) AS p95_ms, round(p99_ms, 6) AS p99_ms, "
+        "round(throughput_qps, 6) AS throughput_qps FROM summ",
+    "latency_percentiles": with_ctes(*SAMPLES_CTES) +
+        "SELECT engine, index_type, round(p50_ms, 6) AS p50_ms, round(p95_ms, 6) AS p95_ms, "
+        "round(p99_ms, 6) AS p99_ms FROM pct",
+    "latency_speedup": with_ctes(*SAMPLES_CTES) +
+        "SELECT engine, index_type, round(warm_ms, 6) AS warm_ms, round((SELECT warm_ms FROM summ "
+        "WHERE engine = 'view' AND index_type = 'flat') / warm_ms, 6) AS speedup FROM summ",
+    "latency_target_check": with_ctes(*SAMPLES_CTES) +
+        "SELECT engine, index_type, round(warm_ms, 6) AS warm_ms, 20.0::DOUBLE AS target_ms, "
+        "warm_ms <= 20.0 AS meets_target FROM summ",
+    "eval_report": with_ctes(*SAMPLES_CTES, *LSH_CTES, *quality_ctes("lsh", 5),
+                             "exq AS (SELECT count(*) AS n_queries, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS precision "
+                             "FROM (SELECT DISTINCT query_id FROM truth))") +
+        """SELECT 'latency' AS section, engine, index_type, m.metric, round(m.value, 6) AS value
+FROM summ, LATERAL (SELECT unnest(['cold_ms','warm_ms','p50_ms','p95_ms','p99_ms','throughput_qps']) AS metric,
+                           unnest([cold_ms, warm_ms, p50_ms, p95_ms, p99_ms, throughput_qps]) AS value) m
+UNION ALL SELECT 'recall', 'kestrel', 'lsh', 'recall@5', round(recall, 6) FROM qa
+UNION ALL SELECT 'recall', 'kestrel', 'lsh', 'avg_precision', round(precision, 6) FROM qa
+UNION ALL SELECT 'recall', 'kestrel', 'exact', 'recall@5', round(recall, 6) FROM exq
+UNION ALL SELECT 'recall', 'kestrel', 'exact', 'avg_precision', round(precision, 6) FROM exq""",
 }

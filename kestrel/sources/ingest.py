@@ -33,6 +33,8 @@ def with_consecutive_ids(df: DataFrame, order_cols: list[str], start: int = 0,
     back. The sorted frame is checkpointed to the shared folder so that the
     counts and the numbering see the same layout even after a lost executor.
     """
+    from kestrel.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     ordered = (df.orderBy(*order_cols)
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_mid", F.monotonically_increasing_id())
