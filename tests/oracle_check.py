@@ -39,6 +39,18 @@ def digest(cols, rows):
     return hashlib.sha256("\n".join(lines).encode()).hexdigest()[:16]
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+          "boolean": "BOOLEAN", "date": "DATE", "float": "FLOAT", "array<float>": "FLOAT[]",
+          "array<string>": "VARCHAR[]", "timestamp": "TIMESTAMP WITH TIME ZONE",
+          "timestamp_ntz": "TIMESTAMP"}
+
+
+def type_diffs(df, res):
+    spark_t = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema}
+    duck_t = {d[0]: str(d[1]) for d in res.description}
+    return {c: (spark_t[c], duck_t.get(c)) for c in spark_t if spark_t[c] != duck_t.get(c)}
+
+
 def compare(spark, name, fn, sql, con, sf_dir=SF_DIR):
     t0 = time.time()
     df = fn(spark, sf_dir)
@@ -48,11 +60,12 @@ def compare(spark, name, fn, sql, con, sf_dir=SF_DIR):
     res = con.execute(sql)
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
+    tdiff = type_diffs(df, res)
     ok_cols = sorted(scols) == sorted(dcols)
     ok_n = len(srows) == len(drows)
     ok_h = ok_cols and digest(scols, srows) == digest(dcols, drows)
     return dict(name=name, rows=len(srows), duck_rows=len(drows), cols=ok_cols, count=ok_n,
-                hash=ok_h, spark_s=round(t1 - t0, 2), scols=scols, dcols=dcols,
+                hash=ok_h, types=tdiff, spark_s=round(t1 - t0, 2), scols=scols, dcols=dcols,
                 srows=srows, drows=drows)
 
 
@@ -80,7 +93,7 @@ if __name__ == "__main__":
             continue
         flag = "OK " if (r["cols"] and r["count"] and r["hash"]) else "BAD"
         bad += flag == "BAD"
-        print(f"{name:28s} {flag} rows={r['rows']}/{r['duck_rows']} cols={r['cols']} hash={r['hash']} t={r['spark_s']}s")
+        print(f"{name:28s} {flag} rows={r['rows']}/{r['duck_rows']} cols={r['cols']} hash={r['hash']} t={r['spark_s']}s" + (f" TYPES {r['types']}" if r['types'] else ""))
         if flag == "BAD":
             print("   spark cols", r["scols"], "duck cols", r["dcols"])
             s = sorted(map(str, r["srows"]))[:3]
