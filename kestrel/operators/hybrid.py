@@ -42,6 +42,13 @@ def hybrid_search(corpus: DataFrame, questions: DataFrame, k: int = 5,
     sem = semantic_rank(docs, questions.select("query_id", "embedding"), candidates)
     qterms = KW.query_terms(questions)
     kw = KW.keyword_rank(post, qterms, limit=candidates)
+    return fuse(sem, kw, k, rrf_constant)
+
+
+def fuse(sem: DataFrame, kw: DataFrame, k: int = 5, rrf_constant: int = RRF_CONSTANT) -> DataFrame:
+    """Reciprocal rank fusion of two ranked lists ``query_id, id, rank`` (C1,
+    I4, I5, G2): full outer join, summed ``1/(c+rank)``, best ``k`` by
+    ``(rrf_score desc, id)``."""
     c = float(rrf_constant)
     fused = (sem.select("query_id", "id", F.col("rank").alias("s_rank"))
              .join(kw.select("query_id", "id", F.col("rank").alias("k_rank")), ["query_id", "id"], "full_outer")

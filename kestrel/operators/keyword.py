@@ -35,6 +35,18 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "content") ->
             .select("id", "term", F.col("pos").cast("long").alias("pos")))
 
 
+def build_postings(docs: DataFrame, path: str | None = None, id_col: str = "id",
+                   text_col: str = "content") -> DataFrame:
+    """Write the postings of ``docs`` as the text index (Parquet, clustered by
+    term inside each file so term lookups skip row groups) and read it back.
+    Tokenising happens once; every later match/rank reads the index."""
+    from kestrel.session import shared_path
+    spark = docs.sparkSession
+    path = path or shared_path(spark, "indexes/postings", unique=True)
+    postings(docs, id_col, text_col).sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def term_stats(post: DataFrame) -> DataFrame:
     """``term, df, tf``: documents holding the term and total occurrences."""
     return post.groupBy("term").agg(F.countDistinct("id").alias("df"), F.count(F.lit(1)).alias("tf"))
@@ -62,9 +74,10 @@ def keyword_match(post: DataFrame, qterms: DataFrame) -> DataFrame:
 
 
 def matched_positions(post: DataFrame, qterms: DataFrame, matches: DataFrame) -> DataFrame:
-    """Positions of query terms, only in matching documents."""
-    return (post.join(qterms, "term")
-            .join(matches, ["query_id", "id"], "left_semi")
+    """Positions of query terms, only in matching documents: the (small)
+    match list restricts the postings first, then the query's own terms."""
+    return (matches.join(post, "id")
+            .join(qterms, ["query_id", "term"], "left_semi")
             .select("query_id", "id", "pos", "term"))
 
 

@@ -84,14 +84,21 @@ def _query_chunks(queries: DataFrame, query_id: str, max_bytes: int):
     The count and the first vector size are the only driver-side facts used
     to size the chunks; each chunk is fetched once and broadcast."""
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col("embedding"))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    n, dim = int(stats["n"]), int(stats["d"] or 0)
-    if n == 0:
+    first = q.select(F.size("embedding").alias("d")).limit(1).collect()
+    if not first:
         return
+    dim = int(first[0]["d"])
     per_chunk = max(1, max_bytes // (8 * max(dim, 1)))
+    # common case: the whole query set fits one chunk -> one bounded fetch
+    head = q.limit(per_chunk + 1).toArrow()
+    if head.num_rows <= per_chunk:
+        mat = arrow_matrix(head.column("embedding"), dim)
+        yield head.column("query_id").to_numpy(), mat
+        return
+    n = q.count()
     n_chunks = max(1, math.ceil(n / per_chunk))
     for c in range(n_chunks):
-        part = q if n_chunks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)) == c)
+        part = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)) == c)
         tbl = part.toArrow()
         if tbl.num_rows == 0:
             continue

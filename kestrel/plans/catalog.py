@@ -180,12 +180,16 @@ def query_terms(spark, sf):
     return KW.query_terms(S.query_texts(spark, sf))
 
 
+def _corpus_index(spark, sf):
+    return KW.build_postings(S.corpus(spark, sf))
+
+
 def keyword_match(spark, sf):
-    return KW.keyword_match(KW.postings(S.corpus(spark, sf)), KW.query_terms(S.query_texts(spark, sf)))
+    return KW.keyword_match(_corpus_index(spark, sf), KW.query_terms(S.query_texts(spark, sf)))
 
 
 def keyword_rank(spark, sf):
-    ranked = KW.keyword_rank(KW.postings(S.corpus(spark, sf)), KW.query_terms(S.query_texts(spark, sf)))
+    ranked = KW.keyword_rank(_corpus_index(spark, sf), KW.query_terms(S.query_texts(spark, sf)))
     return _round(ranked, "score").select("query_id", "id", "score", "rank")
 
 
@@ -195,7 +199,8 @@ def semantic_rank(spark, sf):
 
 
 def _hybrid(spark, sf, k=5):
-    return HY.hybrid_search(S.corpus(spark, sf), S.hybrid_queries(spark, sf), k=k)
+    return HY.hybrid_search(S.corpus(spark, sf), S.hybrid_queries(spark, sf), k=k,
+                            post=_corpus_index(spark, sf))
 
 
 def hybrid_rrf(spark, sf):
@@ -244,7 +249,7 @@ def rag_batch(spark, sf):
     from kestrel.functions.embed import embed_column
     q = S.query_texts(spark, sf)
     q = q.withColumn("embedding", embed_column(F.col("text"), 64))
-    hits = HY.retrieve(S.corpus(spark, sf), q, k=5, use_hybrid=True)
+    hits = HY.retrieve(S.corpus(spark, sf), q, k=5, use_hybrid=True, post=_corpus_index(spark, sf))
     return RG.prompts(q, RG.hydrate(hits, S.corpus(spark, sf)))
 
 

@@ -15,6 +15,18 @@ import uuid
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_REPO_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ensure_worker_path(spark: SparkSession) -> None:
+    """Let Python workers import this package: its root joins the PYTHONPATH
+    that PySpark hands to the workers with every Python function. (A cluster
+    ships the package with ``--py-files``; this covers local sessions started
+    from any working directory.)"""
+    env = spark.sparkContext.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _REPO_ROOT not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([_REPO_ROOT, *parts])
 
 
 def get_spark(master: str | None = None, app: str = "kestrel",
@@ -39,6 +51,7 @@ def get_spark(master: str | None = None, app: str = "kestrel",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ensure_worker_path(spark)
     return spark
 
 
