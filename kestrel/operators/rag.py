@@ -7,6 +7,7 @@ groups are bounded by ``k`` hits per question.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +77,6 @@ def prompts(questions: DataFrame, hydrated: DataFrame, no_hits: str = NO_HITS_AN
 def answer_with(prompt_rows: DataFrame, generate) -> DataFrame:
     """Optional answer step (K4): ``generate(list[str]) -> list[str]`` runs in
     Arrow batches on the executors; rows that already have an answer keep it."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def _answer(p: pd.Series) -> pd.Series:
