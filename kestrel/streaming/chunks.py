@@ -1,0 +1,83 @@
+"""Streaming chunk assembly (K6 as a Structured Streaming job).
+
+The reference reads an answer as a stream of NDJSON lines (``response``
+tokens, the last line flagged ``done``) and concatenates them. Here the
+lines of many requests arrive as a stream ``request_id, seq, line``; a
+stateful operator keyed by request keeps the chunks seen so far and emits
+the whole text once the ``done`` line and every line before it (``seq`` is
+the 0-based line number within the request) have arrived, so chunks that
+arrive out of order are still placed; with ``timeout_ms`` also
+when no line came for that long (the partial text is emitted then, never
+dropped).
+
+State per request is that request's own chunks (one answer), so it is
+bounded by the answer size and spread over executors by request key.
+
+A processing-time timeout makes Spark plan a batch on every trigger (it
+cannot know in advance whether a timeout is due), so such a query never goes
+idle: run it with a processing-time trigger, not ``availableNow``. Without a
+timeout the query finishes ``availableNow`` runs normally.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+OUTPUT_SCHEMA = "request_id long, response string, n_chunks long, complete boolean"
+STATE_SCHEMA = "seqs array<long>, tokens array<string>, done_seq long"
+
+
+def parse_lines(lines: DataFrame, request_col: str = "request_id", seq_col: str = "seq",
+                line_col: str = "line") -> DataFrame:
+    """``response`` (missing or blank line -> '') and ``done`` read; blank
+    lines stay as empty chunks so line numbers remain contiguous."""
+    return lines.select(
+        F.col(request_col).cast("long").alias("request_id"), F.col(seq_col).cast("long").alias("seq"),
+        F.coalesce(F.get_json_object(F.col(line_col), "$.response"), F.lit("")).alias("token"),
+        F.coalesce(F.get_json_object(F.col(line_col), "$.done") == "true", F.lit(False)).alias("done"))
+
+
+def _assemble(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    (request_id,) = key
+    if state.exists:
+        seqs, tokens, done_seq = state.get
+        seqs, tokens = list(seqs), list(tokens)
+    else:
+        seqs, tokens, done_seq = [], [], -1
+    timed_out = state.hasTimedOut
+    if not timed_out:
+        for pdf in pdfs:
+            seqs.extend(int(s) for s in pdf["seq"])
+            tokens.extend(pdf["token"].tolist())
+            flagged = pdf.loc[pdf["done"], "seq"]
+            if len(flagged):
+                done_seq = int(flagged.max())
+    done = done_seq >= 0 and len(set(seqs)) == done_seq + 1
+    if done or timed_out:
+        order = sorted(range(len(seqs)), key=lambda i: seqs[i])
+        text = "".join(tokens[i] for i in order)
+        state.remove()
+        yield pd.DataFrame({"request_id": [request_id], "response": [text],
+                            "n_chunks": [len(seqs)], "complete": [bool(done)]})
+    else:
+        state.update((seqs, tokens, done_seq))
+        if _TIMEOUT_MS:
+            state.setTimeoutDuration(_TIMEOUT_MS)
+
+
+_TIMEOUT_MS = 0
+
+
+def assemble_stream(lines: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """Streaming ``request_id, response, n_chunks, complete`` (append mode)."""
+    global _TIMEOUT_MS
+    _TIMEOUT_MS = int(timeout_ms or 0)
+    conf = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    return parse_lines(lines).groupBy("request_id").applyInPandasWithState(
+        _assemble, outputStructType=OUTPUT_SCHEMA, stateStructType=STATE_SCHEMA,
+        outputMode="append", timeoutConf=conf)

@@ -1,0 +1,32 @@
+import os
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from conftest import SF001
+from kestrel.operators import rag as RG
+from kestrel.sources import tables as S
+from kestrel.streaming.chunks import assemble_stream
+
+
+def test_stream_assembly_matches_batch(spark, tmp_path):
+    conv = S.read_table(spark, SF001, "conversations")
+    last = F.max("turn").over(Window.partitionBy("conv_id"))
+    lines = conv.select(
+        F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"),
+        F.to_json(F.struct(F.col("text").alias("response"),
+                           (F.col("turn") == last).alias("done"))).alias("line"))
+    src = str(tmp_path / "lines")
+    # two files: the stream sees the chunks of a request across micro-batches
+    lines.filter("seq % 2 = 0").coalesce(1).write.parquet(os.path.join(src, "a"))
+    lines.filter("seq % 2 = 1").coalesce(1).write.parquet(os.path.join(src, "b"))
+    stream = (spark.readStream.schema(lines.schema).option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", 1).parquet(src))
+    q = (assemble_stream(stream).writeStream.format("memory").queryName("assembled")
+         .option("checkpointLocation", str(tmp_path / "ckpt")).outputMode("append")
+         .trigger(availableNow=True).start())
+    assert q.awaitTermination(240)
+    got = {r["request_id"]: (r["response"], r["complete"]) for r in spark.sql("SELECT * FROM assembled").collect()}
+    want = {r["request_id"]: r["response"] for r in RG.assemble_chunks(lines).collect()}
+    assert set(got) == set(want)
+    assert all(got[k][0] == want[k] and got[k][1] for k in want)
