@@ -105,9 +105,11 @@ def sequenced(samples: DataFrame) -> DataFrame:
     return ordinal_in_group(samples, ["engine", "index_type"], ["ts", "sample_id"], "seq")
 
 
-def latency_percentiles(samples: DataFrame, warmup: int = WARMUP) -> DataFrame:
-    """``engine, index_type, p50_ms, p95_ms, p99_ms`` over warm samples."""
-    warm = sequenced(samples).filter(F.col("seq") > warmup)
+def latency_percentiles(samples: DataFrame, warmup: int = WARMUP, seq: DataFrame | None = None) -> DataFrame:
+    """``engine, index_type, p50_ms, p95_ms, p99_ms`` over warm samples.
+    ``seq`` is the output of :func:`sequenced` when the caller has it."""
+    seq = seq if seq is not None else sequenced(samples)
+    warm = seq.filter(F.col("seq") > warmup)
     ranked = ordinal_in_group(warm, ["engine", "index_type"], ["seconds", "seq"], "pos")
     n = warm.groupBy("engine", "index_type").agg(F.count(F.lit(1)).alias("n"))
     picked = ranked.join(n, ["engine", "index_type"])
@@ -126,7 +128,7 @@ def latency_summary(samples: DataFrame, warmup: int = WARMUP) -> DataFrame:
         (F.avg(F.when(~cold, F.col("seconds"))) * 1000.0).alias("warm_ms"),
         F.count(F.when(~cold, F.lit(1))).alias("_n_warm"),
         F.sum(F.when(~cold, F.col("seconds"))).alias("_t_warm"))
-    out = base.join(latency_percentiles(samples, warmup), ["engine", "index_type"], "left")
+    out = base.join(latency_percentiles(samples, warmup, seq), ["engine", "index_type"], "left")
     qps = F.when(F.coalesce(F.col("_t_warm"), F.lit(0.0)) > 0, F.col("_n_warm") / F.col("_t_warm")) \
         .otherwise(F.lit(0.0))
     return (out.select("engine", "index_type", "cold_ms", "warm_ms", "p50_ms", "p95_ms", "p99_ms",

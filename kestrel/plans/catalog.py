@@ -159,6 +159,16 @@ def ingest_null_defaults(spark, sf):
     return _json_fields(table, F.array_join("tags", ",").alias("tags"))
 
 
+def schema_documents(spark, sf):
+    """A1: declare the relational table over an ingested batch, then DESCRIBE."""
+    from kestrel.session import shared_path
+    path = shared_path(spark, "tables/documents_schema", unique=True)
+    I.ingest(spark, S.ingest_batch(spark, sf), path=path, mode="null")
+    name = "documents_" + path.rsplit("-", 1)[-1]
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{path}'")
+    return spark.sql(f"DESCRIBE TABLE {name}").select("col_name", "data_type")
+
+
 def ingest_empty_defaults(spark, sf):
     table = I.ingest(spark, S.ingest_batch(spark, sf), mode="empty")
     return _json_fields(table)
@@ -207,6 +217,10 @@ def hybrid_rrf(spark, sf):
     return _round(_hybrid(spark, sf), "rrf_score")
 
 
+def hybrid_rrf_batch(spark, sf):
+    return _round(_hybrid(spark, sf, k=10), "rrf_score")
+
+
 def retrieve_vector(spark, sf):
     return _round(HY.retrieve(S.corpus(spark, sf), S.hybrid_queries(spark, sf), k=5, use_hybrid=False,
                               filters={"source": "src3"}), "distance")
@@ -418,6 +432,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "embed_documents": embed_documents,
     "ingest_null_defaults": ingest_null_defaults,
     "ingest_empty_defaults": ingest_empty_defaults,
+    "schema_documents": schema_documents,
     "postings": postings,
     "term_stats": term_stats,
     "query_terms": query_terms,
@@ -425,6 +440,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keyword_rank": keyword_rank,
     "semantic_rank": semantic_rank,
     "hybrid_rrf": hybrid_rrf,
+    "hybrid_rrf_batch": hybrid_rrf_batch,
     "retrieve_vector": retrieve_vector,
     "hydrate_hits": hydrate_hits,
     "hit_cards": hit_cards,

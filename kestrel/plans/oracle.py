@@ -281,6 +281,8 @@ SQL: dict[str, str] = {
         f"FROM ({knn_sql('l2', 20, queries='hq')})",
     "hybrid_rrf": with_ctes(*hybrid_ctes()) +
         "SELECT query_id, rank, id, round(rrf_score, 6) AS rrf_score FROM hyb",
+    "hybrid_rrf_batch": with_ctes(*hybrid_ctes(k=10)) +
+        "SELECT query_id, rank, id, round(rrf_score, 6) AS rrf_score FROM hyb",
     "retrieve_vector": with_ctes(CORPUS_CTE, HYBRID_QUERIES_CTE) +
         knn_sql("l2", 5, queries="hq", where="WHERE c.source = 'src3'"),
     "hydrate_hits": with_ctes(CORPUS_CTE, QUERIES_CTE) +
