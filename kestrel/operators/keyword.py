@@ -61,15 +61,26 @@ def query_terms(questions: DataFrame, id_col: str = "query_id", text_col: str =
 def keyword_match(post: DataFrame, qterms: DataFrame) -> DataFrame:
     """``query_id, id`` of documents holding every term of the query.
 
-    The document side is first reduced to distinct ``(id, term)`` (partial
-    aggregation before the shuffle); AQE turns the join into a broadcast when
-    the query side proves small at run time, and splits skewed term
-    partitions otherwise."""
+    Posting-list intersection that starts from each query's rarest term:
+    candidates are the documents of that term only (so a term common to a
+    third of the corpus never meets the query side unless it is the rarest),
+    then every other term is verified with a semi join on ``(id, term)``.
+    A query with a term no document holds matches nothing."""
     doc_terms = post.select("id", "term").distinct()
-    n_terms = qterms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    hits = (qterms.join(doc_terms, "term")
-            .groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n_hit")))
-    return (hits.join(n_terms, "query_id")
+    df = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    qdf = qterms.join(df, "term", "left")
+    per_query = qdf.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"),
+                                           F.count("df").alias("n_known"))
+    usable = per_query.filter(F.col("n_terms") == F.col("n_known")).select("query_id", "n_terms")
+    pick = Window.partitionBy("query_id").orderBy(F.col("df").asc(), F.col("term").asc())
+    rarest = (qdf.join(usable.select("query_id"), "query_id", "left_semi")
+              .withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") == 1)
+              .select("query_id", "term"))
+    cand = rarest.join(doc_terms, "term").select("query_id", "id")
+    checks = (cand.join(qterms, "query_id")
+              .join(doc_terms, ["id", "term"], "left_semi")
+              .groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n_hit")))
+    return (checks.join(usable, "query_id")
             .filter(F.col("n_hit") == F.col("n_terms")).select("query_id", "id"))
 
 

@@ -19,16 +19,19 @@ def distinct_categories(table: DataFrame, limit: int = 50) -> DataFrame:
             .distinct().orderBy("category").limit(limit))
 
 
-def corpus_stats(table: DataFrame, index_flags: dict[str, bool] | None = None) -> DataFrame:
-    """One row: document and vector counts, categories, index flags."""
+def corpus_stats(table: DataFrame, index_flags: dict[str, bool] | None = None,
+                 limit: int = 50) -> DataFrame:
+    """One row: document and vector counts, the number of categories, the
+    first ``limit`` categories (joined by commas; the set handed to the
+    driver stays bounded), index flags."""
     cat = F.nullif(F.col("category"), F.lit(""))
-    # collect_set de-duplicates map-side: each task ships one entry per category
-    out = (table.agg(F.count(F.lit(1)).alias("n_documents"),
-                     F.count("embedding").alias("n_vectors"),
-                     F.array_sort(F.collect_set(cat)).alias("_cats"))
-           .select("n_documents", "n_vectors",
-                   F.size("_cats").cast("long").alias("n_categories"),
-                   F.array_join("_cats", ",").alias("categories")))
+    counts = table.agg(F.lit(1).alias("_one"), F.count(F.lit(1)).alias("n_documents"),
+                       F.count("embedding").alias("n_vectors"),
+                       F.countDistinct(cat).alias("n_categories"))
+    first = (distinct_categories(table, limit)
+             .agg(F.lit(1).alias("_one"),
+                  F.array_join(F.array_sort(F.collect_list("category")), ",").alias("categories")))
+    out = counts.join(first, "_one", "left").select("n_documents", "n_vectors", "n_categories", "categories")
     for name, flag in (index_flags or {}).items():
         out = out.withColumn(name, F.lit(bool(flag)))
     return out

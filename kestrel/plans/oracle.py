@@ -245,7 +245,8 @@ SQL: dict[str, str] = {
     "corpus_stats": _q(CORPUS_CTE)(
         "SELECT count(*) AS n_documents, count(embedding) AS n_vectors, "
         "CAST(count(DISTINCT nullif(category, '')) AS BIGINT) AS n_categories, "
-        "array_to_string(list_sort(list_distinct(list(nullif(category, '')))), ',') AS categories FROM corpus"),
+        "(SELECT array_to_string(list_sort(list(category)), ',') FROM (SELECT DISTINCT category FROM corpus "
+        "WHERE category IS NOT NULL AND category <> '' ORDER BY category LIMIT 50)) AS categories FROM corpus"),
     "sample_queries": _q(CORPUS_CTE)(
         "SELECT id FROM corpus ORDER BY md5(concat(CAST(id AS VARCHAR), ':42')), id LIMIT 50"),
     "export_embeddings": _q(CORPUS_CTE)("SELECT id, embedding FROM corpus ORDER BY id LIMIT 10000"),
