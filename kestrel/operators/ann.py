@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from kestrel.functions.vectors import arrow_matrix, check_metric
 from kestrel.operators.knn import (MAX_QUERY_CHUNK_BYTES, _local_topk, _query_chunks,
                                    rank_per_query, score_name)
-from kestrel.session import shared_path
+from kestrel.session import shared_path, spread
 
 # Accepted strategy names (reference aliases map onto ours).
 STRATEGY_ALIASES = {"exact": "exact", "flat": "exact", "flat_l2": "exact",
@@ -283,7 +283,7 @@ def _lsh_fn(bc, k: int, metric: str, dim: int, name: str, count_only: bool):
 def _lsh_parts(corpus, queries, k, metric, bands, bits, query_id, count_only):
     spark = corpus.sparkSession
     name = score_name(metric)
-    base = corpus.select(F.col("id").cast("long").alias("id"), "embedding")
+    base = spread(corpus.select(F.col("id").cast("long").alias("id"), "embedding"))
     schema = "query_id long, n long" if count_only else f"query_id long, id long, {name} double"
     parts = []
     for qids, qmat in _query_chunks(queries, query_id, MAX_QUERY_CHUNK_BYTES):

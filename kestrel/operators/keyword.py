@@ -40,9 +40,10 @@ def build_postings(docs: DataFrame, path: str | None = None, id_col: str = "id",
     """Write the postings of ``docs`` as the text index (Parquet, clustered by
     term inside each file so term lookups skip row groups) and read it back.
     Tokenising happens once; every later match/rank reads the index."""
-    from kestrel.session import shared_path
+    from kestrel.session import shared_path, spread
     spark = docs.sparkSession
     path = path or shared_path(spark, "indexes/postings", unique=True)
+    docs = spread(docs.select(id_col, text_col))
     postings(docs, id_col, text_col).sortWithinPartitions("term").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from kestrel.functions.vectors import (arrow_matrix, block_scores, check_metric, distance,
                                        order_ascending, pair_scores)
 from kestrel.operators.filters import apply_filters
+from kestrel.session import spread
 
 # Upper bound on one broadcast query chunk (float64 matrix bytes).
 MAX_QUERY_CHUNK_BYTES = 64 * 1024 * 1024
@@ -173,7 +174,8 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2",
         raise ValueError("k must be positive")
     spark = corpus.sparkSession
     name = score_name(metric)
-    base = apply_filters(corpus, filters, mode).select(F.col("id").cast("long").alias("id"), "embedding")
+    base = spread(apply_filters(corpus, filters, mode).select(F.col("id").cast("long").alias("id"),
+                                                             "embedding"))
     schema = f"query_id long, id long, {name} double"
     parts = []
     for qids, qmat in _query_chunks(queries, query_id, max_query_bytes):

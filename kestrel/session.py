@@ -76,3 +76,11 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     if unique:
         tail = f"{tail}-{uuid.uuid4().hex[:12]}" if tail else uuid.uuid4().hex[:12]
     return f"{base}/kestrel/{tail}"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Repartition only a frame with fewer partitions than the cluster can
+    run at once (a small file read as one split). A large input already has
+    many partitions and passes through without a shuffle."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
