@@ -22,6 +22,9 @@ from kestrel.session import shared_path
 from kestrel.sources.tables import COLLECTION_SCHEMA, DOCUMENT_SCHEMA
 
 MAX_CONTENT_CHARS = 65000
+# Largest row count numbered by a single-task window; above it ids are
+# assigned by the distributed prefix-count helper.
+WINDOW_ROWS = 1_000_000
 
 
 def with_consecutive_ids(df: DataFrame, order_cols: list[str], start: int = 0,
@@ -135,11 +138,15 @@ def load_raw_documents(documents: DataFrame, num_samples: int = 10000) -> DataFr
     title = F.coalesce(F.col("title"), F.lit("")) if "title" in cols else F.lit("")
     authors = (F.coalesce(F.col("authors"), F.array().cast("array<string>")) if "authors" in cols
                else F.array().cast("array<string>"))
-    head = documents.orderBy("doc_id").limit(num_samples)
-    from pyspark.sql import Window
-    w = Window.orderBy("doc_id")   # at most num_samples rows
-    return head.select((F.row_number().over(w) - 1).cast("long").alias("id"),
-                       F.col("text").alias("content"), title.alias("title"), authors.alias("authors"))
+    head = documents.orderBy("doc_id").limit(num_samples).select(
+        "doc_id", F.col("text").alias("content"), title.alias("title"), authors.alias("authors"))
+    if num_samples <= WINDOW_ROWS:
+        from pyspark.sql import Window
+        w = Window.orderBy("doc_id")   # one task over at most WINDOW_ROWS rows
+        return head.select((F.row_number().over(w) - 1).cast("long").alias("id"),
+                           "content", "title", "authors")
+    # beyond that the positions are numbered by the distributed helper
+    return with_consecutive_ids(head, ["doc_id"], 0).select("id", "content", "title", "authors")
 
 
 def load_sample_embeddings(cache: DataFrame | None, documents: DataFrame, num_samples: int = 10000,
