@@ -78,9 +78,23 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     return f"{base}/kestrel/{tail}"
 
 
-def spread(df, min_partitions: int | None = None):
-    """Repartition only a frame with fewer partitions than the cluster can
-    run at once (a small file read as one split). A large input already has
-    many partitions and passes through without a shuffle."""
+SPREAD_MAX_BYTES = 256 * 1024 * 1024
+
+
+def estimated_bytes(df) -> int:
+    """Total size of the relations a frame reads, from the optimizer's
+    statistics (no job runs). Leaves rather than the root: without cost-based
+    statistics a join is estimated as the product of its inputs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def spread(df, min_partitions: int | None = None, max_bytes: int = SPREAD_MAX_BYTES):
+    """Round-robin a small input over the cluster's task slots (a small file
+    is read as one or two splits, which would leave most cores idle). The
+    decision uses the optimizer's size estimate, so no stage of the input is
+    run to decide; inputs estimated above ``max_bytes`` pass through
+    unchanged (they already come in many splits), so at scale this never
+    adds a shuffle."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    return df.repartition(target) if estimated_bytes(df) <= max_bytes else df
