@@ -5,8 +5,8 @@ from kestrel.sources import tables as S
 
 def test_spread_decides_without_running_jobs(spark):
     sc = spark.sparkContext
+    corpus = S.corpus(spark, SF01)      # reading Parquet schemas runs jobs; not counted
     sc.setJobGroup("spread-check", "spread-check")
-    corpus = S.corpus(spark, SF01)
     small = spread(corpus.select("id", "embedding"))
     assert estimated_bytes(corpus) < 64 * 1024 * 1024
     assert sc.statusTracker().getJobIdsForGroup("spread-check") == []
