@@ -127,9 +127,16 @@ def keyword_rank(post: DataFrame, qterms: DataFrame, limit: int | None = None) -
     With ``limit`` only the best ``limit`` rows per query by ``(score desc,
     id)`` are ranked (the keyword branch of hybrid search)."""
     scored = cover_density(post, qterms)
-    if limit is not None:
-        cut = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
-        scored = (scored.withColumn("_rn", F.row_number().over(cut))
-                  .filter(F.col("_rn") <= limit).drop("_rn"))
+    if limit is None:
+        # every match ranked: a one-term query may match a third of the
+        # corpus, so no window may hold a whole query's matches
+        from kestrel.operators.metrics import rank_in_group
+        return rank_in_group(scored, ["query_id"], "score", tie_cols=["id"]).withColumn(
+            "rank", F.col("rank").cast("long"))
+    # WindowGroupLimit keeps at most ``limit`` rows per query in each task
+    # before the shuffle; the rank then runs over those rows only
+    cut = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
+    scored = (scored.withColumn("_rn", F.row_number().over(cut))
+              .filter(F.col("_rn") <= limit).drop("_rn"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc())
     return scored.withColumn("rank", F.rank().over(w).cast("long"))

@@ -25,22 +25,45 @@ LATENCY_TARGET_MS = 20.0
 # ordinals within groups, spread over many tasks
 # ---------------------------------------------------------------------------
 
-def ordinal_in_group(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                     name: str = "ordinal") -> DataFrame:
-    """1-based position of each row within its group in ``order_cols`` order.
+# Largest group a single window task may sort; beyond it positions and ranks
+# are computed by the distributed path below.
+WINDOW_ROWS = 1_000_000
+
 
-    A range-partitioned sort on ``group + order`` spreads even a huge group
-    over many tasks. Per (partition, group) counts (at most partitions +
-    groups rows) give each slice its offset by a small running sum; the
-    position is that offset plus the row's place inside its slice. The
-    sorted frame is checkpointed so both passes see one layout."""
+def _materialized(df: DataFrame) -> DataFrame:
     from kestrel.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    keys = group_cols + order_cols
-    ordered = (df.orderBy(*keys)
+    return df.checkpoint(eager=True)
+
+
+def _largest_group(df: DataFrame, group_cols: list[str]) -> int:
+    """Rows of the biggest group (one small aggregate: a row per group)."""
+    return int(df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+               .agg(F.max("_n")).first()[0] or 0)
+
+
+def ordinal_in_group(df: DataFrame, group_cols: list[str], order_cols: list,
+                     name: str = "ordinal", window_rows: int | None = None) -> DataFrame:
+    """1-based position of each row within its group in ``order_cols`` order.
+
+    ``order_cols`` must make rows unique within a group (end with an id).
+    The input is checkpointed once to the shared folder: it is computed once
+    and a recomputed task after an executor loss sees the same rows. When the
+    largest group is within ``window_rows`` a window numbers the rows;
+    otherwise a range-partitioned sort on ``group + order`` spreads even a
+    huge group over many tasks, and per (partition, group) counts (at most
+    partitions + groups rows) give each slice its offset by a small running
+    sum. With unique keys the sorted layout, and so every position, is the
+    same on recomputation."""
+    limit = WINDOW_ROWS if window_rows is None else window_rows
+    src = _materialized(df)
+    if _largest_group(src, group_cols) <= limit:
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        return src.withColumn(name, F.row_number().over(w).cast("long"))
+    keys = [*group_cols, *order_cols]            # order entries may be Columns (e.g. desc)
+    ordered = (src.orderBy(*keys)
                .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id())
-               .checkpoint(eager=True))
+               .withColumn("_mid", F.monotonically_increasing_id()))
     slices = ordered.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"),
                                                       F.min("_mid").alias("_m0"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -50,6 +73,24 @@ def ordinal_in_group(df: DataFrame, group_cols: list[str], order_cols: list[str]
             .drop("_pid", "_mid", "_off", "_m0"))
 
 
+def rank_in_group(df: DataFrame, group_cols: list[str], score: str, descending: bool = True,
+                  tie_cols: list[str] | None = None, name: str = "rank",
+                  window_rows: int | None = None) -> DataFrame:
+    """SQL ``rank()`` over ``score`` within each group. Bounded groups use the
+    window; larger ones take rank = the smallest position among rows of equal
+    score (positions from :func:`ordinal_in_group`, the minimum combined
+    map-side), so no task ever holds a whole group."""
+    limit = WINDOW_ROWS if window_rows is None else window_rows
+    order = [F.col(score).desc() if descending else F.col(score).asc()]
+    src = _materialized(df)
+    if _largest_group(src, group_cols) <= limit:
+        w = Window.partitionBy(*group_cols).orderBy(*order)
+        return src.withColumn(name, F.rank().over(w).cast("long"))
+    pos = ordinal_in_group(src, group_cols, [*order, *(tie_cols or [])], "_pos", window_rows=limit)
+    first = pos.groupBy(*group_cols, score).agg(F.min("_pos").alias(name))
+    return pos.join(first, [*group_cols, score]).drop("_pos")
+
+
 # ---------------------------------------------------------------------------
 # retrieval quality
 # ---------------------------------------------------------------------------

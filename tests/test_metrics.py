@@ -32,9 +32,20 @@ def test_few_samples_have_no_warm_rows(spark):
 
 def test_ordinals_span_partitions(spark):
     s = samples(spark, "e", range(500)).repartition(7)
-    out = ME.ordinal_in_group(s, ["engine"], ["seconds"], "pos")
-    got = sorted((r["seconds"], r["pos"]) for r in out.collect())
-    assert [p for _, p in got] == list(range(1, 501))
+    for limit in (None, 0):                      # window path and distributed path
+        out = ME.ordinal_in_group(s, ["engine"], ["seconds", "sample_id"], "pos", window_rows=limit)
+        got = sorted((r["seconds"], r["pos"]) for r in out.collect())
+        assert [p for _, p in got] == list(range(1, 501))
+
+
+def test_rank_paths_agree(spark):
+    vals = [v % 7 for v in range(300)]           # many ties
+    s = samples(spark, "e", vals).repartition(5)
+    a = {r["sample_id"]: r["rank"] for r in
+         ME.rank_in_group(s, ["engine"], "seconds", tie_cols=["sample_id"]).collect()}
+    b = {r["sample_id"]: r["rank"] for r in
+         ME.rank_in_group(s, ["engine"], "seconds", tie_cols=["sample_id"], window_rows=0).collect()}
+    assert a == b and min(a.values()) == 1 and max(a.values()) == 300 - vals.count(0) + 1
 
 
 def test_recall_sets(spark):
