@@ -179,10 +179,9 @@ def latency_summary(samples: DataFrame, warmup: int = WARMUP) -> DataFrame:
 
 def latency_speedup(summary: DataFrame, base_engine: str, base_index: str = "flat") -> DataFrame:
     """``engine, index_type, warm_ms, speedup`` against one base configuration
-    (E10). The summary has one row per configuration, so the base value is
-    taken by a window over those few rows."""
-    base = F.max(F.when((F.col("engine") == base_engine) & (F.col("index_type") == base_index),
-                        F.col("warm_ms"))).over(Window.partitionBy())
+    (E10); the base value is a scalar subquery (no join, no global window)."""
+    base = (summary.filter((F.col("engine") == base_engine) & (F.col("index_type") == base_index))
+            .agg(F.max("warm_ms")).scalar())
     return summary.select("engine", "index_type", "warm_ms", (base / F.col("warm_ms")).alias("speedup"))
 
 
@@ -215,8 +214,6 @@ def report_rows(latency: DataFrame, recall: DataFrame) -> DataFrame:
 
 def report_json(latency: DataFrame, recall: DataFrame) -> DataFrame:
     """Nested report: one row with two arrays of structs, written as JSON."""
-    lat = latency.agg(F.lit(1).alias("_one"),
-                      F.array_sort(F.collect_list(F.struct(*latency.columns))).alias("latency_results"))
-    rec = recall.agg(F.lit(1).alias("_one"),
-                     F.array_sort(F.collect_list(F.struct(*recall.columns))).alias("recall_results"))
-    return lat.join(rec, "_one", "left").drop("_one")  # one row each
+    lat = latency.agg(F.array_sort(F.collect_list(F.struct(*latency.columns))).alias("latency_results"))
+    rec = recall.agg(F.array_sort(F.collect_list(F.struct(*recall.columns))).alias("recall_results"))
+    return lat.withColumn("recall_results", rec.scalar())

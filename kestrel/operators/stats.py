@@ -25,13 +25,12 @@ def corpus_stats(table: DataFrame, index_flags: dict[str, bool] | None = None,
     first ``limit`` categories (joined by commas; the set handed to the
     driver stays bounded), index flags."""
     cat = F.nullif(F.col("category"), F.lit(""))
-    counts = table.agg(F.lit(1).alias("_one"), F.count(F.lit(1)).alias("n_documents"),
-                       F.count("embedding").alias("n_vectors"),
-                       F.countDistinct(cat).alias("n_categories"))
+    # the bounded category list is a scalar subquery: no join of one-row frames
     first = (distinct_categories(table, limit)
-             .agg(F.lit(1).alias("_one"),
-                  F.array_join(F.array_sort(F.collect_list("category")), ",").alias("categories")))
-    out = counts.join(first, "_one", "left").select("n_documents", "n_vectors", "n_categories", "categories")
+             .agg(F.array_join(F.array_sort(F.collect_list("category")), ",").alias("categories")))
+    out = table.agg(F.count(F.lit(1)).alias("n_documents"), F.count("embedding").alias("n_vectors"),
+                    F.countDistinct(cat).alias("n_categories")) \
+        .withColumn("categories", first.scalar())
     for name, flag in (index_flags or {}).items():
         out = out.withColumn(name, F.lit(bool(flag)))
     return out
