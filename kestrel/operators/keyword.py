@@ -62,26 +62,30 @@ def query_terms(questions: DataFrame, id_col: str = "query_id", text_col: str =
 def keyword_match(post: DataFrame, qterms: DataFrame) -> DataFrame:
     """``query_id, id`` of documents holding every term of the query.
 
-    Posting-list intersection that starts from each query's rarest term:
-    candidates are the documents of that term only (so a term common to a
-    third of the corpus never meets the query side unless it is the rarest),
-    then every other term is verified with a semi join on ``(id, term)``.
-    A query with a term no document holds matches nothing."""
-    doc_terms = post.select("id", "term").distinct()
-    df = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    qdf = qterms.join(df, "term", "left")
-    per_query = qdf.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"),
-                                           F.count("df").alias("n_known"))
+    Posting-list intersection seeded by each query's rarest term (fewest
+    postings): candidates are the documents of that term only, so a term
+    common to a third of the corpus never meets the query side unless it is
+    the rarest; then the postings are joined with (candidate x query term)
+    and each candidate must show every term. The postings are only streamed
+    against the small sides (candidates, seeds), which AQE broadcasts once it
+    has measured them, so the postings table itself is not reshuffled. The
+    per-term counts are one partial aggregation. A query with a term that no
+    document holds matches nothing."""
+    lex = post.groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    qtf = qterms.join(lex, "term", "left")
+    per_query = qtf.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"),
+                                           F.count("tf").alias("n_known"))
     usable = per_query.filter(F.col("n_terms") == F.col("n_known")).select("query_id", "n_terms")
-    pick = Window.partitionBy("query_id").orderBy(F.col("df").asc(), F.col("term").asc())
-    rarest = (qdf.join(usable.select("query_id"), "query_id", "left_semi")
+    pick = Window.partitionBy("query_id").orderBy(F.col("tf").asc(), F.col("term").asc())
+    rarest = (qtf.join(usable.select("query_id"), "query_id", "left_semi")
               .withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") == 1)
               .select("query_id", "term"))
-    cand = rarest.join(doc_terms, "term").select("query_id", "id")
-    checks = (cand.join(qterms, "query_id")
-              .join(doc_terms, ["id", "term"], "left_semi")
-              .groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n_hit")))
-    return (checks.join(usable, "query_id")
+    cand = post.select("id", "term").join(rarest, "term").select("query_id", "id").distinct()
+    need = cand.join(qterms, "query_id")                       # candidates x query terms
+    hits = (post.select("id", "term").join(need, ["id", "term"])
+            .select("query_id", "id", "term").distinct()
+            .groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n_hit")))
+    return (hits.join(usable, "query_id")
             .filter(F.col("n_hit") == F.col("n_terms")).select("query_id", "id"))
 
 
