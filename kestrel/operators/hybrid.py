@@ -36,8 +36,9 @@ def hybrid_search(corpus: DataFrame, questions: DataFrame, k: int = 5,
     embedding``; ``post`` is a prebuilt postings table of the corpus.
     ``filters`` (an extension, X10) apply to both branches."""
     docs = apply_filters(corpus, filters)
-    post = post if post is not None else KW.postings(docs)
-    if filters and post is not None:
+    if post is None:
+        post = KW.postings(docs)
+    elif filters:
         post = post.join(docs.select("id"), "id", "left_semi")
     sem = semantic_rank(docs, questions.select("query_id", "embedding"), candidates)
     qterms = KW.query_terms(questions)

@@ -24,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.vectors import (arrow_matrix, block_scores, check_metric, distance,
@@ -82,8 +82,10 @@ def knn_single(corpus: DataFrame, vector, k: int = 5, metric: str = "l2",
 def _query_chunks(queries: DataFrame, query_id: str, max_bytes: int):
     """Yield (query ids, query matrix) chunks, each within ``max_bytes``.
 
-    The count and the first vector size are the only driver-side facts used
-    to size the chunks; each chunk is fetched once and broadcast."""
+    The vector size of one row sizes the chunk; a single bounded fetch of
+    ``per_chunk + 1`` rows tells whether one chunk holds every query. Only
+    otherwise are the queries counted and split by ``xxhash64(query_id)``.
+    Each chunk is fetched once and broadcast."""
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col("embedding"))
     first = q.select(F.size("embedding").alias("d")).limit(1).collect()
     if not first:
@@ -113,8 +115,8 @@ def _local_topk(qids: np.ndarray, qmat: np.ndarray, ids: np.ndarray, x: np.ndarr
                 k: int, metric: str, allowed=None):
     """Local top-k per query of one batch; returns (query_id, id, score).
 
-    ``allowed(rows, tile_slice)`` may return a boolean mask restricting the
-    pairs that are compared (IVF probes, LSH buckets)."""
+    ``allowed(tile_slice)`` may return a boolean (batch rows x tile queries)
+    mask restricting the pairs that are compared (LSH buckets)."""
     out_q, out_id, out_s = [], [], []
     sign = -1.0 if metric == "ip" else 1.0
     for start in range(0, len(qids), QUERY_TILE):
@@ -237,6 +239,3 @@ def lookup_by_id(corpus: DataFrame, ids: DataFrame, id_col: str = "id") -> DataF
             .select("id", "content", F.lit(0.0).alias("distance"),
                     F.coalesce(F.col("metadata"), F.lit("{}")).alias("metadata")))
 
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
