@@ -22,7 +22,8 @@ NOTES = ("PushedFilters", "PartitionFilters", "ReadSchema")
 def tidy(plan: str) -> str:
     plan = re.sub(r"#\d+L?", "", plan)
     plan = re.sub(r"\[plan_id=\d+\]", "", plan)
-    return "\n".join(line[:160] for line in plan.splitlines())
+    # scan lines stay whole: they carry PushedFilters / PartitionFilters / ReadSchema
+    return "\n".join(line if "Scan" in line else line[:160] for line in plan.splitlines())
 
 
 def main() -> None:
