@@ -71,3 +71,28 @@ def test_strategy_aliases():
     assert AN.strategy_name("flat") == "exact"
     with pytest.raises(ValueError):
         AN.strategy_name("annoy")
+
+
+def test_hot_cluster_split_over_batches(spark):
+    """Two thirds of the vectors sit in one tight cluster; with small Arrow
+    batches that cluster spans many batches and tasks, and exhaustive IVF
+    still equals exact search."""
+    import numpy as np
+    from conftest import vec_frame
+    rng = np.random.default_rng(7)
+    hot = rng.normal(0, 0.01, size=(400, 8)) + 5.0
+    rest = rng.normal(0, 1.0, size=(200, 8))
+    vecs = np.vstack([hot, rest])
+    corpus = vec_frame(spark, list(enumerate(vecs.tolist()))).repartition(6)
+    queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs[::37].tolist())],
+                                    "query_id long, embedding array<float>")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "25")
+    try:
+        index = AN.ivf_save(AN.ivf_build(corpus, nlist=4, seed=1))
+        sizes = index.cluster_sizes()
+        assert max(sizes.values()) >= 300
+        a, b = _r(AN.ivf_search(index, queries, k=7, nprobe=4)), _r(K.knn(corpus, queries, k=7))
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
