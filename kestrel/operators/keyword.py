@@ -59,7 +59,23 @@ def query_terms(questions: DataFrame, id_col: str = "query_id", text_col: str =
     return t.filter(~F.col("term").isin(*STOP_WORDS)).distinct()
 
 
-def keyword_match(post: DataFrame, qterms: DataFrame) -> DataFrame:
+MAX_PUSHED_TERMS = 10000   # distinct query terms sent to the scan as an IN filter
+
+
+def restrict_to_terms(post: DataFrame, qterms: DataFrame, max_terms: int | None = None) -> DataFrame:
+    """Postings of the query terms only. A bounded fetch (at most
+    ``max_terms + 1`` rows) tells whether the distinct terms fit an IN filter,
+    which reaches the Parquet scan (the index is clustered by term, so whole
+    row groups are skipped); a larger term set is applied as a semi join."""
+    max_terms = MAX_PUSHED_TERMS if max_terms is None else max_terms
+    terms = qterms.select("term").distinct()
+    few = terms.limit(max_terms + 1).collect()
+    if len(few) <= max_terms:
+        return post.filter(F.col("term").isin([r["term"] for r in few]))
+    return post.join(terms, "term", "left_semi")
+
+
+def keyword_match(post: DataFrame, qterms: DataFrame, restricted: bool = False) -> DataFrame:
     """``query_id, id`` of documents holding every term of the query.
 
     Posting-list intersection seeded by each query's rarest term (fewest
@@ -71,6 +87,8 @@ def keyword_match(post: DataFrame, qterms: DataFrame) -> DataFrame:
     has measured them, so the postings table itself is not reshuffled. The
     per-term counts are one partial aggregation. A query with a term that no
     document holds matches nothing."""
+    if not restricted:
+        post = restrict_to_terms(post, qterms)
     lex = post.groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
     qtf = qterms.join(lex, "term", "left")
     per_query = qtf.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"),
@@ -99,7 +117,8 @@ def matched_positions(post: DataFrame, qterms: DataFrame, matches: DataFrame) ->
 
 def cover_density(post: DataFrame, qterms: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """``query_id, id, score`` for every matching document."""
-    matches = matches if matches is not None else keyword_match(post, qterms)
+    post = restrict_to_terms(post, qterms)
+    matches = matches if matches is not None else keyword_match(post, qterms, restricted=True)
     mp = matched_positions(post, qterms, matches)
     doc = Window.partitionBy("query_id", "id").orderBy("pos")
     mp = mp.withColumn("rn", F.row_number().over(doc).cast("long"))
