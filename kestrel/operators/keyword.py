@@ -59,7 +59,10 @@ def query_terms(questions: DataFrame, id_col: str = "query_id", text_col: str =
     return t.filter(~F.col("term").isin(*STOP_WORDS)).distinct()
 
 
-MAX_PUSHED_TERMS = 10000   # distinct query terms sent to the scan as an IN filter
+# Distinct query terms sent to the scan as an IN filter. Small sets let the
+# term-clustered index skip row groups; a large IN list is slower in the Parquet
+# reader than a semi join (measured: 17.8 s vs 10 s for ~5,000 terms at sf0.1).
+MAX_PUSHED_TERMS = 100
 
 
 def restrict_to_terms(post: DataFrame, qterms: DataFrame, max_terms: int | None = None) -> DataFrame:
