@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import bpe_count, subword_langid
+from kestrel.llm import bpe_count, license_rules, sentencepiece_nbest, subword_langid
 from kestrel.llm.common import table
 
 
@@ -13,6 +13,15 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    with open(path or tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        return sentencepiece_nbest.digests(table(spark, sf_dir, "documents"), f.read())
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     with open(path or tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
         return bpe_count.token_counts(table(spark, sf_dir, "documents"), f.read())
@@ -23,6 +32,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_langid.identify(docs, subword_langid.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op8_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op5_license_scan, op8_token_counts, op10_language_id)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": license_rules.oracle_sql()}
