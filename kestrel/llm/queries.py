@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import bpe_count, license_rules, sentencepiece_nbest, subword_langid
+from kestrel.llm import bpe_count, license_rules, sentencepiece_nbest, stream_dedup, subword_langid
 from kestrel.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     with open(path or tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
         return bpe_count.token_counts(table(spark, sf_dir, "documents"), f.read())
@@ -32,6 +36,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_langid.identify(docs, subword_langid.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op5_license_scan, op8_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op5_license_scan, op6_exact_dedup, op8_token_counts, op10_language_id)}
 
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": license_rules.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op5_license_scan": license_rules.oracle_sql(),
+    "op6_exact_dedup": stream_dedup.ORACLE_SQL,
+}
