@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kestrel.llm import bpe_count, license_rules, sentencepiece_nbest, stream_dedup, subword_langid
+from kestrel.llm import bpe_count, crf_toxicity, license_rules, sentencepiece_nbest, stream_dedup, subword_langid
 from kestrel.llm.common import table
 
 
@@ -31,12 +32,19 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
         return bpe_count.token_counts(table(spark, sf_dir, "documents"), f.read())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = crf_toxicity.score(docs, crf_toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"),
+                         F.get("spans", F.lit(0))["start"].alias("first_start"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return subword_langid.identify(docs, subword_langid.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op5_license_scan, op6_exact_dedup, op8_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op5_license_scan, op6_exact_dedup, op8_token_counts, op9_toxicity, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_license_scan": license_rules.oracle_sql(),
