@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe_count, crf_toxicity, license_rules, sentencepiece_nbest, stream_dedup, subword_langid
+from kestrel.llm import bpe_count, crf_toxicity, license_rules, sentencepiece_nbest, stream_dedup, subword_langid, suffix_tree_lm
 from kestrel.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     with open(path or tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
         return bpe_count.token_counts(table(spark, sf_dir, "documents"), f.read())
@@ -44,7 +48,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_langid.identify(docs, subword_langid.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op5_license_scan, op6_exact_dedup, op8_token_counts, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op5_license_scan, op6_exact_dedup, op7_lm_score, op8_token_counts, op9_toxicity, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_license_scan": license_rules.oracle_sql(),
