@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe_count, crf_toxicity, license_rules, odd_sketch, sentencepiece_nbest, stream_dedup, subword_langid, suffix_tree_lm
+from kestrel.llm import bpe_count, crf_toxicity, license_rules, lsa_decontam, odd_sketch, sentencepiece_nbest, stream_dedup, subword_langid, suffix_tree_lm
 from kestrel.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsa_decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.scan(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_langid.identify(docs, subword_langid.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_minhash_dedup, op5_license_scan, op6_exact_dedup, op7_lm_score, op8_token_counts, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_minhash_dedup, op4_decontamination, op5_license_scan, op6_exact_dedup, op7_lm_score, op8_token_counts, op9_toxicity, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_license_scan": license_rules.oracle_sql(),
