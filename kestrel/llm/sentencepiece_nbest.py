@@ -17,6 +17,7 @@ import functools
 import heapq
 import math
 import re
+import struct
 import zlib
 from bisect import insort
 
@@ -31,26 +32,27 @@ from kestrel.llm.common import slices
 SPACE = "▁"
 #: Segmentations kept for each text.
 N_BEST = 3
-#: Units a worker keeps (about 600 bytes each); past it the memory starts anew.
-CACHE_UNITS = 400_000
+#: Units a worker keeps (about 300 bytes each); past it the memory starts anew.
+CACHE_UNITS = 700_000
 #: Units up to this length keep their edges in memory while they are searched.
 HELD_CHARS = 4096
 #: Below the lowest piece score, for a character that only byte pieces can spell.
 BYTES_PENALTY = 10.0
 
+_ID = struct.Struct("<I").pack
 _UNITS = re.compile(" *[^ ]+| +").findall
 
 
-def a_star(end, incoming, best, n: int) -> list[tuple[float, list]]:
+def a_star(end: int, incoming, best: list[float], n: int) -> list[tuple[float, list]]:
     """The ``n`` best paths from node 0 to ``end``: (score, labels in order).
 
     ``incoming(j)`` yields (i, label, score) of the edges that end at ``j``;
-    ``best(i)`` is the exact best score from 0 to ``i``. So every open entry
+    ``best[i]`` is the exact best score from 0 to ``i``. So every open entry
     stands for a path of exactly its estimate, and more than the ``n`` best
     entries never need to stay open. Of equal scores, the entry opened last is
     continued first, so ties never widen the search."""
     found, turn = [], 0
-    opened = [(best(end), 0, end, 0.0, None)]            # in rising order
+    opened = [(best[end], 0, end, 0.0, None)]            # in rising order
     while opened:
         _, _, j, behind, path = opened.pop()
         if j == 0:
@@ -64,7 +66,7 @@ def a_star(end, incoming, best, n: int) -> list[tuple[float, list]]:
             continue
         for i, label, score in incoming(j):
             total = behind + score
-            estimate = total + best(i)
+            estimate = total + best[i]
             if len(opened) >= n:
                 if estimate < opened[0][0]:
                     continue
@@ -81,7 +83,7 @@ class Pieces:
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.dummy_prefix = dummy_prefix
-        self.score: dict[str, tuple[tuple, float]] = {}
+        self.score: dict[str, tuple[bytes, float]] = {}     # ids are held as their four bytes
         self.byte_id = [sp.unk_id()] * 256
         self.spelled: list[bytes] = []
         for i in range(sp.vocab_size()):
@@ -92,7 +94,7 @@ class Pieces:
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 self.spelled.append(b"")
             else:
-                self.score[piece] = ((i,), sp.get_score(i))
+                self.score[piece] = (_ID(i), sp.get_score(i))
                 self.spelled.append(piece.replace(SPACE, " ").encode())
         self.single = {p for p in self.score if len(p) == 1}
         automaton = ahocorasick.Automaton()
@@ -107,9 +109,37 @@ class Pieces:
             raise ValueError(f"pieces that cross a word's start: {crossing[:5]}")
         self._forget()
 
-    def _forget(self) -> None:
+    def _forget(self, n: int = 1) -> None:
+        """Empties the memory of units, for ``n`` segmentations each. It holds numbers
+        and bytes only: nothing that the garbage collector would visit again and again."""
+        self.n = n
         self.slot: dict[str, int] = {}
-        self.found: list[list[tuple[float, bytes]]] = []
+        self.first: list[bytes] = []                     # ids of the best segmentation,
+        self.best: list[float] = []                      # its score,
+        self.gap: list[float] = []                       # how much less the second one has,
+        self.others: list[bytes] = []                    # and the others: number, scores, sizes, ids
+
+    def _remember(self, unit: str) -> int:
+        at = self.slot[unit] = len(self.first)
+        (best, first), *others = self.search(unit.replace(" ", SPACE), self.n)
+        self.first.append(first)
+        self.best.append(best)
+        self.gap.append(best - others[0][0] if others else math.inf)
+        k = len(others)
+        self.others.append(struct.pack(f"<I{k}d{k}I", k, *(s for s, _ in others), *(len(i) for _, i in others))
+                           + b"".join(i for _, i in others))
+        return at
+
+    def _ways(self, slot: int) -> list[tuple[float, bytes]]:
+        """The segmentations of a unit: how much less each one scores than the best, ids."""
+        blob, out, best = self.others[slot], [(0.0, self.first[slot])], self.best[slot]
+        k = struct.unpack_from("<I", blob)[0]
+        numbers = struct.unpack_from(f"<{k}d{k}I", blob, 4)
+        at = 4 + 12 * k
+        for score, size in zip(numbers[:k], numbers[k:]):
+            out.append((score - best, blob[at:at + size]))
+            at += size
+        return out
 
     def edges(self, unit: str, j: int):
         """Edges of the unit's lattice that end at ``j``."""
@@ -119,37 +149,43 @@ class Pieces:
                 single |= i == j - 1
                 yield i, hit[0], hit[1]
         if not single:                                   # spelled in bytes
-            yield j - 1, tuple(self.byte_id[b] for b in unit[j - 1].encode("utf-8", "replace")), self.lowest
+            yield j - 1, b"".join(_ID(self.byte_id[b]) for b in unit[j - 1].encode("utf-8", "replace")), self.lowest
 
-    def lattice(self, unit: str) -> tuple[list[list], list[float]]:
-        """All edges of a short unit by their ends, and the forward scores."""
+    def lattice(self, unit: str) -> tuple[list, list[int], list[float]]:
+        """The edges of a short unit (end, (size, ids, score)) by rising ends, where those of
+        each end begin, and the forward scores."""
         n = len(unit)
-        if not self.single.issuperset(unit):             # some character is spelled in bytes
-            into = [[], *(list(self.edges(unit, j)) for j in range(1, n + 1))]
-            best = [0.0]
-            for edges in into[1:]:
-                best.append(max(best[i] + s for i, _, s in edges))
-            return into, best
-        into, best = [[] for _ in range(n + 1)], [0.0] + [-math.inf] * n
-        for last, (size, label, score) in self.matches(unit):    # by rising ends
-            i = last + 1 - size
-            into[last + 1].append((i, label, score))
-            if (total := best[i] + score) > best[last + 1]:
+        if self.single.issuperset(unit):
+            edges = list(self.matches(unit))
+        else:                                            # some character is spelled in bytes
+            edges = [(j - 1, (j - i, ids, score)) for j in range(1, n + 1) for i, ids, score in self.edges(unit, j)]
+        best, begin, now = [0.0] + [-math.inf] * n, [0] * (n + 1), -1
+        for k, (last, (size, _, score)) in enumerate(edges):
+            if last != now:
+                begin[last] = k
+                now = last
+            total = best[last + 1 - size] + score
+            if total > best[last + 1]:
                 best[last + 1] = total
-        return into, best
+        begin[n] = len(edges)
+        return edges, begin, best
 
-    def search(self, unit: str, n: int) -> list[tuple[float, tuple]]:
+    def search(self, unit: str, n: int) -> list[tuple[float, bytes]]:
         """The ``n`` best segmentations of a unit (spaces already marked). The edges
         of a long unit are looked up again instead of being held."""
         if len(unit) <= HELD_CHARS:
-            into, best = self.lattice(unit)
-            paths = a_star(len(unit), into.__getitem__, best.__getitem__, n)
+            edges, begin, best = self.lattice(unit)
+
+            def incoming(j):
+                return [(j - size, ids, score) for _, (size, ids, score) in edges[begin[j - 1]:begin[j]]]
         else:
             best = [0.0]
             for j in range(1, len(unit) + 1):
                 best.append(max(best[i] + s for i, _, s in self.edges(unit, j)))
-            paths = a_star(len(unit), lambda j: self.edges(unit, j), best.__getitem__, n)
-        return [(score, tuple(x for label in labels for x in label)) for score, labels in paths]
+
+            def incoming(j):
+                return self.edges(unit, j)
+        return [(score, b"".join(ids)) for score, ids in a_star(len(unit), incoming, best, n)]
 
     def units(self, text: str) -> list[str]:
         if not text:
@@ -157,18 +193,14 @@ class Pieces:
         return _UNITS((" " if self.dummy_prefix else "") + text.replace(SPACE, " "))
 
     def _slots(self, units: list[str], n: int) -> list[int]:
-        if len(self.slot) > CACHE_UNITS:
-            self._forget()
+        if self.n != n or len(self.slot) > CACHE_UNITS:
+            self._forget(n)
         got = list(map(self.slot.get, units))
         if None in got:
             for k, at in enumerate(got):
                 if at is None:
-                    u = units[k]
-                    if (at := self.slot.get(u)) is None:
-                        at = self.slot[u] = len(self.found)
-                        self.found.append([(s, np.array(ids, np.uint32).tobytes())
-                                           for s, ids in self.search(u.replace(" ", SPACE), n)])
-                    got[k] = at
+                    at = self.slot.get(units[k])
+                    got[k] = self._remember(units[k]) if at is None else at
         return got
 
     def encode(self, text: str | None, n: int = N_BEST) -> list[tuple[float, bytes]]:
@@ -176,25 +208,21 @@ class Pieces:
         units = self.units(text or "")
         if not units:
             return [(0.0, b"")]
-        found = self.found
         slots = self._slots(units, n)
-        found = self.found
-        first = [found[s][0] for s in slots]
-        total = sum(f[0] for f in first)
-        parts = [f[1] for f in first]
+        total = sum(map(self.best.__getitem__, slots))
+        parts = list(map(self.first.__getitem__, slots))
         out = [(total, b"".join(parts))]
         if n == 1:
             return out
         # only the units with the n - 1 cheapest second choices can matter
-        gaps = [(found[s][0][0] - found[s][1][0], k) for k, s in enumerate(slots) if len(found[s]) > 1]
-        near = sorted(k for _, k in heapq.nsmallest(n - 1, gaps))
-        chain = [found[slots[k]] for k in near]
-        ways = a_star(len(chain), lambda j: [(j - 1, c, x[0] - chain[j - 1][0][0]) for c, x in enumerate(chain[j - 1])],
-                      lambda i: 0.0, n)
-        for less, choice in ways[1:]:
+        gap = list(map(self.gap.__getitem__, slots))
+        near = sorted(k for k in heapq.nsmallest(n - 1, range(len(gap)), gap.__getitem__) if gap[k] < math.inf)
+        ways = [self._ways(slots[k]) for k in near]
+        steps = [[(j, c, less) for c, (less, _) in enumerate(w)] for j, w in enumerate(ways)]
+        for less, choice in a_star(len(near), lambda j: steps[j - 1], [0.0] * (len(near) + 1), n)[1:]:
             other = parts.copy()
-            for k, c in zip(near, choice):
-                other[k] = found[slots[k]][c][1]
+            for k, w, c in zip(near, ways, choice):
+                other[k] = w[c][1]
             out.append((total + less, b"".join(other)))
         return out
 
