@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe_count, crf_toxicity, license_rules, lsa_decontam, odd_sketch, sentencepiece_nbest, stream_dedup, subword_langid, suffix_tree_lm
+from kestrel.llm import bpe_count, chat_repair, crf_toxicity, license_rules, lsa_decontam, odd_sketch, sentencepiece_nbest, stream_dedup, subword_langid, suffix_tree_lm
 from kestrel.llm.common import table
 
 
@@ -14,6 +14,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.summary(chat_repair.pieces(table(spark, sf_dir, "conversations")))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     with open(path or tokenizer_file("piece_bpe_32k.model"), "rb") as f:
         return sentencepiece_nbest.digests(table(spark, sf_dir, "documents"), f.read())
@@ -56,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_langid.identify(docs, subword_langid.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_minhash_dedup, op4_decontamination, op5_license_scan, op6_exact_dedup, op7_lm_score, op8_token_counts, op9_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_minhash_dedup, op4_decontamination, op5_license_scan, op6_exact_dedup, op7_lm_score, op8_token_counts, op9_toxicity, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_license_scan": license_rules.oracle_sql(),
