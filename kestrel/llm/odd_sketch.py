@@ -303,3 +303,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id",
     chosen = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "doc_id")).cast("long")
     return found.select("doc_id", "n_shingles", chosen.alias("component_id"),
                         F.coalesce(F.col("doc_id") == chosen, F.lit(True)).alias("kept"))
+
+
+def representatives(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The kept rows of ``docs`` with all their columns: of each component the rows with
+    its smallest id, and all rows with a null id."""
+    dropped = near_duplicates(docs, words, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
+    return docs.join(dropped, F.col(doc_id) == F.col("__dropped"), "left_anti")
