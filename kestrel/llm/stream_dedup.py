@@ -143,7 +143,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=
                              F.col("n").alias("group_size"))
 
 
-_KEPT = (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))
+_KEPT = "file = keep_file AND row = keep_row"
 
 
 def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
@@ -154,14 +154,14 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dige
     null ids only, ``keep_id`` is null. An empty table gives an empty result; other
     columns are not read."""
     _, found = classes(docs, doc_id, text, digest)
-    return found.select("doc_id", "keep_id", "group_size", _KEPT.alias("kept"), F.col("digest").alias("text_sha256"))
+    return found.select("doc_id", "keep_id", "group_size", F.expr(_KEPT).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def unique(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
     """The kept rows of ``docs`` with all their columns."""
     frame, found = classes(docs, doc_id, text, digest)
     _, file, row = located(frame)
-    dropped = found.filter(~_KEPT).select(F.col("file").alias("__dropped_file"), F.col("row").alias("__dropped_row"))
+    dropped = found.filter(f"NOT ({_KEPT})").select(F.col("file").alias("__dropped_file"), F.col("row").alias("__dropped_row"))
     at = frame.withColumns({"__file": file, "__row": row})
     return at.join(dropped, (F.col("__file") == F.col("__dropped_file")) & (F.col("__row") == F.col("__dropped_row")),
                    "left_anti").drop("__file", "__row")
