@@ -80,7 +80,8 @@ If a copy of the MPL was not distributed with this file, You can obtain one at h
 
 #: A sentence ends at these marks before white space, at a line break, or at the end.
 ENDS = r"[.!?:;]+[ \t\r\n]+"
-_BREAKS, _OTHER = r"[\r\n]+", r"[^a-z0-9\n]+"
+#: Line breaks; blank lines, also with the marks of comments, which end a sentence in any case.
+_BREAKS, _BLANK, _OTHER = r"[\r\n]+", r"\n[ \t\r\n#*/;%-]*\n", r"[^a-z0-9\n]+"
 
 
 def known_sentences() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
@@ -103,7 +104,9 @@ def _pattern(ids: dict[str, str]) -> str:
 def _sentences(text: Column, wrapped: bool) -> Column:
     """The known sentences of a text in order. ``wrapped``: line breaks are spaces."""
     ids, _ = known_sentences()
-    flat = F.regexp_replace(F.lower(text), F.lit(_BREAKS), F.lit(" ")) if wrapped else F.lower(text)
+    flat = F.lower(text)
+    if wrapped:
+        flat = F.regexp_replace(F.regexp_replace(flat, F.lit(_BLANK), F.lit(". ")), F.lit(_BREAKS), F.lit(" "))
     flat = F.regexp_replace(F.regexp_replace(flat, F.lit(ENDS), F.lit("\n")), F.lit(_OTHER), F.lit(" "))
     marked = F.concat(F.lit("\n"), F.regexp_replace(flat, F.lit("\n"), F.lit("\n\n")), F.lit("\n"))
     return F.regexp_extract_all(marked, F.lit(_pattern(ids)), F.lit(1))
@@ -112,7 +115,7 @@ def _sentences(text: Column, wrapped: bool) -> Column:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_known, sentence_ids, licenses, license`` for every row.
 
-    Sentences are sought with line breaks as ends and with line breaks as spaces
+    Sentences are sought with line breaks as ends and with single line breaks as spaces
     (wrapped statements); the reading with more known sentences counts, the first
     one if equal. ``sentence_ids``: the identifiers in order, joined by spaces.
     ``licenses``: the licences whose rule is an ordered part of them, sorted and
@@ -156,11 +159,12 @@ def oracle_sql() -> str:
         return f"regexp_extract_all(chr(10) || replace({flat}, chr(10), chr(10) || chr(10)) || chr(10), '{pattern}', 1)"
 
     text = "lower(coalesce(text, ''))"
+    wrapped = f"regexp_replace(regexp_replace({text}, '{_BLANK}', '. ', 'g'), '{breaks}', ' ', 'g')"
     pairs = ", ".join(f"'{s}': '{i}'" for s, i in ids.items())
     fit = " ".join(f"WHEN {k} THEN regexp_matches(sentence_ids, '{'.*'.join(r)}')" for k, (_, r) in enumerate(rules))
     rows = ", ".join(f"({k}, '{name}', {len(r)})" for k, (name, r) in enumerate(rules))
     return f"""
-WITH f AS (SELECT doc_id, {known(text)} AS a, {known(f"regexp_replace({text}, '{breaks}', ' ', 'g')")} AS b FROM documents),
+WITH f AS (SELECT doc_id, {known(text)} AS a, {known(wrapped)} AS b FROM documents),
 k AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS known FROM f),
 m AS (SELECT doc_id, len(known)::BIGINT AS n_known, CASE WHEN len(known) > 0 THEN
         array_to_string(list_transform(known, lambda s: map_extract(MAP {{{pairs}}}, s)[1]), ' ') END AS sentence_ids FROM k),
