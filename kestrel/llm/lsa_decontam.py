@@ -173,7 +173,7 @@ def _frequencies(encoded: DataFrame, features: int) -> np.ndarray:
     """Documents that hold each feature (at most BUCKETS of them)."""
     def run(batches):
         total = np.zeros(features, np.int64)
-        for b in batches:
+        for b in slices(batches, 1):
             f, doc, _, _ = _occurrences(b)
             total += np.bincount(np.unique(doc * features + f) % features, minlength=features)
         at = np.flatnonzero(total)
@@ -196,7 +196,7 @@ def _gram(encoded: DataFrame, kept: np.ndarray, weight: np.ndarray, x: np.ndarra
     def run(batches):
         kept, weight, rows = shared.value
         total = np.zeros(shape)
-        for b in batches:
+        for b in slices(batches, 1):
             f, doc, place, lengths = _occurrences(b)
             f = kept[f]
             f, doc, place = f[f >= 0], doc[f >= 0], place[f >= 0]
@@ -269,7 +269,9 @@ def fit(docs: DataFrame, items: list[Item], text: str = "text") -> Space:
 
 
 def candidates(space: Space, words: list[np.ndarray]) -> list[tuple[int, int, int, float]]:
-    """``document, first word of the window, item, cosine`` of all windows near an item."""
+    """``document, first word of the window, item, cosine`` of all windows near an item.
+    A window's length is taken as if its words were distinct; where they aren't, the
+    cosine is too high, at most 1."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     flat = np.concatenate([np.zeros(0, np.uint64), *words])
     if not len(flat) or not space.basis.shape[1]:
@@ -294,7 +296,7 @@ def candidates(space: Space, words: list[np.ndarray]) -> list[tuple[int, int, in
         cosine = window[rows, :-1] @ space.targets.T / np.sqrt(window[rows, -1:])
         a, b = np.nonzero(cosine >= COSINE)
         d = of[rows[a]]
-        out += zip(d.tolist(), ((rows[a] - first[d]) * STRIDE).tolist(), space.owner[b].tolist(), cosine[a, b].tolist())
+        out += zip(d.tolist(), ((rows[a] - first[d]) * STRIDE).tolist(), space.owner[b].tolist(), np.minimum(cosine[a, b], 1.0).tolist())
     return out
 
 
