@@ -133,12 +133,22 @@ def _block_sums(feature: np.ndarray, doc: np.ndarray, place: np.ndarray, first:
     """Sums of the features' rows in each block, and each occurrence's block."""
     block = first[doc] + place // STRIDE
     out = np.zeros((total, rows.shape[1]), np.float32)
-    if len(block):
-        new = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        out[block[new]] = np.add.reduceat(rows[feature], new, axis=0)
+    _add_rows(out, block, rows, feature)
     return out, block
 
 
+def _add_rows(out: np.ndarray, to: np.ndarray, rows: np.ndarray, take: np.ndarray) -> None:
+    """Adds ``rows[take]`` to the rows ``to`` (in rising order) of ``out``: the first row of
+    each place, then the second, and so on, as most places have one or two."""
+    if not len(to):
+        return
+    new = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    size = np.diff(np.r_[new, len(to)])
+    for k in range(int(size.max())):
+        at = new[size > k] + k
+        out[to[at]] += rows[take[at]]
+
+
 def _encoded(docs: DataFrame, text: str, feature: np.ndarray) -> DataFrame:
     """``n, features, places``: of each text, its number of words and where it has
     words of the benchmark."""
@@ -210,10 +220,7 @@ def _gram(encoded: DataFrame, kept: np.ndarray, weight: np.ndarray, x: np.ndarra
             both[1:] += window[:-1]
             both[first] = window[first]
             order = np.argsort(f.astype(np.uint16), kind="stable")
-            if len(order):
-                g = f[order]
-                new = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-                total[g[new]] += np.add.reduceat(both[block[order]], new, axis=0)
+            _add_rows(total, f[order], both, block[order])
         yield pa.RecordBatch.from_arrays([pa.array([(total * weight[:, None]).astype(np.float32).tobytes()], pa.binary())], ["y"])
 
     def add(batches):
