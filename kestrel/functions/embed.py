@@ -1,9 +1,9 @@
-"""Batch text embedding (A7, I15) as an iterator pandas UDF.
+"""Batch text embedding.
 
-The model is pluggable: any ``embed(list[str]) -> array (n, dim)``. It is
-built once per Python worker (the iterator form) and fed Arrow batches. The
-default model needs no download: a deterministic hashed bag of words (a
-stable hash, not Python's salted ``hash``), L2-normalised.
+The default model needs no download and no Python: a deterministic hashed bag of
+words in DataFrame functions. A token adds +1 or -1 to one dimension, both taken from
+its md5; the sums are L2-normalised. A caller's own model, any ``embed(list[str]) ->
+array (n, dim)``, runs in an iterator pandas UDF, built once per Python worker.
 """
 
 from __future__ import annotations
@@ -12,31 +12,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.functions.text import TOKEN_PATTERN
+from kestrel.functions.text import tokens
 
 BATCH_SIZE = 128
 
 
-def hashed_bow(dim: int) -> Callable[[list[str]], np.ndarray]:
-    import re
-
-    import xxhash
-    token = re.compile(TOKEN_PATTERN)
-
-    def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for i, t in enumerate(texts):
-            for w in token.findall((t or "").lower()):
-                h = xxhash.xxh64_intdigest(w)
-                out[i, h % dim] += 1.0 if (h >> 32) & 1 else -1.0
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norms == 0, 1.0, norms)
-    return embed
-
-
 def normalise_output(vecs) -> np.ndarray:
     """Model outputs as float32 matrix: a nested single row becomes its first
     row, bytes are read as float32 (I15)."""
@@ -50,24 +33,37 @@ def normalise_output(vecs) -> np.ndarray:
     return arr
 
 
-def embed_column(text: Column, dim: int = 64,
-                 model_factory: Callable[[], Callable[[list[str]], np.ndarray]] | None = None) -> Column:
-    factory = model_factory or (lambda: hashed_bow(dim))
-
+def model_column(text: Column, model_factory: Callable[[], Callable[[list[str]], np.ndarray]]) -> Column:
+    """Embeddings by a caller's model."""
     @F.pandas_udf("array<float>")
     def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = factory()                        # once per worker
+        model = model_factory()                      # once per worker
         for s in batches:
             texts = s.tolist()
-            parts = [normalise_output(model(texts[i:i + BATCH_SIZE]))
-                     for i in range(0, len(texts), BATCH_SIZE)]
-            mat = np.concatenate(parts) if parts else np.zeros((0, dim), np.float32)
-            yield pd.Series(list(mat))
+            rows = [v for i in range(0, len(texts), BATCH_SIZE) for v in normalise_output(model(texts[i:i + BATCH_SIZE]))]
+            yield pd.Series(rows, dtype=object)
     return _embed(text)
 
 
-def embed_documents(docs, id_col: str = "doc_id", text_col: str = "text", dim: int = 64,
-                    model_factory=None):
-    """``id, embedding`` for every document."""
-    return docs.select(F.col(id_col).alias("id"),
-                       embed_column(F.col(text_col), dim, model_factory).alias("embedding"))
+def hashed_bow(docs: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
+    """``id, embedding``: token ``w`` counts in dimension ``md5(w)[0:8] mod dim`` with the
+    sign of its ninth hex digit (below 8: plus). A text without tokens is the zero vector.
+    Tokens are counted per document and dimension in the task that reads the document, so
+    at most ``dim`` rows of each are shuffled."""
+    h = F.md5(F.col("w"))
+    counts = (docs.select(F.col(id_col).alias("id"), F.explode_outer(tokens(text_col)).alias("w"))
+              .select("id", F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int").alias("d"),
+                      F.when(F.substring(h, 9, 1) < "8", 1).otherwise(-1).alias("s"))
+              .groupBy("id", "d").agg(F.sum(F.when(F.col("d").isNotNull(), F.col("s"))).cast("double").alias("v")))
+    whole = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "v")))).alias("m"),
+                                     F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    part = lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)
+    return whole.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), part).cast("array<float>").alias("embedding"))
+
+
+def embed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = 64,
+                    model_factory=None) -> DataFrame:
+    """``id, embedding`` for every document: the hashed bag of words, or a caller's model."""
+    if model_factory is None:
+        return hashed_bow(docs, id_col, text_col, dim)
+    return docs.select(F.col(id_col).alias("id"), model_column(F.col(text_col), model_factory).alias("embedding"))

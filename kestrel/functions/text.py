@@ -1,19 +1,21 @@
 """Text analysis as Column expressions (keyword contract, SURVEY 2.4.1).
 
-Token = maximal run of ``[a-z0-9]`` in ``lower(text)``; the position of a
-token is its 0-based index over all tokens (stop words count for distance
-but are never postings). No stemming.
+Token = maximal run of letters and digits of any script in ``lower(text)``; the
+position of a token is its 0-based index over all tokens (stop words count for
+distance but are never postings). No stemming.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN_PATTERN = "[a-z0-9]+"
+TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 
 # The English list of Spark's StopWordsRemover, in its order.
-STOP_WORDS = (
+_LISTED = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his "
     "himself she her hers herself it its itself they them their theirs themselves what "
     "which who whom this that these those am is are was were be been being have has had "
@@ -26,7 +28,10 @@ STOP_WORDS = (
     "you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't "
     "won't wouldn't shan't shouldn't mustn't can't couldn't cannot could here's how's let's "
     "ought that's there's what's when's where's who's why's would"
-).split()
+)
+
+# Cut like any text, so that the parts of "don't" or "they'll" are stop words too.
+STOP_WORDS = tuple(dict.fromkeys(re.findall("[a-z0-9]+", _LISTED)))
 
 
 def tokens(text) -> Column:

@@ -1,27 +1,26 @@
 """Approximate search: IVF (D6, D7, C6, A10, A11) and sign-band LSH.
 
 IVF
-  build   ``pyspark.ml`` KMeans on the first ``min(max_train, n)`` vectors by
-          id (one partition, so the centroids do not depend on how the input
-          happened to be split), then every vector is assigned to its nearest
-          centroid on the executors. The index is a table partitioned by
-          ``cluster`` plus a small centroid table (``nlist`` rows).
-  search  per query the ``nprobe`` nearest centroids; only probed cluster
-          partitions are read (partition pruning on the Parquet layout) and
-          each Arrow batch compares a row only with the queries that probe
-          its cluster; local top-k per batch, then the per-query window.
-          A hot cluster is no problem: batches, not clusters, are the unit
-          of work, and nothing is shuffled but ``k`` rows per query per task.
+  build   Lloyd steps over all vectors. A starting centroid is the vector with the
+          smallest ``md5(id)`` of its hash bucket; a step assigns vectors on the
+          executors and averages them per cluster. Centroids are rounded after each
+          step, so that they depend neither on partitions nor on summation order.
+          The index is a table partitioned by ``cluster`` plus a centroid table
+          (``nlist`` rows: the only data that the driver sees).
+  search  queries x their ``nprobe`` nearest clusters are rows, joined with the
+          index on ``(cluster, salt)`` in blocks (:func:`knn.block_topk`): a hot
+          cluster is many cells, and clusters that no query probes are not compared.
 
 LSH (re-aimed graph index; Charikar's sign projections)
   ``L`` bands of ``b`` hyperplanes each; a band's code packs the ``b`` signs
   of ``<v, plane>``. Planes are +-1 vectors drawn from ``md5(band:bit:dim)``
-  so any engine can rebuild them. A row is a candidate of a query when they
-  share the code of at least one band; candidates are re-ranked exactly.
+  so any engine can rebuild them. A join of query and corpus codes on ``(band,
+  code)``, salted, gives the candidate pairs; only these are scored, exactly.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 
@@ -30,16 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.functions.vectors import arrow_matrix, check_metric
-from kestrel.operators.knn import (MAX_QUERY_CHUNK_BYTES, _local_topk, _query_chunks,
-                                   rank_per_query, score_name)
-from kestrel.session import shared_path, spread
+from kestrel.functions.vectors import arrow_matrix, check_metric, distance
+from kestrel.operators.knn import block_topk, rank_per_query, score_name
+from kestrel.session import shared_path
 
 # Accepted strategy names (reference aliases map onto ours).
 STRATEGY_ALIASES = {"exact": "exact", "flat": "exact", "flat_l2": "exact",
                     "ivf": "ivf", "ivfflat": "ivf", "ivf_flat": "ivf",
                     "lsh": "lsh", "hnsw": "lsh"}
 
+#: Lloyd steps, and the digits that centroids are rounded to after each.
+STEPS, DIGITS = 4, 6
+#: Cells that a cluster or a band code is spread over.
+SALTS = 8
+
 
 def strategy_name(name: str) -> str:
     try:
@@ -53,66 +56,108 @@ def strategy_name(name: str) -> str:
 # ---------------------------------------------------------------------------
 
 class IVFIndex:
-    """Handle of an IVF index: the assigned table, centroids and settings."""
+    """Handle of an IVF index: the assigned table, centroids by cluster, settings."""
 
-    def __init__(self, table: DataFrame, centroids: np.ndarray, nlist: int, dim: int,
+    def __init__(self, table: DataFrame, centroids: dict[int, np.ndarray], nlist: int,
                  metric: str = "l2", path: str | None = None):
         self.table, self.centroids = table, centroids
-        self.nlist, self.dim, self.metric, self.path = nlist, dim, metric, path
+        self.nlist, self.metric, self.path = nlist, metric, path
+
+    def cluster_sizes(self) -> DataFrame:
+        return self.table.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
-    def cluster_sizes(self) -> dict[int, int]:
-        return {int(r["cluster"]): int(r["n"])
-                for r in self.table.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
 
+def _nearest(x: np.ndarray, cents: np.ndarray, n: int) -> np.ndarray:
+    """Rows of the ``n`` nearest centroids of each vector, ties by row."""
+    diff = (np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", cents, cents)[None, :]
+            - 2.0 * (x @ cents.T))
+    return np.argsort(diff, axis=1, kind="stable")[:, :n]
 
-def _training_frame(vectors: DataFrame, max_train: int) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-    return (vectors.select("id", "embedding").orderBy("id").limit(max_train).coalesce(1)
-            .select(array_to_vector(F.col("embedding")).alias("features")))
 
+def _clusters_of(vectors: DataFrame, centroids: dict[int, np.ndarray], n: int) -> DataFrame:
+    """``id, cluster, embedding`` once for each of the vector's ``n`` nearest clusters."""
+    names = np.array(sorted(centroids), np.int32)
+    shared = vectors.sparkSession.sparkContext.broadcast(np.array([centroids[c] for c in names.tolist()]))   # nlist x dim
 
-def _assign_fn(bc, dim: int):
     def run(batches):
-        cents = bc.value
-        cc = np.einsum("ij,ij->i", cents, cents)[None, :]
-        for batch in batches:
-            if batch.num_rows == 0:
+        cents = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            near = _nearest(arrow_matrix(b.column(1), cents.shape[1]), cents, n)
+            rows = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(names[near.ravel()]), b.column(1).take(rows)],
+                                             ["id", "cluster", "embedding"])
+
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return vectors.select("id", "embedding").mapInArrow(run, f"id long, cluster int, embedding {kind}")
+
+
+def start_centroids(vectors: DataFrame, nlist: int) -> DataFrame:
+    """``cluster, embedding``: of each of ``nlist`` hash buckets of ids, the vector with
+    the smallest ``md5(id)`` (fewer rows than buckets in a small table)."""
+    h = F.md5(F.col("id").cast("string"))
+    bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(nlist)).cast("int")
+    return vectors.groupBy(bucket.alias("cluster")).agg(F.min_by("embedding", F.struct(h, F.col("id"))).alias("embedding"))
+
+
+def _lloyd(vectors: DataFrame, centroids: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """One step: the rounded means of the vectors nearest to each centroid. Tasks pass on
+    sums, ``nlist x dim`` rows at most; a cluster without vectors stays where it is."""
+    dim = len(next(iter(centroids.values())))
+
+    def sums(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
                 continue
-            x = arrow_matrix(batch.column("embedding"), dim)
-            d = np.einsum("ij,ij->i", x, x)[:, None] + cc - 2.0 * (x @ cents.T)
-            cl = np.argmin(d, axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cl, pa.int32()),
-                                              batch.column("embedding")],
-                                             names=["id", "cluster", "embedding"])
-    return run
-
-
-def ivf_build(corpus: DataFrame, nlist: int = 100, seed: int = 42, max_train: int = 100000,
-              train: DataFrame | None = None, max_iter: int = 20) -> IVFIndex:
-    """Train centroids and assign every vector (D6). ``train`` overrides the
-    training set (the caller's training vectors)."""
-    from pyspark.ml.clustering import KMeans
-    spark = corpus.sparkSession
-    vectors = corpus.select(F.col("id").cast("long").alias("id"), "embedding")
-    train_df = _training_frame(train if train is not None else vectors, max_train)
-    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features").fit(train_df)
-    cents = np.asarray(model.clusterCenters(), dtype=np.float64)      # nlist x dim, bounded
-    dim = cents.shape[1]
-    bc = spark.sparkContext.broadcast(cents)
-    table = vectors.mapInArrow(_assign_fn(bc, dim),
-                               "id long, cluster int, embedding array<float>")
-    return IVFIndex(table, cents, len(cents), dim)
+            x, c = arrow_matrix(b.column(1), dim), b.column(0).to_numpy()
+            for k in np.unique(c).tolist():
+                rows = x[c == k]
+                own = total.setdefault(k, np.zeros(dim + 1))
+                own[:dim] += rows.sum(axis=0)
+                own[dim] += len(rows)
+        keys = sorted(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(keys, dim), pa.int32()), pa.array(np.tile(np.arange(dim), len(keys)), pa.int32()),
+             pa.array(np.concatenate([np.zeros(0), *(total[k][:dim] for k in keys)])),
+             pa.array(np.repeat([int(total[k][dim]) for k in keys], dim), pa.int64())], ["cluster", "d", "s", "n"])
+
+    means = (_clusters_of(vectors, centroids, 1).select("cluster", "embedding")
+             .mapInArrow(sums, "cluster int, d int, s double, n long")
+             .groupBy("cluster", "d").agg(F.round(F.sum("s") / F.sum("n"), DIGITS).alias("v")).collect())
+    out = {c: v.copy() for c, v in centroids.items()}
+    for r in means:
+        out[r["cluster"]][r["d"]] = r["v"]
+    return out
+
+
+def ivf_build(corpus: DataFrame, nlist: int = 100, steps: int = STEPS, train: DataFrame | None = None) -> IVFIndex:
+    """Train centroids on all vectors (or on those of ``train``) and assign every
+    vector (D6). Rows without a vector are left out."""
+    clean = lambda df: df.select(F.col("id").cast("long").alias("id"), "embedding").filter(F.col("embedding").isNotNull())
+    vectors = clean(corpus)
+    learn = clean(train) if train is not None else vectors
+    centroids = {r["cluster"]: np.round(np.asarray(r["embedding"], np.float64), DIGITS)
+                 for r in start_centroids(learn, nlist).collect()}
+    if not centroids:
+        raise ValueError("no vectors to train on")
+    for _ in range(steps):
+        centroids = _lloyd(learn, centroids)
+    return IVFIndex(_clusters_of(vectors, centroids, 1), centroids, nlist)
 
 
 def ivf_save(index: IVFIndex, path: str | None = None, spark: SparkSession | None = None) -> IVFIndex:
-    """Write the index (A10): table partitioned by cluster, centroids, config."""
+    """Write the index (A10): table partitioned by cluster (a cluster's rows come from
+    ``SALTS`` tasks), centroids, config."""
     spark = spark or index.table.sparkSession
     path = path or shared_path(spark, "indexes/ivf", unique=True)
-    index.table.write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/vectors")
-    spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(index.centroids)],
+    (index.table.repartition("cluster", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+     .write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/vectors"))
+    spark.createDataFrame([(int(i), [float(v) for v in c]) for i, c in sorted(index.centroids.items())],
                           "cluster int, centroid array<double>").coalesce(1) \
         .write.mode("overwrite").parquet(f"{path}/centroids")
-    cfg = {"nlist": index.nlist, "dim": index.dim, "metric": index.metric, "kind": "ivf"}
+    cfg = {"nlist": index.nlist, "metric": index.metric, "kind": "ivf"}
     spark.createDataFrame([(json.dumps(cfg),)], "config string").coalesce(1) \
         .write.mode("overwrite").text(f"{path}/config")
     return ivf_load(spark, path)
@@ -121,91 +166,39 @@ def ivf_save(index: IVFIndex, path: str | None = None, spark: SparkSession | Non
 def ivf_load(spark: SparkSession, path: str) -> IVFIndex:
     """Read an index written by :func:`ivf_save`."""
     cfg = json.loads(spark.read.text(f"{path}/config").first()[0])
-    cents_rows = spark.read.parquet(f"{path}/centroids").orderBy("cluster").collect()  # nlist rows
-    cents = np.asarray([r["centroid"] for r in cents_rows], dtype=np.float64)
-    table = spark.read.parquet(f"{path}/vectors")
-    return IVFIndex(table, cents, cfg["nlist"], cfg["dim"], cfg.get("metric", "l2"), path)
-
+    centroids = {r["cluster"]: np.asarray(r["centroid"], np.float64)
+                 for r in spark.read.parquet(f"{path}/centroids").collect()}              # nlist rows
+    return IVFIndex(spark.read.parquet(f"{path}/vectors"), centroids, cfg["nlist"], cfg.get("metric", "l2"), path)
 
-def _probes(q: np.ndarray, cents: np.ndarray, nprobe: int) -> np.ndarray:
-    """Boolean (n_queries, nlist): the ``nprobe`` nearest centroids (ties by
-    cluster number)."""
-    d = (np.einsum("ij,ij->i", q, q)[:, None] + np.einsum("ij,ij->i", cents, cents)[None, :]
-         - 2.0 * (q @ cents.T))
-    nprobe = min(nprobe, cents.shape[0])
-    order = np.lexsort((np.broadcast_to(np.arange(cents.shape[0]), d.shape), d), axis=1)[:, :nprobe]
-    mask = np.zeros(d.shape, dtype=bool)
-    np.put_along_axis(mask, order, True, axis=1)
-    return mask
 
-
-def _ivf_fn(bc, k: int, metric: str, dim: int, name: str):
-    def run(batches):
-        qids, qmat, probe = bc.value
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            cl = batch.column("cluster").to_numpy(zero_copy_only=False).astype(np.int64)
-            x = arrow_matrix(batch.column("embedding"), dim)
-            outs = []
-            for c in np.unique(cl):
-                qsel = np.flatnonzero(probe[:, c])
-                if qsel.size == 0:
-                    continue
-                rows = np.flatnonzero(cl == c)
-                outs.append(_local_topk(qids[qsel], qmat[qsel], ids[rows], x[rows], k, metric))
-            if outs:
-                q = np.concatenate([o[0] for o in outs])
-                if len(q):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(q, pa.int64()), pa.array(np.concatenate([o[1] for o in outs]), pa.int64()),
-                         pa.array(np.concatenate([o[2] for o in outs]), pa.float64())],
-                        names=["query_id", "id", name])
-    return run
+def probes(index: IVFIndex, queries: DataFrame, nprobe: int, query_id: str = "query_id") -> DataFrame:
+    """``query_id, cluster, embedding``: the ``nprobe`` nearest clusters of each query."""
+    q = queries.select(F.col(query_id).cast("long").alias("id"), "embedding").filter(F.col("embedding").isNotNull())
+    return _clusters_of(q, index.centroids, nprobe).withColumnRenamed("id", "query_id")
 
 
 def ivf_search(index: IVFIndex, queries: DataFrame, k: int = 5, nprobe: int = 10,
-               metric: str = "l2", query_id: str = "query_id",
-               max_query_bytes: int = MAX_QUERY_CHUNK_BYTES) -> DataFrame:
+               metric: str = "l2", query_id: str = "query_id") -> DataFrame:
     """Top-k per query through ``nprobe`` clusters (D7): ``query_id, rank, id,
     distance``. ``nprobe >= nlist`` is exhaustive and equals exact search."""
-    check_metric(metric)
-    spark = index.table.sparkSession
-    name = score_name(metric)
-    parts = []
-    for qids, qmat in _query_chunks(queries, query_id, max_query_bytes):
-        probe = _probes(qmat, index.centroids, nprobe)
-        probed = [int(c) for c in np.flatnonzero(probe.any(axis=0))]
-        bc = spark.sparkContext.broadcast((qids, qmat, probe))
-        src = index.table.filter(F.col("cluster").isin(probed))        # partition pruning
-        parts.append(src.mapInArrow(_ivf_fn(bc, k, metric, index.dim, name),
-                                    f"query_id long, id long, {name} double"))
-    if not parts:
-        return spark.createDataFrame([], f"query_id long, rank long, id long, {name} double")
-    local = parts[0]
-    for p in parts[1:]:
-        local = local.unionByName(p)
-    return rank_per_query(local, k, metric, name).select("query_id", "rank", "id", name)
-
-
-def ivf_share(index: IVFIndex, queries: DataFrame, nprobe: int, query_id: str = "query_id") -> float:
-    """Fraction of (query, vector) pairs compared: from cluster sizes only."""
+    return block_topk(index.table.select("id", F.col("cluster").alias("part"), "embedding"),
+                      probes(index, queries, nprobe, query_id).select(F.col("query_id").alias("id"), F.col("cluster").alias("part"),
+                                                                       "embedding"), k, metric, SALTS)
+
+
+def ivf_share(index: IVFIndex, queries: DataFrame, nprobe: int, query_id: str = "query_id") -> DataFrame:
+    """One row ``share``: the part of all (query, vector) pairs that a search compares."""
     sizes = index.cluster_sizes()
-    total = sum(sizes.values())
-    size_vec = np.array([sizes.get(c, 0) for c in range(len(index.centroids))], dtype=np.float64)
-    compared, nq = 0.0, 0
-    for _, qmat in _query_chunks(queries, query_id, MAX_QUERY_CHUNK_BYTES):
-        probe = _probes(qmat, index.centroids, nprobe)
-        compared += float((probe @ size_vec).sum())
-        nq += qmat.shape[0]
-    return compared / (nq * total) if nq and total else 0.0
+    compared = probes(index, queries, nprobe, query_id).join(sizes, "cluster").agg(F.sum("n").alias("n"))
+    pairs = queries.filter(F.col("embedding").isNotNull()).agg(F.count(F.lit(1))).scalar() * sizes.agg(F.sum("n")).scalar()
+    return compared.select((F.coalesce("n", F.lit(0)) / pairs).alias("share"))
 
 
 # ---------------------------------------------------------------------------
 # LSH: banded sign projections
 # ---------------------------------------------------------------------------
 
+@functools.lru_cache(maxsize=4)
 def lsh_planes(bands: int, bits: int, dim: int) -> np.ndarray:
     """(bands, bits, dim) of +-1: +1 when the first hex digit of
     ``md5('band:bit:dim')`` is below 8."""
@@ -226,93 +219,42 @@ def _codes(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return (signs << np.arange(bits, dtype=np.int64)).sum(axis=2)
 
 
-def _codes_fn(bc, dim: int):
+def lsh_codes(corpus: DataFrame, bands: int = 8, bits: int = 6) -> DataFrame:
+    """``id, band, code`` for every vector (the LSH index as a table)."""
     def run(batches):
-        planes = bc.value
-        bands = planes.shape[0]
-        for batch in batches:
-            if batch.num_rows == 0:
+        for b in batches:
+            if not b.num_rows:
                 continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            codes = _codes(arrow_matrix(batch.column("embedding"), dim), planes)
+            ids = b.column(0).to_numpy()
+            dim = len(b.column(1)[0])
+            codes = _codes(arrow_matrix(b.column(1), dim), lsh_planes(bands, bits, dim))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, bands), pa.int64()),
-                 pa.array(np.tile(np.arange(bands, dtype=np.int32), len(ids)), pa.int32()),
-                 pa.array(codes.ravel(), pa.int64())], names=["id", "band", "code"])
-    return run
+                [pa.array(np.repeat(ids, bands)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(ids))),
+                 pa.array(codes.ravel())], ["id", "band", "code"])
 
-
-def lsh_codes(corpus: DataFrame, bands: int = 8, bits: int = 6, dim: int | None = None) -> DataFrame:
-    """``id, band, code`` for every vector (the LSH index as a table)."""
-    spark = corpus.sparkSession
-    dim = dim or int(corpus.select(F.size("embedding")).first()[0])
-    bc = spark.sparkContext.broadcast(lsh_planes(bands, bits, dim))
-    return corpus.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(
-        _codes_fn(bc, dim), "id long, band int, code long")
-
-
-def _lsh_fn(bc, k: int, metric: str, dim: int, name: str, count_only: bool):
-    def run(batches):
-        qids, qmat, qcodes, planes = bc.value
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            x = arrow_matrix(batch.column("embedding"), dim)
-            xc = _codes(x, planes)
-
-            def allowed(sl):
-                qc = qcodes[sl]
-                return (xc[:, None, :] == qc[None, :, :]).any(axis=2)     # (b, t)
-            if count_only:
-                n = np.zeros(len(qids), dtype=np.int64)
-                for start in range(0, len(qids), 512):
-                    sl = slice(start, min(start + 512, len(qids)))
-                    n[sl] = allowed(sl).sum(axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(qids, pa.int64()), pa.array(n, pa.int64())],
-                                                 names=["query_id", "n"])
-                continue
-            q, i, s = _local_topk(qids, qmat, ids, x, k, metric, allowed=allowed)
-            if len(q):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())],
-                    names=["query_id", "id", name])
-    return run
+    return corpus.select(F.col("id").cast("long").alias("id"), "embedding").filter(F.col("embedding").isNotNull()) \
+        .mapInArrow(run, "id long, band int, code long")
 
 
-def _lsh_parts(corpus, queries, k, metric, bands, bits, query_id, count_only):
-    spark = corpus.sparkSession
-    name = score_name(metric)
-    base = spread(corpus.select(F.col("id").cast("long").alias("id"), "embedding"))
-    schema = "query_id long, n long" if count_only else f"query_id long, id long, {name} double"
-    parts = []
-    for qids, qmat in _query_chunks(queries, query_id, MAX_QUERY_CHUNK_BYTES):
-        planes = lsh_planes(bands, bits, qmat.shape[1])
-        bc = spark.sparkContext.broadcast((qids, qmat, _codes(qmat, planes), planes))
-        parts.append(base.mapInArrow(_lsh_fn(bc, k, metric, qmat.shape[1], name, count_only), schema))
-    return parts
+def lsh_candidates(corpus: DataFrame, queries: DataFrame, bands: int = 8, bits: int = 6,
+                   query_id: str = "query_id") -> DataFrame:
+    """``query_id, id``: the distinct pairs that share the code of a band, by a join on
+    ``(band, code, salt)``; a code that very many vectors share is ``SALTS`` cells."""
+    left = lsh_codes(corpus, bands, bits).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    right = lsh_codes(queries.select(F.col(query_id).alias("id"), "embedding"), bands, bits).select(
+        F.col("id").alias("query_id"), "band", "code", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return left.join(right, ["band", "code", "salt"]).select("query_id", "id").distinct()
 
 
 def lsh_search(corpus: DataFrame, queries: DataFrame, k: int = 5, bands: int = 8, bits: int = 6,
-               metric: str = "l2", query_id: str = "query_id") -> DataFrame:
+               metric: str = "l2", query_id: str = "query_id", candidates: DataFrame | None = None) -> DataFrame:
     """Top-k among rows sharing a band code with the query: ``query_id, rank,
-    id, distance`` (fewer than k rows when there are fewer candidates)."""
+    id, distance`` (fewer than k rows when there are fewer candidates). Exactly
+    the candidate pairs are scored."""
     check_metric(metric)
     name = score_name(metric)
-    parts = _lsh_parts(corpus, queries, k, metric, bands, bits, query_id, False)
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], f"query_id long, rank long, id long, {name} double")
-    local = parts[0]
-    for p in parts[1:]:
-        local = local.unionByName(p)
-    return rank_per_query(local, k, metric, name).select("query_id", "rank", "id", name)
-
-
-def lsh_candidates(corpus: DataFrame, queries: DataFrame, bands: int = 8, bits: int = 6,
-                   query_id: str = "query_id") -> DataFrame:
-    """``query_id, n_candidates`` (distinct rows compared per query)."""
-    parts = _lsh_parts(corpus, queries, 1, "l2", bands, bits, query_id, True)
-    local = parts[0]
-    for p in parts[1:]:
-        local = local.unionByName(p)
-    return local.groupBy("query_id").agg(F.sum("n").alias("n_candidates"))
+    pairs = candidates if candidates is not None else lsh_candidates(corpus, queries, bands, bits, query_id)
+    scored = (pairs.join(corpus.select(F.col("id").cast("long").alias("id"), "embedding"), "id")
+              .join(queries.select(F.col(query_id).cast("long").alias("query_id"), F.col("embedding").alias("q_emb")), "query_id")
+              .select("query_id", "id", distance(metric, "embedding", "q_emb").alias(name)))
+    return rank_per_query(scored, k, metric, name).select("query_id", "rank", "id", name)

@@ -31,18 +31,19 @@ def semantic_rank(corpus: DataFrame, queries: DataFrame, candidates: int = CANDI
 
 def hybrid_search(corpus: DataFrame, questions: DataFrame, k: int = 5,
                   candidates: int = CANDIDATES, rrf_constant: int = RRF_CONSTANT,
-                  filters: dict | None = None, post: DataFrame | None = None) -> DataFrame:
+                  filters: dict | None = None, index: KW.KeywordIndex | None = None) -> DataFrame:
     """``query_id, rank, id, rrf_score``. ``questions`` has ``query_id, text,
-    embedding``; ``post`` is a prebuilt postings table of the corpus.
-    ``filters`` (an extension, X10) apply to both branches."""
+    embedding``; ``index`` is a text index of the corpus, built here if missing.
+    ``filters`` apply to both branches; documents without a vector take part in
+    the keyword branch."""
     docs = apply_filters(corpus, filters)
-    if post is None:
-        post = KW.postings(docs)
+    if index is None:
+        index = KW.build_index(docs)
     elif filters:
-        post = post.join(docs.select("id"), "id", "left_semi")
+        index = index.within(docs)
     sem = semantic_rank(docs, questions.select("query_id", "embedding"), candidates)
     qterms = KW.query_terms(questions)
-    kw = KW.keyword_rank(post, qterms, limit=candidates)
+    kw = KW.keyword_rank(index, qterms, limit=candidates)
     return fuse(sem, kw, k, rrf_constant)
 
 
@@ -62,11 +63,10 @@ def fuse(sem: DataFrame, kw: DataFrame, k: int = 5, rrf_constant: int = RRF_CONS
 
 
 def retrieve(corpus: DataFrame, questions: DataFrame, k: int = 5, use_hybrid: bool = True,
-             filters: dict | None = None, post: DataFrame | None = None) -> DataFrame:
-    """Hybrid (filters ignored, as upstream) or filtered vector search.
-    Returns ``query_id, rank, id, distance`` where ``distance`` holds the
-    fused score in hybrid mode (named as the hit field of the reference)."""
+             filters: dict | None = None, index: KW.KeywordIndex | None = None) -> DataFrame:
+    """Hybrid or plain vector search, filtered in both forms. Returns
+    ``query_id, rank, id`` and ``rrf_score`` (higher is better) or ``distance``
+    (lower is better)."""
     if use_hybrid:
-        return (hybrid_search(corpus, questions, k, post=post)
-                .withColumnRenamed("rrf_score", "distance"))
+        return hybrid_search(corpus, questions, k, filters=filters, index=index)
     return knn(corpus, questions.select("query_id", "embedding"), k=k, metric="l2", filters=filters)

@@ -13,16 +13,20 @@ As DataFrames, for every matched position ``pos`` and every query term ``t``
 ``last_t(pos)`` is the running max of the positions of ``t`` up to ``pos``;
 ``left(pos) = min_t last_t(pos)`` when every term has occurred. The minimal
 covers are ``[left, min(pos)]`` grouped by ``left``. The expansion is by the
-number of query terms only (no pairs of positions), and positions are
-gathered only for documents that matched all terms.
+number of query terms only (no pairs of positions), and only positions in
+documents that matched all terms take part.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import STOP_WORDS, tokens
+from kestrel.operators.metrics import rank_in_group
+from kestrel.session import materialized, shared_path
 
 COVER_WEIGHT = 0.1     # default weight of an unlabelled position
 SCORE_DIGITS = 9       # scores are compared after rounding (summation order)
@@ -35,101 +39,78 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "content") ->
             .select("id", "term", F.col("pos").cast("long").alias("pos")))
 
 
-def build_postings(docs: DataFrame, path: str | None = None, id_col: str = "id",
-                   text_col: str = "content") -> DataFrame:
-    """Write the postings of ``docs`` as the text index (Parquet, clustered by
-    term inside each file so term lookups skip row groups) and read it back.
-    Tokenising happens once; every later match/rank reads the index."""
-    from kestrel.session import shared_path, spread
-    spark = docs.sparkSession
-    path = path or shared_path(spark, "indexes/postings", unique=True)
-    docs = spread(docs.select(id_col, text_col))
-    postings(docs, id_col, text_col).sortWithinPartitions("term").write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def term_stats(post: DataFrame) -> DataFrame:
     """``term, df, tf``: documents holding the term and total occurrences."""
     return post.groupBy("term").agg(F.countDistinct("id").alias("df"), F.count(F.lit(1)).alias("tf"))
 
 
+@dataclass
+class KeywordIndex:
+    """The text index: ``entries`` (``term, id, positions``, one row for each term of a
+    document) and ``lexicon`` (``term, df``)."""
+    entries: DataFrame
+    lexicon: DataFrame
+    path: str | None = None
+
+    def within(self, docs: DataFrame) -> KeywordIndex:
+        """The index of those documents only (their ``id``)."""
+        return replace(self, entries=self.entries.join(docs.select("id"), "id", "left_semi"))
+
+
+def build_index(docs: DataFrame, path: str | None = None, id_col: str = "id", text_col: str = "content") -> KeywordIndex:
+    """Tokenise ``docs`` once and write the text index (Parquet, sorted by term in each
+    file). Positions are gathered in the task that reads a document, so one row for each
+    term of a document is shuffled; a term of very many documents is spread over all
+    partitions."""
+    spark = docs.sparkSession
+    path = path or shared_path(spark, "indexes/keywords", unique=True)
+    (postings(docs, id_col, text_col).groupBy("term", "id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+     .sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/entries"))
+    entries = spark.read.parquet(f"{path}/entries")
+    entries.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/lexicon")
+    return KeywordIndex(entries, spark.read.parquet(f"{path}/lexicon"), path)
+
+
 def query_terms(questions: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
     """``query_id, term``: distinct non-stop terms of each question."""
     t = questions.select(F.col(id_col).alias("query_id"), F.explode(tokens(text_col)).alias("term"))
     return t.filter(~F.col("term").isin(*STOP_WORDS)).distinct()
 
 
-# Distinct query terms sent to the scan as an IN filter. Small sets let the
-# term-clustered index skip row groups; a large IN list is slower in the Parquet
-# reader than a semi join (measured: 17.8 s vs 10 s for ~5,000 terms at sf0.1).
-MAX_PUSHED_TERMS = 100
-# Bound under which the distinct query terms are broadcast to the postings.
-MAX_BROADCAST_TERMS, MAX_BROADCAST_TERM_BYTES = 1_000_000, 64 * 1024 * 1024
-
-
-def restrict_to_terms(post: DataFrame, qterms: DataFrame, max_terms: int | None = None) -> DataFrame:
-    """Postings of the query terms only. A bounded fetch (at most
-    ``max_terms + 1`` rows) tells whether the distinct terms fit an IN filter,
-    which reaches the Parquet scan (the index is clustered by term, so whole
-    row groups are skipped). A larger set whose count and bytes are measured
-    under the broadcast bound is broadcast, so the postings are streamed, not
-    shuffled; beyond the bound the exact shuffled semi join runs."""
-    max_terms = MAX_PUSHED_TERMS if max_terms is None else max_terms
-    terms = qterms.select("term").distinct()
-    few = terms.limit(max_terms + 1).collect()
-    if len(few) <= max_terms:
-        return post.filter(F.col("term").isin([r["term"] for r in few]))
-    size = terms.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("term")).alias("b")).first()
-    if size["n"] <= MAX_BROADCAST_TERMS and (size["b"] or 0) <= MAX_BROADCAST_TERM_BYTES:
-        return post.join(F.broadcast(terms), "term", "left_semi")
-    return post.join(terms, "term", "left_semi")
-
-
-def keyword_match(post: DataFrame, qterms: DataFrame, restricted: bool = False) -> DataFrame:
-    """``query_id, id`` of documents holding every term of the query.
-
-    Posting-list intersection seeded by each query's rarest term (fewest
-    postings): candidates are the documents of that term only, so a term
-    common to a third of the corpus never meets the query side unless it is
-    the rarest; then the postings are joined with (candidate x query term)
-    and each candidate must show every term. The postings are only streamed
-    against the small sides (candidates, seeds), which AQE broadcasts once it
-    has measured them, so the postings table itself is not reshuffled. The
-    per-term counts are one partial aggregation. A query with a term that no
-    document holds matches nothing."""
-    if not restricted:
-        post = restrict_to_terms(post, qterms)
-    lex = post.groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-    qtf = qterms.join(lex, "term", "left")
-    per_query = qtf.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"),
-                                           F.count("tf").alias("n_known"))
-    usable = per_query.filter(F.col("n_terms") == F.col("n_known")).select("query_id", "n_terms")
-    pick = Window.partitionBy("query_id").orderBy(F.col("tf").asc(), F.col("term").asc())
-    rarest = (qtf.join(usable.select("query_id"), "query_id", "left_semi")
-              .withColumn("_r", F.row_number().over(pick)).filter(F.col("_r") == 1)
-              .select("query_id", "term"))
-    cand = post.select("id", "term").join(rarest, "term").select("query_id", "id").distinct()
-    need = cand.join(qterms, "query_id")                       # candidates x query terms
-    hits = (post.select("id", "term").join(need, ["id", "term"])
-            .select("query_id", "id", "term").distinct()
-            .groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n_hit")))
-    return (hits.join(usable, "query_id")
-            .filter(F.col("n_hit") == F.col("n_terms")).select("query_id", "id"))
-
-
-def matched_positions(post: DataFrame, qterms: DataFrame, matches: DataFrame) -> DataFrame:
-    """Positions of query terms, only in matching documents: the (small)
-    match list restricts the postings first, then the query's own terms."""
-    return (matches.join(post, "id")
-            .join(qterms, ["query_id", "term"], "left_semi")
-            .select("query_id", "id", "pos", "term"))
-
-
-def cover_density(post: DataFrame, qterms: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+def matched_terms(index: KeywordIndex, qterms: DataFrame) -> DataFrame:
+    """``query_id, id, n_terms, found`` of documents holding every term of the query
+    (D13); ``found`` lists each term's positions.
+
+    Posting-list intersection from each query's rarest term: its documents are the
+    candidates, so a common term meets only candidates, by ``(id, term)``. The index is
+    read twice, once for the rarest terms and once for the others. Query terms are looked
+    up in the lexicon once; a query with a term that no document holds matches nothing.
+    The joins' small sides are broadcast where Spark measures them to be small; else a
+    term of very many documents is a skewed key that Spark splits."""
+    own = Window.partitionBy("query_id")
+    q = materialized(
+        qterms.join(index.lexicon, "term", "left")
+        .withColumns({"n_terms": F.count(F.lit(1)).over(own), "n_known": F.count("df").over(own),
+                      "nth": F.row_number().over(own.orderBy("df", "term"))})
+        .filter("n_terms = n_known").select("query_id", "term", "n_terms", "nth"))
+    entry = F.struct("term", "positions").alias("entry")
+    first = index.entries.join(q.filter("nth = 1").select("query_id", "term", "n_terms"), "term").select(
+        "query_id", "id", "n_terms", entry)
+    others = first.select("query_id", "id", "n_terms").join(q.filter("nth > 1").select("query_id", "term"), "query_id")
+    rest = index.entries.join(others, ["id", "term"]).select("query_id", "id", "n_terms", entry)
+    return (first.unionByName(rest).groupBy("query_id", "id", "n_terms").agg(F.collect_list("entry").alias("found"))
+            .filter(F.size("found") == F.col("n_terms")))
+
+
+def keyword_match(index: KeywordIndex, qterms: DataFrame) -> DataFrame:
+    """``query_id, id`` of documents holding every term of the query."""
+    return matched_terms(index, qterms).select("query_id", "id")
+
+
+def cover_density(index: KeywordIndex, qterms: DataFrame) -> DataFrame:
     """``query_id, id, score`` for every matching document."""
-    post = restrict_to_terms(post, qterms)
-    matches = matches if matches is not None else keyword_match(post, qterms, restricted=True)
-    mp = matched_positions(post, qterms, matches)
+    found = matched_terms(index, qterms).select("query_id", "id", F.explode("found").alias("e"))
+    mp = found.select("query_id", "id", F.explode("e.positions").alias("pos"), F.col("e.term").alias("term"))
     doc = Window.partitionBy("query_id", "id").orderBy("pos")
     mp = mp.withColumn("rn", F.row_number().over(doc).cast("long"))
     n_terms = qterms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
@@ -155,17 +136,15 @@ def cover_density(post: DataFrame, qterms: DataFrame, matches: DataFrame | None
             .agg(F.round(F.sum(F.lit(COVER_WEIGHT) / (noise + 1).cast("double")), SCORE_DIGITS).alias("score")))
 
 
-def keyword_rank(post: DataFrame, qterms: DataFrame, limit: int | None = None) -> DataFrame:
+def keyword_rank(index: KeywordIndex, qterms: DataFrame, limit: int | None = None) -> DataFrame:
     """``query_id, id, score, rank``: ``rank()`` by score descending (F2).
     With ``limit`` only the best ``limit`` rows per query by ``(score desc,
     id)`` are ranked (the keyword branch of hybrid search)."""
-    scored = cover_density(post, qterms)
+    scored = cover_density(index, qterms)
     if limit is None:
         # every match ranked: a one-term query may match a third of the
         # corpus, so no window may hold a whole query's matches
-        from kestrel.operators.metrics import rank_in_group
-        return rank_in_group(scored, ["query_id"], "score", tie_cols=["id"]).withColumn(
-            "rank", F.col("rank").cast("long"))
+        return rank_in_group(scored, ["query_id"], "score", tie_cols=["id"]).select("query_id", "id", "score", "rank")
     # WindowGroupLimit keeps at most ``limit`` rows per query in each task
     # before the shuffle; the rank then runs over those rows only
     cut = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))

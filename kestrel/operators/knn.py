@@ -4,15 +4,13 @@ Three physical forms, same rows:
 
 ``knn_single``  one query vector as an array literal: a projection over the
                 corpus and TakeOrderedAndProject. No join, no shuffle.
-``knn``         many queries. The query matrix is broadcast in chunks of a
-                checked size; each corpus Arrow batch is scored in NumPy and
-                only its local top-k per query leaves the task. The merge is a
+``knn``         a query set, in blocks: blocks of corpus vectors are joined with
+                blocks of query vectors, each pair is scored in NumPy, and only
+                its local top-k per query leaves the task. The merge is a
                 ``row_number() <= k`` window per query, which Spark plans as
                 WindowGroupLimit (partial before the shuffle, final after), so
-                at most ``k`` rows per query per map task are shuffled and no
-                query-corpus pair is ever materialised.
-``knn_sql``     reference form: broadcast nested loop plus the same window.
-                Emits every pair inside the task; kept for equivalence tests.
+                no query-corpus pair is ever materialised.
+``knn_sql``     plain SQL over a small query set, for equivalence tests.
 
 Ties are always broken by ``id`` (contract S10). Filters are applied before
 the top-k (contract S8).
@@ -20,8 +18,6 @@ the top-k (contract S8).
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,10 +26,9 @@ from pyspark.sql import functions as F
 from kestrel.functions.vectors import (arrow_matrix, block_scores, check_metric, distance,
                                        order_ascending, pair_scores)
 from kestrel.operators.filters import apply_filters
-from kestrel.session import spread
 
-# Upper bound on one broadcast query chunk (float64 matrix bytes).
-MAX_QUERY_CHUNK_BYTES = 64 * 1024 * 1024
+# Vectors of a corpus block and of a query block.
+CORPUS_BLOCK, QUERY_BLOCK = 4096, 512
 # Query tile inside a task: bounds the (batch x tile) score matrix.
 QUERY_TILE = 512
 
@@ -68,6 +63,7 @@ def knn_single(corpus: DataFrame, vector, k: int = 5, metric: str = "l2",
         raise ValueError("k must be positive")
     name = score_name(metric)
     scored = (apply_filters(corpus, filters, mode)
+              .filter(F.col("embedding").isNotNull())
               .select("id", distance(metric, "embedding", list(vector)).alias(name)))
     top = scored.orderBy(*_order_cols(metric, name)).limit(k)
     # the window runs over at most k rows
@@ -76,58 +72,18 @@ def knn_single(corpus: DataFrame, vector, k: int = 5, metric: str = "l2",
 
 
 # ---------------------------------------------------------------------------
-# batch, Arrow path
+# batch, blocks of vectors
 # ---------------------------------------------------------------------------
 
-def _query_chunks(queries: DataFrame, query_id: str, max_bytes: int):
-    """Yield (query ids, query matrix) chunks, each within ``max_bytes``.
-
-    The vector size of one row sizes the chunk; a single bounded fetch of
-    ``per_chunk + 1`` rows tells whether one chunk holds every query. Only
-    otherwise are the queries counted and split by ``xxhash64(query_id)``.
-    Each chunk is fetched once and broadcast."""
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col("embedding"))
-    first = q.select(F.size("embedding").alias("d")).limit(1).collect()
-    if not first:
-        return
-    dim = int(first[0]["d"])
-    per_chunk = max(1, max_bytes // (8 * max(dim, 1)))
-    # common case: the whole query set fits one chunk -> one bounded fetch
-    head = q.limit(per_chunk + 1).toArrow()
-    if head.num_rows <= per_chunk:
-        mat = arrow_matrix(head.column("embedding"), dim)
-        yield head.column("query_id").to_numpy(), mat
-        return
-    n = q.count()
-    n_chunks = max(1, math.ceil(n / per_chunk))
-    for c in range(n_chunks):
-        part = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)) == c)
-        tbl = part.toArrow()
-        if tbl.num_rows == 0:
-            continue
-        mat = arrow_matrix(tbl.column("embedding"), dim)
-        if mat.nbytes > 2 * max_bytes:
-            raise ValueError("query chunk exceeds the broadcast bound")
-        yield tbl.column("query_id").to_numpy(), mat
-
-
 def _local_topk(qids: np.ndarray, qmat: np.ndarray, ids: np.ndarray, x: np.ndarray,
-                k: int, metric: str, allowed=None):
-    """Local top-k per query of one batch; returns (query_id, id, score).
-
-    ``allowed(tile_slice)`` may return a boolean (batch rows x tile queries)
-    mask restricting the pairs that are compared (LSH buckets)."""
+                k: int, metric: str):
+    """Local top-k per query of one pair of blocks; returns (query_id, id, score)."""
     out_q, out_id, out_s = [], [], []
     sign = -1.0 if metric == "ip" else 1.0
     for start in range(0, len(qids), QUERY_TILE):
         sl = slice(start, min(start + QUERY_TILE, len(qids)))
         qt = qmat[sl]
         approx = sign * block_scores(x, qt, metric)            # (b, t), smaller = better
-        if allowed is not None:
-            mask = allowed(sl)
-            if not mask.any():
-                continue
-            approx = np.where(mask, approx, np.inf)
         kk = min(k, approx.shape[0])
         thr = np.partition(approx, kk - 1, axis=0)[kk - 1]    # k-th best per query
         tol = 1e-9 * (1.0 + np.abs(np.where(np.isfinite(thr), thr, 0.0)))
@@ -151,44 +107,85 @@ def _local_topk(qids: np.ndarray, qmat: np.ndarray, ids: np.ndarray, x: np.ndarr
     return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_s)
 
 
-def _batch_topk_fn(bc, k: int, metric: str, dim: int, name: str):
+def _matrix(col: pa.Array) -> np.ndarray:
+    """Vectors in the width in which they are stored."""
+    x = arrow_matrix(col, len(col[0]))
+    return x.astype(np.float32) if pa.types.is_float32(col.type.value_type) else x
+
+
+def _unpacked(ids: bytes, matrix: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, np.int64)
+    kind = np.float32 if len(matrix) == 4 * dim * len(ids) else np.float64
+    return ids, np.frombuffer(matrix, kind).reshape(-1, dim).astype(float)
+
+
+def packed(vectors: DataFrame, rows: int) -> DataFrame:
+    """``vectors`` (``id, part, embedding``) as blocks: ``part, ids, matrix, dim``,
+    each of at most ``rows`` vectors of one part. Rows without a vector are left out;
+    vectors of different sizes in one block raise."""
     def run(batches):
-        qids, qmat = bc.value
-        for batch in batches:
-            if batch.num_rows == 0:
+        for b in batches:
+            if not b.num_rows:
                 continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            x = arrow_matrix(batch.column("embedding"), dim)
-            q, i, s = _local_topk(qids, qmat, ids, x, k, metric)
-            if len(q):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())],
-                    names=["query_id", "id", name])
-    return run
+            ids, part = b.column(0).to_numpy(), b.column(1).to_numpy()
+            x = _matrix(b.column(2))
+            order = np.argsort(part, kind="stable")
+            edges = np.flatnonzero(np.diff(part[order])) + 1
+            out = [g[i:i + rows] for g in np.split(order, edges) for i in range(0, len(g), rows)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part[g[0]] for g in out], pa.int64()), pa.array([ids[g].tobytes() for g in out], pa.binary()),
+                 pa.array([x[g].tobytes() for g in out], pa.binary()), pa.array([x.shape[1]] * len(out), pa.int32())],
+                ["part", "ids", "matrix", "dim"])
+
+    return vectors.select(F.col("id").cast("long").alias("id"), F.col("part").cast("long").alias("part"), "embedding") \
+        .filter(F.col("embedding").isNotNull()).mapInArrow(run, "part long, ids binary, matrix binary, dim int")
+
+
+def block_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str, salts: int) -> DataFrame:
+    """Best ``k`` per query among the corpus rows of the query's parts: ``query_id,
+    rank, id, distance`` (``score`` for ip).
+
+    ``corpus``: ``id, part, embedding``; ``queries`` the same, a query once for each
+    part it searches. Both sides are packed into blocks that are joined on the part; a
+    part's corpus blocks are spread over ``salts`` cells and its query blocks copied to
+    each, so a part holding any share of the corpus is many tasks. A task multiplies a
+    pair of blocks and passes on at most ``k`` rows per query; the merge is a limited
+    window, again with at most ``k`` rows per query and task. Nothing passes through the
+    driver and no job runs while this plan is built."""
+    check_metric(metric)
+    name = score_name(metric)
+    left = packed(corpus, CORPUS_BLOCK).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+    right = packed(queries, QUERY_BLOCK).select(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("ids").alias("qids"),
+        F.col("matrix").alias("qmatrix"), F.col("dim").alias("qdim"))
+    pairs = left.join(right, ["part", "salt"]).select("ids", "matrix", "dim", "qids", "qmatrix", "qdim")
+
+    def run(batches):
+        for b in batches:
+            for ids, x, dim, qids, q, qdim in zip(*(c.to_pylist() for c in b.columns)):
+                if dim != qdim:
+                    raise ValueError(f"query vectors of size {qdim} for stored vectors of size {dim}")
+                got = _local_topk(*_unpacked(qids, q, dim), *_unpacked(ids, x, dim), k, metric)
+                yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()),
+                                                  pa.array(got[2], pa.float64())], ["query_id", "id", name])
+
+    local = pairs.mapInArrow(run, f"query_id long, id long, {name} double")
+    return rank_per_query(local, k, metric, name).select("query_id", "rank", "id", name)
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2",
         filters: dict | None = None, mode: str = "null", query_id: str = "query_id",
-        max_query_bytes: int = MAX_QUERY_CHUNK_BYTES) -> DataFrame:
-    """Top-k per query: ``query_id, rank, id, distance`` (``score`` for ip)."""
+        salts: int | None = None) -> DataFrame:
+    """Exact top-k per query: ``query_id, rank, id, distance`` (``score`` for ip).
+    All of the corpus is one part, spread over ``salts`` cells (by default as many as
+    the session's shuffle partitions)."""
     check_metric(metric)
     if k <= 0:
         raise ValueError("k must be positive")
-    spark = corpus.sparkSession
-    name = score_name(metric)
-    base = spread(apply_filters(corpus, filters, mode).select(F.col("id").cast("long").alias("id"),
-                                                             "embedding"))
-    schema = f"query_id long, id long, {name} double"
-    parts = []
-    for qids, qmat in _query_chunks(queries, query_id, max_query_bytes):
-        bc = spark.sparkContext.broadcast((qids, qmat))
-        parts.append(base.mapInArrow(_batch_topk_fn(bc, k, metric, qmat.shape[1], name), schema))
-    if not parts:
-        return spark.createDataFrame([], f"query_id long, rank long, id long, {name} double")
-    local = parts[0]
-    for p in parts[1:]:
-        local = local.unionByName(p)
-    return rank_per_query(local, k, metric, name).select("query_id", "rank", "id", name)
+    salts = salts or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = F.lit(0).alias("part")
+    return block_topk(apply_filters(corpus, filters, mode).select("id", one, "embedding"),
+                      queries.select(F.col(query_id).alias("id"), one, "embedding"), k, metric, salts)
 
 
 def knn_sql(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2",
@@ -197,7 +194,7 @@ def knn_sql(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2
     """Same rows as :func:`knn` from plain SQL expressions (tests only)."""
     name = score_name(metric)
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col("embedding").alias("q_emb"))
-    pairs = (apply_filters(corpus, filters, mode).select("id", "embedding")
+    pairs = (apply_filters(corpus, filters, mode).filter(F.col("embedding").isNotNull()).select("id", "embedding")
              .crossJoin(F.broadcast(q))
              .select("query_id", "id", distance(metric, "embedding", "q_emb").alias(name)))
     return rank_per_query(pairs, k, metric, name).select("query_id", "rank", "id", name)
@@ -222,7 +219,7 @@ def vectors_for_ids(corpus: DataFrame, ids: DataFrame, id_col: str = "id",
         missing = unknown_ids(corpus, req, "query_id").limit(5).collect()
         if missing:
             raise KeyError(f"ids not in the index: {[r['id'] for r in missing]}")
-    return req.join(corpus.select(F.col("id").alias("query_id"), "embedding"), "query_id", "inner")
+    return req.join(corpus.filter(F.col("embedding").isNotNull()).select(F.col("id").alias("query_id"), "embedding"), "query_id", "inner")
 
 
 def search_by_id(corpus: DataFrame, ids: DataFrame, k: int = 5, metric: str = "l2_squared",
@@ -233,7 +230,7 @@ def search_by_id(corpus: DataFrame, ids: DataFrame, k: int = 5, metric: str = "l
 
 def lookup_by_id(corpus: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Point lookups as one join (B9): ``id, content, distance=0.0, metadata``;
-    absent ids give no row."""
+    absent ids give no row, documents without a vector are found too."""
     req = ids.select(F.col(id_col).cast("long").alias("id")).distinct()
     return (req.join(corpus, "id", "inner")
             .select("id", "content", F.lit(0.0).alias("distance"),

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrel.session import materialized
+
 WARMUP = 5
 PERCENTILES = (("p50_ms", 0.50), ("p95_ms", 0.95), ("p99_ms", 0.99))
 LATENCY_TARGET_MS = 20.0
@@ -25,70 +27,41 @@ LATENCY_TARGET_MS = 20.0
 # ordinals within groups, spread over many tasks
 # ---------------------------------------------------------------------------
 
-# Largest group a single window task may sort; beyond it positions and ranks
-# are computed by the distributed path below.
-WINDOW_ROWS = 1_000_000
-
-
-def _materialized(df: DataFrame) -> DataFrame:
-    from kestrel.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def _largest_group(df: DataFrame, group_cols: list[str]) -> int:
-    """Rows of the biggest group (one small aggregate: a row per group)."""
-    return int(df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-               .agg(F.max("_n")).first()[0] or 0)
-
-
 def ordinal_in_group(df: DataFrame, group_cols: list[str], order_cols: list,
-                     name: str = "ordinal", window_rows: int | None = None) -> DataFrame:
+                     name: str = "ordinal") -> DataFrame:
     """1-based position of each row within its group in ``order_cols`` order.
 
-    ``order_cols`` must make rows unique within a group (end with an id).
-    The input is checkpointed once to the shared folder: it is computed once
-    and a recomputed task after an executor loss sees the same rows. When the
-    largest group is within ``window_rows`` a window numbers the rows;
-    otherwise a range-partitioned sort on ``group + order`` spreads even a
-    huge group over many tasks, and per (partition, group) counts (at most
-    partitions + groups rows) give each slice its offset by a small running
-    sum. With unique keys the sorted layout, and so every position, is the
-    same on recomputation."""
-    limit = WINDOW_ROWS if window_rows is None else window_rows
-    src = _materialized(df)
-    if _largest_group(src, group_cols) <= limit:
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        return src.withColumn(name, F.row_number().over(w).cast("long"))
+    ``order_cols`` must make rows unique within a group (end with an id). A
+    range-partitioned sort on group and order spreads a group of any size over
+    many tasks. The *sorted* frame is materialised once, so that the counts and
+    the numbering see the same partitions; per (partition, group) counts, one row
+    for each, give every slice its offset by a running sum."""
     keys = [*group_cols, *order_cols]            # order entries may be Columns (e.g. desc)
-    ordered = (src.orderBy(*keys)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id()))
+    ordered = materialized(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                           .withColumn("_pid", F.spark_partition_id())
+                           .withColumn("_mid", F.monotonically_increasing_id()))
     slices = ordered.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"),
                                                       F.min("_mid").alias("_m0"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return (ordered.join(offsets.select("_pid", *group_cols, "_off", "_m0"), ["_pid", *group_cols])
+    offsets = slices.select(F.col("_pid").alias("_p"), *[F.col(g).alias(f"_g{k}") for k, g in enumerate(group_cols)],
+                            "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    same = F.col("_pid") == F.col("_p")
+    for k, g in enumerate(group_cols):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    return (ordered.join(offsets, same)
             .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("long"))
-            .drop("_pid", "_mid", "_off", "_m0"))
+            .select(*df.columns, name))
 
 
 def rank_in_group(df: DataFrame, group_cols: list[str], score: str, descending: bool = True,
-                  tie_cols: list[str] | None = None, name: str = "rank",
-                  window_rows: int | None = None) -> DataFrame:
-    """SQL ``rank()`` over ``score`` within each group. Bounded groups use the
-    window; larger ones take rank = the smallest position among rows of equal
-    score (positions from :func:`ordinal_in_group`, the minimum combined
-    map-side), so no task ever holds a whole group."""
-    limit = WINDOW_ROWS if window_rows is None else window_rows
+                  tie_cols: list[str] | None = None, name: str = "rank") -> DataFrame:
+    """SQL ``rank()`` over ``score`` within each group: the smallest position
+    among rows of equal score (positions from :func:`ordinal_in_group`, the
+    minimum combined map-side), so no task ever holds a whole group."""
     order = [F.col(score).desc() if descending else F.col(score).asc()]
-    src = _materialized(df)
-    if _largest_group(src, group_cols) <= limit:
-        w = Window.partitionBy(*group_cols).orderBy(*order)
-        return src.withColumn(name, F.rank().over(w).cast("long"))
-    pos = ordinal_in_group(src, group_cols, [*order, *(tie_cols or [])], "_pos", window_rows=limit)
+    pos = materialized(ordinal_in_group(df, group_cols, [*order, *(tie_cols or [])], "_pos"))
     first = pos.groupBy(*group_cols, score).agg(F.min("_pos").alias(name))
-    return pos.join(first, [*group_cols, score]).drop("_pos")
+    return pos.join(first, [*group_cols, score]).select(*df.columns, name)
 
 
 # ---------------------------------------------------------------------------
@@ -141,35 +114,49 @@ def samples_from_events(events: DataFrame, index_type: str = "flat") -> DataFram
                          "ts", F.col("event_id").alias("sample_id"), F.col("value").alias("seconds"))
 
 
-def sequenced(samples: DataFrame) -> DataFrame:
-    """Adds ``seq``: 1-based position in time order per configuration."""
-    return ordinal_in_group(samples, ["engine", "index_type"], ["ts", "sample_id"], "seq")
+_GROUP = ["engine", "index_type"]
 
 
-def latency_percentiles(samples: DataFrame, warmup: int = WARMUP, seq: DataFrame | None = None) -> DataFrame:
-    """``engine, index_type, p50_ms, p95_ms, p99_ms`` over warm samples.
-    ``seq`` is the output of :func:`sequenced` when the caller has it."""
-    seq = seq if seq is not None else sequenced(samples)
-    warm = seq.filter(F.col("seq") > warmup)
-    ranked = ordinal_in_group(warm, ["engine", "index_type"], ["seconds", "seq"], "pos")
-    n = warm.groupBy("engine", "index_type").agg(F.count(F.lit(1)).alias("n"))
-    picked = ranked.join(n, ["engine", "index_type"])
+def sequenced(samples: DataFrame) -> DataFrame:
+    """Adds ``seq``: 1-based position in time order per configuration."""
+    return ordinal_in_group(samples, _GROUP, ["ts", "sample_id"], "seq")
+
+
+def split_warmup(samples: DataFrame, warmup: int = WARMUP) -> DataFrame:
+    """Adds ``cold``: whether a sample is among the first ``warmup`` of its
+    configuration in time order. Only these first samples are found (the limited
+    window keeps ``warmup`` rows of each group per task); the others are compared
+    with the last of them."""
+    first = Window.partitionBy(*_GROUP).orderBy("ts", "sample_id")
+    edge = (samples.select(*_GROUP, "ts", "sample_id").withColumn("n", F.row_number().over(first))
+            .filter(F.col("n") <= max(warmup, 0)).groupBy(*_GROUP).agg(F.max(F.struct("ts", "sample_id")).alias("edge")))
+    return (samples.join(edge, _GROUP, "left")
+            .withColumn("cold", F.coalesce(F.struct("ts", "sample_id") <= F.col("edge"), F.lit(False)))
+            .drop("edge"))
+
+
+def latency_percentiles(samples: DataFrame, warmup: int = WARMUP) -> DataFrame:
+    """``engine, index_type, p50_ms, p95_ms, p99_ms`` over warm samples (E7):
+    the samples at the wanted positions of the sorted warm samples."""
+    warm = split_warmup(samples, warmup).filter(~F.col("cold")).select(*_GROUP, "seconds", "sample_id")
+    ranked = ordinal_in_group(warm, _GROUP, ["seconds", "sample_id"], "pos")
+    n = warm.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"))
+    picked = ranked.join(n, _GROUP)
     aggs = [F.max(F.when(F.col("pos") == F.floor(F.col("n") * F.lit(p)).cast("long") + 1,
                          F.col("seconds") * 1000.0)).alias(name) for name, p in PERCENTILES]
-    return picked.groupBy("engine", "index_type").agg(*aggs)
+    return picked.groupBy(*_GROUP).agg(*aggs)
 
 
 def latency_summary(samples: DataFrame, warmup: int = WARMUP) -> DataFrame:
     """``engine, index_type, cold_ms, warm_ms, p50_ms, p95_ms, p99_ms,
     throughput_qps`` ordered by ``warm_ms`` (E5, E6, G6, I18)."""
-    seq = sequenced(samples)
-    cold = F.col("seq") <= warmup
-    base = seq.groupBy("engine", "index_type").agg(
+    cold = F.col("cold")
+    base = split_warmup(samples, warmup).groupBy(*_GROUP).agg(
         (F.avg(F.when(cold, F.col("seconds"))) * 1000.0).alias("cold_ms"),
         (F.avg(F.when(~cold, F.col("seconds"))) * 1000.0).alias("warm_ms"),
         F.count(F.when(~cold, F.lit(1))).alias("_n_warm"),
         F.sum(F.when(~cold, F.col("seconds"))).alias("_t_warm"))
-    out = base.join(latency_percentiles(samples, warmup, seq), ["engine", "index_type"], "left")
+    out = base.join(latency_percentiles(samples, warmup), _GROUP, "left")
     qps = F.when(F.coalesce(F.col("_t_warm"), F.lit(0.0)) > 0, F.col("_n_warm") / F.col("_t_warm")) \
         .otherwise(F.lit(0.0))
     return (out.select("engine", "index_type", "cold_ms", "warm_ms", "p50_ms", "p95_ms", "p99_ms",
@@ -212,8 +199,12 @@ def report_rows(latency: DataFrame, recall: DataFrame) -> DataFrame:
     return lat.unionByName(rec).select("section", "engine", "index_type", "kv.metric", "kv.value")
 
 
-def report_json(latency: DataFrame, recall: DataFrame) -> DataFrame:
-    """Nested report: one row with two arrays of structs, written as JSON."""
+def report_json(latency: DataFrame, recall: DataFrame, dataset_size: DataFrame, dimension: int,
+                num_queries: DataFrame) -> DataFrame:
+    """Nested report, one row: the header ``dataset_size, dimension, num_queries``
+    (the sizes are one-row frames) and two arrays of structs (A13)."""
     lat = latency.agg(F.array_sort(F.collect_list(F.struct(*latency.columns))).alias("latency_results"))
     rec = recall.agg(F.array_sort(F.collect_list(F.struct(*recall.columns))).alias("recall_results"))
-    return lat.withColumn("recall_results", rec.scalar())
+    return lat.select(dataset_size.scalar().alias("dataset_size"), F.lit(int(dimension)).cast("long").alias("dimension"),
+                      num_queries.scalar().alias("num_queries"), "latency_results",
+                      rec.scalar().alias("recall_results"))

@@ -11,21 +11,21 @@ def document_count(table: DataFrame) -> DataFrame:
     return table.agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-def distinct_categories(table: DataFrame, limit: int = 50) -> DataFrame:
-    """Distinct, non-NULL, non-empty categories in order, first ``limit``
-    (contract S9: over all rows)."""
-    return (table.select("category")
-            .filter(F.col("category").isNotNull() & (F.col("category") != ""))
-            .distinct().orderBy("category").limit(limit))
+def distinct_categories(table: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct, non-NULL, non-empty categories in order (contract S9: over all
+    rows), all of them unless a ``limit`` is asked for."""
+    found = (table.select("category")
+             .filter(F.col("category").isNotNull() & (F.col("category") != ""))
+             .distinct().orderBy("category"))
+    return found if limit is None else found.limit(limit)
 
 
 def corpus_stats(table: DataFrame, index_flags: dict[str, bool] | None = None,
-                 limit: int = 50) -> DataFrame:
+                 limit: int | None = None) -> DataFrame:
     """One row: document and vector counts, the number of categories, the
-    first ``limit`` categories (joined by commas; the set handed to the
-    driver stays bounded), index flags."""
+    categories joined by commas (the first ``limit`` if asked for), index flags."""
     cat = F.nullif(F.col("category"), F.lit(""))
-    # the bounded category list is a scalar subquery: no join of one-row frames
+    # the category list is a scalar subquery: no join of one-row frames
     first = (distinct_categories(table, limit)
              .agg(F.array_join(F.array_sort(F.collect_list("category")), ",").alias("categories")))
     out = table.agg(F.count(F.lit(1)).alias("n_documents"), F.count("embedding").alias("n_vectors"),

@@ -1,7 +1,7 @@
 """Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
 
 Every query reads the driver tables (or data Spark derives from them) in
-full. Computed columns carry the same names as in :mod:`kestrel.plans.sql`.
+full. Computed columns carry the same names as in :mod:`kestrel.plans.oracle`.
 Doubles are rounded to 6 decimals for the oracle compare.
 """
 
@@ -20,6 +20,7 @@ from kestrel.operators import keyword as KW
 from kestrel.operators import rag as RG
 from kestrel.operators import knn as K
 from kestrel.operators import stats as ST
+from kestrel.session import materialized
 from kestrel.sources import ingest as I
 from kestrel.sources import tables as S
 
@@ -54,7 +55,17 @@ def knn_ip(spark, sf):
 
 
 def knn_batch(spark, sf):
-    return _round(K.knn(S.corpus(spark, sf), S.query_vectors(spark, sf), k=10, metric="l2"), "distance")
+    """The question table as queries."""
+    return _round(K.knn(S.corpus(spark, sf), S.hybrid_queries(spark, sf), k=10, metric="l2"), "distance")
+
+
+SINGLE_ID = 7
+
+
+def knn_single(spark, sf):
+    """One query vector as a literal: a projection and a top-k, no join."""
+    row = S.read_table(spark, sf, "embeddings").filter(F.col("vec_id") == SINGLE_ID).select("embedding").first()
+    return _round(K.knn_single(S.corpus(spark, sf), row["embedding"], k=5, metric="l2"), "distance")
 
 
 SPARSE = {"author": "author3", "category": "es"}
@@ -77,13 +88,17 @@ def _label_ids(spark, sf):
     return S.read_table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
 
 
+def _query_ids(spark, sf):
+    return _label_ids(spark, sf).filter(F.col("id") % S.QUERY_EVERY == 0)
+
+
 def search_by_id(spark, sf):
-    return _round(K.search_by_id(S.corpus(spark, sf), _label_ids(spark, sf), k=5, strict=False),
+    return _round(K.search_by_id(S.corpus(spark, sf), _query_ids(spark, sf), k=5, strict=False),
                   "distance")
 
 
 def unknown_ids(spark, sf):
-    return K.unknown_ids(S.corpus(spark, sf), _label_ids(spark, sf))
+    return K.unknown_ids(S.vectors(spark, sf), _label_ids(spark, sf))
 
 
 def lookup_by_id(spark, sf):
@@ -102,7 +117,9 @@ CONJ = {"author": "author3", "category": "en", "date_from": "2020-03-01", "date_
 
 
 def dimension_violations(spark, sf):
-    return I.dimension_violations(S.read_table(spark, sf, "embeddings"), 64)
+    """The stored vectors, some of them without their last component."""
+    short = F.when(F.col("vec_id") % 97 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    return I.dimension_violations(S.read_table(spark, sf, "embeddings").withColumn("embedding", short), 64)
 
 
 def valid_queries(spark, sf):
@@ -126,20 +143,20 @@ def sample_queries(spark, sf):
 
 
 def export_embeddings(spark, sf):
-    return I.export_embeddings(S.corpus(spark, sf), limit=10000)
+    return I.export_embeddings(S.corpus(spark, sf))
 
 
 def parse_vector_text(spark, sf):
-    return I.vector_text_roundtrip(S.corpus(spark, sf))
+    return I.vector_text_roundtrip(S.vectors(spark, sf))
 
 
 def load_raw_documents(spark, sf):
-    return I.load_raw_documents(S.read_table(spark, sf, "documents"), 10000)
+    return I.load_raw_documents(S.read_table(spark, sf, "documents"))
 
 
 def load_sample_embeddings(spark, sf):
     return I.load_sample_embeddings(S.read_table(spark, sf, "embeddings"),
-                                    S.read_table(spark, sf, "documents"), 10000, dim=64)
+                                    S.read_table(spark, sf, "documents"), dim=64)
 
 
 def embed_documents(spark, sf):
@@ -159,14 +176,25 @@ def ingest_null_defaults(spark, sf):
     return _json_fields(table, F.array_join("tags", ",").alias("tags"))
 
 
+def _schema_check(table, schema):
+    """``col_name, data_type, n_rows, n_null`` of an ingested table against its
+    declaration (A1): a missing column or another type raises."""
+    found = {f.name: f.dataType.simpleString() for f in table.schema}
+    for f in schema.fields:
+        if found.get(f.name) != f.dataType.simpleString():
+            raise ValueError(f"{f.name}: {found.get(f.name)} for {f.dataType.simpleString()}")
+    one = table.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(F.when(F.col(f.name).isNull(), 1)).alias(f.name) for f in schema.fields])
+    return one.select("n_rows", F.explode(F.array(*[
+        F.struct(F.lit(f.name).alias("col_name"), F.lit(f.dataType.simpleString()).alias("data_type"), F.col(f.name).alias("n_null"))
+        for f in schema.fields])).alias("c")).select("c.col_name", "c.data_type", "n_rows", "c.n_null")
+
+
 def schema_documents(spark, sf):
-    """A1: declare the relational table over an ingested batch, then DESCRIBE."""
-    from kestrel.session import shared_path
-    path = shared_path(spark, "tables/documents_schema", unique=True)
-    I.ingest(spark, S.ingest_batch(spark, sf), path=path, mode="null")
-    name = "documents_" + path.rsplit("-", 1)[-1]
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{path}'")
-    return spark.sql(f"DESCRIBE TABLE {name}").select("col_name", "data_type")
+    return _schema_check(I.ingest(spark, S.ingest_batch(spark, sf), mode="null"), S.DOCUMENT_SCHEMA)
+
+
+def schema_collection(spark, sf):
+    return _schema_check(I.ingest(spark, S.ingest_batch(spark, sf), mode="empty"), S.COLLECTION_SCHEMA)
 
 
 def ingest_empty_defaults(spark, sf):
@@ -191,7 +219,7 @@ def query_terms(spark, sf):
 
 
 def _corpus_index(spark, sf):
-    return KW.build_postings(S.corpus(spark, sf))
+    return KW.build_index(S.corpus(spark, sf))
 
 
 def keyword_match(spark, sf):
@@ -208,9 +236,9 @@ def semantic_rank(spark, sf):
         "query_id", "id", "distance", "rank")
 
 
-def _hybrid(spark, sf, k=5):
-    return HY.hybrid_search(S.corpus(spark, sf), S.hybrid_queries(spark, sf), k=k,
-                            post=_corpus_index(spark, sf))
+def _hybrid(spark, sf, k=5, filters=None):
+    return HY.hybrid_search(S.corpus(spark, sf), S.hybrid_queries(spark, sf), k=k, filters=filters,
+                            index=_corpus_index(spark, sf))
 
 
 def hybrid_rrf(spark, sf):
@@ -221,6 +249,12 @@ def hybrid_rrf_batch(spark, sf):
     return _round(_hybrid(spark, sf, k=10), "rrf_score")
 
 
+def retrieve_hybrid(spark, sf):
+    """Hybrid retrieval with filters on both branches."""
+    return _round(HY.retrieve(S.corpus(spark, sf), S.hybrid_queries(spark, sf), k=5, use_hybrid=True,
+                              filters={"category": "en"}, index=_corpus_index(spark, sf)), "rrf_score")
+
+
 def retrieve_vector(spark, sf):
     return _round(HY.retrieve(S.corpus(spark, sf), S.hybrid_queries(spark, sf), k=5, use_hybrid=False,
                               filters={"source": "src3"}), "distance")
@@ -260,11 +294,11 @@ def rag_response(spark, sf):
 
 
 def rag_batch(spark, sf):
-    from kestrel.functions.embed import embed_column
+    from kestrel.functions.embed import embed_documents as emb
     q = S.query_texts(spark, sf)
-    q = q.withColumn("embedding", embed_column(F.col("text"), 64))
-    hits = HY.retrieve(S.corpus(spark, sf), q, k=5, use_hybrid=True, post=_corpus_index(spark, sf))
-    return RG.prompts(q, RG.hydrate(hits, S.corpus(spark, sf)))
+    q = q.join(emb(q, "query_id", "text", 64).withColumnRenamed("id", "query_id"), "query_id")
+    hits = HY.retrieve(S.corpus(spark, sf), q, k=5, use_hybrid=True, index=_corpus_index(spark, sf))
+    return RG.prompts(q, RG.hydrate(hits, S.corpus(spark, sf), score="rrf_score"))
 
 
 def assemble_chunks(spark, sf):
@@ -276,30 +310,34 @@ def assemble_chunks(spark, sf):
 
 # IVF and LSH settings of the registered plans
 NLIST, NPROBE, BANDS, BITS = 16, 4, 8, 6
+# (lists, probes) of the evaluation matrix
+IVF_SETTINGS = ((16, 4), (16, 8), (100, 10), (200, 20))
 
 
-def _ivf(spark, sf):
-    return AN.ivf_build(S.corpus(spark, sf), nlist=NLIST, seed=42)
+def _ivf(spark, sf, nlist=NLIST):
+    return AN.ivf_build(S.corpus(spark, sf), nlist=nlist)
 
 
 def ivf_assign(spark, sf):
     return _ivf(spark, sf).table.select("id", "cluster")
 
 
+def ivf_probes(spark, sf):
+    return AN.probes(_ivf(spark, sf), S.query_vectors(spark, sf), NPROBE).select("query_id", "cluster")
+
+
 def ivf_search(spark, sf):
-    return _round(AN.ivf_search(AN.ivf_save(_ivf(spark, sf)), S.query_vectors(spark, sf), k=5,
-                                nprobe=NPROBE), "distance")
+    return _round(AN.ivf_search(_ivf(spark, sf), S.query_vectors(spark, sf), k=5, nprobe=NPROBE), "distance")
 
 
 def ivf_exhaustive(spark, sf):
-    return _round(AN.ivf_search(AN.ivf_save(_ivf(spark, sf)), S.query_vectors(spark, sf), k=5,
-                                nprobe=NLIST), "distance")
+    return _round(AN.ivf_search(_ivf(spark, sf), S.query_vectors(spark, sf), k=5, nprobe=NLIST), "distance")
 
 
 def ivf_reloaded_search(spark, sf):
+    """The index written, read again and searched by another number of probes."""
     saved = AN.ivf_save(_ivf(spark, sf))
-    reloaded = AN.ivf_load(spark, saved.path)
-    return _round(AN.ivf_search(reloaded, S.query_vectors(spark, sf), k=5, nprobe=NPROBE), "distance")
+    return _round(AN.ivf_search(AN.ivf_load(spark, saved.path), S.query_vectors(spark, sf), k=5, nprobe=2 * NPROBE), "distance")
 
 
 def ann_lsh_codes(spark, sf):
@@ -368,36 +406,48 @@ def latency_target_check(spark, sf):
 def _strategy_row(name, hits, truth, share):
     q = ME.recall_precision(hits, truth, 5)
     return q.select(F.lit(name).alias("strategy"), "k", "n_queries", "recall", "precision", "f1", "mrr",
-                    F.lit(float(share)).alias("share"))
+                    share.alias("share"))
 
 
 def eval_matrix(spark, sf):
     corpus, qv = S.corpus(spark, sf), S.query_vectors(spark, sf)
-    truth = _truth(spark, sf)
-    rows = [_strategy_row("exact", K.knn(corpus, qv, k=5), truth, 1.0)]
-    index = AN.ivf_save(AN.ivf_build(corpus, nlist=NLIST, seed=42))
-    for nprobe in (NPROBE, 2 * NPROBE):
-        rows.append(_strategy_row(f"ivf_{NLIST}_{nprobe}", AN.ivf_search(index, qv, k=5, nprobe=nprobe),
-                                  truth, AN.ivf_share(index, qv, nprobe)))
-    cand = AN.lsh_candidates(corpus, qv, BANDS, BITS).agg(F.sum("n_candidates")).first()[0] or 0
-    n_pairs = qv.count() * corpus.count()
-    rows.append(_strategy_row(f"lsh_{BANDS}_{BITS}", _lsh_hits(spark, sf), truth,
-                              cand / n_pairs if n_pairs else 0.0))
+    exact = materialized(K.knn(corpus, qv, k=5))
+    truth = ME.exact_truth(exact)
+    rows = [_strategy_row("exact", exact, truth, F.lit(1.0))]
+    for nlist, nprobe in IVF_SETTINGS:
+        index = _ivf(spark, sf, nlist)
+        rows.append(_strategy_row(f"ivf_{nlist}_{nprobe}", AN.ivf_search(index, qv, k=5, nprobe=nprobe), truth,
+                                  AN.ivf_share(index, qv, nprobe).scalar()))
+    pairs = materialized(AN.lsh_candidates(corpus, qv, BANDS, BITS))
+    n = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    rows.append(_strategy_row(f"lsh_{BANDS}_{BITS}", AN.lsh_search(corpus, qv, 5, BANDS, BITS, candidates=pairs), truth,
+                              n(pairs) / (n(qv) * n(S.vectors(spark, sf)))))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return out
+    return _round(out, "recall", "precision", "f1", "mrr", "share")
 
 
-def eval_report(spark, sf):
-    lat = ME.latency_summary(_samples(spark, sf))
-    truth = _truth(spark, sf)
+def _recall_rows(spark, sf):
     corpus, qv = S.corpus(spark, sf), S.query_vectors(spark, sf)
-    rec = (ME.recall_precision(K.knn(corpus, qv, k=5), truth, 5)
-           .select(F.lit("kestrel").alias("engine"), F.lit("exact").alias("index_type"), "*")
-           .unionByName(ME.recall_precision(_lsh_hits(spark, sf), truth, 5)
-                        .select(F.lit("kestrel").alias("engine"), F.lit("lsh").alias("index_type"), "*")))
-    return _round(ME.report_rows(lat, rec), "value")
+    exact = materialized(K.knn(corpus, qv, k=5))
+    row = lambda kind, hits: ME.recall_precision(hits, ME.exact_truth(exact), 5).select(
+        F.lit("kestrel").alias("engine"), F.lit(kind).alias("index_type"), "*")
+    return row("exact", exact).unionByName(row("lsh", _lsh_hits(spark, sf)))
+
+
+def eval_report(spark, sf):
+    return _round(ME.report_rows(ME.latency_summary(_samples(spark, sf)), _recall_rows(spark, sf)), "value")
+
+
+def eval_report_header(spark, sf):
+    """The nested report, its header and the sizes of its lists."""
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
+    report = ME.report_json(ME.latency_summary(_samples(spark, sf)), _recall_rows(spark, sf), count(S.vectors(spark, sf)), 64,
+                            count(S.query_vectors(spark, sf)))
+    return report.select("dataset_size", "dimension", "num_queries", F.size("latency_results").cast("long").alias("n_latency"),
+                         F.array_join(F.transform("recall_results", lambda r: F.concat_ws("/", r["engine"], r["index_type"])), ",")
+                         .alias("recall_of"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -406,6 +456,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_l2_squared": knn_l2_squared,
     "knn_ip": knn_ip,
     "knn_batch": knn_batch,
+    "knn_single": knn_single,
     "knn_k_exceeds_n": knn_k_exceeds_n,
     "knn_filtered_text": knn_filtered_text,
     "search_by_id": search_by_id,
@@ -433,6 +484,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_null_defaults": ingest_null_defaults,
     "ingest_empty_defaults": ingest_empty_defaults,
     "schema_documents": schema_documents,
+    "schema_collection": schema_collection,
     "postings": postings,
     "term_stats": term_stats,
     "query_terms": query_terms,
@@ -442,6 +494,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hybrid_rrf": hybrid_rrf,
     "hybrid_rrf_batch": hybrid_rrf_batch,
     "retrieve_vector": retrieve_vector,
+    "retrieve_hybrid": retrieve_hybrid,
     "hydrate_hits": hydrate_hits,
     "hit_cards": hit_cards,
     "rag_context": rag_context,
@@ -450,6 +503,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rag_batch": rag_batch,
     "assemble_chunks": assemble_chunks,
     "ivf_assign": ivf_assign,
+    "ivf_probes": ivf_probes,
     "ivf_search": ivf_search,
     "ivf_exhaustive": ivf_exhaustive,
     "ivf_reloaded_search": ivf_reloaded_search,
@@ -465,4 +519,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latency_target_check": latency_target_check,
     "eval_matrix": eval_matrix,
     "eval_report": eval_report,
+    "eval_report_header": eval_report_header,
 }

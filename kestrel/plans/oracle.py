@@ -7,7 +7,9 @@ Doubles are rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
-from kestrel.functions.text import STOP_WORDS
+from kestrel.functions.text import STOP_WORDS, TOKEN_PATTERN
+from kestrel.operators import rag as RG
+from kestrel.sources.tables import COLLECTION_SCHEMA, DOCUMENT_SCHEMA
 
 CORPUS_CTE = """corpus AS (
   SELECT d.doc_id AS id, d.text AS content, e.embedding,
@@ -19,7 +21,7 @@ CORPUS_CTE = """corpus AS (
          CASE WHEN d.doc_id % 7 = 0 THEN NULL
               ELSE concat('{"tags":["', d.lang, '","', d.source, '"],"n_chars":',
                           CAST(d.n_chars AS VARCHAR), '}') END AS metadata
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"""
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""
 
 # collection form: '' defaults, text date, tags folded into the metadata
 COLLECTION_CTE = """collection AS (
@@ -33,7 +35,7 @@ COLLECTION_CTE = """collection AS (
               ELSE coalesce(metadata, '{}') END AS metadata
   FROM corpus)"""
 
-QUERIES_CTE = "queries AS (SELECT vec_id AS query_id, embedding AS q_emb FROM embeddings)"
+QUERIES_CTE = "queries AS (SELECT vec_id AS query_id, embedding AS q_emb FROM embeddings WHERE vec_id % 50 = 0)"
 
 HYBRID_QUERIES_CTE = """hq AS (
   SELECT b.item_id AS query_id, b.text, e.embedding AS q_emb
@@ -48,7 +50,7 @@ def tokens_cte(source: str, id_col: str, text_col: str, name: str = "tok") -> st
     """All tokens with 0-based positions, as rows (id, pos, term)."""
     return f"""{name} AS (
   SELECT {id_col} AS id, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS pos, unnest(t) AS term
-  FROM (SELECT {id_col}, regexp_extract_all(lower({text_col}), '[a-z0-9]+') AS t FROM {source}))"""
+  FROM (SELECT {id_col}, regexp_extract_all(lower({text_col}), '{TOKEN_PATTERN}') AS t FROM {source}))"""
 
 
 def with_ctes(*ctes: str) -> str:
@@ -70,7 +72,7 @@ def knn_sql(metric: str, k: int, source: str = "corpus", where: str = "",
     return f"""SELECT query_id, rank, id, round({name}, 6) AS {name} FROM (
   SELECT query_id, id, {name}, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank
   FROM (SELECT q.query_id, c.id, {dist_sql(metric, 'c.embedding', 'q.q_emb')} AS {name}
-        FROM {source} c CROSS JOIN {queries} q {where}))
+        FROM {source} c CROSS JOIN {queries} q WHERE c.embedding IS NOT NULL AND ({where or 'true'})))
 WHERE rank <= {k}"""
 
 
@@ -82,14 +84,14 @@ _C = _q(CORPUS_CTE, QUERIES_CTE)
 
 
 
-def keyword_ctes(question_sql: str) -> list[str]:
+def keyword_ctes(question_sql: str, where: str = "true") -> list[str]:
     """CTEs: post (corpus postings), qt, nt, m (matches), sc (scores)."""
     sw = stop_words_sql()
     return [
-        tokens_cte("corpus", "id", "content"),
+        tokens_cte(f"(SELECT * FROM corpus c WHERE {where})", "id", "content"),
         f"post AS (SELECT id, term, pos FROM tok WHERE term NOT IN ({sw}))",
         f"""qt AS (SELECT DISTINCT query_id, term FROM (
-  SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM ({question_sql}))
+  SELECT query_id, unnest(regexp_extract_all(lower(text), '{TOKEN_PATTERN}')) AS term FROM ({question_sql}))
   WHERE term NOT IN ({sw}))""",
         "nt AS (SELECT query_id, count(*) AS n_terms FROM qt GROUP BY query_id)",
         """m AS (SELECT h.query_id, h.id FROM (
@@ -119,10 +121,10 @@ def keyword_ctes(question_sql: str) -> list[str]:
 BENCH_Q = "SELECT item_id AS query_id, text FROM benchmark"
 
 
-def hybrid_ctes(k: int = 5, candidates: int = 20, c: int = 60) -> list[str]:
-    return [CORPUS_CTE, HYBRID_QUERIES_CTE, *keyword_ctes("SELECT query_id, text FROM hq"),
+def hybrid_ctes(k: int = 5, candidates: int = 20, c: int = 60, where: str = "true", questions: str = HYBRID_QUERIES_CTE) -> list[str]:
+    return [CORPUS_CTE, questions, *keyword_ctes("SELECT query_id, text FROM hq", where),
             f"""sem AS (SELECT query_id, id, rank() OVER (PARTITION BY query_id ORDER BY distance) AS s_rank
-  FROM ({knn_sql('l2', candidates, queries='hq')}))""",
+  FROM ({knn_sql('l2', candidates, queries='hq', where=where)}))""",
             f"""kw AS (SELECT query_id, id, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS k_rank
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM sc)
   WHERE rn <= {candidates})""",
@@ -134,10 +136,12 @@ def hybrid_ctes(k: int = 5, candidates: int = 20, c: int = 60) -> list[str]:
   WHERE rank <= {k})"""]
 
 
-PROMPT_SQL = ("concat('You are a helpful assistant. Answer the user''s question using ONLY the provided '"
-              " || 'context documents.' || chr(10) || 'If the answer is not contained in the context, say \"I don''t '"
-              " || 'have enough information to answer that.\"' || chr(10) || chr(10) || 'Context:' || chr(10), "
-              "ctx.context, chr(10) || chr(10) || 'Question: ', hq.text, chr(10) || 'Answer:')")
+def literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+PROMPT_SQL = (f"concat({literal(RG.PROMPT_HEAD)}, ctx.context, {literal(RG.PROMPT_QUESTION)}, hq.text, "
+              f"{literal(RG.PROMPT_TAIL)})")
 
 CONTEXT_SQL = ("string_agg(concat('Document ', CAST(h.id AS VARCHAR), ': ', c.content), chr(10) || chr(10) "
                "ORDER BY h.rank, h.id)")
@@ -160,7 +164,7 @@ def lsh_codes_cte(name: str, source: str, id_col: str, emb_col: str, bands: int
 
 
 LSH_CTES = [CORPUS_CTE, QUERIES_CTE, lsh_codes_cte("ccodes", "corpus", "id", "embedding"),
-            lsh_codes_cte("qcodes", "embeddings", "vec_id", "embedding"),
+            lsh_codes_cte("qcodes", "queries", "query_id", "q_emb"),
             """cand AS (SELECT DISTINCT q.id AS query_id, c.id FROM qcodes q JOIN ccodes c
   ON q.band = c.band AND q.code = c.code)""",
             f"""lsh AS (SELECT query_id, rank, id, distance FROM (
@@ -170,16 +174,93 @@ LSH_CTES = [CORPUS_CTE, QUERIES_CTE, lsh_codes_cte("ccodes", "corpus", "id", "em
   WHERE rank <= 5)"""]
 
 
-def quality_ctes(results: str, truth_k: int) -> list[str]:
-    return [f"truth AS (SELECT query_id, id FROM ({knn_sql('l2', truth_k)}))",
-            "ntr AS (SELECT query_id, count(*) AS n_truth FROM truth GROUP BY query_id)",
-            f"""hits AS (SELECT r.query_id, count(*) AS n_hit, min(r.rank) AS first_hit
+def quality_ctes(results: str, truth_k: int, p: str = "") -> list[str]:
+    """Quality of a result CTE; the names of its CTEs begin with ``p``."""
+    return [f"{p}truth AS MATERIALIZED (SELECT query_id, id FROM ({knn_sql('l2', truth_k)}))",
+            f"{p}ntr AS (SELECT query_id, count(*) AS n_truth FROM {p}truth GROUP BY query_id)",
+            f"""{p}hits AS (SELECT r.query_id, count(*) AS n_hit, min(r.rank) AS first_hit
   FROM (SELECT query_id, id, min(rank) AS rank FROM {results} WHERE rank <= 5 GROUP BY query_id, id) r
-  JOIN truth t ON r.query_id = t.query_id AND r.id = t.id GROUP BY r.query_id)""",
-            """qq AS (SELECT ntr.query_id, n_truth, coalesce(n_hit, 0) AS n_hit, first_hit
-  FROM ntr LEFT JOIN hits ON hits.query_id = ntr.query_id)""",
-            """qa AS (SELECT count(*) AS n_queries, coalesce(avg(n_hit / n_truth), 0.0) AS recall,
-  coalesce(avg(n_hit / 5.0), 0.0) AS precision, coalesce(avg(coalesce(1.0 / first_hit, 0.0)), 0.0) AS mrr FROM qq)"""]
+  JOIN {p}truth t ON r.query_id = t.query_id AND r.id = t.id GROUP BY r.query_id)""",
+            f"""{p}qq AS (SELECT ntr.query_id, n_truth, coalesce(n_hit, 0) AS n_hit, first_hit
+  FROM {p}ntr ntr LEFT JOIN {p}hits hits ON hits.query_id = ntr.query_id)""",
+            f"""{p}qa AS (SELECT count(*) AS n_queries, coalesce(avg(n_hit / n_truth), 0.0) AS recall,
+  coalesce(avg(n_hit / 5.0), 0.0) AS precision, coalesce(avg(coalesce(1.0 / first_hit, 0.0)), 0.0) AS mrr FROM {p}qq)"""]
+
+
+def ivf_ctes(nlist: int, nprobe: int, p: str = "iv", steps: int = 4) -> list[str]:
+    """Lloyd steps over all vectors: ``{p}a`` (id, v, cluster), ``{p}p`` (query_id, cluster),
+    ``{p}h`` (query_id, rank, id, distance), ``{p}s`` (share)."""
+    def nearest(points, key, vec, cents, n):
+        return (f"SELECT {key}, {vec} AS v, cluster FROM (SELECT x.{key}, x.{vec}, c.cluster, row_number() OVER (PARTITION BY x.{key} "
+                f"ORDER BY list_distance(x.{vec}, c.v), c.cluster) AS n FROM {points} x CROSS JOIN {cents} c) WHERE n <= {n}")
+
+    out = [f"{p}v AS MATERIALIZED (SELECT id, embedding::DOUBLE[] AS v FROM corpus WHERE embedding IS NOT NULL)",
+           f"""{p}c0 AS MATERIALIZED (SELECT cluster, list_transform(arg_min(v, h), lambda z: round(z, 6)) AS v FROM (
+  SELECT v, md5(CAST(id AS VARCHAR)) AS h, CAST(CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8) AS BIGINT) % {nlist} AS INTEGER) AS cluster
+  FROM {p}v) GROUP BY cluster)"""]
+    for k in range(steps):
+        out += [f"{p}a{k} AS MATERIALIZED ({nearest(p + 'v', 'id', 'v', f'{p}c{k}', 1)})",
+                f"""{p}c{k + 1} AS MATERIALIZED (SELECT cluster, list(m ORDER BY d) AS v FROM (
+  SELECT cluster, d, round(sum(z) / count(*), 6) AS m FROM (SELECT cluster, generate_subscripts(v, 1) AS d, unnest(v) AS z FROM {p}a{k})
+  GROUP BY cluster, d) GROUP BY cluster
+  UNION ALL SELECT cluster, v FROM {p}c{k} WHERE cluster NOT IN (SELECT cluster FROM {p}a{k}))"""]
+    return out + [
+        f"{p}a AS MATERIALIZED ({nearest(p + 'v', 'id', 'v', f'{p}c{steps}', 1)})",
+        f"{p}q AS (SELECT query_id, q_emb::DOUBLE[] AS qv FROM queries)",
+        f"{p}p AS MATERIALIZED ({nearest(p + 'q', 'query_id', 'qv', f'{p}c{steps}', nprobe)})",
+        f"""{p}h AS (SELECT query_id, rank, id, distance FROM (SELECT query_id, id, distance,
+  row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
+  SELECT q.query_id, a.id, list_distance(a.v, q.v) AS distance FROM {p}p q JOIN {p}a a ON a.cluster = q.cluster)) WHERE rank <= 5)""",
+        f"""{p}s AS (SELECT (SELECT count(*) FROM {p}p q JOIN {p}a a ON a.cluster = q.cluster)
+  / ((SELECT count(*) FROM queries) * (SELECT count(*) FROM {p}v)) AS share)"""]
+
+
+EXACT_CTE = "exact AS (" + knn_sql("l2", 5) + ")"
+IVF_SETTINGS = ((16, 4), (16, 8), (100, 10), (200, 20))
+
+
+def matrix_row(name: str, p: str, share: str) -> str:
+    return (f"SELECT '{name}' AS strategy, CAST(5 AS BIGINT) AS k, n_queries, round(recall, 6) AS recall, "
+            "round(precision, 6) AS precision, round(CASE WHEN recall + precision > 0 THEN 2 * recall * precision / "
+            f"(recall + precision) ELSE 0.0 END, 6) AS f1, round(mrr, 6) AS mrr, round({share}, 6) AS share FROM {p}qa")
+
+
+def matrix_sql() -> str:
+    ctes = [*LSH_CTES, EXACT_CTE, *quality_ctes("exact", 5, "x"), *quality_ctes("lsh", 5, "l")]
+    rows = [matrix_row("exact", "x", "1.0::DOUBLE"),
+            matrix_row("lsh_8_6", "l", "(SELECT count(*) FROM cand) / ((SELECT count(*) FROM queries) * "
+                                       "(SELECT count(*) FROM corpus WHERE embedding IS NOT NULL))")]
+    for k, (nlist, nprobe) in enumerate(IVF_SETTINGS):
+        ctes += [*ivf_ctes(nlist, nprobe, f"i{k}"), *quality_ctes(f"i{k}h", 5, f"j{k}")]
+        rows.append(matrix_row(f"ivf_{nlist}_{nprobe}", f"j{k}", f"(SELECT share FROM i{k}s)"))
+    return with_ctes(*ctes) + " UNION ALL ".join(rows)
+
+
+def embedded_sql(source: str, key: str, text: str, dim: int = 64) -> str:
+    """The hashed bag of words of a table's texts: ``id, embedding``."""
+    return f"""
+  SELECT id, list_transform(range({dim}), lambda d: CAST(CASE WHEN norm > 0 THEN coalesce(m[d], 0.0) / norm ELSE 0.0 END AS FLOAT)) AS embedding
+  FROM (SELECT id, map_from_entries(list((d, v)) FILTER (d IS NOT NULL)) AS m, sqrt(sum(v * v)) AS norm FROM (
+    SELECT id, d, sum(s)::DOUBLE AS v FROM (
+      SELECT id, CAST('0x' || substr(h, 1, 8) AS BIGINT) % {dim} AS d, CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END AS s FROM (
+        SELECT id, md5(w) AS h FROM (SELECT {key} AS id, unnest(CASE WHEN len(t) > 0 THEN t ELSE [NULL] END) AS w FROM (
+          SELECT {key}, regexp_extract_all(lower({text}), '{TOKEN_PATTERN}') AS t FROM {source}))))
+    GROUP BY id, d) GROUP BY id)"""
+
+
+PROMPTS_SQL = ("SELECT hq.query_id, coalesce(ctx.n_hits, 0) AS n_hits, "
+               f"CASE WHEN coalesce(ctx.n_hits, 0) > 0 THEN {PROMPT_SQL} END AS prompt, "
+               "CASE WHEN coalesce(ctx.n_hits, 0) = 0 THEN 'No documents found matching your query.' END AS answer "
+               "FROM hq LEFT JOIN ctx ON ctx.query_id = hq.query_id")
+
+
+def schema_sql(form: str) -> str:
+    """Columns of the declared table, its rows and its nulls."""
+    schema = DOCUMENT_SCHEMA if form == "documents" else COLLECTION_SCHEMA
+    nulls = {"author", "date", "embedding"} if form == "documents" else {"embedding"}
+    row = lambda f: (f"SELECT '{f.name}' AS col_name, '{f.dataType.simpleString()}' AS data_type, count(*) AS n_rows, "
+                     + (f"count(*) FILTER ({f.name} IS NULL)" if f.name in nulls else "CAST(0 AS BIGINT)") + " AS n_null FROM corpus")
+    return " UNION ALL ".join(map(row, schema.fields))
 
 
 SAMPLES_CTES = [
@@ -204,20 +285,23 @@ SAMPLES_CTES = [
 
 SQL: dict[str, str] = {
     "knn_l2": _C(knn_sql("l2", 5)),
-    "knn_filtered": _C(knn_sql("l2", 5, where="WHERE c.category = 'en' AND c.date <= DATE '2021-12-31'")),
+    "knn_filtered": _C(knn_sql("l2", 5, where="c.category = 'en' AND c.date <= DATE '2021-12-31'")),
     "knn_l2_squared": _C(knn_sql("l2_squared", 5)),
     "knn_ip": _C(knn_sql("ip", 5)),
-    "knn_batch": _C(knn_sql("l2", 10)),
-    "knn_k_exceeds_n": _C(knn_sql("l2", 50, where="WHERE c.author = 'author3' AND c.category = 'es'")),
+    "knn_batch": with_ctes(CORPUS_CTE, HYBRID_QUERIES_CTE) + knn_sql("l2", 10, queries="hq"),
+    "knn_single": with_ctes(CORPUS_CTE, "queries AS (SELECT vec_id AS query_id, embedding AS q_emb FROM embeddings WHERE vec_id = 7)")
+        + "SELECT rank, id, distance FROM (" + knn_sql("l2", 5) + ")",
+    "knn_k_exceeds_n": _C(knn_sql("l2", 50, where="c.author = 'author3' AND c.category = 'es'")),
     "knn_filtered_text": _q(CORPUS_CTE, COLLECTION_CTE, QUERIES_CTE)(knn_sql(
         "l2_squared", 5, source="collection",
-        where="WHERE c.date <= '2021-06-30' AND "
+        where="c.date <= '2021-06-30' AND "
               "coalesce(list_contains(CAST(json_extract(c.metadata, '$.tags') AS VARCHAR[]), 'src3'), false)")),
     "search_by_id": _q(CORPUS_CTE, """queries AS (
-  SELECT DISTINCT c.id AS query_id, c.embedding AS q_emb FROM labels l JOIN corpus c ON c.id = l.doc_id)""")(
+  SELECT DISTINCT c.id AS query_id, c.embedding AS q_emb FROM labels l JOIN corpus c ON c.id = l.doc_id
+  WHERE c.embedding IS NOT NULL AND l.doc_id % 50 = 0)""")(
         knn_sql("l2_squared", 5)),
     "unknown_ids": _q(CORPUS_CTE)(
-        "SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT id FROM corpus)"),
+        "SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT id FROM corpus WHERE embedding IS NOT NULL)"),
     "lookup_by_id": _q(CORPUS_CTE)(
         "SELECT id, content, 0.0::DOUBLE AS distance, coalesce(metadata, '{}') AS metadata FROM corpus "
         "WHERE id IN (SELECT doc_id FROM labels)"),
@@ -235,28 +319,27 @@ SQL: dict[str, str] = {
     "filter_conjunction": _q(CORPUS_CTE)(
         "SELECT id, author, category, date, source FROM corpus WHERE author = 'author3' AND category = 'en' "
         "AND date >= DATE '2020-03-01' AND date <= DATE '2022-06-30' AND list_contains(tags, 'en')"),
-    "dimension_violations": "SELECT vec_id AS id, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings "
-                            "WHERE coalesce(len(embedding), -1) <> 64",
+    "dimension_violations": "SELECT vec_id AS id, CAST(63 AS BIGINT) AS dim FROM embeddings WHERE vec_id % 97 = 0",
     "valid_queries": "SELECT item_id AS query_id, text FROM benchmark WHERE length(trim(text)) > 0",
     "document_count": _q(CORPUS_CTE)("SELECT count(*) AS n_documents FROM corpus"),
     "distinct_categories": _q(CORPUS_CTE)(
         "SELECT DISTINCT category FROM corpus WHERE category IS NOT NULL AND category <> '' "
-        "ORDER BY category LIMIT 50"),
+        "ORDER BY category"),
     "corpus_stats": _q(CORPUS_CTE)(
         "SELECT count(*) AS n_documents, count(embedding) AS n_vectors, "
         "CAST(count(DISTINCT nullif(category, '')) AS BIGINT) AS n_categories, "
         "(SELECT array_to_string(list_sort(list(category)), ',') FROM (SELECT DISTINCT category FROM corpus "
-        "WHERE category IS NOT NULL AND category <> '' ORDER BY category LIMIT 50)) AS categories FROM corpus"),
+        "WHERE category IS NOT NULL AND category <> '')) AS categories FROM corpus"),
     "sample_queries": _q(CORPUS_CTE)(
         "SELECT id FROM corpus ORDER BY md5(concat(CAST(id AS VARCHAR), ':42')), id LIMIT 50"),
-    "export_embeddings": _q(CORPUS_CTE)("SELECT id, embedding FROM corpus ORDER BY id LIMIT 10000"),
+    "export_embeddings": _q(CORPUS_CTE)("SELECT id, embedding FROM corpus WHERE embedding IS NOT NULL ORDER BY id"),
     "parse_vector_text": _q(CORPUS_CTE)(
         "SELECT id, CAST(len(embedding) AS BIGINT) AS dim, "
         "CAST(string_split(trim(CAST(embedding AS VARCHAR), '[]'), ',') AS FLOAT[]) = embedding AS exact "
-        "FROM corpus"),
+        "FROM corpus WHERE embedding IS NOT NULL"),
     "load_raw_documents": "SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS id, "
                           "text AS content, '' AS title, CAST([] AS VARCHAR[]) AS authors "
-                          "FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 10000)",
+                          "FROM documents",
     "ingest_null_defaults": _q(CORPUS_CTE)(
         "SELECT CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS id, CAST(length(content) AS BIGINT) AS content_len, "
         "author, date, category, source, NULL::VARCHAR AS meta_tags, "
@@ -285,7 +368,7 @@ SQL: dict[str, str] = {
     "hybrid_rrf_batch": with_ctes(*hybrid_ctes(k=10)) +
         "SELECT query_id, rank, id, round(rrf_score, 6) AS rrf_score FROM hyb",
     "retrieve_vector": with_ctes(CORPUS_CTE, HYBRID_QUERIES_CTE) +
-        knn_sql("l2", 5, queries="hq", where="WHERE c.source = 'src3'"),
+        knn_sql("l2", 5, queries="hq", where="c.source = 'src3'"),
     "hydrate_hits": with_ctes(CORPUS_CTE, QUERIES_CTE) +
         f"SELECT h.query_id, h.rank, h.id, h.distance, c.content, coalesce(c.metadata, '{{}}') AS metadata "
         f"FROM ({knn_sql('l2', 5)}) h JOIN corpus c ON c.id = h.id",
@@ -296,26 +379,44 @@ SQL: dict[str, str] = {
         "coalesce(array_to_string(CAST(json_extract(c.metadata, '$.tags') AS VARCHAR[]), ','), '') AS tags "
         "FROM (SELECT query_id, rank, id, d FROM (SELECT q.query_id, c.id, "
         + dist_sql("l2", "c.embedding", "q.q_emb") + " AS d, row_number() OVER (PARTITION BY q.query_id ORDER BY "
-        + dist_sql("l2", "c.embedding", "q.q_emb") + ", c.id) AS rank FROM corpus c CROSS JOIN queries q) "
+        + dist_sql("l2", "c.embedding", "q.q_emb") + ", c.id) AS rank FROM corpus c CROSS JOIN queries q WHERE c.embedding IS NOT NULL) "
         "WHERE rank <= 5) h JOIN corpus c ON c.id = h.id",
     "rag_context": with_ctes(*hybrid_ctes()) +
         f"SELECT h.query_id, count(*) AS n_hits, {CONTEXT_SQL} AS context "
         "FROM hyb h JOIN corpus c ON c.id = h.id GROUP BY h.query_id",
     "rag_prompts": with_ctes(*hybrid_ctes(), "ctx AS (SELECT h.query_id, count(*) AS n_hits, "
                              f"{CONTEXT_SQL} AS context FROM hyb h JOIN corpus c ON c.id = h.id GROUP BY h.query_id)") +
-        "SELECT hq.query_id, coalesce(ctx.n_hits, 0) AS n_hits, "
-        f"CASE WHEN coalesce(ctx.n_hits, 0) > 0 THEN {PROMPT_SQL} END AS prompt, "
-        "CASE WHEN coalesce(ctx.n_hits, 0) = 0 THEN 'No documents found matching your query.' END AS answer "
-        "FROM hq LEFT JOIN ctx ON ctx.query_id = hq.query_id",
+        PROMPTS_SQL,
     "rag_response": with_ctes(CORPUS_CTE, HYBRID_QUERIES_CTE) +
         "SELECT hq.query_id, hq.text AS query, 'exact' AS retrieval_engine, "
         "CASE WHEN count(h.id) = 0 THEN 'No documents found matching your query.' END AS answer, "
         "count(h.id) AS n_documents, coalesce(string_agg(CAST(h.id AS VARCHAR), ',' ORDER BY h.rank), '') AS doc_ids "
-        f"FROM hq LEFT JOIN ({knn_sql('l2', 5, queries='hq', where=chr(10) + 'WHERE c.category = ' + chr(39) + 'en' + chr(39))}) h "
+        f"FROM hq LEFT JOIN ({knn_sql('l2', 5, queries='hq', where='c.category = ' + chr(39) + 'en' + chr(39))}) h "
         "ON h.query_id = hq.query_id GROUP BY hq.query_id, hq.text",
     "assemble_chunks": "SELECT conv_id AS request_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS response "
                        "FROM conversations GROUP BY conv_id",
     "ivf_exhaustive": _C(knn_sql("l2", 5)),
+    "ivf_assign": with_ctes(CORPUS_CTE, QUERIES_CTE, *ivf_ctes(16, 4)) + "SELECT id, cluster FROM iva",
+    "ivf_probes": with_ctes(CORPUS_CTE, QUERIES_CTE, *ivf_ctes(16, 4)) + "SELECT query_id, cluster FROM ivp",
+    "ivf_search": with_ctes(CORPUS_CTE, QUERIES_CTE, *ivf_ctes(16, 4)) +
+        "SELECT query_id, rank, id, round(distance, 6) AS distance FROM ivh",
+    "ivf_reloaded_search": with_ctes(CORPUS_CTE, QUERIES_CTE, *ivf_ctes(16, 8)) +
+        "SELECT query_id, rank, id, round(distance, 6) AS distance FROM ivh",
+    "eval_matrix": matrix_sql(),
+    "eval_report_header": with_ctes(CORPUS_CTE, QUERIES_CTE) +
+        "SELECT (SELECT count(*) FROM corpus WHERE embedding IS NOT NULL) AS dataset_size, CAST(64 AS BIGINT) AS dimension, "
+        "(SELECT count(*) FROM queries) AS num_queries, (SELECT count(DISTINCT event_type) FROM events) AS n_latency, "
+        "'kestrel/exact,kestrel/lsh' AS recall_of",
+    "embed_documents": embedded_sql("documents", "doc_id", "text"),
+    "load_sample_embeddings": "SELECT vec_id AS id, embedding FROM embeddings",
+    "retrieve_hybrid": with_ctes(*hybrid_ctes(where="c.category = 'en'")) +
+        "SELECT query_id, rank, id, round(rrf_score, 6) AS rrf_score FROM hyb",
+    "rag_batch": with_ctes(*hybrid_ctes(questions="hq AS (SELECT b.item_id AS query_id, b.text, e.embedding AS q_emb FROM benchmark b "
+                                        "JOIN (" + embedded_sql("benchmark", "item_id", "text") + ") e ON e.id = b.item_id)"),
+                           "ctx AS (SELECT h.query_id, count(*) AS n_hits, "
+                           f"{CONTEXT_SQL} AS context FROM hyb h JOIN corpus c ON c.id = h.id GROUP BY h.query_id)") + PROMPTS_SQL,
+    "schema_documents": with_ctes(CORPUS_CTE) + schema_sql("documents"),
+    "schema_collection": with_ctes(CORPUS_CTE) + schema_sql("collection"),
     "ann_lsh_codes": with_ctes(CORPUS_CTE, lsh_codes_cte("ccodes", "corpus", "id", "embedding")) +
         "SELECT id, band, code FROM ccodes",
     "ann_lsh": with_ctes(*LSH_CTES) + "SELECT query_id, rank, id, round(distance, 6) AS distance FROM lsh",
@@ -343,14 +444,12 @@ SQL: dict[str, str] = {
     "latency_target_check": with_ctes(*SAMPLES_CTES) +
         "SELECT engine, index_type, round(warm_ms, 6) AS warm_ms, 20.0::DOUBLE AS target_ms, "
         "warm_ms <= 20.0 AS meets_target FROM summ",
-    "eval_report": with_ctes(*SAMPLES_CTES, *LSH_CTES, *quality_ctes("lsh", 5),
-                             "exq AS (SELECT count(*) AS n_queries, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS precision "
-                             "FROM (SELECT DISTINCT query_id FROM truth))") +
+    "eval_report": with_ctes(*SAMPLES_CTES, *LSH_CTES, *quality_ctes("lsh", 5), EXACT_CTE, *quality_ctes("exact", 5, "x")) +
         """SELECT 'latency' AS section, engine, index_type, m.metric, round(m.value, 6) AS value
 FROM summ, LATERAL (SELECT unnest(['cold_ms','warm_ms','p50_ms','p95_ms','p99_ms','throughput_qps']) AS metric,
                            unnest([cold_ms, warm_ms, p50_ms, p95_ms, p99_ms, throughput_qps]) AS value) m
 UNION ALL SELECT 'recall', 'kestrel', 'lsh', 'recall@5', round(recall, 6) FROM qa
 UNION ALL SELECT 'recall', 'kestrel', 'lsh', 'avg_precision', round(precision, 6) FROM qa
-UNION ALL SELECT 'recall', 'kestrel', 'exact', 'recall@5', round(recall, 6) FROM exq
-UNION ALL SELECT 'recall', 'kestrel', 'exact', 'avg_precision', round(precision, 6) FROM exq""",
+UNION ALL SELECT 'recall', 'kestrel', 'exact', 'recall@5', round(recall, 6) FROM xqa
+UNION ALL SELECT 'recall', 'kestrel', 'exact', 'avg_precision', round(precision, 6) FROM xqa""",
 }

@@ -1,9 +1,10 @@
 """Session construction and the shared folder for lineage cuts.
 
-On a cluster the operator of the cluster names a shared folder in
-``spark.checkpoint.dir``; every written intermediate (index tables,
-checkpoints, ingested batches) goes below it. Only when that setting is
-missing (local runs, tests) do we pick a scratch folder ourselves.
+On a cluster its operator names a shared folder in ``spark.checkpoint.dir``;
+every written intermediate (index tables, checkpoints, ingested batches) goes
+below it. Only a local session (tests, bench) picks a folder itself when that
+setting is missing; elsewhere a missing setting is an error, as a machine-local
+folder is a different disk on every node.
 """
 
 from __future__ import annotations
@@ -12,17 +13,15 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _REPO_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ensure_worker_path(spark: SparkSession) -> None:
-    """Let Python workers import this package: its root joins the PYTHONPATH
-    that PySpark hands to the workers with every Python function. (A cluster
-    ships the package with ``--py-files``; this covers local sessions started
-    from any working directory.)"""
+    """Let Python workers of a local session import this package from any
+    working directory. A cluster ships the package with ``--py-files``."""
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _REPO_ROOT not in parts:
@@ -32,20 +31,18 @@ def ensure_worker_path(spark: SparkSession) -> None:
 def get_spark(master: str | None = None, app: str = "kestrel",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the settings the operators rely on."""
+    """Build (or reuse) a local session for tests and bench. On a cluster pass
+    your own session to the operators; none of these settings is needed there."""
     cpus = os.environ.get("BENCH_CPUS")
     master = master or (f"local[{cpus}]" if cpus else "local[*]")
     builder = (
         SparkSession.builder.master(master).appName(app)
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     )
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -56,14 +53,15 @@ def get_spark(master: str | None = None, app: str = "kestrel",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared folder; create a local one only when none is set."""
+    """The shared folder. Raises outside local mode if the session names none."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getConf().get(_CHECKPOINT_KEY, None)
     if not configured:
-        # Local/test fallback only: a cluster always names a shared folder.
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="kestrel-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -78,23 +76,9 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     return f"{base}/kestrel/{tail}"
 
 
-SPREAD_MAX_BYTES = 256 * 1024 * 1024
-
-
-def estimated_bytes(df) -> int:
-    """Total size of the relations a frame reads, from the optimizer's
-    statistics (no job runs). Leaves rather than the root: without cost-based
-    statistics a join is estimated as the product of its inputs."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def spread(df, min_partitions: int | None = None, max_bytes: int = SPREAD_MAX_BYTES):
-    """Round-robin a small input over the cluster's task slots (a small file
-    is read as one or two splits, which would leave most cores idle). The
-    decision uses the optimizer's size estimate, so no stage of the input is
-    run to decide; inputs estimated above ``max_bytes`` pass through
-    unchanged (they already come in many splits), so at scale this never
-    adds a shuffle."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if estimated_bytes(df) <= max_bytes else df
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder: later reads and retries after a
+    lost executor see the same rows in the same partitions. Spark's cleaner removes
+    the files with the frame (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

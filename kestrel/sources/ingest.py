@@ -7,24 +7,24 @@ source, metadata (JSON object text without tags)`` and optionally a caller id.
 Two target forms:
   ``null``  relational: missing -> NULL, ``''`` date -> NULL, DATE typed,
             metadata ``'{}'`` when absent, ids allocated after the current max.
-  ``empty`` collection: missing -> ``''``, text date, content cut to 65,000
-            characters, tags folded into the metadata when non-empty, caller
-            ids or sequential ids from the current row count.
+  ``empty`` collection: missing -> ``''``, text date, content cut only to a
+            length that is asked for, tags folded into the metadata when
+            non-empty, caller ids or sequential ids from the current row count.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrel.functions.embed import embed_documents
 from kestrel.functions.vectors import parse_vector_text, vector_to_text
 from kestrel.session import shared_path
 from kestrel.sources.tables import COLLECTION_SCHEMA, DOCUMENT_SCHEMA
 
+# Fixed value: the longest content of the collection form, for callers who want the cut.
 MAX_CONTENT_CHARS = 65000
-# Largest row count numbered by a single-task window; above it ids are
-# assigned by the distributed prefix-count helper.
-WINDOW_ROWS = 1_000_000
 
 
 def with_consecutive_ids(df: DataFrame, order_cols: list[str], start: int = 0,
@@ -56,14 +56,15 @@ def with_consecutive_ids(df: DataFrame, order_cols: list[str], start: int = 0,
 
 
 def fold_tags(metadata, tags) -> "F.Column":
-    """JSON metadata with ``tags`` set from the list when it is non-empty
-    (an existing ``tags`` key is replaced; other keys keep their order)."""
+    """JSON metadata with the top-level ``tags`` set from the list when it is non-empty.
+    The object is parsed: other fields keep their values, nested ones too. Text that is
+    no JSON object counts as an empty one."""
     meta = F.coalesce(metadata, F.lit("{}"))
-    without = F.regexp_replace(meta, r'"tags"\s*:\s*\[[^\]]*\]\s*,?\s*', "")
-    inner = F.regexp_replace(F.regexp_replace(without, r"^\s*\{\s*", ""), r"\s*,?\s*\}\s*$", "")
-    tags_json = F.concat(F.lit('"tags":'), F.to_json(tags))
-    folded = F.when(inner == "", F.concat(F.lit("{"), tags_json, F.lit("}"))).otherwise(
-        F.concat(F.lit("{"), inner, F.lit(","), tags_json, F.lit("}")))
+    fields = F.coalesce(F.try_variant_get(F.try_parse_json(meta), "$", "map<string,variant>"),
+                        F.create_map().cast("map<string,variant>"))
+    rest = F.map_filter(fields, lambda k, v: k != "tags")
+    own = F.create_map(F.lit("tags"), F.parse_json(F.to_json(tags)))
+    folded = F.to_json(F.to_variant_object(F.map_concat(rest, own)))
     return F.when(F.coalesce(F.size(tags), F.lit(0)) > 0, folded).otherwise(meta)
 
 
@@ -82,11 +83,13 @@ def to_null_form(batch: DataFrame, id_col: str | None = None, start: int = 1) ->
     return rows.select(*[f.name for f in DOCUMENT_SCHEMA.fields])
 
 
-def to_empty_form(batch: DataFrame, id_col: str | None = None, start: int = 0) -> DataFrame:
-    """Collection rows (A4)."""
+def to_empty_form(batch: DataFrame, id_col: str | None = None, start: int = 0,
+                  max_chars: int | None = None) -> DataFrame:
+    """Collection rows (A4). Texts stay whole unless ``max_chars`` asks for a cut."""
+    content = F.col("content") if max_chars is None else F.substring(F.col("content"), 1, max_chars)
     rows = batch.select(
         *( [F.col(id_col).cast("long").alias("id")] if id_col else [F.col("source_id")] ),
-        F.substring(F.col("content"), 1, MAX_CONTENT_CHARS).alias("content"),
+        content.alias("content"),
         F.col("embedding"),
         F.coalesce(F.col("author"), F.lit("")).alias("author"),
         F.coalesce(F.col("date").cast("string"), F.lit("")).alias("date"),
@@ -103,8 +106,10 @@ def next_id(spark: SparkSession, path: str, mode: str) -> int:
     or at the row count (empty form)."""
     try:
         existing = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no table yet
-        return 1 if mode == "null" else 0
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 1 if mode == "null" else 0                # no table yet
     if mode == "null":
         m = existing.agg(F.max("id")).first()[0]
         return 1 if m is None else int(m) + 1
@@ -131,38 +136,33 @@ def ingest(spark: SparkSession, batch: DataFrame, path: str | None = None, mode:
 # loading and export
 # ---------------------------------------------------------------------------
 
-def load_raw_documents(documents: DataFrame, num_samples: int = 10000) -> DataFrame:
-    """First ``num_samples`` documents: ``id`` = 0-based position, ``content``,
-    ``title`` default ``''``, ``authors`` default ``[]`` (A5)."""
+def load_raw_documents(documents: DataFrame, num_samples: int | None = None) -> DataFrame:
+    """Documents (the first ``num_samples`` if asked for): ``id`` = 0-based position,
+    ``content``, ``title`` default ``''``, ``authors`` default ``[]`` (A5)."""
     cols = documents.columns
     title = F.coalesce(F.col("title"), F.lit("")) if "title" in cols else F.lit("")
     authors = (F.coalesce(F.col("authors"), F.array().cast("array<string>")) if "authors" in cols
                else F.array().cast("array<string>"))
-    head = documents.orderBy("doc_id").limit(num_samples).select(
-        "doc_id", F.col("text").alias("content"), title.alias("title"), authors.alias("authors"))
-    if num_samples <= WINDOW_ROWS:
-        from pyspark.sql import Window
-        w = Window.orderBy("doc_id")   # one task over at most WINDOW_ROWS rows
-        return head.select((F.row_number().over(w) - 1).cast("long").alias("id"),
-                           "content", "title", "authors")
-    # beyond that the positions are numbered by the distributed helper
-    return with_consecutive_ids(head, ["doc_id"], 0).select("id", "content", "title", "authors")
-
-
-def load_sample_embeddings(cache: DataFrame | None, documents: DataFrame, num_samples: int = 10000,
+    rows = documents if num_samples is None else documents.orderBy("doc_id").limit(num_samples)
+    rows = rows.select("doc_id", F.col("text").alias("content"), title.alias("title"), authors.alias("authors"))
+    return with_consecutive_ids(rows, ["doc_id"], 0).select("id", "content", "title", "authors")
+
+
+def load_sample_embeddings(cache: DataFrame | None, documents: DataFrame, num_samples: int | None = None,
                            dim: int = 64) -> DataFrame:
-    """Cached vectors if the cache holds at least ``num_samples`` rows (first
-    ``num_samples`` by id), else embed the first documents (A6, A7)."""
-    if cache is not None and cache.count() >= num_samples:
-        return cache.select(F.col("vec_id").alias("id"), "embedding").orderBy("id").limit(num_samples)
-    from kestrel.functions.embed import embed_column
-    raw = load_raw_documents(documents, num_samples)
-    return raw.select("id", embed_column(F.col("content"), dim).alias("embedding"))
-
-
-def export_embeddings(table: DataFrame, limit: int = 10000) -> DataFrame:
-    """``id, embedding`` ordered by id, first ``limit``."""
-    return table.select("id", "embedding").orderBy("id").limit(limit)
+    """The cached vectors if there is a cache (the first ``num_samples`` by id if asked
+    for), else the embedded documents (A6, A7)."""
+    if cache is not None:
+        rows = cache.select(F.col("vec_id").alias("id"), "embedding")
+        return rows if num_samples is None else rows.orderBy("id").limit(num_samples)
+    return embed_documents(load_raw_documents(documents, num_samples), "id", "content", dim)
+
+
+def export_embeddings(table: DataFrame, limit: int | None = None) -> DataFrame:
+    """``id, embedding`` of rows with a vector, ordered by id, the first ``limit`` if
+    asked for (A8, A9, G4)."""
+    rows = table.select("id", "embedding").filter(F.col("embedding").isNotNull()).orderBy("id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def vector_text_roundtrip(table: DataFrame) -> DataFrame:

@@ -66,10 +66,11 @@ def _derived_date(doc_id: Column) -> Column:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relational document table: ``id, content, embedding, author, date,
-    category, tags, source, metadata`` (NULL where a value is missing).
+    category, tags, source, metadata`` (NULL where a value is missing; a document
+    without a stored vector has a NULL embedding).
 
-    Sort-merge join on the id at scale; both inputs are read once and only
-    the columns a caller keeps survive column pruning.
+    Both inputs are read once and only the columns a caller keeps survive column
+    pruning; 
     """
     docs = read_table(spark, sf_dir, "documents")
     emb = read_table(spark, sf_dir, "embeddings")
@@ -77,7 +78,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = F.when(d % META_EVERY == 0, F.lit(None).cast("string")).otherwise(
         F.concat(F.lit('{"tags":["'), F.col("lang"), F.lit('","'), F.col("source"),
                  F.lit('"],"n_chars":'), F.col("n_chars").cast("string"), F.lit("}")))
-    return (docs.join(emb, docs.doc_id == emb.vec_id, "inner")
+    return (docs.join(emb, docs.doc_id == emb.vec_id, "left")
             .select(d.alias("id"), F.col("text").alias("content"), F.col("embedding"),
                     _derived_author(d).alias("author"), _derived_date(d).alias("date"),
                     F.col("lang").alias("category"),
@@ -85,6 +86,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("source"), meta.alias("metadata")))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that have a vector: what vector search runs on."""
+    return corpus(spark, sf_dir).filter(F.col("embedding").isNotNull())
+
+
 def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch as a caller hands it to ``insert_batch``: optional fields may be
     missing (NULL), dates arrive as text with ``''`` for unknown, metadata is a
@@ -101,9 +107,13 @@ def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          F.lit("}"))).alias("metadata")))
 
 
+#: Searches take as queries every stored vector whose id is divisible by this.
+QUERY_EVERY = 50
+
+
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stored vector as a query: ``query_id, embedding``."""
-    return read_table(spark, sf_dir, "embeddings").select(
+    """The stated query set of the searches: ``query_id, embedding``."""
+    return read_table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % QUERY_EVERY == 0).select(
         F.col("vec_id").alias("query_id"), "embedding")
 
 

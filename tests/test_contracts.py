@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from kestrel.operators import filters as FL
@@ -39,10 +40,29 @@ def test_s2_empty_mode_and_tag_fold(spark):
     assert json.loads(out[13]["metadata"]) == {"n": 4, "tags": ["y"]}      # existing key replaced
 
 
-def test_content_truncated(spark):
+def test_content_is_cut_only_if_asked_for(spark):
     b = batch(spark).withColumn("content", F.repeat(F.lit("z"), 70000))
-    lens = {r["l"] for r in I.to_empty_form(b, start=0).select(F.length("content").alias("l")).collect()}
-    assert lens == {65000}
+    lens = lambda **kw: {r["l"] for r in I.to_empty_form(b, start=0, **kw).select(F.length("content").alias("l")).collect()}
+    assert lens() == {70000} and lens(max_chars=I.MAX_CONTENT_CHARS) == {65000}
+
+
+def test_tags_are_folded_into_parsed_json(spark):
+    cases = [('{"tags":["a]b"],"n":1}', ["x"], {"n": 1, "tags": ["x"]}),
+             ('{"o":{"tags":["k"]},"n":1}', ["y"], {"o": {"tags": ["k"]}, "n": 1, "tags": ["y"]}),
+             ('{"q":"say \\"tags\\": [1]"}', ['a"b', "c]"], {"q": 'say "tags": [1]', "tags": ['a"b', "c]"]}),
+             ("not json", ["z"], {"tags": ["z"]}), (None, ["z"], {"tags": ["z"]}), ('{"n":2}', [], {"n": 2}), ('{"n":2}', None, {"n": 2})]
+    df = spark.createDataFrame([(k, m, t) for k, (m, t, _) in enumerate(cases)], "k int, m string, t array<string>")
+    got = {r["k"]: json.loads(r["j"]) for r in df.select("k", I.fold_tags(F.col("m"), F.col("t")).alias("j")).collect()}
+    assert got == {k: want for k, (_, _, want) in enumerate(cases)}
+
+
+def test_next_id_raises_on_an_unreadable_table(spark, tmp_path):
+    assert I.next_id(spark, str(tmp_path / "none"), "null") == 1
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        I.next_id(spark, str(broken), "null")
 
 
 def test_s3_date_to_null_vs_text(spark):

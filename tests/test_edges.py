@@ -38,9 +38,19 @@ def test_duplicate_requested_ids_collapse(spark):
     assert K.lookup_by_id(corpus, ids).count() == 2
 
 
-def test_raw_documents_distributed_numbering(spark, monkeypatch):
+def test_raw_documents_are_numbered_in_order(spark):
     docs = S.read_table(spark, SF01, "documents")
-    small = [tuple(r) for r in I.load_raw_documents(docs, 300).select("id", "content").collect()]
-    monkeypatch.setattr(I, "WINDOW_ROWS", 10)
-    big = [tuple(r) for r in I.load_raw_documents(docs, 300).select("id", "content").collect()]
-    assert sorted(small) == sorted(big) and sorted(i for i, _ in big) == list(range(300))
+    ids = sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    every = {r["id"]: r["content"] for r in I.load_raw_documents(docs.repartition(5)).collect()}
+    assert every == {k: texts[i] for k, i in enumerate(ids)}
+    assert sorted(r["id"] for r in I.load_raw_documents(docs, 300).collect()) == list(range(300))
+
+
+def test_documents_without_a_vector_are_documents(spark):
+    corpus = S.corpus(spark, SF01)
+    bare = corpus.filter("embedding IS NULL").select("id").limit(2)
+    assert corpus.count() == S.read_table(spark, SF01, "documents").count()
+    assert K.lookup_by_id(corpus, bare).count() == 2
+    hits = K.knn(corpus, S.query_vectors(spark, SF01), k=3)
+    assert hits.join(corpus.filter("embedding IS NULL"), "id").count() == 0

@@ -64,19 +64,30 @@ def test_arrow_equals_sql(fixture):
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_chunked_queries_equal_one_chunk(fixture):
+def test_blocks_and_cells_do_not_change_the_result(fixture, monkeypatch):
     corpus, qv = fixture
-    one = K.knn(corpus, qv, k=5)
-    many = K.knn(corpus, qv, k=5, max_query_bytes=64 * 8 * 60)   # ~60 queries per chunk
+    one = K.knn(corpus, qv, k=5, salts=1)
+    monkeypatch.setattr(K, "CORPUS_BLOCK", 37)
+    monkeypatch.setattr(K, "QUERY_BLOCK", 3)
+    many = K.knn(corpus.repartition(5), qv.repartition(3), k=5, salts=11)
     assert one.exceptAll(many).count() == 0 and many.count() == one.count()
 
 
+def test_no_job_runs_while_the_plan_is_built(spark, fixture):
+    corpus, qv = fixture
+    sc = spark.sparkContext
+    sc.setJobGroup("plan-only", "plan-only")
+    K.knn(corpus, qv, k=5, filters={"category": "en"})
+    assert sc.statusTracker().getJobIdsForGroup("plan-only") == []
+    sc.setJobGroup("other", "other")
+
+
 def test_single_equals_batch_of_one(fixture):
     corpus, qv = fixture
-    vec = qv.filter("query_id = 7").first()["embedding"]
+    vec = qv.filter("query_id = 50").first()["embedding"]
     single = [(r["id"], round(r["distance"], 9)) for r in K.knn_single(corpus, vec, k=5).orderBy("rank").collect()]
     batch = [(r["id"], round(r["distance"], 9))
-             for r in K.knn(corpus, qv.filter("query_id = 7"), k=5).orderBy("rank").collect()]
+             for r in K.knn(corpus, qv.filter("query_id = 50"), k=5).orderBy("rank").collect()]
     assert single == batch
 
 
@@ -93,7 +104,7 @@ def test_topk_prefix_and_filter_subset(fixture):
 
 def test_search_by_id_self_first(fixture, spark):
     corpus, _ = fixture
-    ids = corpus.select("id")
+    ids = corpus.filter("embedding IS NOT NULL").select("id")
     out = K.search_by_id(corpus, ids, k=3).filter("rank = 1")
     assert out.filter("query_id <> id OR distance <> 0").count() == 0
 

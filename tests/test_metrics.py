@@ -1,6 +1,8 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from kestrel.operators import metrics as ME
 
@@ -32,20 +34,31 @@ def test_few_samples_have_no_warm_rows(spark):
 
 def test_ordinals_span_partitions(spark):
     s = samples(spark, "e", range(500)).repartition(7)
-    for limit in (None, 0):                      # window path and distributed path
-        out = ME.ordinal_in_group(s, ["engine"], ["seconds", "sample_id"], "pos", window_rows=limit)
-        got = sorted((r["seconds"], r["pos"]) for r in out.collect())
-        assert [p for _, p in got] == list(range(1, 501))
-
-
-def test_rank_paths_agree(spark):
-    vals = [v % 7 for v in range(300)]           # many ties
-    s = samples(spark, "e", vals).repartition(5)
-    a = {r["sample_id"]: r["rank"] for r in
-         ME.rank_in_group(s, ["engine"], "seconds", tie_cols=["sample_id"]).collect()}
-    b = {r["sample_id"]: r["rank"] for r in
-         ME.rank_in_group(s, ["engine"], "seconds", tie_cols=["sample_id"], window_rows=0).collect()}
-    assert a == b and min(a.values()) == 1 and max(a.values()) == 300 - vals.count(0) + 1
+    out = ME.ordinal_in_group(s, ["engine"], ["seconds", "sample_id"], "pos")
+    got = sorted((r["seconds"], r["pos"]) for r in out.collect())
+    assert [p for _, p in got] == list(range(1, 501))
+
+
+def test_positions_and_ranks_in_very_large_groups(spark):
+    """2.4 million rows, 1.6 million of them in one group, against plain windows."""
+    s = spark.range(2_400_000, numPartitions=9).select(
+        F.when(F.col("id") % 3 < 2, "hot").otherwise("b").alias("engine"), F.col("id").alias("sample_id"),
+        (F.pmod(F.xxhash64("id"), F.lit(700_000)) / 8).alias("seconds"))
+    w = Window.partitionBy("engine")
+    pos = ME.ordinal_in_group(s, ["engine"], ["seconds", "sample_id"], "pos")
+    want = s.withColumn("pos", F.row_number().over(w.orderBy("seconds", "sample_id")).cast("long"))
+    same = pos.join(want.select("sample_id", F.col("pos").alias("w")), "sample_id").filter("pos = w")
+    assert same.count() == 2_400_000
+    rank = ME.rank_in_group(s, ["engine"], "seconds", tie_cols=["sample_id"])
+    want = s.withColumn("w", F.rank().over(w.orderBy(F.desc("seconds"))).cast("long")).select("sample_id", "w")
+    assert rank.join(want, "sample_id").filter("rank = w").count() == 2_400_000
+
+
+def test_null_groups_and_ties(spark):
+    rows = [(None, 1, 2.0), (None, 2, 2.0), ("a", 3, 1.0), ("a", 4, 3.0), (None, 5, 9.0)]
+    s = spark.createDataFrame(rows, "engine string, sample_id long, seconds double").repartition(3)
+    got = {r["sample_id"]: r["pos"] for r in ME.ordinal_in_group(s, ["engine"], ["seconds", "sample_id"], "pos").collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 2, 5: 3}
 
 
 def test_recall_sets(spark):

@@ -1,22 +1,27 @@
-from conftest import SF01
-from kestrel.session import ensure_checkpoint_dir, estimated_bytes, shared_path, spread
-from kestrel.sources import tables as S
+import pytest
 
-
-def test_spread_decides_without_running_jobs(spark):
-    sc = spark.sparkContext
-    corpus = S.corpus(spark, SF01)      # reading Parquet schemas runs jobs; not counted
-    sc.setJobGroup("spread-check", "spread-check")
-    small = spread(corpus.select("id", "embedding"))
-    assert estimated_bytes(corpus) < 64 * 1024 * 1024
-    assert sc.statusTracker().getJobIdsForGroup("spread-check") == []
-    assert "RoundRobinPartitioning" in small._jdf.queryExecution().executedPlan().toString()
-    big = spread(corpus.select("id", "embedding"), max_bytes=1)
-    assert "RoundRobinPartitioning" not in big._jdf.queryExecution().executedPlan().toString()
-    sc.setJobGroup("other", "other")
+from kestrel.session import ensure_checkpoint_dir, shared_path
 
 
 def test_shared_folder_is_the_checkpoint_dir(spark):
     base = ensure_checkpoint_dir(spark)
     assert shared_path(spark, "x").startswith(base.rstrip("/"))
     assert shared_path(spark, "x", unique=True) != shared_path(spark, "x", unique=True)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())
