@@ -5,11 +5,13 @@ and are folded into a parity bitmap (odd sketch): the number of bits in which tw
 bitmaps differ estimates their similarity, precisely for similar sets. Candidates
 that pass the estimate are confirmed on their full sets.
 
-Components need no all-pairs comparison. First each document meets the pivots of its
-buckets, and confirmed links are joined to components. What is left are buckets that
-hold several components: there, the documents outside the bucket's main component are
-compared with its documents by their sketches, in blocks of bounded size, and pairs
-of different components that pass are confirmed, the most similar ones first.
+Components need no list of all pairs. First each document meets the likeliest of its
+buckets' pivots, and confirmed links are joined to components. What is left are buckets
+that hold several components: there, the documents outside the bucket's main component
+are compared with its documents by their sketches, in blocks of bounded size. A document
+gets one row for each other component that it may belong to, with its likeliest partner
+there. If that partner isn't confirmed, the document meets all of the component, again
+in blocks, where sketches and full sets are compared in the task and only links come out.
 """
 
 from __future__ import annotations
@@ -34,9 +36,7 @@ BITS = 1024
 #: Estimates below this are not confirmed: 4.4 standard errors under 0.8.
 LEAST_ESTIMATE = 0.68
 #: Pivots confirmed for a document at first; members of a block; candidates of a confirming group.
-PIVOTS, BLOCK, GROUP = 2, 512, 256
-#: Candidates of a document confirmed before the others are.
-BEST = 4
+PIVOTS, BLOCK, GROUP = 3, 512, 256
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -166,17 +166,34 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text
     return made.filter(F.md5("items") == F.lower(F.hex("print"))).drop("print")
 
 
+def _runs(batches, key: tuple[int, ...]):
+    """Runs of rows that agree in the columns of ``key``."""
+    held: list[tuple] = []
+    now = None
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            own = tuple(row[k] for k in key)
+            if held and own != now:
+                yield held
+                held = []
+            now = own
+            held.append(row)
+    if held:
+        yield held
+
+
 def _pivot(key: str, rep: str) -> Column:
     """Orders a bucket's members differently in each bucket."""
     return F.struct(F.xxhash64(key, rep), F.col(rep))
 
 
 def _block_pairs(members: DataFrame) -> DataFrame:
-    """Candidates ``x, y, e`` of different components within buckets that hold several.
+    """``x, component, y, e``: documents that may belong to another component of one of
+    their buckets, with the likeliest partner there.
 
     ``members``: ``key, rep, component, n, sketch``. A bucket's documents outside its
-    largest component are compared with all of its documents, block by block; equal
-    pairs of several buckets come out once for each bucket."""
+    largest component are compared with all of its documents, block by block; a row comes
+    out for each block that has a likely partner."""
     by_part = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
     buckets = by_part.groupBy("key").agg(
         F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
@@ -192,47 +209,74 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     left = rows.filter("component <> main").select(*kept[:-1], F.lit(0).alias("is_right"), part("lefts").alias("i"),
                                                    upto("rights").alias("j"))
 
-    def compare(reps, comps, sizes, sketch, first_right):
-        """Pairs of one block; rows before ``first_right`` are those outside the main component."""
+    def compare(rows):
+        """One block; the documents outside the main component come first."""
+        reps, comps, sizes = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(-1, BITS // 64)
+        outside = sum(1 for r in rows if not r[5])
         out = []
-        for i in range(first_right):
-            n, m = sizes[i], sizes[first_right:]
-            ok = (comps[first_right:] != comps[i]) & (100 * np.minimum(n, m) >= SIMILAR * np.maximum(n, m))
-            if ok.any():
-                js = np.flatnonzero(ok)
-                e = estimate(np.bitwise_count(sketch[first_right + js] ^ sketch[i]).sum(axis=1, dtype=np.int64))
-                js, e = js[e >= LEAST_ESTIMATE], e[e >= LEAST_ESTIMATE]
-                if len(js):
-                    out.append((reps[i], reps[first_right + js], e))
+        for i in range(outside):
+            n, m = sizes[i], sizes[outside:]
+            js = outside + np.flatnonzero((comps[outside:] != comps[i]) & (100 * np.minimum(n, m) >= SIMILAR * np.maximum(n, m)))
+            if not len(js):
+                continue
+            e = estimate(np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1, dtype=np.int64))
+            js, e = js[e >= LEAST_ESTIMATE], e[e >= LEAST_ESTIMATE]
+            best: dict = {}
+            for j, one in zip(js.tolist(), e.tolist()):
+                if (one, -reps[j]) > best.get(comps[j], (-1.0, 0)):
+                    best[comps[j]] = (one, -reps[j])
+            out += [(reps[i], c, -y, one) for c, (one, y) in best.items()]
         return out
 
     def run(batches):
-        held: list[tuple] = []
+        for rows in _runs(batches, (0, 6, 7)):
+            if found := compare(rows):
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(
+                    (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["x", "component", "y", "e"])
 
-        def emit(rows):
-            return compare(np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64),
-                           np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(-1, BITS // 64),
-                           sum(1 for r in rows if not r[5]))
+    cells = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "is_right")
+    return cells.select("key", "rep", "component", "n", "sketch", "is_right", "i", "j").mapInArrow(
+        run, "x long, component long, y long, e double")
 
-        def batch_of(found):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64())),
-                 pa.array([f[2] for f in found], pa.list_(pa.float64()))], ["x", "ys", "es"])
 
-        for b in batches:
-            found = []
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held and (row[0], row[6], row[7]) != (held[0][0], held[0][6], held[0][7]):
-                    found += emit(held)
-                    held = []
-                held.append(row)
-            yield batch_of(found)
-        if held:
-            yield batch_of(emit(held))
+def _against_components(pairs: DataFrame, labels: DataFrame, light: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` of documents ``x`` with any document of a ``component``: one at most
+    for each block. ``labels``: ``rep, component`` of all documents; a component's documents
+    and those that ask for it are cut into blocks, and each pair of blocks is a cell."""
+    wide = light.join(sets, "rep")
+    asked = pairs.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("lefts"))
+    inside = labels.join(asked, "component")
+    sized = inside.groupBy("component", "lefts").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rights"))
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = inside.join(sized.select("component", "rights"), "component").select(
+        "component", "rep", F.lit(1).alias("is_right"), upto("lefts").alias("i"), part("rights").alias("j"))
+    left = pairs.select("component", F.col("x").alias("rep")).join(sized, "component").select(
+        "component", "rep", F.lit(0).alias("is_right"), part("lefts").alias("i"), upto("rights").alias("j"))
+    cells = left.unionByName(right).join(wide, "rep").select("component", "i", "j", "rep", "is_right", "n", "sketch", "items")
 
-    cells = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "is_right")
-    return cells.select("key", "rep", "component", "n", "sketch", "is_right", "i", "j").mapInArrow(
-        run, "x long, ys array<long>, es array<double>")
+    def run(batches):
+        for rows in _runs(batches, (0, 1, 2)):
+            outside = [r for r in rows if not r[4]]
+            others = rows[len(outside):]
+            reps, sizes = (np.array([r[k] for r in others], np.int64) for k in (3, 5))
+            sketch = np.frombuffer(b"".join(r[6] for r in others), np.uint64).reshape(-1, BITS // 64)
+            found = []
+            for x in outside:
+                e = estimate(np.bitwise_count(sketch ^ np.frombuffer(x[6], np.uint64)).sum(axis=1, dtype=np.int64))
+                ok = np.flatnonzero((e >= LEAST_ESTIMATE) & (100 * np.minimum(sizes, x[5]) >= SIMILAR * np.maximum(sizes, x[5])))
+                own = np.frombuffer(x[7], np.uint64)
+                for j in ok[np.argsort(-e[ok], kind="stable")].tolist():
+                    s = np.frombuffer(others[j][7], np.uint64)
+                    if similar(len(np.intersect1d(own, s, assume_unique=True)), len(own), len(s)):
+                        found.append((x[3], reps[j]))
+                        break
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return cells.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "is_right").mapInArrow(
+        run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,41 +305,38 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id",
     # each document against the likeliest of its buckets' pivots
     light = reps.select("rep", "n", "sketch")
     stars = members.filter("rep <> pivot").select(F.col("rep").alias("x"), F.col("pivot").alias("y")).distinct()
-    likely = written(_estimated(stars, light), "likely")
-    best = likely.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("e"), "y"))) \
-        .filter(F.col("r") <= PIVOTS).select("x", "y")
+    best = written(_estimated(stars, light).withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("e"), "y")))
+                   .filter(F.col("r") <= PIVOTS).select("x", "y"), "best")
     ends = lambda p: p.select(F.explode(F.array("x", "y")).alias("rep")).distinct()
-    sets = written(_full_sets(docs, ends(likely).join(same, "rep"), words, doc_id, text), "sets")
+    sets = written(_full_sets(docs, ends(best).join(same, "rep"), words, doc_id, text), "sets")
     links = written(_confirmed(best, sets).unionByName(known), "links")
     parts = components(links)
 
-    # buckets that hold several components
-    def component(frame: DataFrame, c: str) -> DataFrame:
-        return frame.join(parts.withColumnRenamed("node", c), c, "left").withColumn("component", F.coalesce("component", c))
-
-    placed = component(members.select("key", "rep"), "rep").join(light, "rep")
-    rest = written(_block_pairs(placed), "rest")
-    pairs = rest.select("x", F.explode(F.arrays_zip("ys", "es")).alias("p")).select(
-        F.least("x", "p.ys").alias("x"), F.greatest("x", "p.ys").alias("y"), F.col("p.es").alias("e")) \
-        .groupBy("x", "y").agg(F.max("e").alias("e"))
-    pairs = written(component(component(pairs, "x").withColumnRenamed("component", "cx"), "y").withColumnRenamed("component", "cy")
-                    .join(best.withColumn("done", F.lit(True)), ["x", "y"], "left")
-                    .join(best.select(F.col("y").alias("x"), F.col("x").alias("y"), F.lit(True).alias("done2")), ["x", "y"], "left")
-                    .filter("done IS NULL AND done2 IS NULL").drop("done", "done2"), "pairs")
-    if not pairs.isEmpty():
-        lacking = ends(pairs).join(sets, "rep", "left_anti").join(same, "rep")
-        sets = written(_full_sets(docs, lacking, words, doc_id, text).unionByName(sets), "sets")
-        ranked = pairs.withColumn("r", F.row_number().over(
-            Window.partitionBy("x", F.col("cy")).orderBy(F.desc("e"), "y")))
-        ranked = written(ranked, "ranked")
-        first = written(_confirmed(ranked.filter(F.col("r") <= BEST).select("x", "y"), sets), "links")
-        links = links.unionByName(first)
+    def label(frame: DataFrame, c: str, name: str) -> DataFrame:
+        """The component of the document ``c``: itself if it has no link."""
+        own = parts.select(F.col("node").alias(c), F.col("component").alias(name))
+        return frame.join(own, c, "left").withColumn(name, F.coalesce(name, c))
+
+    # buckets that hold several components: the likeliest partner in each other component
+    placed = label(members.select("key", "rep"), "rep", "component").join(light, "rep")
+    near = written(_block_pairs(placed).groupBy("x", "component").agg(F.max_by("y", F.struct("e", -F.col("y"))).alias("y")), "near")
+    if not near.isEmpty():
+        pairs = near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        sets = written(_full_sets(docs, ends(pairs).join(sets, "rep", "left_anti").join(same, "rep"), words, doc_id, text)
+                       .unionByName(sets), "sets")
+        links = written(links.unionByName(_confirmed(pairs, sets)), "links")
         parts = components(links)
-        left = component(component(ranked.filter(F.col("r") > BEST).select("x", "y"), "x").withColumnRenamed("component", "cx"), "y") \
-            .filter("cx <> component").select("x", "y")
-        left = written(left, "left")
-        if not left.isEmpty():
-            links = links.unionByName(written(_confirmed(left, sets), "links"))
+        # those that are still apart meet all of the other component
+        apart = label(label(near.select("x", F.col("component").alias("c")), "x", "own"), "c", "component") \
+            .filter("own <> component").select("x", "component").distinct()
+        labels = label(light.select("rep"), "rep", "component")
+        several = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("component")
+        apart = written(apart.join(several, "component", "left_semi"), "apart")
+        if not apart.isEmpty():
+            inside = labels.join(apart.select("component").distinct(), "component", "left_semi")
+            lacking = inside.select("rep").join(sets, "rep", "left_anti").join(same, "rep")
+            sets = written(_full_sets(docs, lacking, words, doc_id, text).unionByName(sets), "sets")
+            links = written(links.unionByName(_against_components(apart, inside, light, sets)), "links")
             parts = components(links)
 
     found = signs.select("doc_id", F.col("n").alias("n_shingles"), "print").join(same, "print", "left").join(

@@ -102,6 +102,25 @@ def test_chains_of_near_copies(spark):
     assert got == want
 
 
+def test_many_copies_around_the_threshold(spark, monkeypatch):
+    """Copies of one text with edits: most pairs lie near 0.8, on either side."""
+    import random
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for k in range(260):
+        w = base.copy()
+        for _ in range(r.choice([1, 3, 5, 6, 7, 8])):
+            w[r.randrange(len(w))] = f"x{r.randrange(10 ** 6)}"
+        rows.append((k, " ".join(w)))
+    want = brute(rows, 2)
+    assert 1 < len({c for _, c in want.values()}) < 200
+    for block in (512, 16):
+        monkeypatch.setattr(O, "BLOCK", block)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in O.near_duplicates(frame(spark, rows), 2).collect()}
+        assert got == want
+
+
 def test_near_edges(spark):
     known = [(i, t) for i, t in ROWS if i is not None]
     want = brute(known, 2)
