@@ -5,16 +5,15 @@ A forward Viterbi pass gives the best score from the start to each position; a
 backward A* search from the end uses these scores as exact heuristics, so it
 completes segmentations in the order of their scores without detours.
 
-No piece crosses from a letter to a following space, so a text's lattice is a
-chain of unit lattices (a run of spaces with the letters after it). A task
-searches each distinct unit once; a second A* over the chain joins the units'
-segmentations to those of the text.
+Where no piece of the vocabulary spans two neighbouring characters, every segmentation
+has a border. Texts are cut there (before spaces, mostly before punctuation, around line
+breaks), so a text's lattice is a chain of unit lattices. A task searches each distinct
+unit once; a second A* over the chain joins the units' segmentations to those of the text.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
 import math
 import re
 import struct
@@ -32,15 +31,14 @@ from kestrel.llm.common import slices
 SPACE = "▁"
 #: Segmentations kept for each text.
 N_BEST = 3
-#: Units a worker keeps (about 300 bytes each); past it the memory starts anew.
-CACHE_UNITS = 700_000
+#: Units a worker keeps (about 320 bytes each); past it the memory starts anew.
+CACHE_UNITS = 1_100_000
 #: Units up to this length keep their edges in memory while they are searched.
 HELD_CHARS = 4096
 #: Below the lowest piece score, for a character that only byte pieces can spell.
 BYTES_PENALTY = 10.0
 
 _ID = struct.Struct("<I").pack
-_UNITS = re.compile(" *[^ ]+| +").findall
 
 
 def a_star(end: int, incoming, best: list[float], n: int) -> list[tuple[float, list]]:
@@ -76,6 +74,20 @@ def a_star(end: int, incoming, best: list[float], n: int) -> list[tuple[float, l
     return found
 
 
+def _unit_pattern(pieces) -> re.Pattern:
+    """Finds the units of a text: a unit begins with spaces, or with a mark (no letter, digit
+    or underscore) after a letter. Letters that some piece has before a mark don't count as
+    letters here. Line breaks and tabs that no piece holds are units of their own."""
+    alphabet = {c for p in pieces for c in p} - {SPACE}
+    word, letter = re.compile(r"\w").match, re.compile(r"[^\W\d_]").match
+    joined = sorted({a for p in pieces for a, b in zip(p, p[1:]) if letter(a) and not word(b) and b != SPACE})
+    other, alone = "".join(map(re.escape, joined)), "".join(c for c in "\n\t\r" if c not in alphabet)
+    letters, inner, rest = rf"[^\W\d_{other}]", rf"[\d_{other}]", rf"(?:[^\w {alone}]|[\d_{other}])"
+    unit = rf" *{rest}*(?:{letters}+{inner}{rest}*)*{letters}*"
+    word = rf" ?{letters}+(?!{inner})"                   # most units, found without the longer rule
+    return re.compile("|".join([word, *([f"[{alone}]"] if alone else []), unit]))
+
+
 class Pieces:
     """The vocabulary of one model file (its serialised bytes)."""
 
@@ -107,6 +119,7 @@ class Pieces:
         crossing = [p for p in self.score if SPACE in p.lstrip(SPACE)]
         if crossing:
             raise ValueError(f"pieces that cross a word's start: {crossing[:5]}")
+        self.cut = _unit_pattern(self.score).findall
         self._forget()
 
     def _forget(self, n: int = 1) -> None:
@@ -115,16 +128,18 @@ class Pieces:
         self.n = n
         self.slot: dict[str, int] = {}
         self.first: list[bytes] = []                     # ids of the best segmentation,
-        self.best: list[float] = []                      # its score,
-        self.gap: list[float] = []                       # how much less the second one has,
+        self.best = np.zeros(1024)                       # its score,
+        self.gap = np.zeros(1024)                        # how much less the second one has,
         self.others: list[bytes] = []                    # and the others: number, scores, sizes, ids
 
     def _remember(self, unit: str) -> int:
         at = self.slot[unit] = len(self.first)
         (best, first), *others = self.search(unit.replace(" ", SPACE), self.n)
         self.first.append(first)
-        self.best.append(best)
-        self.gap.append(best - others[0][0] if others else math.inf)
+        if at == len(self.best):
+            self.best, self.gap = (np.concatenate([x, np.zeros(at)]) for x in (self.best, self.gap))
+        self.best[at] = best
+        self.gap[at] = best - others[0][0] if others else math.inf
         k = len(others)
         self.others.append(struct.pack(f"<I{k}d{k}I", k, *(s for s, _ in others), *(len(i) for _, i in others))
                            + b"".join(i for _, i in others))
@@ -132,7 +147,7 @@ class Pieces:
 
     def _ways(self, slot: int) -> list[tuple[float, bytes]]:
         """The segmentations of a unit: how much less each one scores than the best, ids."""
-        blob, out, best = self.others[slot], [(0.0, self.first[slot])], self.best[slot]
+        blob, out, best = self.others[slot], [(0.0, self.first[slot])], float(self.best[slot])
         k = struct.unpack_from("<I", blob)[0]
         numbers = struct.unpack_from(f"<{k}d{k}I", blob, 4)
         at = 4 + 12 * k
@@ -190,7 +205,8 @@ class Pieces:
     def units(self, text: str) -> list[str]:
         if not text:
             return []
-        return _UNITS((" " if self.dummy_prefix else "") + text.replace(SPACE, " "))
+        units = self.cut((" " if self.dummy_prefix else "") + text.replace(SPACE, " "))
+        return units[:-1]                                # the pattern also finds the empty end
 
     def _slots(self, units: list[str], n: int) -> list[int]:
         if self.n != n or len(self.slot) > CACHE_UNITS:
@@ -209,17 +225,21 @@ class Pieces:
         if not units:
             return [(0.0, b"")]
         slots = self._slots(units, n)
-        total = sum(map(self.best.__getitem__, slots))
+        at = np.array(slots)
+        total = float(self.best[at].sum())
         parts = list(map(self.first.__getitem__, slots))
         out = [(total, b"".join(parts))]
         if n == 1:
             return out
         # only the units with the n - 1 cheapest second choices can matter
-        gap = list(map(self.gap.__getitem__, slots))
-        near = sorted(k for k in heapq.nsmallest(n - 1, range(len(gap)), gap.__getitem__) if gap[k] < math.inf)
+        gap = self.gap[at]
+        near = np.argpartition(gap, n - 2)[:n - 1] if len(gap) >= n else np.arange(len(gap))
+        near = sorted(near[gap[near] < math.inf].tolist())
         ways = [self._ways(slots[k]) for k in near]
         steps = [[(j, c, less) for c, (less, _) in enumerate(w)] for j, w in enumerate(ways)]
-        for less, choice in a_star(len(near), lambda j: steps[j - 1], [0.0] * (len(near) + 1), n)[1:]:
+        for less, choice in a_star(len(near), lambda j: steps[j - 1], [0.0] * (len(near) + 1), n):
+            if len(out) == n or not any(choice):         # the best one is there already
+                continue
             other = parts.copy()
             for k, w, c in zip(near, ways, choice):
                 other[k] = w[c][1]

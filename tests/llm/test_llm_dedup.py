@@ -115,10 +115,9 @@ def test_many_copies_around_the_threshold(spark, monkeypatch):
         rows.append((k, " ".join(w)))
     want = brute(rows, 2)
     assert 1 < len({c for _, c in want.values()}) < 200
-    for block in (512, 16):
-        monkeypatch.setattr(O, "BLOCK", block)
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in O.near_duplicates(frame(spark, rows), 2).collect()}
-        assert got == want
+    monkeypatch.setattr(O, "BLOCK", 16)                # each bucket in many blocks
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in O.near_duplicates(frame(spark, rows), 2).collect()}
+    assert got == want
 
 
 def test_near_edges(spark):

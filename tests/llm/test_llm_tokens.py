@@ -63,15 +63,28 @@ def brute(model, text):
 
 def test_n_best_equals_brute_force():
     r, model = random.Random(2), S.pieces(PROTO)
-    for _ in range(150):
-        text = "".join(r.choice("ab é\nth  in€") for _ in range(r.randint(1, 9)))
+    for _ in range(400):
+        text = "".join(r.choice("ab é\nth  in€.,&'-s(") for _ in range(r.randint(1, 9)))
         every, got = brute(model, text), model.encode(text, 5)
         assert [g[0] for g in got] == [b[0] for b in every[:5]]
         scores = dict((ids, s) for s, ids in every)
-        assert len({i for _, i in got}) == len(got) and all(scores[i] == s for s, i in got)
+        assert all(scores[i] == s for s, i in got)
+        assert len(scores) == len(every) and len({i for _, i in got}) == len(got)
         assert model.decode(got[0][1]) == text
 
 
+def test_units_join_to_the_text_and_no_piece_spans_them():
+    model = S.pieces(PROTO)
+    pairs = {p[i:i + 2] for p in model.score for i in range(len(p) - 1)}
+    r = random.Random(6)
+    for _ in range(500):
+        text = "".join(r.choice("ab é\n\tT.,:;!?&$%#*|-_'\"()[]{}<>/\\=+~`^@09漢€  ") for _ in range(r.randint(1, 30)))
+        units = model.units(text)
+        assert "".join(units) == " " + text
+        marked = [u.replace(" ", S.SPACE) for u in units]
+        assert all(a[-1] + b[0] not in pairs for a, b in zip(marked, marked[1:]))
+
+
 def test_long_units_and_small_memory_agree(monkeypatch):
     model, text = S.pieces(PROTO), "thtion" * 300 + " the " + "é" * 50
     want = model.encode(text, 3)
