@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from kestrel.plans import catalog as C  # noqa: E402
 from kestrel.session import get_spark  # noqa: E402
 
-KEY = ["knn_filtered", "ivf_search", "ann_lsh", "keyword_match", "keyword_rank", "hybrid_rrf",
+KEY = ["knn_l2", "knn_single", "knn_filtered", "ivf_search", "ann_lsh", "keyword_match", "keyword_rank", "hybrid_rrf",
        "rag_prompts", "latency_summary", "corpus_stats"]
 NOTES = ("PushedFilters", "PartitionFilters", "ReadSchema")
 
@@ -32,8 +32,10 @@ def main() -> None:
     out = ["# Executed plans", "", f"`{sf_dir}`, local[8], after AQE (generated by explain_plans.py).", ""]
     for name in KEY:
         df = C.QUERIES[name](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
+        df.collect()                      # runs this frame's own plan, which is then final
         plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=false" not in plan, name
+        plan = plan.split("+- == Initial Plan ==")[0]
         ops = [op for op in ("BroadcastHashJoin", "SortMergeJoin", "BroadcastNestedLoopJoin",
                              "WindowGroupLimit", "TakeOrderedAndProject", "MapInArrow", "Exchange")
                if op in plan]
