@@ -1,6 +1,6 @@
 """Exact k-nearest-neighbour search.
 
-Three physical forms, same rows:
+Two physical forms, same rows:
 
 ``knn_single``  one query vector as an array literal: a projection over the
                 corpus and TakeOrderedAndProject. No join, no shuffle.
@@ -10,7 +10,6 @@ Three physical forms, same rows:
                 ``row_number() <= k`` window per query, which Spark plans as
                 WindowGroupLimit (partial before the shuffle, final after), so
                 no query-corpus pair is ever materialised.
-``knn_sql``     plain SQL over a small query set, for equivalence tests.
 
 Ties are always broken by ``id`` (contract S10). Filters are applied before
 the top-k (contract S8).
@@ -188,18 +187,6 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2",
                       queries.select(F.col(query_id).alias("id"), one, "embedding"), k, metric, salts)
 
 
-def knn_sql(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2",
-            filters: dict | None = None, mode: str = "null",
-            query_id: str = "query_id") -> DataFrame:
-    """Same rows as :func:`knn` from plain SQL expressions (tests only)."""
-    name = score_name(metric)
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col("embedding").alias("q_emb"))
-    pairs = (apply_filters(corpus, filters, mode).filter(F.col("embedding").isNotNull()).select("id", "embedding")
-             .crossJoin(F.broadcast(q))
-             .select("query_id", "id", distance(metric, "embedding", "q_emb").alias(name)))
-    return rank_per_query(pairs, k, metric, name).select("query_id", "rank", "id", name)
-
-
 # ---------------------------------------------------------------------------
 # lookups by id
 # ---------------------------------------------------------------------------

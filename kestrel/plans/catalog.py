@@ -102,12 +102,12 @@ def unknown_ids(spark, sf):
 
 
 def lookup_by_id(spark, sf):
-    return K.lookup_by_id(S.corpus(spark, sf), _label_ids(spark, sf))
+    return K.lookup_by_id(S.texts(spark, sf), _label_ids(spark, sf))
 
 
 def _filter_query(filters, cols, mode="null"):
     def run(spark, sf):
-        src = S.corpus(spark, sf) if mode == "null" else I.collection(spark, sf)
+        src = S.texts(spark, sf) if mode == "null" else I.collection(spark, sf)
         return FL.apply_filters(src, filters, mode).select("id", *cols)
     return run
 
@@ -127,11 +127,11 @@ def valid_queries(spark, sf):
 
 
 def document_count(spark, sf):
-    return ST.document_count(S.corpus(spark, sf))
+    return ST.document_count(S.texts(spark, sf))
 
 
 def distinct_categories(spark, sf):
-    return ST.distinct_categories(S.corpus(spark, sf))
+    return ST.distinct_categories(S.texts(spark, sf))
 
 
 def corpus_stats(spark, sf):
@@ -139,7 +139,7 @@ def corpus_stats(spark, sf):
 
 
 def sample_queries(spark, sf):
-    return ST.sample_queries(S.corpus(spark, sf).select("id"), n=50, seed=42)
+    return ST.sample_queries(S.texts(spark, sf).select("id"), n=50, seed=42)
 
 
 def export_embeddings(spark, sf):
@@ -219,7 +219,7 @@ def query_terms(spark, sf):
 
 
 def _corpus_index(spark, sf):
-    return KW.build_index(S.corpus(spark, sf))
+    return KW.build_index(S.texts(spark, sf))
 
 
 def keyword_match(spark, sf):
@@ -265,15 +265,15 @@ def _vector_hits(spark, sf):
 
 
 def hydrate_hits(spark, sf):
-    return _round(RG.hydrate(_vector_hits(spark, sf), S.corpus(spark, sf)), "distance")
+    return _round(RG.hydrate(_vector_hits(spark, sf), S.texts(spark, sf)), "distance")
 
 
 def hit_cards(spark, sf):
-    return RG.hit_cards(RG.hydrate(_vector_hits(spark, sf), S.corpus(spark, sf)))
+    return RG.hit_cards(RG.hydrate(_vector_hits(spark, sf), S.texts(spark, sf)))
 
 
 def _hybrid_hydrated(spark, sf):
-    return RG.hydrate(_hybrid(spark, sf), S.corpus(spark, sf), score="rrf_score")
+    return RG.hydrate(_hybrid(spark, sf), S.texts(spark, sf), score="rrf_score")
 
 
 def rag_context(spark, sf):
@@ -287,7 +287,7 @@ def rag_prompts(spark, sf):
 def rag_response(spark, sf):
     q = S.hybrid_queries(spark, sf)
     hits = HY.retrieve(S.corpus(spark, sf), q, k=5, use_hybrid=False, filters={"category": "en"})
-    resp = RG.responses(q, RG.hydrate(hits, S.corpus(spark, sf)), engine="exact")
+    resp = RG.responses(q, RG.hydrate(hits, S.texts(spark, sf)), engine="exact")
     return resp.select("query_id", "query", "retrieval_engine", "answer",
                        F.size("documents").cast("long").alias("n_documents"),
                        F.array_join(F.transform("documents", lambda d: d["id"].cast("string")), ",").alias("doc_ids"))
@@ -298,7 +298,7 @@ def rag_batch(spark, sf):
     q = S.query_texts(spark, sf)
     q = q.join(emb(q, "query_id", "text", 64).withColumnRenamed("id", "query_id"), "query_id")
     hits = HY.retrieve(S.corpus(spark, sf), q, k=5, use_hybrid=True, index=_corpus_index(spark, sf))
-    return RG.prompts(q, RG.hydrate(hits, S.corpus(spark, sf), score="rrf_score"))
+    return RG.prompts(q, RG.hydrate(hits, S.texts(spark, sf), score="rrf_score"))
 
 
 def assemble_chunks(spark, sf):

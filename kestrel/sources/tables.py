@@ -2,8 +2,9 @@
 
 The driver tables are TPC-H-like plus ``documents`` and ``embeddings``.
 The reference stores one document table with vector and metadata; here it
-is a join of ``documents`` and ``embeddings`` on ``doc_id = vec_id`` with
-metadata derived from the id so that every filter has values to act on.
+is ``documents``, left-joined with ``embeddings`` on ``doc_id = vec_id`` where
+vectors are needed, with metadata derived from the id so that every filter has
+values to act on.
 """
 
 from __future__ import annotations
@@ -64,26 +65,35 @@ def _derived_date(doc_id: Column) -> Column:
         F.date_add(F.lit(DATE_BASE).cast("date"), (doc_id % DATE_SPAN).cast("int")))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relational document table: ``id, content, embedding, author, date,
-    category, tags, source, metadata`` (NULL where a value is missing; a document
-    without a stored vector has a NULL embedding).
-
-    Both inputs are read once and only the columns a caller keeps survive column
-    pruning; 
-    """
-    docs = read_table(spark, sf_dir, "documents")
-    emb = read_table(spark, sf_dir, "embeddings")
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` with the derived metadata, and ``n_chars``."""
     d = F.col("doc_id")
     meta = F.when(d % META_EVERY == 0, F.lit(None).cast("string")).otherwise(
         F.concat(F.lit('{"tags":["'), F.col("lang"), F.lit('","'), F.col("source"),
                  F.lit('"],"n_chars":'), F.col("n_chars").cast("string"), F.lit("}")))
-    return (docs.join(emb, docs.doc_id == emb.vec_id, "left")
-            .select(d.alias("id"), F.col("text").alias("content"), F.col("embedding"),
-                    _derived_author(d).alias("author"), _derived_date(d).alias("date"),
-                    F.col("lang").alias("category"),
-                    F.array(F.col("lang"), F.col("source")).alias("tags"),
-                    F.col("source"), meta.alias("metadata")))
+    return read_table(spark, sf_dir, "documents").select(
+        d.alias("id"), F.col("text").alias("content"), _derived_author(d).alias("author"), _derived_date(d).alias("date"),
+        F.col("lang").alias("category"), F.array(F.col("lang"), F.col("source")).alias("tags"), F.col("source"),
+        meta.alias("metadata"), "n_chars")
+
+
+def _with_vectors(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    emb = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return docs.join(emb, "id", "left")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document table without vectors: ``id, content, author, date, category, tags,
+    source, metadata``. One scan, for everything that needs no vector."""
+    return _documents(spark, sf_dir).drop("n_chars")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relational document table: ``id, content, embedding, author, date,
+    category, tags, source, metadata`` (NULL where a value is missing; a document
+    without a stored vector has a NULL embedding)."""
+    return _with_vectors(spark, sf_dir, texts(spark, sf_dir)).select(
+        "id", "content", "embedding", "author", "date", "category", "tags", "source", "metadata")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,16 +105,12 @@ def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch as a caller hands it to ``insert_batch``: optional fields may be
     missing (NULL), dates arrive as text with ``''`` for unknown, metadata is a
     JSON object text without the tags, tags are a list."""
-    c = corpus(spark, sf_dir)
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return (c.join(docs, c.id == docs.doc_id, "inner")
-            .select(F.col("id").alias("source_id"), "content", "embedding", "author",
-                    F.when(F.col("date").isNull(), F.lit(""))
-                     .otherwise(F.col("date").cast("string")).alias("date"),
-                    "category", "tags", "source",
-                    F.when(F.col("metadata").isNull(), F.lit(None).cast("string"))
-                     .otherwise(F.concat(F.lit('{"n_chars":'), F.col("n_chars").cast("string"),
-                                         F.lit("}"))).alias("metadata")))
+    return _with_vectors(spark, sf_dir, _documents(spark, sf_dir)).select(
+        F.col("id").alias("source_id"), "content", "embedding", "author",
+        F.when(F.col("date").isNull(), F.lit("")).otherwise(F.col("date").cast("string")).alias("date"),
+        "category", "tags", "source",
+        F.when(F.col("metadata").isNull(), F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit('{"n_chars":'), F.col("n_chars").cast("string"), F.lit("}"))).alias("metadata"))
 
 
 #: Searches take as queries every stored vector whose id is divisible by this.
