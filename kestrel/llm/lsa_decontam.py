@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,19 +222,25 @@ def _gram(encoded: DataFrame, kept: np.ndarray, weight: np.ndarray, x: np.ndarra
             both[first] = window[first]
             order = np.argsort(f.astype(np.uint16), kind="stable")
             _add_rows(total, f[order], both, block[order])
-        yield pa.RecordBatch.from_arrays([pa.array([(total * weight[:, None]).astype(np.float32).tobytes()], pa.binary())], ["y"])
+        yield one(total * weight[:, None])
+
+    def one(total):
+        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()),
+                                           pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["task", "y"])
 
     def add(batches):
-        total = np.zeros(shape)
+        total, some = np.zeros(shape), False
         for b in batches:
-            for y in b.column(0):
+            for y in b.column(1):
                 total += np.frombuffer(y.as_buffer(), np.float32).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["y"])
+                some = True
+        if some:
+            yield one(total)
 
-    tasks = encoded.rdd.getNumPartitions()
-    part = encoded.mapInArrow(run, "y binary")
+    kind, tasks = "task int, y binary", encoded.rdd.getNumPartitions()
+    part = encoded.mapInArrow(run, kind)
     if tasks > 1:
-        part = part.repartition(math.isqrt(tasks)).mapInArrow(add, "y binary").coalesce(1).mapInArrow(add, "y binary")
+        part = part.repartition(math.isqrt(tasks), "task").mapInArrow(add, kind).coalesce(1).mapInArrow(add, kind)
     return sum((np.frombuffer(r["y"], np.float32).reshape(shape).astype(float) for r in part.collect()), np.zeros(shape))
 
 

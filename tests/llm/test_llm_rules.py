@@ -136,6 +136,28 @@ def test_paraphrases_and_edges(spark):
     assert D.matches(frame(spark), items.limit(0)).collect() == []
 
 
+def test_recall_of_retrieval_against_brute_force(spark):
+    """Paraphrased items put into documents: those that the subsequence rule accepts when it is
+    shown the whole document must be retrieved."""
+    docs, items = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("documents", "benchmark"))
+    r = random.Random(12)
+    texts = [x["text"] for x in docs.collect() if len(x["text"]) < 3000]
+    block = next(D.blocks(items, "item_id", "text"))
+    own = {x["item_id"]: x["text"].split() for x in items.collect()}
+    rows = []
+    for k in range(150):
+        item = block[k % len(block)]
+        w = [x for x in own[item.id] if r.random() > 0.25]
+        w = [x if r.random() > 0.1 else words(1000 + k, 1) for x in w]
+        host = r.choice(texts).split()
+        at = r.randrange(len(host) + 1)
+        rows.append((10_000 + k, " ".join(host[:at] + w + host[at:])))
+    want = {(i, item.id) for i, t in rows for item in block if item.found(D.hashes(D.words_of(t)))[2]}
+    mixed = frame(spark, [(x["doc_id"], x["text"]) for x in docs.collect()] + rows)
+    got = {(x["doc_id"], x["item_id"]) for x in D.matches(mixed, items).collect()}
+    assert len(want) > 80 and len(want & got) >= 0.95 * len(want)
+
+
 def test_space_is_near_the_exact_decomposition(spark):
     """The randomised basis holds the items: cosines there equal those of the full vectors."""
     docs, items = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("documents", "benchmark"))
