@@ -138,7 +138,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         own, bases = None, []
-        for b in batches:
+        for b in slices(batches, 3):
             out = []
             for x, g, y, items in zip(*(c.to_pylist() for c in b.columns)):
                 s = np.frombuffer(items, np.uint64)
@@ -257,7 +257,7 @@ def _against_components(pairs: DataFrame, labels: DataFrame, light: DataFrame, s
     cells = left.unionByName(right).join(wide, "rep").select("component", "i", "j", "rep", "is_right", "n", "sketch", "items")
 
     def run(batches):
-        for rows in _runs(batches, (0, 1, 2)):
+        for rows in _runs(slices(batches, 7), (0, 1, 2)):
             outside = [r for r in rows if not r[4]]
             others = rows[len(outside):]
             reps, sizes = (np.array([r[k] for r in others], np.int64) for k in (3, 5))
