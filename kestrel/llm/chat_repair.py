@@ -13,6 +13,7 @@ repaired by itself.
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -186,7 +187,6 @@ def pieces(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn
 
     def fix(batches):
         # runs agree in the conversation; the first column repeats it
-        import ast
         for r in _runs(batches):
             states, _ = borders([ast.literal_eval(x[3]) for x in r])
             yield pa.RecordBatch.from_arrays([
