@@ -31,8 +31,8 @@ from kestrel.llm.common import slices
 SPACE = "▁"
 #: Segmentations kept for each text.
 N_BEST = 3
-#: Units a worker keeps (about 320 bytes each); past it the memory starts anew.
-CACHE_UNITS = 1_100_000
+#: Units a worker keeps (about 220 bytes each); past it the memory starts anew.
+CACHE_UNITS = 700_000
 #: Units up to this length keep their edges in memory while they are searched.
 HELD_CHARS = 4096
 #: Below the lowest piece score, for a character that only byte pieces can spell.
@@ -129,33 +129,18 @@ class Pieces:
         self.slot: dict[str, int] = {}
         self.first: list[bytes] = []                     # ids of the best segmentation,
         self.best = np.zeros(1024)                       # its score,
-        self.gap = np.zeros(1024)                        # how much less the second one has,
-        self.others: list[bytes] = []                    # and the others: number, scores, sizes, ids
+        self.gap = np.zeros(1024)                        # and how much less the second one has
 
     def _remember(self, unit: str) -> int:
         at = self.slot[unit] = len(self.first)
-        (best, first), *others = self.search(unit.replace(" ", SPACE), self.n)
+        (best, first), *others = self.search(unit.replace(" ", SPACE), min(self.n, 2))
         self.first.append(first)
         if at == len(self.best):
             self.best, self.gap = (np.concatenate([x, np.zeros(at)]) for x in (self.best, self.gap))
         self.best[at] = best
         self.gap[at] = best - others[0][0] if others else math.inf
-        k = len(others)
-        self.others.append(struct.pack(f"<I{k}d{k}I", k, *(s for s, _ in others), *(len(i) for _, i in others))
-                           + b"".join(i for _, i in others))
         return at
 
-    def _ways(self, slot: int) -> list[tuple[float, bytes]]:
-        """The segmentations of a unit: how much less each one scores than the best, ids."""
-        blob, out, best = self.others[slot], [(0.0, self.first[slot])], float(self.best[slot])
-        k = struct.unpack_from("<I", blob)[0]
-        numbers = struct.unpack_from(f"<{k}d{k}I", blob, 4)
-        at = 4 + 12 * k
-        for score, size in zip(numbers[:k], numbers[k:]):
-            out.append((score - best, blob[at:at + size]))
-            at += size
-        return out
-
     def edges(self, unit: str, j: int):
         """Edges of the unit's lattice that end at ``j``."""
         get, single = self.score.get, False
@@ -235,8 +220,11 @@ class Pieces:
         gap = self.gap[at]
         near = np.argpartition(gap, n - 2)[:n - 1] if len(gap) >= n else np.arange(len(gap))
         near = sorted(near[gap[near] < math.inf].tolist())
-        ways = [self._ways(slots[k]) for k in near]
-        steps = [[(j, c, less) for c, (less, _) in enumerate(w)] for j, w in enumerate(ways)]
+        ways = []
+        for k in near:                                   # these few again, in full; of tied ones, the first stays
+            found = self.search(units[k].replace(" ", SPACE), n)
+            ways.append([(found[0][0], parts[k]), *[w for w in found if w[1] != parts[k]][:n - 1]])
+        steps = [[(j, c, score - w[0][0]) for c, (score, _) in enumerate(w)] for j, w in enumerate(ways)]
         for less, choice in a_star(len(near), lambda j: steps[j - 1], [0.0] * (len(near) + 1), n):
             if len(out) == n or not any(choice):         # the best one is there already
                 continue
