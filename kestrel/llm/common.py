@@ -20,7 +20,7 @@ from kestrel.session import ensure_checkpoint_dir, ensure_worker_path
 #: Rows handled at once inside a task: bounds the Python objects alive, not the input.
 SLICE_ROWS = 1024
 #: UTF-8 bytes of text handled at once (a single longer text is its own slice).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def slices(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[pa.Reco
             at = to
 
 
+#: Unseen words whose values are computed at once: bounds the arrays of their n-grams.
+NEW_WORDS = 16_384
+
+
 class WordTable:
     """Values of words, computed in bulk for unseen words and kept per worker.
 
@@ -91,7 +95,9 @@ class WordTable:
                 grown = np.zeros((max(need, 2 * len(self.values)), self.width), self.dtype)
                 grown[:at] = self.values[:at]
                 self.values = grown
-            self.values[at:need] = self.compute(new).reshape(len(new), self.width)
+            for i in range(0, len(new), NEW_WORDS):
+                some = new[i:i + NEW_WORDS]
+                self.values[at + i:at + i + len(some)] = self.compute(some).reshape(len(some), self.width)
             self.slot.update(zip(new, range(at, need)))
         return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
 
