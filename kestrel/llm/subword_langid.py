@@ -27,7 +27,7 @@ BUCKETS, DIMENSIONS, SIZES = 1 << 16, 16, (1, 2, 3, 4)
 PIECE_WORDS = 24
 EPOCHS, RATE = 4, 2.0
 #: Share of the calibration pieces that rejection may cost, and the probability that always passes.
-REJECTED_SHARE, SURE = 0.001, 0.5
+REJECTED_SHARE, SURE = 0.001, 0.4
 MOD, HELD_OUT = 4, 2
 
 
