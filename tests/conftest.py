@@ -14,7 +14,7 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from kestrel.session import get_spark
-    s = get_spark(master="local[4]", shuffle_partitions=8)
+    s = get_spark(master="local[4]", shuffle_partitions=4)
     yield s
 
 
