@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import slices
+from kestrel.llm.common import hold, slices
 
 #: Pre-tokens whose counts a worker keeps (about 160 bytes each); past it the memory starts anew.
 CACHE_WORDS = 1_000_000
@@ -125,6 +125,7 @@ def token_counts(docs: DataFrame, spec: str, limit: int = 2048, doc_id: str = "d
 
     def run(batches):
         own = counter(shared.value)
+        hold("tokens", own.cache.clear)
         for b in slices(batches):
             n = np.fromiter(map(own.count, b.column(1).to_pylist()), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(n > limit)],

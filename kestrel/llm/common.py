@@ -63,6 +63,17 @@ def slices(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[pa.Reco
             at = to
 
 
+_HOLDER: list = [None, None]
+
+
+def hold(owner: str, release: Callable[[], None]) -> None:
+    """Says that ``owner``'s tasks keep words in this worker from now on. What another
+    operator has kept here is released, so a worker holds one such memory at a time."""
+    if _HOLDER[0] not in (None, owner):
+        _HOLDER[1]()
+    _HOLDER[:] = owner, release
+
+
 #: Unseen words whose values are computed at once: bounds the arrays of their n-grams.
 NEW_WORDS = 16_384
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import slices, written
+from kestrel.llm.common import hold, slices, written
 
 BLOCK_ITEMS = 4096
 #: Hash buckets of words; the last number stands for words that the benchmark doesn't have.
@@ -157,6 +157,7 @@ def _encoded(docs: DataFrame, text: str, feature: np.ndarray) -> DataFrame:
 
     def run(batches):
         table = shared.value
+        hold("passages", lambda: None)
         for b in slices(batches, 0):
             n, fs, ps = [], [], []
             for t in b.column(0).to_pylist():

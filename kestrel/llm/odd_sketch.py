@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import mixed, slices, written
+from kestrel.llm.common import hold, mixed, slices, written
 from kestrel.llm.components import components
 
 #: Documents are linked from this similarity on (in hundredths), on shingles of so many words.
@@ -95,6 +95,7 @@ def signatures(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame
     """``doc_id, n, print, bands, sketch`` for every row; the last three are null for an
     empty set. Equal sets have equal prints."""
     def run(batches):
+        hold("sets", lambda: None)
         for b in slices(batches):
             sets = [shingles(t, words) for t in b.column(1).to_pylist()]
             signs = [signature(s) if len(s) else (None, None) for s in sets]

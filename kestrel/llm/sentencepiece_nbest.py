@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import slices
+from kestrel.llm.common import hold, slices
 
 SPACE = "▁"
 #: Segmentations kept for each text.
@@ -263,6 +263,7 @@ def encode(docs: DataFrame, proto: bytes, n: int = N_BEST, doc_id: str = "doc_id
 
     def run(batches):
         own = pieces(shared.value)
+        hold("sentencepiece", own._forget)
         ints = pa.list_(pa.int32())
         other = pa.list_(pa.struct([("pieces", ints), ("score", pa.float64())]))
         as_ids = lambda b: np.frombuffer(b, np.int32)
@@ -288,6 +289,7 @@ def digests(docs: DataFrame, proto: bytes, n: int = N_BEST, doc_id: str = "doc_i
 
     def run(batches):
         own = pieces(shared.value)
+        hold("sentencepiece", own._forget)
         for b in slices(batches):
             rows = []
             for t in b.column(1).to_pylist():

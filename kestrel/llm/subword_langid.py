@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import WordTable, ngram_hashes, remainder, segment_sums, slices
+from kestrel.llm.common import WordTable, hold, ngram_hashes, remainder, segment_sums, slices
 
 UNKNOWN = "und"
 #: Training sample: at most so many documents of each language, and of at most so many languages
@@ -42,6 +42,9 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "table": None}
 
+    def forget(self) -> None:
+        self.table = None
+
 
 def words_of(text: str) -> list[bytes]:
     """Lower-cased words with border marks."""
@@ -188,6 +191,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     def run(batches):
         own = shared.value
+        hold("language", own.forget)
         for b in slices(batches):
             lang, score, rejected = predict(own, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -206,6 +210,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         own = shared.value
+        hold("language", own.forget)
         for b in slices(batches, at):
             _, _, rejected = predict(own, b.column(at).to_pylist())
             yield b.filter(pa.array(~rejected))
