@@ -6,8 +6,8 @@ all passages, computed where the documents are, gives a space in which passages
 to an item are candidates; the longest common subsequence of words and a check of the
 item's answer decide, so that paraphrases and inserted words are found too.
 
-The benchmark is the stated query set: it is taken in blocks of ``BLOCK_ITEMS`` items,
-each with a space of its own, against all documents.
+The benchmark is the stated query set: it is taken in blocks of at most ``RANK`` pieces,
+each with a space of its own that holds every piece, against all documents.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from kestrel.llm.common import hold, slices, written
 
+#: Items that the driver reads at once.
 BLOCK_ITEMS = 4096
 #: Hash buckets of words; the last number stands for words that the benchmark doesn't have.
 BUCKETS = (1 << 16) - 1
@@ -32,6 +33,8 @@ BUCKETS = (1 << 16) - 1
 COMMON, RAREST = 0.02, 8
 #: Dimensions of the space, and passes over the documents that refine it.
 RANK, PASSES = 256, 2
+#: Share of its length that each piece of an item keeps in the space, at least.
+KEPT = 0.95
 #: Windows are two strides long, so each run of a stride's words lies in one of them; longer items
 #: are sought by pieces of a stride and a half.
 STRIDE = 32
@@ -108,8 +111,8 @@ class Space:
     items: list[Item]
     feature: np.ndarray                  # (BUCKETS,): number of each bucket's feature, -1 if none
     weight: np.ndarray                   # (features,): inverse document frequencies
-    basis: np.ndarray                    # (features, rank)
-    values: np.ndarray                   # singular values
+    basis: np.ndarray                    # (features, rank): the decomposition's, then those added for pieces
+    values: np.ndarray                   # singular values of the decomposition
     targets: np.ndarray                  # (pieces, rank): unit vectors of the items' pieces
     owner: np.ndarray                    # item of each piece
 
@@ -277,12 +280,23 @@ def fit(docs: DataFrame, items: list[Item], text: str = "text") -> Space:
         basis, _ = np.linalg.qr(x)
         x = _gram(encoded, kept, weight, basis) + share * own.T @ (own @ basis)
     values, turn = np.linalg.eigh((basis.T @ x + x.T @ basis) / 2)
-    space.basis = (basis @ turn[:, ::-1]).astype(np.float32)
+    space.basis = _holding(basis @ turn[:, ::-1], own, size).astype(np.float32)
     space.values = np.sqrt(np.maximum(values[::-1], 0))
     space.targets = ((own @ space.basis) / np.maximum(size, 1e-9)[:, None]).astype(np.float32)
+    assert (np.linalg.norm(space.targets, axis=1)[size > 0] >= KEPT - 1e-3).all()
     return space
 
 
+def _holding(basis: np.ndarray, own: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The basis, and directions for what it leaves out of the pieces that keep less than ``KEPT``."""
+    left = own - (own @ basis) @ basis.T
+    left = left[np.linalg.norm(own @ basis, axis=1) < KEPT * size]
+    if not len(left):
+        return basis
+    _, s, added = np.linalg.svd(left, full_matrices=False)
+    return np.hstack([basis, added[s > 1e-6 * s[0]].T])
+
+
 def candidates(space: Space, words: list[np.ndarray]) -> list[tuple[int, int, int, float]]:
     """``document, first word of the window, item, cosine`` of all windows near an item.
     A window's length is taken as if its words were distinct; where they aren't, the
@@ -331,13 +345,20 @@ def judged(space: Space, texts: list[str | None]) -> list[dict[int, tuple[float,
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str):
-    """The items in blocks of about ``BLOCK_ITEMS`` (null ids or texts left out)."""
+    """The items in blocks of at most ``RANK`` pieces, or one longer item (null ids or texts left out)."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).dropna().distinct()
     count = -(-rows.count() // BLOCK_ITEMS)
     for k in range(count):
         part = rows.filter(F.pmod(F.xxhash64("id", "t"), F.lit(count)) == k).orderBy("id", "t").collect()
-        if items := [i for i in (Item(r["id"], r["t"]) for r in part) if len(i.words)]:
-            yield items
+        block, held = [], 0
+        for i in (i for i in (Item(r["id"], r["t"]) for r in part) if len(i.words)):
+            if block and held + len(i.pieces) > RANK:
+                yield block
+                block, held = [], 0
+            block.append(i)
+            held += len(i.pieces)
+        if block:
+            yield block
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",

@@ -169,6 +169,28 @@ def test_space_is_near_the_exact_decomposition(spark):
     assert kept.min() > 0.95 and (np.diff(space.values) <= 1e-6 * space.values[0]).all()
 
 
+def test_many_items_with_words_of_their_own(spark):
+    """More pieces than the space has dimensions: each is held, and word-for-word copies are retrieved."""
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    r = random.Random(31)
+    texts = [t for t in sorted(x["text"] for x in docs.select("text").collect()) if 60 <= len(t.split()) < 500]
+    passages = [" ".join(t.split()[at:at + 40]) for t in texts for at in range(0, len(t.split()) - 40, 40)]
+    items = list(enumerate(r.sample(sorted(set(passages)), 1000)))
+    rows = []
+    for k, t in items[::5]:
+        host = r.choice(texts).split()
+        at = r.randrange(len(host) + 1)
+        rows.append((k, " ".join([*host[:at], t, *host[at:]])))
+    found, held = set(), 0
+    for block in D.blocks(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text"):
+        space = D.fit(docs, block)
+        own, size = D._vectors(space, [p for i in block for p in i.pieces])
+        assert (np.linalg.norm(own @ space.basis, axis=1) >= 0.949 * size).all()
+        held += len(block)
+        found |= {(rows[d][0], space.items[k].id) for d, _, k, _ in D.candidates(space, [D.hashes(D.words_of(t)) for _, t in rows])}
+    assert held == 1000 and len({(i, i) for i, _ in rows} & found) >= 0.99 * len(rows)
+
+
 def test_licences(spark, tmp_path):
     mit = dict((n, t) for n, t in R.STATEMENTS if "Permission is hereby granted, free" in t)["MIT"]
     wrapped = "# " + mit.replace("\n", "\n# ")
