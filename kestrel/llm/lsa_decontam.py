@@ -3,8 +3,9 @@
 Passages of documents (overlapping windows of words) and of benchmark items are TF-IDF
 vectors over the words of the benchmark. A randomised singular value decomposition of
 all passages, computed where the documents are, gives a space in which passages close
-to an item are candidates; the longest common subsequence of words and a check of the
-item's answer decide, so that paraphrases and inserted words are found too.
+to an item are candidates, and so are places that hold a run of an item's words; the
+longest common subsequence of words and a check of the item's answer decide, so that
+paraphrases and inserted words are found too.
 
 The benchmark is the stated query set: it is taken in blocks of at most ``RANK`` pieces,
 each with a space of its own that holds every piece, against all documents.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import hold, slices, written
+from kestrel.llm.common import hold, mixed, slices, written
 
 #: Items that the driver reads at once.
 BLOCK_ITEMS = 4096
@@ -39,6 +41,9 @@ KEPT = 0.95
 #: are sought by pieces of a stride and a half.
 STRIDE = 32
 PIECE = 48
+#: Strides of the windows that items are sought in: the least one whose run holds the item, so that
+#: what stands beside a short item weighs little more than the item. Blocks of a stride handled at once.
+STRIDES, HELD_BLOCKS = (8, 16, STRIDE), 16_384
 #: Least cosine of a candidate.
 COSINE = 0.4
 #: An item is found if this share of its words is a common subsequence; or the lower share, and the
@@ -92,6 +97,7 @@ class Item:
         self.words = hashes(words_of(text))
         self.answer = hashes(answer_of(text))
         self.places, self.answer_places = _places(self.words), _places(self.answer)
+        self.stride = next((s for s in STRIDES if len(self.words) <= s + 1), STRIDE)
         self.pieces = [self.words[i:i + PIECE] for i in range(0, max(1, len(self.words) - PIECE // 2), PIECE)]
 
     def found(self, near: np.ndarray) -> tuple[int, bool, bool]:
@@ -115,6 +121,7 @@ class Space:
     values: np.ndarray                   # singular values of the decomposition
     targets: np.ndarray                  # (pieces, rank): unit vectors of the items' pieces
     owner: np.ndarray                    # item of each piece
+    runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]   # by length: sorted keys, items, and places in them
 
 
 def _vectors(space: Space, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,16 +133,35 @@ def _vectors(space: Space, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return out, np.sqrt((out * out).sum(axis=1))
 
 
-def _windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def run_keys(words: np.ndarray, n: int) -> np.ndarray:
+    """A key of each run of ``n`` words."""
+    key = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for i in range(n):
+        key *= np.uint64(0x9E3779B97F4A7C15)
+        key += words[i:i + len(key)]
+    return mixed(key)
+
+
+def _runs(items: list[Item]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of ``SHORT`` words of the items, and all of the shorter items."""
+    rows: dict[int, list] = {}
+    for k, i in enumerate(items):
+        n = min(SHORT, len(i.words))
+        rows.setdefault(n, []).extend((key, k, n * j) for j, key in enumerate(run_keys(i.words, n)[::n].tolist()))
+    return {n: (np.array([x[0] for x in own], np.uint64), np.array([x[1] for x in own]), np.array([x[2] for x in own]))
+            for n, own in ((n, sorted(x)) for n, x in rows.items())}
+
+
+def _windows(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Number of stride-long blocks of each document, and each one's first block."""
-    blocks = np.maximum(1, -(-lengths // STRIDE))
+    blocks = np.maximum(1, -(-lengths // stride))
     return blocks, np.cumsum(blocks) - blocks
 
 
 def _block_sums(feature: np.ndarray, doc: np.ndarray, place: np.ndarray, first: np.ndarray, total: int,
-                rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                rows: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the features' rows in each block, and each occurrence's block."""
-    block = first[doc] + place // STRIDE
+    block = first[doc] + place // stride
     out = np.zeros((total, rows.shape[1]), np.float32)
     _add_rows(out, block, rows, feature)
     return out, block
@@ -267,7 +293,7 @@ def fit(docs: DataFrame, items: list[Item], text: str = "text") -> Space:
 
     pieces = [p for i in items for p in i.pieces]
     owner = np.repeat(np.arange(len(items)), [len(i.pieces) for i in items])
-    space = Space(items, feature, weight, np.zeros((len(weight), 0)), np.zeros(0), np.zeros((len(pieces), 0)), owner)
+    space = Space(items, feature, weight, np.zeros((len(weight), 0)), np.zeros(0), np.zeros((len(pieces), 0)), owner, _runs(items))
     if not len(weight):
         return space
     own, size = _vectors(space, pieces)
@@ -301,6 +327,17 @@ def candidates(space: Space, words: list[np.ndarray]) -> list[tuple[int, int, in
     """``document, first word of the window, item, cosine`` of all windows near an item.
     A window's length is taken as if its words were distinct; where they aren't, the
     cosine is too high, at most 1."""
+    least = min((i.stride for i in space.items), default=STRIDE)
+    ends = np.cumsum([len(w) // least + 1 for w in words])
+    out, at = [], 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD_BLOCKS, side="right")))
+        out += [(at + d, *rest) for d, *rest in _near(space, words[at:to], least)]
+        at = to
+    return out
+
+
+def _near(space: Space, words: list[np.ndarray], stride: int) -> list[tuple[int, int, int, float]]:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     flat = np.concatenate([np.zeros(0, np.uint64), *words])
     if not len(flat) or not space.basis.shape[1]:
@@ -309,38 +346,84 @@ def candidates(space: Space, words: list[np.ndarray]) -> list[tuple[int, int, in
     at = np.flatnonzero(f >= 0)
     doc = np.repeat(np.arange(len(words)), lengths)[at]
     place = at - (np.cumsum(lengths) - lengths)[doc]
-    blocks, first = _windows(lengths)
+    blocks, first = _windows(lengths, stride)
     w = space.weight[:, None]
-    rows = np.hstack([w * space.basis, w * w]).astype(np.float32)
-    sums, _ = _block_sums(f[at], doc, place, first, int(blocks.sum()), rows)
-    last = first + blocks - 1
-    window = sums.copy()
-    window[:-1] += sums[1:]
-    window[last] = sums[last]
-    some = np.flatnonzero(window[:, -1] > 0)
+    sums, _ = _block_sums(f[at], doc, place, first, int(blocks.sum()), np.hstack([w * space.basis, w * w]).astype(np.float32), stride)
+    own = np.array([i.stride for i in space.items])[space.owner]
     out = []
-    of = np.repeat(np.arange(len(words)), blocks)
-    for i in range(0, len(some), 4096):
-        rows = some[i:i + 4096]
-        cosine = window[rows, :-1] @ space.targets.T / np.sqrt(window[rows, -1:])
-        a, b = np.nonzero(cosine >= COSINE)
-        d = of[rows[a]]
-        out += zip(d.tolist(), ((rows[a] - first[d]) * STRIDE).tolist(), space.owner[b].tolist(), np.minimum(cosine[a, b], 1.0).tolist())
+    while True:
+        of = np.repeat(np.arange(len(words)), blocks)
+        targets = np.flatnonzero(own == stride)
+        if len(targets):
+            last = first + blocks - 1
+            window = sums.copy()
+            window[:-1] += sums[1:]
+            window[last] = sums[last]
+            some = np.flatnonzero(window[:, -1] > 0)
+            for i in range(0, len(some), 4096):
+                rows = some[i:i + 4096]
+                cosine = window[rows, :-1] @ space.targets[targets].T / np.sqrt(window[rows, -1:])
+                a, b = np.nonzero(cosine >= COSINE)
+                d = of[rows[a]]
+                out += zip(d.tolist(), ((rows[a] - first[d]) * stride).tolist(), space.owner[targets[b]].tolist(),
+                           np.minimum(cosine[a, b], 1.0).tolist())
+        if stride == STRIDE:
+            return out
+        stride *= 2                                        # two blocks become one
+        inside, fine = np.arange(len(sums)) - first[of], sums
+        blocks, first = _windows(lengths, stride)
+        to, odd = first[of] + inside // 2, inside % 2 == 1
+        sums = np.zeros((int(blocks.sum()), fine.shape[1]), np.float32)
+        sums[to[~odd]] = fine[~odd]
+        sums[to[odd]] += fine[odd]
+
+
+def copied(space: Space, words: list[np.ndarray]) -> list[tuple[int, int, int, None]]:
+    """``document, first word, item`` of the places that hold a run of an item, as if all of
+    the item stood there. Of a short item, the first place of each document."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.concatenate([np.zeros(0, np.uint64), *words])
+    doc = np.repeat(np.arange(len(words)), lengths)
+    before = np.cumsum(lengths) - lengths
+    out = []
+    for n, (keys, item, offset) in space.runs.items():
+        key = run_keys(flat, n)
+        some = np.zeros(1 << 16, bool)                     # most places are told apart by a few bits
+        some[keys & np.uint64(0xFFFF)] = True
+        at = np.flatnonzero(some[key & np.uint64(0xFFFF)])
+        at = at[doc[at] == doc[at + n - 1]]
+        if n < SHORT:
+            at = at[np.unique(np.stack([doc[at].astype(np.uint64), key[at]]), axis=1, return_index=True)[1]]
+        low, high = (np.searchsorted(keys, key[at], side=x) for x in ("left", "right"))
+        for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
+            d = int(doc[p])
+            for k in range(a, b):
+                out.append((d, p - int(before[d]) - int(offset[k]), int(item[k]), None))
     return out
 
 
+def _cosine(space: Space, words: np.ndarray, start: int, k: int) -> float:
+    """The largest cosine of a piece of an item and as many words where it should stand."""
+    best = 0.0
+    for j, t in enumerate(np.flatnonzero(space.owner == k).tolist()):
+        piece = space.items[k].pieces[j]
+        v, size = _vectors(space, [words[max(0, start + j * PIECE):max(0, start + j * PIECE + len(piece))]])
+        best = max(best, float((v @ space.basis @ space.targets[t])[0] / max(size[0], 1e-9)))
+    return min(best, 1.0)
+
+
 def judged(space: Space, texts: list[str | None]) -> list[dict[int, tuple[float, int, bool]]]:
     """For each text, the items found in it: (cosine, common words, answer)."""
     words = [hashes(words_of(t)) for t in texts]
     out: list[dict] = [{} for _ in texts]
-    for d, start, k, cosine in sorted(candidates(space, words), key=lambda c: -c[3]):
+    for d, start, k, cosine in chain(sorted(candidates(space, words), key=lambda c: -c[3]), copied(space, words)):
         item = space.items[k]
         if k in out[d]:
             continue
         m = len(item.words)
         common, answer, found = item.found(words[d][max(0, start - m):start + 2 * STRIDE + m])
         if found:
-            out[d][k] = (cosine, common, answer)
+            out[d][k] = (_cosine(space, words[d], start, k) if cosine is None else cosine, common, answer)
     return out
 
 

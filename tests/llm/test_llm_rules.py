@@ -191,6 +191,27 @@ def test_many_items_with_words_of_their_own(spark):
     assert held == 1000 and len({(i, i) for i, _ in rows} & found) >= 0.99 * len(rows)
 
 
+def test_short_items_in_prose_of_benchmark_words(spark):
+    """Word-for-word copies of items of 3 to 20 words between words of other items are all found; most
+    of 8 words or more by their windows alone, also those that lost a word."""
+    r = random.Random(77)
+    known = words(78, 900).split()
+    items = [(k, " ".join(r.choice(known) for _ in range(3 + k % 18))) for k in range(200)]
+    rows = [(k, " ".join([*r.choices(known, k=90), t, *r.choices(known, k=90)])) for k, t in items]
+    for k, t in items:
+        w = t.split()
+        del w[len(w) // 2]
+        rows.append((1000 + k, " ".join([*r.choices(known, k=90), *w, *r.choices(known, k=90)])))
+    docs = frame(spark, rows + [(10_000 + k, words(9000 + k, 200)) for k in range(300)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in D.matches(docs, bench).collect()}
+    assert {(k, k) for k, _ in items} <= got
+    space = D.fit(docs, next(D.blocks(bench, "item_id", "text")))
+    near = {(rows[d][0] % 1000, space.items[k].id) for d, _, k, _ in D.candidates(space, [D.hashes(D.words_of(t)) for _, t in rows])}
+    long = [k for k, t in items if len(t.split()) >= 8]
+    assert len({(k, k) for k in long} & near) >= 0.97 * len(long)
+
+
 def test_licences(spark, tmp_path):
     mit = dict((n, t) for n, t in R.STATEMENTS if "Permission is hereby granted, free" in t)["MIT"]
     wrapped = "# " + mit.replace("\n", "\n# ")
