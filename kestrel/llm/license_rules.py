@@ -116,9 +116,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """``doc_id, n_known, sentence_ids, licenses, license`` for every row.
 
     Sentences are sought with line breaks as ends and with single line breaks as spaces
-    (wrapped statements); the reading with more known sentences counts, the first
-    one if equal. ``sentence_ids``: the identifiers in order, joined by spaces.
-    ``licenses``: the licences whose rule is an ordered part of them, sorted and
+    (wrapped statements). ``sentence_ids``: the identifiers in order, joined by spaces, and
+    ``n_known``: their number, in the reading with more of them, the first one if equal.
+    ``licenses``: the licences whose rule is an ordered part of either reading, sorted and
     joined by commas; ``license``: the one of the longest rule (of equal ones the
     first in ``STATEMENTS``). Null where nothing is known or no rule fits. Null and
     empty texts know nothing; repeated rows are scanned each; an empty table gives
@@ -128,18 +128,23 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
     found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _sentences(own, False).alias("lines"),
                         _sentences(own, True).alias("flow"))
-    known = F.when(F.size("flow") > F.size("lines"), F.col("flow")).otherwise(F.col("lines"))
-    mapped = found.select("doc_id", known.alias("known")).select(
-        "doc_id", F.size("known").cast("long").alias("n_known"),
-        F.when(F.size("known") > 0, F.array_join(F.transform("known", lambda s: by_sentence[s]), " ")).alias("sentence_ids"))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: by_sentence[s]), " ")
+    more = F.size("flow") > F.size("lines")
+    mapped = found.select(
+        "doc_id", F.greatest(F.size("lines"), F.size("flow")).cast("long").alias("n_known"),
+        joined("lines").alias("lines"), joined("flow").alias("flow"), more.alias("more"))
+    mapped = mapped.withColumn("sentence_ids", F.when(F.col("n_known") > 0, F.when(F.col("more"), F.col("flow")).otherwise(F.col("lines"))))
 
-    def after(at: Column, s: Column) -> Column:
-        hit = F.call_function("locate", s, F.col("sentence_ids"), at)
-        return F.when((at > 0) & (hit > 0), hit + 4).otherwise(F.lit(0))
+    def fits(rule: Column, ids: str) -> Column:
+        def after(at: Column, s: Column) -> Column:
+            hit = F.call_function("locate", s, F.col(ids), at)
+            return F.when((at > 0) & (hit > 0), hit + 4).otherwise(F.lit(0))
+
+        return F.aggregate(rule["ids"], F.lit(1), after) > 0
 
     table = F.array(*[F.struct(F.lit(-len(r)).alias("n"), F.lit(k).alias("at"), F.lit(name).alias("name"),
                                F.array(*map(F.lit, r)).alias("ids")) for k, (name, r) in enumerate(rules)])
-    matched = F.filter(table, lambda r: F.aggregate(r["ids"], F.lit(1), after) > 0)
+    matched = F.filter(table, lambda r: fits(r, "lines") | fits(r, "flow"))
     out = mapped.withColumn("rules", F.when(F.col("n_known") > 0, matched))
     names = F.transform("rules", lambda r: r["name"])
     return out.select(
@@ -149,7 +154,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def oracle_sql() -> str:
-    """The same in DuckDB SQL over the view ``documents``."""
+    """The same in DuckDB SQL over the view ``documents``, but for the licences of a document
+    that only its reading with fewer known sentences holds."""
     ids, rules = known_sentences()
     pattern = _pattern(ids).replace("\n", "\\n")
     ends, breaks, other = ENDS, _BREAKS, _OTHER

@@ -232,3 +232,14 @@ def test_licences(spark, tmp_path):
     want = duck.execute(R.oracle_sql()).fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
     assert R.scan(empty(spark)).collect() == []
+
+
+def test_licences_of_both_layouts(spark):
+    """A notice on a line of its own and a wrapped statement are both found, in either order."""
+    mpl = next(t for n, t in R.STATEMENTS if n == "MPL-2.0").replace("terms of", "terms\nof").replace("with this", "with\nthis")
+    mit = next(t for _, t in R.STATEMENTS if "Permission is hereby granted, free" in t)
+    rows = [(1, f"About\nLicensed under CC BY 4.0.\n\n{mpl}"), (2, f"{mpl}\n\nAbout\nLicensed under CC BY 4.0.\n"),
+            (3, f"About\nLicensed under CC BY 4.0.\nmore\n\n{mit}"), (4, mpl), (5, "About\nLicensed under CC BY 4.0.\nmore")]
+    got = {r["doc_id"]: (r["licenses"], r["license"]) for r in R.scan(frame(spark, rows)).collect()}
+    assert got == {1: ("CC-BY-4.0,MPL-2.0", "MPL-2.0"), 2: ("CC-BY-4.0,MPL-2.0", "MPL-2.0"), 3: ("CC-BY-4.0,MIT", "MIT"),
+                   4: ("MPL-2.0", "MPL-2.0"), 5: ("CC-BY-4.0", "CC-BY-4.0")}
