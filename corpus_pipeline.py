@@ -34,10 +34,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The best segmentation of each document, and whether decoding gives its text back."""
+    """The best segmentations of each document, and whether decoding gives its text back."""
     with open(tokenizer_file("piece_bpe_32k.model"), "rb") as f:
-        encoded = sentencepiece_nbest.encode(docs, f.read(), n=1)
-    return encoded.select("doc_id", "pieces", "n_pieces", "score", "round_trip")
+        encoded = sentencepiece_nbest.encode(docs, f.read())
+    return encoded.select("doc_id", "pieces", "n_pieces", "score", "others", "round_trip")
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),

@@ -43,3 +43,12 @@ def test_pipeline_equals_plain_version(spark):
 def test_stages_keep_the_columns():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "encoding"]
     assert stream_dedup and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_encoding_returns_the_following_segmentations(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").limit(20)
+    pieces = S.pieces(open(P.path("piece_bpe_32k.model"), "rb").read())
+    want = {r["doc_id"]: [(round(x, 3), np.frombuffer(ids, np.int32).tolist()) for x, ids in pieces.encode(r["text"])[1:]] for r in docs.collect()}
+    got = {r["doc_id"]: [(round(o["score"], 3), list(o["pieces"])) for o in r["others"]]
+           for r in corpus_pipeline.encoding(spark, docs, SF001).collect()}
+    assert got == want and all(len(o) == S.N_BEST - 1 for o in got.values())
