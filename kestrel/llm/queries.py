@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe_count, chat_repair, crf_toxicity, license_rules, lsa_decontam, odd_sketch, sentencepiece_nbest, stream_dedup, subword_langid, suffix_tree_lm
+from kestrel.llm import bpe_count, chat_repair, crf_toxicity, license_rules, lsa_decontam, odd_sketch, sentencepiece_nbest, stream_dedup, subword_langid, suffix_tree_lm, turn_repair
 from kestrel.llm.common import table
 
 
@@ -60,7 +60,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_langid.identify(docs, subword_langid.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_minhash_dedup, op4_decontamination, op5_license_scan, op6_exact_dedup, op7_lm_score, op8_token_counts, op9_toxicity, op10_language_id)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.summary(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_minhash_dedup, op4_decontamination, op5_license_scan, op6_exact_dedup, op7_lm_score, op8_token_counts, op9_toxicity, op10_language_id, op13_conversation_repair)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_license_scan": license_rules.oracle_sql(),
