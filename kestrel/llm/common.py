@@ -46,9 +46,11 @@ def remainder(doc_id: str, mod: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: int = 1, most_rows: int = 0, most_bytes: int = 0) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that a slice holds at most ``SLICE_ROWS`` rows and
-    about ``SLICE_BYTES`` of the text in column number ``text``. Order is kept."""
+    about ``SLICE_BYTES`` of the text in column number ``text`` (or as many as given).
+    Order is kept."""
+    most_rows, most_bytes = most_rows or SLICE_ROWS, most_bytes or SLICE_BYTES
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -57,8 +59,8 @@ def slices(batches: Iterable[pa.RecordBatch], text: int = 1) -> Iterator[pa.Reco
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = int(np.searchsorted(ends, base + SLICE_BYTES, side="right"))
-            to = min(max(to, at + 1), at + SLICE_ROWS, batch.num_rows)
+            to = int(np.searchsorted(ends, base + most_bytes, side="right"))
+            to = min(max(to, at + 1), at + most_rows, batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe_count, chat_repair, crf_toxicity, license_rules, lsa_decontam, odd_sketch, sentencepiece_nbest, stream_dedup, subword_langid, suffix_tree_lm, turn_repair, window_packing
+from kestrel.llm import bpe_count, chat_repair, crf_toxicity, license_rules, lsa_decontam, odd_sketch, phrase_graph, sentencepiece_nbest, stream_dedup, subword_langid, suffix_tree_lm, turn_repair, window_packing
 from kestrel.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_langid.identify(docs, subword_langid.train(docs))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_graph.collocations(table(spark, sf_dir, "documents")).drop("path_words")
+
+
 def op12_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     with open(path or tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
         return window_packing.pack(table(spark, sf_dir, "documents"), f.read())
@@ -69,9 +73,10 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.summary(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_minhash_dedup, op4_decontamination, op5_license_scan, op6_exact_dedup, op7_lm_score, op8_token_counts, op9_toxicity, op10_language_id, op12_packing, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_sentencepiece, op3_minhash_dedup, op4_decontamination, op5_license_scan, op6_exact_dedup, op7_lm_score, op8_token_counts, op9_toxicity, op10_language_id, op11_collocations, op12_packing, op13_conversation_repair)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_license_scan": license_rules.oracle_sql(),
     "op6_exact_dedup": stream_dedup.ORACLE_SQL,
+    "op11_collocations": phrase_graph.ORACLE_SQL,
 }
