@@ -1,10 +1,10 @@
 """Approximate search: IVF (D6, D7, C6, A10, A11) and sign-band LSH.
 
 IVF
-  build   Lloyd steps over all vectors. A starting centroid is the vector with the
-          smallest ``md5(id)`` of its hash bucket; a step assigns vectors on the
-          executors and averages them per cluster. Centroids are rounded after each
-          step, so that they depend neither on partitions nor on summation order.
+  build   Lloyd steps over all vectors, from oversampled seeds (k-means||); a step
+          assigns vectors on the executors and averages them per cluster. Centroids are
+          rounded after each step, so that they depend neither on partitions nor on
+          summation order.
           The index is a table partitioned by ``cluster`` plus a centroid table
           (``nlist`` rows: the only data that the driver sees).
   search  queries x their ``nprobe`` nearest clusters are rows, joined with the
@@ -14,8 +14,9 @@ IVF
 LSH (re-aimed graph index; Charikar's sign projections)
   ``L`` bands of ``b`` hyperplanes each; a band's code packs the ``b`` signs
   of ``<v, plane>``. Planes are +-1 vectors drawn from ``md5(band:bit:dim)``
-  so any engine can rebuild them. A join of query and corpus codes on ``(band,
-  code)``, salted, gives the candidate pairs; only these are scored, exactly.
+  so any engine can rebuild them. A query looks up several codes of a band, those
+  that flip its least certain bits first; a salted join on ``(band, code)`` counts in
+  how many bands a pair meets, and pairs that meet often enough are scored, exactly.
 """
 
 from __future__ import annotations
@@ -26,22 +27,27 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrel.functions.vectors import arrow_matrix, check_metric, distance
-from kestrel.operators.knn import block_topk, rank_per_query, score_name
-from kestrel.session import shared_path
+from kestrel.functions.vectors import arrow_matrix, check_metric, pair_scores
+from kestrel.operators.filters import apply_filters
+from kestrel.operators.knn import QUERY_BLOCK, block_topk, rank_per_query, score_name
+from kestrel.session import materialized, shared_path
 
 # Accepted strategy names (reference aliases map onto ours).
 STRATEGY_ALIASES = {"exact": "exact", "flat": "exact", "flat_l2": "exact",
                     "ivf": "ivf", "ivfflat": "ivf", "ivf_flat": "ivf",
                     "lsh": "lsh", "hnsw": "lsh"}
 
+#: Rounds of seeding, and candidates of a round for each centroid.
+SEED_ROUNDS, OVERSAMPLE = 4, 2
 #: Lloyd steps, and the digits that centroids are rounded to after each.
 STEPS, DIGITS = 4, 6
 #: Cells that a cluster or a band code is spread over.
 SALTS = 8
+#: Queries whose probes, and pairs whose scores, are computed at once.
+QUERY_TILE, PAIR_TILE = 64, 1 << 14
 
 
 def strategy_name(name: str) -> str:
@@ -93,12 +99,52 @@ def _clusters_of(vectors: DataFrame, centroids: dict[int, np.ndarray], n: int) -
     return vectors.select("id", "embedding").mapInArrow(run, f"id long, cluster int, embedding {kind}")
 
 
-def start_centroids(vectors: DataFrame, nlist: int) -> DataFrame:
-    """``cluster, embedding``: of each of ``nlist`` hash buckets of ids, the vector with
-    the smallest ``md5(id)`` (fewer rows than buckets in a small table)."""
-    h = F.md5(F.col("id").cast("string"))
-    bucket = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(nlist)).cast("int")
-    return vectors.groupBy(bucket.alias("cluster")).agg(F.min_by("embedding", F.struct(h, F.col("id"))).alias("embedding"))
+def _unit(round_: int) -> Column:
+    """A number from 0 to 2**32 that a vector's id draws in a round, the same on every engine."""
+    return F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{round_}"))), 1, 8), 16, 10).cast("double")
+
+
+def _to_nearest(vectors: DataFrame, centres: np.ndarray, ids: np.ndarray) -> DataFrame:
+    """``id, embedding, centre, d2``: each vector's nearest centre and squared distance (6 digits)."""
+    shared = vectors.sparkSession.sparkContext.broadcast((centres, ids))
+
+    def run(batches):
+        c, names = shared.value
+        for b in batches:
+            if b.num_rows:
+                x = arrow_matrix(b.column(1), c.shape[1])
+                d2 = np.maximum(np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", c, c)[None, :] - 2.0 * (x @ c.T), 0.0)
+                near = d2.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[near]),
+                                                  pa.array(np.round(d2[np.arange(len(x)), near], DIGITS))], ["id", "embedding", "centre", "d2"])
+
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return vectors.select("id", "embedding").mapInArrow(run, f"id long, embedding {kind}, centre long, d2 double")
+
+
+def seed_centroids(vectors: DataFrame, nlist: int, rounds: int = SEED_ROUNDS) -> dict[int, np.ndarray]:
+    """Starting centroids by oversampling (k-means||, Bahmani et al.): from one vector, each round
+    adds vectors on the executors with a chance of ``OVERSAMPLE * nlist * d2 / sum(d2)``; of all
+    candidates, those that most vectors are nearest to are taken.
+
+    Draws are hashes of ids and sums are decimal, so the result depends on no partitioning. The
+    driver sees about ``OVERSAMPLE * nlist`` vectors a round, whatever the table's size."""
+    first = vectors.orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(":0"))), "id").limit(1).collect()
+    if not first:
+        raise ValueError("no vectors to train on")
+    found = [(r["id"], np.asarray(r["embedding"], np.float64)) for r in first]
+    both = lambda: (np.array([v for _, v in found]), np.array([i for i, _ in found], np.int64))
+    for k in range(1, rounds + 1):
+        near = materialized(_to_nearest(vectors, *both()))
+        total = float(near.agg(F.sum(F.col("d2").cast("decimal(28,6)"))).first()[0])
+        if total == 0:
+            break
+        drawn = near.filter(_unit(k) * F.lit(total) < F.lit(float(OVERSAMPLE * nlist * 2 ** 32)) * F.col("d2"))
+        found += [(r["id"], np.asarray(r["embedding"], np.float64)) for r in drawn.select("id", "embedding").collect()]
+    weights = _to_nearest(vectors, *both()).groupBy("centre").agg(F.count(F.lit(1)).alias("n")).collect()
+    n = {r["centre"]: r["n"] for r in weights}
+    ranked = sorted(found, key=lambda c: (-n.get(c[0], 0), c[0]))[:nlist]
+    return {k: np.round(v, DIGITS) for k, (_, v) in enumerate(ranked)}
 
 
 def _lloyd(vectors: DataFrame, centroids: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
@@ -136,12 +182,9 @@ def ivf_build(corpus: DataFrame, nlist: int = 100, steps: int = STEPS, train: Da
     """Train centroids on all vectors (or on those of ``train``) and assign every
     vector (D6). Rows without a vector are left out."""
     clean = lambda df: df.select(F.col("id").cast("long").alias("id"), "embedding").filter(F.col("embedding").isNotNull())
-    vectors = clean(corpus)
-    learn = clean(train) if train is not None else vectors
-    centroids = {r["cluster"]: np.round(np.asarray(r["embedding"], np.float64), DIGITS)
-                 for r in start_centroids(learn, nlist).collect()}
-    if not centroids:
-        raise ValueError("no vectors to train on")
+    vectors = materialized(clean(corpus))            # every step reads them
+    learn = materialized(clean(train)) if train is not None else vectors
+    centroids = seed_centroids(learn, nlist)
     for _ in range(steps):
         centroids = _lloyd(learn, centroids)
     return IVFIndex(_clusters_of(vectors, centroids, 1), centroids, nlist)
@@ -236,25 +279,135 @@ def lsh_codes(corpus: DataFrame, bands: int = 8, bits: int = 6) -> DataFrame:
         .mapInArrow(run, "id long, band int, code long")
 
 
+#: Bits of a code that a probe may flip: the least certain ones (with at most this many bits, all).
+FLIPPED_BITS = 10
+
+
+def probe_codes(x: np.ndarray, planes: np.ndarray, probes: int) -> np.ndarray:
+    """(n, bands, probes) codes to look up for each vector, its own first: those that flip the bits
+    at least total squared distance to their planes (query-directed probing, Lv et al.)."""
+    bands, bits, dim = planes.shape
+    dots = (x @ planes.reshape(bands * bits, dim).T).reshape(len(x), bands, bits)
+    own = ((dots >= 0).astype(np.int64) << np.arange(bits)).sum(axis=2)
+    few = min(bits, FLIPPED_BITS)
+    unsure = np.argsort(np.abs(dots), axis=2, kind="stable")[:, :, :few]
+    masks = (np.arange(1 << few)[:, None] >> np.arange(few)) & 1                     # subsets of these bits
+    flips = (np.int64(1) << unsure.astype(np.int64)) @ masks.T
+    costs = np.take_along_axis(dots, unsure, 2) ** 2 @ masks.T
+    codes = own[:, :, None] ^ flips
+    order = np.lexsort((codes, costs), axis=2)[:, :, :probes]
+    return np.take_along_axis(codes, order, 2)
+
+
+def lsh_probes(queries: DataFrame, bands: int = 8, bits: int = 6, probes: int = 1, query_id: str = "query_id") -> DataFrame:
+    """``query_id, band, code`` of the ``probes`` codes that each query looks up in each band."""
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, QUERY_TILE):
+                some = b.slice(i, QUERY_TILE)
+                dim = len(some.column(1)[0])
+                codes = probe_codes(arrow_matrix(some.column(1), dim), lsh_planes(bands, bits, dim), probes)
+                n = codes.shape[2]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(some.column(0).to_numpy(), bands * n)),
+                     pa.array(np.tile(np.repeat(np.arange(bands, dtype=np.int32), n), some.num_rows)), pa.array(codes.ravel())],
+                    ["query_id", "band", "code"])
+
+    return queries.select(F.col(query_id).cast("long").alias("query_id"), "embedding").filter(F.col("embedding").isNotNull()).mapInArrow(
+        run, "query_id long, band int, code long")
+
+
 def lsh_candidates(corpus: DataFrame, queries: DataFrame, bands: int = 8, bits: int = 6,
-                   query_id: str = "query_id") -> DataFrame:
-    """``query_id, id``: the distinct pairs that share the code of a band, by a join on
-    ``(band, code, salt)``; a code that very many vectors share is ``SALTS`` cells."""
+                   query_id: str = "query_id", probes: int = 1, least: int = 1, enough: int | None = None) -> DataFrame:
+    """``query_id, id, hits``: the pairs that meet in at least ``least`` bands, where a query looks up
+    ``probes`` codes of a band. They come from a join on ``(band, code, salt)`` and a count that is
+    summed before the shuffle; a code that very many vectors share is ``SALTS`` cells.
+
+    With ``enough``, a query with fewer candidates takes pairs that meet in fewer bands too, down to
+    one, until there are that many: what filters leave of the corpus may be little."""
     left = lsh_codes(corpus, bands, bits).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    right = lsh_codes(queries.select(F.col(query_id).alias("id"), "embedding"), bands, bits).select(
-        F.col("id").alias("query_id"), "band", "code", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return left.join(right, ["band", "code", "salt"]).select("query_id", "id").distinct()
+    right = lsh_probes(queries, bands, bits, probes, query_id).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = left.join(right, ["band", "code", "salt"]).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))
+    if enough is None:
+        return met.filter(F.col("hits") >= least)
+    met = materialized(met)
+    # at most ``bands`` rows for a query
+    levels = met.groupBy("query_id", F.least("hits", F.lit(least)).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = levels.withColumn("above", above).filter(F.col("above") < enough).groupBy("query_id").agg(F.min("level").alias("level"))
+    return met.join(taken, "query_id").filter(F.col("hits") >= F.col("level")).select("query_id", "id", "hits")
+
+
+def score_pairs(corpus: DataFrame, queries: DataFrame, pairs: DataFrame, k: int, metric: str = "l2", query_id: str = "query_id") -> DataFrame:
+    """Best ``k`` per query among ``pairs`` (``query_id, id``): ``query_id, rank, id, distance``.
+
+    Queries are packed into blocks of ``QUERY_BLOCK``. A vector travels once to each block that has
+    it as a candidate, with the numbers of its queries there; a block's vectors are dealt to ``SALTS``
+    cells, each headed by the block's query matrix, and scored in NumPy batch by batch. At most ``k``
+    rows per query leave a batch."""
+    check_metric(metric)
+    name = score_name(metric)
+    n_queries = queries.filter(F.col("embedding").isNotNull()).count()
+    blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    none = lambda kind: F.lit(None).cast(kind)
+    wanted = pairs.select("query_id", "id", block).groupBy("block", "id").agg(F.collect_list("query_id").alias("wanted"))
+    body = (wanted.join(corpus.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+                        .filter(F.col("embedding").isNotNull()), "id")
+            .select("block", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "embedding", "wanted"))
+    heads = queries.filter(F.col("embedding").isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), "embedding").select(
+        block, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), F.col("query_id").alias("id"),
+        F.col("embedding").cast("array<double>").alias("embedding"), none("array<long>").alias("wanted"))
+
+    def run(batches):
+        own, place, matrix = None, {}, []
+        for b in batches:
+            cell = b.column(0).to_numpy().astype(np.int64) * SALTS + b.column(1).to_numpy()
+            kind = b.column(2).to_numpy()
+            edges = np.flatnonzero(np.diff(cell * 2 + kind)) + 1
+            for part in np.split(np.arange(b.num_rows), edges):
+                if not len(part):
+                    continue
+                if cell[part[0]] != own:
+                    own, place, matrix = cell[part[0]], {}, []
+                some = b.slice(int(part[0]), len(part))
+                x = arrow_matrix(some.column(4), len(some.column(4)[0]))
+                if kind[part[0]] == 0:
+                    place.update(zip(some.column(3).to_pylist(), range(len(place), len(place) + len(x))))
+                    matrix.append(x)
+                    continue
+                q = np.concatenate(matrix)
+                matrix = [q]
+                if x.shape[1] != q.shape[1]:
+                    raise ValueError(f"query vectors of size {q.shape[1]} for stored vectors of size {x.shape[1]}")
+                lists = some.column(5)
+                asked = lists.flatten().to_numpy()
+                rows = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy()))
+                at = np.fromiter(map(place.__getitem__, asked.tolist()), np.int64, len(asked))
+                ids = some.column(3).to_numpy()[rows]
+                score = np.concatenate([pair_scores(x[rows[i:i + PAIR_TILE]], q[at[i:i + PAIR_TILE]], metric) for i in range(0, len(rows), PAIR_TILE)])
+                order = np.lexsort((ids, -score if metric == "ip" else score, asked))
+                firsts = np.flatnonzero(np.diff(asked[order], prepend=asked[order][0] - 1))
+                nth = np.arange(len(order)) - np.repeat(firsts, np.diff(np.append(firsts, len(order))))
+                keep = order[nth < k]
+                yield pa.RecordBatch.from_arrays([pa.array(asked[keep]), pa.array(ids[keep]), pa.array(score[keep])], ["query_id", "id", name])
+
+    dealt = heads.unionByName(body).repartition("block", "salt").sortWithinPartitions("block", "salt", "kind")
+    return rank_per_query(dealt.mapInArrow(run, f"query_id long, id long, {name} double"), k, metric, name).select("query_id", "rank", "id", name)
+
+
+#: Candidates of a query, in multiples of k, below which filtered search takes weaker ones too.
+ENOUGH = 25
 
 
 def lsh_search(corpus: DataFrame, queries: DataFrame, k: int = 5, bands: int = 8, bits: int = 6,
-               metric: str = "l2", query_id: str = "query_id", candidates: DataFrame | None = None) -> DataFrame:
-    """Top-k among rows sharing a band code with the query: ``query_id, rank,
-    id, distance`` (fewer than k rows when there are fewer candidates). Exactly
-    the candidate pairs are scored."""
-    check_metric(metric)
-    name = score_name(metric)
-    pairs = candidates if candidates is not None else lsh_candidates(corpus, queries, bands, bits, query_id)
-    scored = (pairs.join(corpus.select(F.col("id").cast("long").alias("id"), "embedding"), "id")
-              .join(queries.select(F.col(query_id).cast("long").alias("query_id"), F.col("embedding").alias("q_emb")), "query_id")
-              .select("query_id", "id", distance(metric, "embedding", "q_emb").alias(name)))
-    return rank_per_query(scored, k, metric, name).select("query_id", "rank", "id", name)
+               metric: str = "l2", query_id: str = "query_id", candidates: DataFrame | None = None,
+               probes: int = 1, least: int = 1, filters: dict | None = None, mode: str = "null") -> DataFrame:
+    """Top-k among the candidates of :func:`lsh_candidates`: ``query_id, rank, id,
+    distance`` (fewer than k rows when there are fewer candidates). Exactly the candidate
+    pairs are scored. ``filters`` are applied first, and weaker candidates are taken where
+    fewer than ``ENOUGH * k`` survive."""
+    docs = apply_filters(corpus, filters, mode)
+    pairs = candidates if candidates is not None else lsh_candidates(docs, queries, bands, bits, query_id, probes, least,
+                                                                     ENOUGH * k if filters else None)
+    return score_pairs(docs, queries, pairs, k, metric, query_id)

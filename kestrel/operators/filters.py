@@ -15,6 +15,7 @@ Two table forms (contract S2-S6):
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,8 +29,9 @@ def json_tags(metadata: Column) -> Column:
     return F.from_json(F.get_json_object(metadata, "$.tags"), "array<string>")
 
 
-def predicate(filters: dict | None, mode: str = "null") -> Column | None:
-    """AND of the given filters, or None when there is nothing to filter."""
+def predicate(filters: dict | None, mode: str = "null", field: Callable[[str], Column] = F.col) -> Column | None:
+    """AND of the given filters, or None when there is nothing to filter. ``field`` gives the
+    Column of a name (by default the frame's own)."""
     if mode not in ("null", "text"):
         raise ValueError("mode must be 'null' or 'text'")
     if not filters:
@@ -39,25 +41,25 @@ def predicate(filters: dict | None, mode: str = "null") -> Column | None:
         if key in filters:
             value = filters[key]
             # A None value compares as NULL and keeps no row
-            parts.append(F.col(key) == (F.lit(None).cast("string") if value is None
+            parts.append(field(key) == (F.lit(None).cast("string") if value is None
                                         else F.lit(str(value))))
     for key, op in (("date_from", "ge"), ("date_to", "le")):
         if key in filters:
             value = filters[key]
             if mode == "null":
                 bound = F.lit(None).cast("date") if value is None else F.to_date(F.lit(str(value)))
-                col = F.col("date")
+                col = field("date")
             else:
                 bound = F.lit(None).cast("string") if value is None else F.lit(str(value))
-                col = F.col("date")
+                col = field("date")
             parts.append(col >= bound if op == "ge" else col <= bound)
     if "tags" in filters:
         value = filters["tags"]
         if mode == "null":
-            parts.append(F.array_contains(F.col("tags"), F.lit(value)) if value is not None
+            parts.append(F.array_contains(field("tags"), F.lit(value)) if value is not None
                          else F.lit(None).cast("boolean"))
         elif value:  # S5: text mode skips a falsy tag
-            parts.append(F.coalesce(F.array_contains(json_tags(F.col("metadata")), F.lit(str(value))),
+            parts.append(F.coalesce(F.array_contains(json_tags(field("metadata")), F.lit(str(value))),
                                     F.lit(False)))
     if not parts:
         return None

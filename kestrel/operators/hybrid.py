@@ -13,12 +13,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrel.operators import ann as AN
+from kestrel.operators import block_index as BI
 from kestrel.operators import keyword as KW
 from kestrel.operators.filters import apply_filters
 from kestrel.operators.knn import knn
 
 CANDIDATES = 20
 RRF_CONSTANT = 60
+#: Hits of a question at most (a fixed limit of the retrieval interface).
+MOST_HITS = 100
 
 
 def semantic_rank(corpus: DataFrame, queries: DataFrame, candidates: int = CANDIDATES,
@@ -63,10 +67,27 @@ def fuse(sem: DataFrame, kw: DataFrame, k: int = 5, rrf_constant: int = RRF_CONS
 
 
 def retrieve(corpus: DataFrame, questions: DataFrame, k: int = 5, use_hybrid: bool = True,
-             filters: dict | None = None, index: KW.KeywordIndex | None = None) -> DataFrame:
+             filters: dict | None = None, index: KW.KeywordIndex | None = None, strategy: str | None = None,
+             ann: BI.BlockIndex | None = None, nprobe: int = 10, **lsh) -> DataFrame:
     """Hybrid or plain vector search, filtered in both forms. Returns
     ``query_id, rank, id`` and ``rrf_score`` (higher is better) or ``distance``
-    (lower is better)."""
+    (lower is better).
+
+    ``strategy`` picks the engine of plain search by any name that :func:`ann.strategy_name`
+    knows: exact; ivf, through the stored index ``ann`` (exact search if there is none); lsh,
+    with the settings of :func:`ann.lsh_search`. The engine that answered is then a column."""
+    if not 0 < k <= MOST_HITS:
+        raise ValueError(f"k must be from 1 to {MOST_HITS}")
     if use_hybrid:
         return hybrid_search(corpus, questions, k, filters=filters, index=index)
-    return knn(corpus, questions.select("query_id", "embedding"), k=k, metric="l2", filters=filters)
+    asked = questions.select("query_id", "embedding")
+    engine = AN.strategy_name(strategy) if strategy else "exact"
+    if engine == "ivf" and ann is None:
+        engine = "exact"
+    if engine == "ivf":
+        hits = BI.search(ann, asked, k, nprobe, "l2", filters)
+    elif engine == "lsh":
+        hits = AN.lsh_search(corpus, asked, k, filters=filters, **lsh)
+    else:
+        hits = knn(corpus, asked, k=k, metric="l2", filters=filters)
+    return hits.withColumn("strategy", F.lit(engine)) if strategy else hits

@@ -148,25 +148,51 @@ CONTEXT_SQL = ("string_agg(concat('Document ', CAST(h.id AS VARCHAR), ': ', c.co
 
 
 
-def lsh_codes_cte(name: str, source: str, id_col: str, emb_col: str, bands: int = 8, bits: int = 6,
-                  dim: int = 64) -> str:
-    return f"""{name} AS (
-  SELECT id, CAST(band AS INTEGER) AS band,
-         CAST(sum(CASE WHEN dot >= 0 THEN (CAST(1 AS BIGINT) << CAST(bit AS INTEGER)) ELSE 0 END) AS BIGINT) AS code
-  FROM (SELECT ev.id, p.band, p.bit, sum(ev.v * p.s) AS dot
-        FROM (SELECT {id_col} AS id, CAST(generate_subscripts({emb_col}, 1) - 1 AS BIGINT) AS d,
-                     CAST(unnest({emb_col}) AS DOUBLE) AS v FROM {source}) ev
-        JOIN (SELECT l AS band, j AS bit, dd AS d,
-                     CASE WHEN substr(md5(concat(l, ':', j, ':', dd)), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS s
-              FROM range({bands}) t1(l), range({bits}) t2(j), range({dim}) t3(dd)) p ON ev.d = p.d
-        GROUP BY ev.id, p.band, p.bit)
-  GROUP BY id, band)"""
-
-
-LSH_CTES = [CORPUS_CTE, QUERIES_CTE, lsh_codes_cte("ccodes", "corpus", "id", "embedding"),
-            lsh_codes_cte("qcodes", "queries", "query_id", "q_emb"),
-            """cand AS (SELECT DISTINCT q.id AS query_id, c.id FROM qcodes q JOIN ccodes c
-  ON q.band = c.band AND q.code = c.code)""",
+#: Settings of the registered searches, as in the catalog.
+BANDS, BITS, PROBES, LEAST, ENOUGH = 32, 8, 16, 4, 125
+NLIST, NPROBE = 200, 50
+IVF_SETTINGS = ((16, 4), (100, 10), (200, 20), (200, 50))
+
+
+def lsh_dots_cte(name: str, source: str, id_col: str, emb_col: str, dim: int = 64) -> str:
+    return f"""{name} AS MATERIALIZED (
+  SELECT ev.id, p.band, p.bit, sum(ev.v * p.s) AS dot
+  FROM (SELECT {id_col} AS id, CAST(generate_subscripts({emb_col}, 1) - 1 AS BIGINT) AS d,
+               CAST(unnest({emb_col}) AS DOUBLE) AS v FROM {source}) ev
+  JOIN (SELECT l AS band, j AS bit, dd AS d,
+               CASE WHEN substr(md5(concat(l, ':', j, ':', dd)), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS s
+        FROM range({BANDS}) t1(l), range({BITS}) t2(j), range({dim}) t3(dd)) p ON ev.d = p.d
+  GROUP BY ev.id, p.band, p.bit)"""
+
+
+def lsh_codes_cte(name: str, dots: str) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT id, CAST(band AS INTEGER) AS band,
+  CAST(sum(CASE WHEN dot >= 0 THEN (CAST(1 AS BIGINT) << CAST(bit AS INTEGER)) ELSE 0 END) AS BIGINT) AS code
+  FROM {dots} GROUP BY id, band)"""
+
+
+def lsh_ctes(where: str | None = None) -> list[str]:
+    """``cand`` (query_id, id) and ``lsh`` (query_id, rank, id, distance): pairs that meet in enough bands."""
+    met = """met AS MATERIALIZED (SELECT q.id AS query_id, c.id, count(*) AS hits FROM qprobes q JOIN ccodes c
+  ON q.band = c.band AND q.code = c.code GROUP BY q.id, c.id)"""
+    pick = f"cand AS (SELECT query_id, id FROM met WHERE hits >= {LEAST})"
+    if where:
+        pick = f"""levels AS (SELECT query_id, least(hits, {LEAST}) AS level, count(*) AS n FROM met GROUP BY ALL),
+above AS (SELECT query_id, level, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY level DESC
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM levels),
+taken AS (SELECT query_id, min(level) AS level FROM above WHERE above < {ENOUGH} GROUP BY query_id),
+cand AS (SELECT m.query_id, m.id FROM met m JOIN taken t ON t.query_id = m.query_id WHERE m.hits >= t.level)"""
+    return [CORPUS_CTE, QUERIES_CTE, f"kept AS (SELECT * FROM corpus c WHERE {where or 'true'})",
+            lsh_dots_cte("cdots", "kept", "id", "embedding"), lsh_codes_cte("ccodes", "cdots"),
+            lsh_dots_cte("qdots", "queries", "query_id", "q_emb"), lsh_codes_cte("qcodes", "qdots"),
+            f"""qprobes AS MATERIALIZED (SELECT id, band, code FROM (
+  SELECT f.id, f.band, xor(c.code, f.flip) AS code,
+         row_number() OVER (PARTITION BY f.id, f.band ORDER BY f.cost, xor(c.code, f.flip)) AS n
+  FROM (SELECT d.id, CAST(d.band AS INTEGER) AS band, x.flip,
+               sum(CASE WHEN (x.flip >> CAST(d.bit AS INTEGER)) & 1 = 1 THEN d.dot * d.dot ELSE 0.0 END) AS cost
+        FROM qdots d CROSS JOIN range({1 << BITS}) x(flip) GROUP BY d.id, d.band, x.flip) f
+  JOIN qcodes c ON c.id = f.id AND c.band = f.band) WHERE n <= {PROBES})""",
+            met, pick,
             f"""lsh AS (SELECT query_id, rank, id, distance FROM (
   SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
     SELECT cand.query_id, cand.id, {dist_sql('l2', 'c.embedding', 'q.q_emb')} AS distance
@@ -174,6 +200,9 @@ LSH_CTES = [CORPUS_CTE, QUERIES_CTE, lsh_codes_cte("ccodes", "corpus", "id", "em
   WHERE rank <= 5)"""]
 
 
+LSH_CTES = lsh_ctes()
+
+
 def quality_ctes(results: str, truth_k: int, p: str = "") -> list[str]:
     """Quality of a result CTE; the names of its CTEs begin with ``p``."""
     return [f"{p}truth AS MATERIALIZED (SELECT query_id, id FROM ({knn_sql('l2', truth_k)}))",
@@ -187,36 +216,50 @@ def quality_ctes(results: str, truth_k: int, p: str = "") -> list[str]:
   coalesce(avg(n_hit / 5.0), 0.0) AS precision, coalesce(avg(coalesce(1.0 / first_hit, 0.0)), 0.0) AS mrr FROM {p}qq)"""]
 
 
-def ivf_ctes(nlist: int, nprobe: int, p: str = "iv", steps: int = 4) -> list[str]:
-    """Lloyd steps over all vectors: ``{p}a`` (id, v, cluster), ``{p}p`` (query_id, cluster),
-    ``{p}h`` (query_id, rank, id, distance), ``{p}s`` (share)."""
-    def nearest(points, key, vec, cents, n):
-        return (f"SELECT {key}, {vec} AS v, cluster FROM (SELECT x.{key}, x.{vec}, c.cluster, row_number() OVER (PARTITION BY x.{key} "
-                f"ORDER BY list_distance(x.{vec}, c.v), c.cluster) AS n FROM {points} x CROSS JOIN {cents} c) WHERE n <= {n}")
-
-    out = [f"{p}v AS MATERIALIZED (SELECT id, embedding::DOUBLE[] AS v FROM corpus WHERE embedding IS NOT NULL)",
-           f"""{p}c0 AS MATERIALIZED (SELECT cluster, list_transform(arg_min(v, h), lambda z: round(z, 6)) AS v FROM (
-  SELECT v, md5(CAST(id AS VARCHAR)) AS h, CAST(CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8) AS BIGINT) % {nlist} AS INTEGER) AS cluster
-  FROM {p}v) GROUP BY cluster)"""]
+def ivf_ctes(nlist: int, nprobe: int, p: str = "iv", steps: int = 4, where: str | None = None, queries: str = "queries") -> list[str]:
+    """Oversampled seeds and Lloyd steps over all vectors: ``{p}a`` (id, v, cluster, ok), ``{p}p``
+    (query_id, cluster), ``{p}h`` (query_id, rank, id, distance), ``{p}s`` (share), ``{p}c`` (centroids)."""
+    def nearest(points, key, vec, cents, n, name="cluster", more=""):
+        return (f"SELECT {key}, {vec} AS v, {name}{more} FROM (SELECT x.*, c.{name}, row_number() OVER (PARTITION BY x.{key} "
+                f"ORDER BY list_distance(x.{vec}, c.v), c.{name}) AS n FROM {points} x CROSS JOIN {cents} c) WHERE n <= {n}")
+
+    out = [f"{p}v AS MATERIALIZED (SELECT id, embedding::DOUBLE[] AS v, coalesce({where or 'true'}, false) AS ok FROM corpus c WHERE embedding IS NOT NULL)",
+           f"{p}s0 AS MATERIALIZED (SELECT id AS centre, v FROM {p}v ORDER BY md5(concat(id, ':0')), id LIMIT 1)"]
+    for k in range(1, 5):
+        out += [f"""{p}d{k} AS MATERIALIZED (SELECT x.id, any_value(x.v) AS v, round(min(list_distance(x.v, c.v) * list_distance(x.v, c.v)), 6) AS d2
+  FROM {p}v x CROSS JOIN {p}s{k - 1} c GROUP BY x.id)""",
+                f"""{p}s{k} AS MATERIALIZED (SELECT centre, v FROM {p}s{k - 1} UNION ALL SELECT id, v FROM {p}d{k}
+  WHERE CAST(CAST('0x' || substr(md5(concat(id, ':{k}')), 1, 8) AS BIGINT) AS DOUBLE)
+        * (SELECT CAST(sum(CAST(d2 AS DECIMAL(28,6))) AS DOUBLE) FROM {p}d{k}) < {float(2 * nlist * 2 ** 32)} * d2)"""]
+    out += [f"{p}w AS MATERIALIZED ({nearest(p + 'v', 'id', 'v', p + 's4', 1, 'centre')})",
+            f"""{p}c0 AS MATERIALIZED (SELECT cluster, v FROM (SELECT list_transform(s.v, lambda z: round(z, 6)) AS v,
+  CAST(row_number() OVER (ORDER BY coalesce(w.n, 0) DESC, s.centre) - 1 AS INTEGER) AS cluster
+  FROM {p}s4 s LEFT JOIN (SELECT centre, count(*) AS n FROM {p}w GROUP BY centre) w ON w.centre = s.centre) WHERE cluster < {nlist})"""]
     for k in range(steps):
         out += [f"{p}a{k} AS MATERIALIZED ({nearest(p + 'v', 'id', 'v', f'{p}c{k}', 1)})",
                 f"""{p}c{k + 1} AS MATERIALIZED (SELECT cluster, list(m ORDER BY d) AS v FROM (
   SELECT cluster, d, round(sum(z) / count(*), 6) AS m FROM (SELECT cluster, generate_subscripts(v, 1) AS d, unnest(v) AS z FROM {p}a{k})
   GROUP BY cluster, d) GROUP BY cluster
   UNION ALL SELECT cluster, v FROM {p}c{k} WHERE cluster NOT IN (SELECT cluster FROM {p}a{k}))"""]
+    need = f"greatest(5, {nprobe} * (SELECT count(*) FROM {p}v) / (SELECT count(*) FROM {p}c))" if where else "5"
     return out + [
-        f"{p}a AS MATERIALIZED ({nearest(p + 'v', 'id', 'v', f'{p}c{steps}', 1)})",
-        f"{p}q AS (SELECT query_id, q_emb::DOUBLE[] AS qv FROM queries)",
-        f"{p}p AS MATERIALIZED ({nearest(p + 'q', 'query_id', 'qv', f'{p}c{steps}', nprobe)})",
+        f"{p}c AS (SELECT * FROM {p}c{steps})",
+        f"{p}a AS MATERIALIZED ({nearest(p + 'v', 'id', 'v', f'{p}c{steps}', 1, more=', ok')})",
+        f"{p}q AS (SELECT query_id, q_emb::DOUBLE[] AS qv FROM {queries})",
+        f"{p}n AS (SELECT cluster, count(*) AS n FROM {p}a WHERE ok GROUP BY cluster)",
+        f"""{p}p AS MATERIALIZED (SELECT query_id, qv AS v, cluster FROM (
+  SELECT q.query_id, q.qv, c.cluster, row_number() OVER w AS nth,
+         coalesce(sum(n.n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM {p}q q CROSS JOIN {p}c c JOIN {p}n n ON n.cluster = c.cluster
+  WINDOW w AS (PARTITION BY q.query_id ORDER BY list_distance(c.v, q.qv), c.cluster)) WHERE nth <= {nprobe} OR ahead < {need})""",
         f"""{p}h AS (SELECT query_id, rank, id, distance FROM (SELECT query_id, id, distance,
   row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
-  SELECT q.query_id, a.id, list_distance(a.v, q.v) AS distance FROM {p}p q JOIN {p}a a ON a.cluster = q.cluster)) WHERE rank <= 5)""",
-        f"""{p}s AS (SELECT (SELECT count(*) FROM {p}p q JOIN {p}a a ON a.cluster = q.cluster)
-  / ((SELECT count(*) FROM queries) * (SELECT count(*) FROM {p}v)) AS share)"""]
+  SELECT q.query_id, a.id, list_distance(a.v, q.v) AS distance FROM {p}p q JOIN {p}a a ON a.cluster = q.cluster WHERE a.ok)) WHERE rank <= 5)""",
+        f"""{p}s AS (SELECT (SELECT count(*) FROM {p}p q JOIN {p}a a ON a.cluster = q.cluster WHERE a.ok)
+  / ((SELECT count(*) FROM {queries}) * (SELECT count(*) FROM {p}v WHERE ok)) AS share)"""]
 
 
 EXACT_CTE = "exact AS (" + knn_sql("l2", 5) + ")"
-IVF_SETTINGS = ((16, 4), (16, 8), (100, 10), (200, 20))
 
 
 def matrix_row(name: str, p: str, share: str) -> str:
@@ -228,7 +271,7 @@ def matrix_row(name: str, p: str, share: str) -> str:
 def matrix_sql() -> str:
     ctes = [*LSH_CTES, EXACT_CTE, *quality_ctes("exact", 5, "x"), *quality_ctes("lsh", 5, "l")]
     rows = [matrix_row("exact", "x", "1.0::DOUBLE"),
-            matrix_row("lsh_8_6", "l", "(SELECT count(*) FROM cand) / ((SELECT count(*) FROM queries) * "
+            matrix_row(f"lsh_{BANDS}_{BITS}", "l", "(SELECT count(*) FROM cand) / ((SELECT count(*) FROM queries) * "
                                        "(SELECT count(*) FROM corpus WHERE embedding IS NOT NULL))")]
     for k, (nlist, nprobe) in enumerate(IVF_SETTINGS):
         ctes += [*ivf_ctes(nlist, nprobe, f"i{k}"), *quality_ctes(f"i{k}h", 5, f"j{k}")]
@@ -396,11 +439,21 @@ SQL: dict[str, str] = {
     "assemble_chunks": "SELECT conv_id AS request_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS response "
                        "FROM conversations GROUP BY conv_id",
     "ivf_exhaustive": _C(knn_sql("l2", 5)),
-    "ivf_assign": with_ctes(CORPUS_CTE, QUERIES_CTE, *ivf_ctes(16, 4)) + "SELECT id, cluster FROM iva",
-    "ivf_probes": with_ctes(CORPUS_CTE, QUERIES_CTE, *ivf_ctes(16, 4)) + "SELECT query_id, cluster FROM ivp",
-    "ivf_search": with_ctes(CORPUS_CTE, QUERIES_CTE, *ivf_ctes(16, 4)) +
+    "ivf_assign": with_ctes(CORPUS_CTE, QUERIES_CTE, *ivf_ctes(NLIST, NPROBE)) + "SELECT id, cluster FROM iva",
+    "ivf_probes": with_ctes(CORPUS_CTE, QUERIES_CTE, *ivf_ctes(NLIST, NPROBE)) + f"""SELECT query_id, cluster FROM (
+  SELECT q.query_id, c.cluster, row_number() OVER (PARTITION BY q.query_id ORDER BY list_distance(c.v, q.qv), c.cluster) AS n
+  FROM ivq q CROSS JOIN ivc c) WHERE n <= {NPROBE}""",
+    "ivf_adaptive": _C(knn_sql("l2", 5)),
+    "ivf_adaptive_filtered": _C(knn_sql("l2_squared", 5, where="c.author = 'author3' AND c.category = 'es'")),
+    "ivf_filtered": with_ctes(CORPUS_CTE, QUERIES_CTE, *ivf_ctes(NLIST, NPROBE, where="c.category = 'en' AND c.date <= DATE '2021-12-31'")) +
+        "SELECT query_id, rank, id, round(distance, 6) AS distance FROM ivh",
+    "ivf_filtered_sparse": with_ctes(CORPUS_CTE, QUERIES_CTE, *ivf_ctes(NLIST, NPROBE, where="c.author = 'author3' AND c.category = 'es'")) +
+        "SELECT query_id, rank, id, round(distance, 6) AS distance FROM ivh",
+    "retrieve_ivf": with_ctes(CORPUS_CTE, HYBRID_QUERIES_CTE, *ivf_ctes(NLIST, NPROBE, where="c.source = 'src3'", queries="hq")) +
+        "SELECT query_id, rank, id, round(distance, 6) AS distance, 'ivf' AS strategy FROM ivh",
+    "ivf_search": with_ctes(CORPUS_CTE, QUERIES_CTE, *ivf_ctes(NLIST, NPROBE)) +
         "SELECT query_id, rank, id, round(distance, 6) AS distance FROM ivh",
-    "ivf_reloaded_search": with_ctes(CORPUS_CTE, QUERIES_CTE, *ivf_ctes(16, 8)) +
+    "ivf_reloaded_search": with_ctes(CORPUS_CTE, QUERIES_CTE, *ivf_ctes(NLIST, 2 * NPROBE)) +
         "SELECT query_id, rank, id, round(distance, 6) AS distance FROM ivh",
     "eval_matrix": matrix_sql(),
     "eval_report_header": with_ctes(CORPUS_CTE, QUERIES_CTE) +
@@ -417,7 +470,11 @@ SQL: dict[str, str] = {
                            f"{CONTEXT_SQL} AS context FROM hyb h JOIN corpus c ON c.id = h.id GROUP BY h.query_id)") + PROMPTS_SQL,
     "schema_documents": with_ctes(CORPUS_CTE) + schema_sql("documents"),
     "schema_collection": with_ctes(CORPUS_CTE) + schema_sql("collection"),
-    "ann_lsh_codes": with_ctes(CORPUS_CTE, lsh_codes_cte("ccodes", "corpus", "id", "embedding")) +
+    "lsh_filtered": with_ctes(*lsh_ctes("c.category = 'en' AND c.date <= DATE '2021-12-31'")) +
+        "SELECT query_id, rank, id, round(distance, 6) AS distance FROM lsh",
+    "lsh_filtered_sparse": with_ctes(*lsh_ctes("c.author = 'author3' AND c.category = 'es'")) +
+        "SELECT query_id, rank, id, round(distance, 6) AS distance FROM lsh",
+    "ann_lsh_codes": with_ctes(CORPUS_CTE, lsh_dots_cte("cdots", "corpus", "id", "embedding"), lsh_codes_cte("ccodes", "cdots")) +
         "SELECT id, band, code FROM ccodes",
     "ann_lsh": with_ctes(*LSH_CTES) + "SELECT query_id, rank, id, round(distance, 6) AS distance FROM lsh",
     "recall_at_k": with_ctes(*LSH_CTES, *quality_ctes("lsh", 5)) +

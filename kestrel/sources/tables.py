@@ -136,3 +136,10 @@ def hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "embeddings")
     return (b.join(e, b.item_id == e.vec_id, "inner")
             .select(F.col("item_id").alias("query_id"), "text", "embedding"))
+
+
+def version(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """What tells a state of some tables from another: rows and the newest file of each, from
+    footers alone."""
+    parts = [read_table(spark, sf_dir, n).agg(F.count(F.lit(1)).alias("n"), F.max("_metadata.file_modification_time").alias("at")) for n in names]
+    return tuple((r["n"], r["at"]) for part in parts for r in part.collect())
