@@ -48,17 +48,22 @@ def model_column(text: Column, model_factory: Callable[[], Callable[[list[str]],
 def hashed_bow(docs: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
     """``id, embedding``: token ``w`` counts in dimension ``md5(w)[0:8] mod dim`` with the
     sign of its ninth hex digit (below 8: plus). A text without tokens is the zero vector.
-    Tokens are counted per document and dimension in the task that reads the document, so
-    at most ``dim`` rows of each are shuffled."""
-    h = F.md5(F.col("w"))
-    counts = (docs.select(F.col(id_col).alias("id"), F.explode_outer(tokens(text_col)).alias("w"))
-              .select("id", F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int").alias("d"),
-                      F.when(F.substring(h, 9, 1) < "8", 1).otherwise(-1).alias("s"))
-              .groupBy("id", "d").agg(F.sum(F.when(F.col("d").isNotNull(), F.col("s"))).cast("double").alias("v")))
-    whole = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "v")))).alias("m"),
-                                     F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    part = lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)
-    return whole.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), part).cast("array<float>").alias("embedding"))
+    Everything happens within the row, so nothing is shuffled, and rows that share an id or
+    have none stay rows."""
+    def signed(w):
+        h = F.md5(w)
+        d = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+        return d * 2 + F.when(F.substring(h, 9, 1) < "8", 1).otherwise(0)
+
+    # a code is a dimension and a sign; both counts of a dimension are sizes without its code
+    codes = docs.select(F.col(id_col).alias("id"),
+                        F.coalesce(F.transform(tokens(text_col), signed), F.array().cast("array<int>")).alias("codes"))
+    without = lambda code: F.size(F.array_remove("codes", code))
+    sums = codes.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                                          lambda d: (without(d * 2) - without(d * 2 + 1)).cast("double")).alias("v"))
+    normed = sums.select("id", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+    part = lambda x: x / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)
+    return normed.select("id", F.transform("v", part).cast("array<float>").alias("embedding"))
 
 
 def embed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dim: int = 64,

@@ -1,4 +1,4 @@
-"""Keyword search (D11-D14, F2): postings, AND match, cover-density rank.
+"""Keyword search (D11-D14, F2, G3, H4): text index, AND match, cover-density rank.
 
 Contract (SURVEY 2.4.1): tokens from :mod:`kestrel.functions.text`; stop
 words keep their positions but are not postings; a query is the AND of its
@@ -9,24 +9,34 @@ Cover density (Clarke, Cormack and Tudhope): a cover is an interval
 interval inside; the score sums ``0.1 / (1 + noise)`` over the covers, with
 ``noise = (q - p) - (m - 1)`` and ``m`` the matched positions in the cover.
 
-As DataFrames, for every matched position ``pos`` and every query term ``t``
-``last_t(pos)`` is the running max of the positions of ``t`` up to ``pos``;
-``left(pos) = min_t last_t(pos)`` when every term has occurred. The minimal
-covers are ``[left, min(pos)]`` grouped by ``left``. The expansion is by the
-number of query terms only (no pairs of positions), and only positions in
-documents that matched all terms take part.
+The index is a table bucketed by term. Documents are packed into parts of bounded size
+by the task that reads them; a row holds a term's postings of one part as bytes: ids,
+occurrences in each document, positions, and the most occurrences in a document. An
+append adds a segment, that is rows of new documents only; ``merge`` rewrites all
+segments into one file a bucket.
+
+A search joins query terms with the index on the buckets, so the index is never shuffled
+as a whole: a light pass finds the parts that hold all terms of a query, and only their
+postings are brought together, one query and part at a time. Documents of a part are
+intersected and scored in NumPy. No document can have more covers than its matched
+positions allow; for a top-k, documents are scored in the order of that bound until no
+other can reach the k.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import STOP_WORDS, tokens
 from kestrel.operators.metrics import rank_in_group
-from kestrel.session import materialized, shared_path
+from kestrel.session import shared_path
 
 COVER_WEIGHT = 0.1     # default weight of an unlabelled position
 SCORE_DIGITS = 9       # scores are compared after rounding (summation order)
@@ -44,31 +54,141 @@ def term_stats(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.countDistinct("id").alias("df"), F.count(F.lit(1)).alias("tf"))
 
 
+#: Documents and tokens of a part at most (a longer document is a part of its own).
+PART_DOCS, PART_TOKENS = 4096, 1 << 20
+#: Documents scored at once on the way to a top-k.
+SCORED_AT_ONCE = 32
+
+_COLUMNS = "term string, segment long, part long, n int, most int, ids binary, counts binary, positions binary"
+
+
 @dataclass
 class KeywordIndex:
-    """The text index: ``entries`` (``term, id, positions``, one row for each term of a
-    document) and ``lexicon`` (``term, df``)."""
+    """The text index: ``entries`` (bucketed by term), ``docs`` (``id, segment``), its
+    table and the documents that searches are limited to, if any."""
     entries: DataFrame
-    lexicon: DataFrame
-    path: str | None = None
+    docs: DataFrame
+    path: str
+    table: str
+    allowed: DataFrame | None = None
 
     def within(self, docs: DataFrame) -> KeywordIndex:
         """The index of those documents only (their ``id``)."""
-        return replace(self, entries=self.entries.join(docs.select("id"), "id", "left_semi"))
+        return replace(self, allowed=docs.select(F.col("id").cast("long").alias("id")))
+
+
+def _packed(docs: DataFrame, id_col: str, text_col: str, segment: int) -> DataFrame:
+    """Postings of ``docs`` by term and part, made by the task that reads them."""
+    stop = set(STOP_WORDS)
+
+    def run(batches):
+        from pyspark import TaskContext
+        part = TaskContext.get().partitionId() << 32
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sizes = np.diff(b.column(1).offsets.to_numpy())
+            ends, at = np.cumsum(sizes), 0
+            while at < b.num_rows:
+                to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_TOKENS, side="right"))
+                to = min(max(to, at + 1), at + PART_DOCS, b.num_rows)
+                yield _part_rows(b.slice(at, to - at), segment, part, stop)
+                at, part = to, part + 1
+
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(tokens(text_col), F.array().cast("array<string>")).alias("t"))
+    return src.mapInArrow(run, _COLUMNS)
+
 
+def _part_rows(batch: pa.RecordBatch, segment: int, part: int, stop: set) -> pa.RecordBatch:
+    lists = batch.column(1)
+    order = np.argsort(batch.column(0).to_numpy(), kind="stable")
+    ids = batch.column(0).to_numpy()[order].astype(np.int64)
+    lists = lists.take(pa.array(order))                         # documents by id
+    sizes = np.diff(lists.offsets.to_numpy())
+    words = lists.flatten().dictionary_encode()
+    code, terms = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+    doc = np.repeat(np.arange(len(ids)), sizes)
+    pos = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    if len(terms):
+        kept = ~np.fromiter((w in stop for w in terms.to_pylist()), bool, len(terms))[code]
+        code, doc, pos = code[kept], doc[kept], pos[kept]
+    by_term = np.argsort(code, kind="stable")                   # documents and positions stay in order
+    code, doc, pos = code[by_term], doc[by_term], pos[by_term]
+    first = np.flatnonzero(np.diff(code * len(ids) + doc, prepend=-1))          # a term in a document
+    counts, owner, holder = np.diff(np.append(first, len(code))).astype(np.int32), code[first], ids[doc[first]]
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    ends = np.append(starts[1:], len(owner))
+    edges = np.append(first, len(code))
+    pos = pos.astype(np.int32)
+    cut = list(zip(starts.tolist(), ends.tolist()))
+    return pa.RecordBatch.from_arrays(
+        [terms.take(pa.array(owner[starts])), pa.array([segment] * len(cut), pa.int64()), pa.array([part] * len(cut), pa.int64()),
+         pa.array(ends - starts, pa.int32()), pa.array([counts[s:e].max() for s, e in cut], pa.int32()),
+         pa.array([holder[s:e].tobytes() for s, e in cut], pa.binary()), pa.array([counts[s:e].tobytes() for s, e in cut], pa.binary()),
+         pa.array([pos[edges[s]:edges[e]].tobytes() for s, e in cut], pa.binary())],
+        ["term", "segment", "part", "n", "most", "ids", "counts", "positions"])
 
-def build_index(docs: DataFrame, path: str | None = None, id_col: str = "id", text_col: str = "content") -> KeywordIndex:
-    """Tokenise ``docs`` once and write the text index (Parquet, sorted by term in each
-    file). Positions are gathered in the task that reads a document, so one row for each
-    term of a document is shuffled; a term of very many documents is spread over all
-    partitions."""
+
+def _table(spark: SparkSession, path: str, buckets: int) -> str:
+    name = f"kestrel_terms_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE TABLE {name} ({_COLUMNS}) USING parquet CLUSTERED BY (term) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{path}/entries'")
+    return name
+
+
+def _buckets(spark: SparkSession) -> int:
+    # as many as a shuffle has, so that a join shuffles the query terms and not the index
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def open_index(spark: SparkSession, path: str) -> KeywordIndex:
+    """An index written before, also by another session."""
+    buckets = int(spark.read.text(f"{path}/buckets").first()[0])
+    name = _table(spark, path, buckets)
+    return KeywordIndex(spark.table(name), spark.read.parquet(f"{path}/docs"), path, name)
+
+
+def build_index(docs: DataFrame, path: str | None = None, id_col: str = "id", text_col: str = "content", buckets: int | None = None) -> KeywordIndex:
+    """Tokenise ``docs`` once and write the text index as its first segment. One row for each term of
+    a part is shuffled, to its bucket; a term of very many documents is many rows. Ids must be there
+    and differ (``ValueError`` if not); null texts have no terms."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "indexes/keywords", unique=True)
-    (postings(docs, id_col, text_col).groupBy("term", "id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-     .sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/entries"))
-    entries = spark.read.parquet(f"{path}/entries")
-    entries.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/lexicon")
-    return KeywordIndex(entries, spark.read.parquet(f"{path}/lexicon"), path)
+    buckets = buckets or _buckets(spark)
+    spark.createDataFrame([(str(buckets),)], "buckets string").coalesce(1).write.text(f"{path}/buckets")
+    name = _table(spark, path, buckets)
+    empty = spark.createDataFrame([], "id long, segment long")
+    empty.write.mode("append").parquet(f"{path}/docs")
+    return append(KeywordIndex(spark.table(name), empty, path, name), docs, id_col, text_col)
+
+
+def append(index: KeywordIndex, docs: DataFrame, id_col: str = "id", text_col: str = "content") -> KeywordIndex:
+    """The index with a segment of ``docs`` added (H4): only these are read and tokenised. Ids must be
+    new (``ValueError`` if not, before anything is written)."""
+    spark = docs.sparkSession
+    new = docs.select(F.col(id_col).cast("long").alias("id"))
+    bad = new.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").limit(5).collect()
+    known = [] if bad else new.join(index.docs.select("id"), "id", "left_semi").limit(5).collect()
+    if bad or known:
+        raise ValueError(f"ids that repeat, are null or are in the index: {[r['id'] for r in bad or known]}")
+    segment = (index.docs.agg(F.max("segment")).first()[0] or 0) + 1
+    buckets = int(spark.read.text(f"{index.path}/buckets").first()[0])
+    _packed(docs, id_col, text_col, segment).repartition(buckets, "term").write.insertInto(index.table)
+    # the documents make the segment visible to later appends; entries are found by their table
+    new.withColumn("segment", F.lit(segment).cast("long")).write.mode("append").parquet(f"{index.path}/docs")
+    spark.catalog.refreshTable(index.table)
+    return KeywordIndex(spark.table(index.table), spark.read.parquet(f"{index.path}/docs"), index.path, index.table, index.allowed)
+
+
+def merge(index: KeywordIndex, path: str | None = None) -> KeywordIndex:
+    """The index written anew with one file a bucket; nothing is tokenised again."""
+    spark = index.entries.sparkSession
+    path = path or shared_path(spark, "indexes/keywords", unique=True)
+    buckets = int(spark.read.text(f"{index.path}/buckets").first()[0])
+    spark.createDataFrame([(str(buckets),)], "buckets string").coalesce(1).write.text(f"{path}/buckets")
+    name = _table(spark, path, buckets)
+    index.entries.repartition(buckets, "term").sortWithinPartitions("term").write.insertInto(name)
+    index.docs.write.parquet(f"{path}/docs")
+    return KeywordIndex(spark.table(name), spark.read.parquet(f"{path}/docs"), path, name, index.allowed)
 
 
 def query_terms(questions: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
@@ -77,78 +197,131 @@ def query_terms(questions: DataFrame, id_col: str = "query_id", text_col: str =
     return t.filter(~F.col("term").isin(*STOP_WORDS)).distinct()
 
 
-def matched_terms(index: KeywordIndex, qterms: DataFrame) -> DataFrame:
-    """``query_id, id, n_terms, found`` of documents holding every term of the query
-    (D13); ``found`` lists each term's positions.
-
-    Posting-list intersection from each query's rarest term: its documents are the
-    candidates, so a common term meets only candidates, by ``(id, term)``. The index is
-    read twice, once for the rarest terms and once for the others. Query terms are looked
-    up in the lexicon once; a query with a term that no document holds matches nothing.
-    The joins' small sides are broadcast where Spark measures them to be small; else a
-    term of very many documents is a skewed key that Spark splits."""
-    own = Window.partitionBy("query_id")
-    q = materialized(
-        qterms.join(index.lexicon, "term", "left")
-        .withColumns({"n_terms": F.count(F.lit(1)).over(own), "n_known": F.count("df").over(own),
-                      "nth": F.row_number().over(own.orderBy("df", "term"))})
-        .filter("n_terms = n_known").select("query_id", "term", "n_terms", "nth"))
-    entry = F.struct("term", "positions").alias("entry")
-    first = index.entries.join(q.filter("nth = 1").select("query_id", "term", "n_terms"), "term").select(
-        "query_id", "id", "n_terms", entry)
-    others = first.select("query_id", "id", "n_terms").join(q.filter("nth > 1").select("query_id", "term"), "query_id")
-    rest = index.entries.join(others, ["id", "term"]).select("query_id", "id", "n_terms", entry)
-    return (first.unionByName(rest).groupBy("query_id", "id", "n_terms").agg(F.collect_list("entry").alias("found"))
-            .filter(F.size("found") == F.col("n_terms")))
+def _found(index: KeywordIndex, qterms: DataFrame) -> DataFrame:
+    """``query_id, segment, part, n_terms, term, ids, counts, positions``: the postings of the parts
+    that hold all terms of a query, those of one query and part together."""
+    q = qterms.select("query_id", "term").distinct()
+    q = q.join(q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms")), "query_id")
+    whole = (index.entries.select("term", "segment", "part").join(q, "term").groupBy("query_id", "segment", "part", "n_terms")
+             .agg(F.count(F.lit(1)).alias("n")).filter("n = n_terms").drop("n"))
+    rows = index.entries.select("term", "segment", "part", "ids", "counts", "positions").join(q.select("query_id", "term"), "term").join(
+        whole, ["query_id", "segment", "part"])
+    keys = ["query_id", "segment", "part"]
+    return rows.select(*keys, "n_terms", "term", "ids", "counts", "positions").repartition(*keys).sortWithinPartitions(*keys, "term")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """``query_id, [(ids, counts, positions) of each term]`` of each query and part."""
+    own, terms = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[:3] != own:
+                if terms:
+                    yield own[0], terms
+                own, terms = row[:3], []
+            terms.append((np.frombuffer(row[5], np.int64), np.frombuffer(row[6], np.int32), np.frombuffer(row[7], np.int32)))
+    if terms:
+        yield own[0], terms
+
+
+def common_ids(terms: list[tuple]) -> np.ndarray:
+    """Ids of the documents that hold all terms, from the rarest one on."""
+    out = None
+    for ids, _, _ in sorted(terms, key=lambda t: len(t[0])):
+        out = ids if out is None else out[np.isin(out, ids, assume_unique=True)]
+        if not len(out):
+            break
+    return out
+
+
+def cover_scores(terms: list[tuple], ids: np.ndarray) -> np.ndarray:
+    """Cover density of the documents ``ids``, which hold all terms."""
+    doc, pos, term = [], [], []
+    for k, (own, counts, positions) in enumerate(terms):
+        at = np.searchsorted(own, ids)
+        n = counts[at].astype(np.int64)
+        first = (np.cumsum(counts, dtype=np.int64) - counts)[at]
+        doc.append(np.repeat(np.arange(len(ids)), n))
+        pos.append(positions[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+        term.append(np.full(int(n.sum()), k))
+    doc, pos, term = np.concatenate(doc), np.concatenate(pos).astype(np.int64), np.concatenate(term)
+    order = np.lexsort((pos, doc))
+    doc, pos, term = doc[order], pos[order], term[order]
+    at = np.arange(len(doc))
+    begin = np.searchsorted(doc, doc)                          # the first matched position of the document
+    left = at.copy()
+    for k in range(len(terms)):
+        last = np.maximum.accumulate(np.where(term == k, at, -1))
+        left = np.minimum(left, np.where(last >= begin, last, -1))
+    # a cover ends where the left end moves: what follows with the same left end is longer
+    full = np.flatnonzero(left >= 0)
+    ends = full[np.diff(left[full], prepend=-1) != 0]
+    noise = (pos[ends] - pos[left[ends]]) - (ends - left[ends])
+    return np.round(np.bincount(doc[ends], weights=COVER_WEIGHT / (noise + 1.0), minlength=len(ids)), SCORE_DIGITS)
+
+
+def top_covers(terms: list[tuple], ids: np.ndarray, limit: int | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """The best ``limit`` of the documents ``ids`` (all without a limit), their scores, and how many were scored.
+
+    Each cover of a document ends at another matched position, and the first ``n - 1`` end none, so
+    its score is at most ``0.1 * (matched positions - n + 1)``."""
+    if limit is None or len(ids) <= limit:
+        return ids, cover_scores(terms, ids), len(ids)
+    most = sum(counts[np.searchsorted(own, ids)].astype(np.int64) for own, counts, _ in terms)
+    bound = COVER_WEIGHT * (most - len(terms) + 1)
+    order = np.argsort(-bound, kind="stable")
+    best_ids, best, done = np.zeros(0, np.int64), np.zeros(0), 0
+    while done < len(ids) and (len(best) < limit or bound[order[done]] > best[-1] - 10.0 ** -SCORE_DIGITS):
+        some = ids[np.sort(order[done:done + max(limit if not done else 0, SCORED_AT_ONCE)])]
+        done += len(some)
+        best_ids, best = np.concatenate([best_ids, some]), np.concatenate([best, cover_scores(terms, some)])
+        kept = np.lexsort((best_ids, -best))[:limit]
+        best_ids, best = best_ids[kept], best[kept]
+    return best_ids, best, done
+
+
+def _matches(index: KeywordIndex, qterms: DataFrame, limit: int | None = None, scores: bool = True) -> DataFrame:
+    """``query_id, id`` and ``score`` of the documents that hold all terms of a query; with ``limit``
+    only the best of each part."""
+    name = qterms.schema["query_id"].dataType.simpleString()
+    # limits hold for allowed documents only, so theirs are found before any cut
+    cut = limit if index.allowed is None else None
+
+    def run(batches):
+        for query, terms in _groups(batches):
+            ids = common_ids(terms)
+            if not len(ids):
+                continue
+            got, best, _ = top_covers(terms, ids, cut) if scores else (ids, np.zeros(len(ids)), 0)
+            yield pa.RecordBatch.from_arrays([pa.array([query] * len(got)), pa.array(got), pa.array(best)], ["query_id", "id", "score"])
+
+    found = _found(index, qterms).mapInArrow(run, f"query_id {name}, id long, score double")
+    return found if index.allowed is None else found.join(index.allowed, "id", "left_semi").select("query_id", "id", "score")
 
 
 def keyword_match(index: KeywordIndex, qterms: DataFrame) -> DataFrame:
     """``query_id, id`` of documents holding every term of the query."""
-    return matched_terms(index, qterms).select("query_id", "id")
+    return _matches(index, qterms, scores=False).select("query_id", "id")
 
 
 def cover_density(index: KeywordIndex, qterms: DataFrame) -> DataFrame:
     """``query_id, id, score`` for every matching document."""
-    found = matched_terms(index, qterms).select("query_id", "id", F.explode("found").alias("e"))
-    mp = found.select("query_id", "id", F.explode("e.positions").alias("pos"), F.col("e.term").alias("term"))
-    doc = Window.partitionBy("query_id", "id").orderBy("pos")
-    mp = mp.withColumn("rn", F.row_number().over(doc).cast("long"))
-    n_terms = qterms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    # (matched position) x (query term): running last occurrence of each term
-    expanded = mp.join(qterms.withColumnRenamed("term", "t"), "query_id")
-    per_term = Window.partitionBy("query_id", "id", "t").orderBy("pos").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    same = F.col("term") == F.col("t")
-    lasts = expanded.select(
-        "query_id", "id", "pos", "rn",
-        F.max(F.when(same, F.col("pos"))).over(per_term).alias("last_pos"),
-        F.max(F.when(same, F.col("rn"))).over(per_term).alias("last_rn"))
-    left = (lasts.groupBy("query_id", "id", "pos", "rn")
-            .agg(F.min("last_pos").alias("left"), F.min("last_rn").alias("left_rn"),
-                 F.count("last_pos").alias("n_seen"))
-            .join(n_terms, "query_id")
-            .filter(F.col("n_seen") == F.col("n_terms")))
-    covers = (left.groupBy("query_id", "id", "left", "left_rn")
-              .agg(F.min("pos").alias("q"), F.min("rn").alias("q_rn")))
-    m = F.col("q_rn") - F.col("left_rn") + 1
-    noise = (F.col("q") - F.col("left")) - (m - 1)
-    return (covers.groupBy("query_id", "id")
-            .agg(F.round(F.sum(F.lit(COVER_WEIGHT) / (noise + 1).cast("double")), SCORE_DIGITS).alias("score")))
+    return _matches(index, qterms)
 
 
 def keyword_rank(index: KeywordIndex, qterms: DataFrame, limit: int | None = None) -> DataFrame:
     """``query_id, id, score, rank``: ``rank()`` by score descending (F2).
     With ``limit`` only the best ``limit`` rows per query by ``(score desc,
-    id)`` are ranked (the keyword branch of hybrid search)."""
-    scored = cover_density(index, qterms)
+    id)`` are ranked (the keyword branch of hybrid search); documents whose
+    bound is below these are not scored."""
     if limit is None:
         # every match ranked: a one-term query may match a third of the
         # corpus, so no window may hold a whole query's matches
-        return rank_in_group(scored, ["query_id"], "score", tie_cols=["id"]).select("query_id", "id", "score", "rank")
+        return rank_in_group(cover_density(index, qterms), ["query_id"], "score", tie_cols=["id"]).select("query_id", "id", "score", "rank")
     # WindowGroupLimit keeps at most ``limit`` rows per query in each task
     # before the shuffle; the rank then runs over those rows only
     cut = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
-    scored = (scored.withColumn("_rn", F.row_number().over(cut))
+    scored = (_matches(index, qterms, limit).withColumn("_rn", F.row_number().over(cut))
               .filter(F.col("_rn") <= limit).drop("_rn"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc())
     return scored.withColumn("rank", F.rank().over(w).cast("long"))

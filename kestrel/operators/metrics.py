@@ -57,11 +57,15 @@ def rank_in_group(df: DataFrame, group_cols: list[str], score: str, descending:
                   tie_cols: list[str] | None = None, name: str = "rank") -> DataFrame:
     """SQL ``rank()`` over ``score`` within each group: the smallest position
     among rows of equal score (positions from :func:`ordinal_in_group`, the
-    minimum combined map-side), so no task ever holds a whole group."""
+    minimum combined map-side), so no task ever holds a whole group. Null scores
+    come last (first if ascending) and tie; a null group is a group."""
     order = [F.col(score).desc() if descending else F.col(score).asc()]
     pos = materialized(ordinal_in_group(df, group_cols, [*order, *(tie_cols or [])], "_pos"))
-    first = pos.groupBy(*group_cols, score).agg(F.min("_pos").alias(name))
-    return pos.join(first, [*group_cols, score]).select(*df.columns, name)
+    keys = [*group_cols, score]
+    first = pos.groupBy(*keys).agg(F.min("_pos").alias(name)).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], name)
+    # null groups and null scores are keys too
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    return pos.join(first, same).select(*df.columns, name)
 
 
 # ---------------------------------------------------------------------------
