@@ -14,9 +14,12 @@ Two target forms:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kestrel.functions.embed import embed_documents
 from kestrel.functions.vectors import parse_vector_text, vector_to_text
@@ -101,35 +104,95 @@ def to_empty_form(batch: DataFrame, id_col: str | None = None, start: int = 0,
     return rows.select(*[f.name for f in COLLECTION_SCHEMA.fields])
 
 
-def next_id(spark: SparkSession, path: str, mode: str) -> int:
-    """Where a new batch starts: after the max id (null form, SERIAL-like)
-    or at the row count (empty form)."""
+_LEDGER = "batch string, start long, n long, done boolean"
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """``batch, start, n, done`` of the table at ``path``: a row when a batch's ids are reserved, and one
+    when its rows are there."""
+    try:
+        return spark.read.schema(_LEDGER).parquet(f"{path}/ledger")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     try:
-        existing = spark.read.parquet(path)
+        spark.read.text(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return 1 if mode == "null" else 0                # no table yet
-    if mode == "null":
-        m = existing.agg(F.max("id")).first()[0]
-        return 1 if m is None else int(m) + 1
-    return int(existing.count())
+        return spark.createDataFrame([], _LEDGER)                     # no table yet
+    raise ValueError(f"{path} holds files, but no ledger of batches")
 
 
-def append(batch_rows: DataFrame, path: str) -> DataFrame:
-    """Append a batch to the table at ``path`` (H4) and return the table."""
-    batch_rows.write.mode("append").parquet(path)
-    return batch_rows.sparkSession.read.parquet(path)
+def table_at(spark: SparkSession, path: str, mode: str = "null") -> DataFrame:
+    """The rows of all batches that are done."""
+    schema = DOCUMENT_SCHEMA if mode == "null" else COLLECTION_SCHEMA
+    done = ledger(spark, path).filter("done").select("batch").distinct()
+    try:
+        stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.StringType())])).parquet(f"{path}/data")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    # batches are folders, so that Spark can leave out those that aren't done
+    return stored.join(done, "batch", "left_semi").select(*[f.name for f in schema.fields])
+
+
+def next_id(spark: SparkSession, path: str, mode: str) -> int:
+    """Where a new batch starts: behind all ids that were ever reserved or used, from 1 (null form,
+    SERIAL-like) or 0 (empty form)."""
+    first = 1 if mode == "null" else 0
+    end = ledger(spark, path).agg(F.max(F.col("start") + F.col("n"))).first()[0]
+    return first if end is None else int(end)
+
+
+def batch_name(batch: DataFrame) -> str:
+    """A name for a batch by its content: the same rows have the same name, in any order."""
+    parts = batch.select(F.xxhash64(*[F.to_json(F.struct(c)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(c)
+                                      for c, f in ((f.name, f) for f in batch.schema)]).alias("h"))
+    r = parts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).alias("s"), F.bit_xor("h").alias("x")).first()
+    return f"{r['n']}-{r['s'] or 0}-{r['x'] or 0}".replace("--", "-m")
 
 
 def ingest(spark: SparkSession, batch: DataFrame, path: str | None = None, mode: str = "null",
-           id_col: str | None = None) -> DataFrame:
+           id_col: str | None = None, name: str | None = None) -> DataFrame:
     """Insert a batch into the table at ``path`` (a fresh table under the
-    shared folder when not given) and return the whole table."""
+    shared folder when not given) and return the whole table (A3, A4, H4).
+
+    A batch has a name and a folder. Its ids are reserved in the ledger, its rows written, and the
+    batch marked as done; readers see batches that are done. With a name from the caller (such as
+    ``batch_name(batch)``), the insert can be repeated: a batch that is done is not inserted again,
+    and one that was interrupted keeps its ids, and its folder is written anew. Without, each call
+    is a batch of its own. Caller ids must be there, differ, and be new (``ValueError`` before
+    anything is written). One writer at a time."""
     path = path or shared_path(spark, f"tables/documents_{mode}", unique=True)
-    start = next_id(spark, path, mode) if not id_col else 0
+    name = name or uuid.uuid4().hex
+    past = [r.asDict() for r in ledger(spark, path).filter(F.col("batch") == name).collect()]     # two rows at most
+    if any(r["done"] for r in past):
+        return table_at(spark, path, mode)
+    n = batch.count()
+    if id_col:
+        ids = batch.select(F.col(id_col).cast("long").alias("id"))
+        bad = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").limit(5).collect()
+        bad = bad or ids.join(table_at(spark, path, mode).select("id"), "id", "left_semi").limit(5).collect()
+        if bad:
+            raise ValueError(f"ids that repeat, are null or are in the table: {[r['id'] for r in bad]}")
+        start, size = ids.agg(F.min("id"), F.max("id")).first()
+        start, size = (start, size - start + 1) if n else (0, 0)
+    elif past:
+        start, size = past[0]["start"], past[0]["n"]
+    else:
+        start, size = next_id(spark, path, mode), n
+    if not past:
+        _noted(spark, path, name, start, size, False)
     rows = to_null_form(batch, id_col, start) if mode == "null" else to_empty_form(batch, id_col, start)
-    return append(rows, path)
+    rows.write.mode("overwrite").parquet(f"{path}/data/batch={name}")
+    _noted(spark, path, name, start, size, True)
+    return table_at(spark, path, mode)
+
+
+def _noted(spark: SparkSession, path: str, name: str, start: int, n: int, done: bool) -> None:
+    spark.createDataFrame([(name, int(start), int(n), done)], _LEDGER).coalesce(1).write.mode("append").parquet(f"{path}/ledger")
 
 
 # ---------------------------------------------------------------------------
