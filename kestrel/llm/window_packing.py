@@ -42,6 +42,15 @@ CACHE_IDS = 4_000_000
 # ids
 # ---------------------------------------------------------------------------
 
+def _parted(texts: pa.Array) -> pa.Array:
+    """The texts with fewer different words and the same ids: the tokenizer lowers letters itself
+    (but for special strings, so texts with such are left), and always cuts between a letter and
+    one of these marks."""
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        texts = pc.ascii_lower(texts)
+    return pc.replace_substring_regex(texts, "([a-zA-ZÀ-ÖØ-öø-ÿ])([.,;:!?])", "\\1 \\2")
+
+
 class WordIds:
     """Ids of texts, by the library, word by word: the tokenizer drops white space and no token
     spans it, so a text's ids are those of its words in a row."""
@@ -70,26 +79,29 @@ class WordIds:
             new = words
         for i in range(0, len(new), 4096):
             some = new[i:i + 4096]
-            got = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(some))
             at = len(self.slot)
             self._room(at + len(some), self.used + int(sizes.sum()))
             self.count[at:at + len(some)] = sizes
             self.first[at:at + len(some)] = self.used + np.cumsum(sizes) - sizes
-            self.ids[self.used:self.used + int(sizes.sum())] = np.fromiter((x for e in got for x in e), np.uint32, int(sizes.sum()))
+            self.ids[self.used:self.used + int(sizes.sum())] = got.ids
             self.used += int(sizes.sum())
             self.slot.update(zip(some, range(at, at + len(some))))
         return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty), each text followed by its end, and their lengths."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        lists = pc.ascii_split_whitespace(_parted(pc.fill_null(texts, "")))
         words = lists.flatten().dictionary_encode()
-        slots = self.slots(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
-        sizes = self.count[slots]
-        flat = self.ids[np.repeat(self.first[slots] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        slots = self.slots(words.dictionary.to_pylist())
+        at = words.indices.to_numpy(zero_copy_only=False)
+        sizes = self.count[slots].astype(np.int32)[at]
+        upto = np.cumsum(sizes, dtype=np.int32)                     # a slice has fewer than 2**31 ids
+        shift = self.first[slots].astype(np.int32)[at] - (upto - sizes)
+        flat = self.ids[np.repeat(shift, sizes) + np.arange(int(sizes.sum(dtype=np.int64)), dtype=np.int32)]
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        upto = np.concatenate([[0], np.cumsum(sizes)])[ends]
+        upto = np.concatenate([[0], upto]).astype(np.int64)[ends]
         return np.insert(flat, upto, END_ID), np.diff(upto, prepend=0) + 1
 
 
