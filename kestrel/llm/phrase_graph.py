@@ -33,7 +33,7 @@ LEAST, TOP = 10, 2000
 COVERED = 50
 SCALE = 1_000_000
 #: Bytes and rows of texts whose graph is built at once.
-GRAPH_BYTES, GRAPH_ROWS = 12 << 20, 1 << 16
+GRAPH_BYTES, GRAPH_ROWS = 6 << 20, 1 << 16
 #: Bits of the bitmap's size (16 MB).
 MARK_BITS = 27
 #: A mark for the end of a piece; it ends pieces itself, so it is no word.
