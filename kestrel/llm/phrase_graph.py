@@ -96,6 +96,16 @@ class LocalGraph:
             ["lang", "x", "y", "z", "n"])
 
 
+def _dense(keys: np.ndarray) -> bytes:
+    """Sorted numbers of 32 bits as their steps, byte by byte of all: the upper bytes compress away."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _keys(dense: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(dense, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
 def _graphs(batches):
     for b in slices(batches, 1, GRAPH_ROWS, GRAPH_BYTES):
         yield LocalGraph(b.column(0), b.column(1))
@@ -117,7 +127,7 @@ def marks(texts: DataFrame, least: int, bits: int = MARK_BITS) -> np.ndarray:
             edges = np.searchsorted(keys, np.arange(1 << deal, dtype=np.uint64) << np.uint64(64 - deal))
             short = (keys >> np.uint64(32 - deal)).astype(np.uint32)    # the 32 bits behind the bucket's
             cuts = [*edges.tolist(), len(keys)]
-            got = [(i, short[s:e].tobytes(), weights[s:e].tobytes()) for i, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
+            got = [(i, _dense(short[s:e]), weights[s:e].tobytes()) for i, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in got], t) for j, t in enumerate((pa.int32(), pa.binary(), pa.binary()))],
                                              ["bucket", "keys", "weights"])
 
@@ -142,7 +152,7 @@ def marks(texts: DataFrame, least: int, bits: int = MARK_BITS) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([part(keys, weights)], pa.binary())], ["bucket", "part"])
                     keys, weights, size = [], [], 0
                 own = bucket
-                keys.append(np.frombuffer(k, np.uint32))
+                keys.append(_keys(k))
                 weights.append(np.frombuffer(w, kind))
                 size += len(keys[-1])
                 if size > 1 << 24:                     # the same hashes of many slices are one entry
