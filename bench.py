@@ -21,6 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from kestrel.operators import ann as AN  # noqa: E402
+from kestrel.operators import block_index as BI  # noqa: E402
 from kestrel.operators import knn as K  # noqa: E402
 from kestrel.operators import metrics as ME  # noqa: E402
 from kestrel.plans import catalog as C  # noqa: E402
@@ -35,6 +36,8 @@ HEADLINE = ["knn_batch", "knn_single", "knn_filtered", "ivf_search", "ann_lsh",
 # and LSH search differ by more than the fixed cost of a job.
 COPIES, WIDE = 25, 384
 SETTINGS = ((100, 10), (200, 20))
+# codes that a query looks up in each of 8 bands of 16 bits
+LSH_PROBES = 4
 
 
 def _passthrough(batches):
@@ -94,13 +97,15 @@ def main() -> None:
     for nlist, nprobe in SETTINGS:
         key = f"ivf_{nlist}_{nprobe}"
         t0 = time.perf_counter()
-        index = AN.ivf_save(AN.ivf_build(corpus, nlist=nlist))
+        index = BI.build(corpus, nlist)
         extra[f"{key}_build_s"] = round(time.perf_counter() - t0, 3)
-        hits, extra[f"{key}_s"] = timed(AN.ivf_search(index, queries, k=5, nprobe=nprobe))
+        hits, extra[f"{key}_s"] = timed(BI.search(index, queries, k=5, nprobe=nprobe))
         extra[f"{key}_ms_per_query"] = round(1000 * extra[f"{key}_s"] / n_q, 4) if n_q else None
         extra[f"{key}_recall5"] = round(ME.recall_precision(hits, truth, 5).first()["recall"], 4)
-        extra[f"{key}_share"] = round(AN.ivf_share(index, queries, nprobe).first()["share"], 4)
-    pairs, extra["lsh_candidates_s"] = timed(AN.lsh_candidates(corpus, queries, 8, 16))
+        extra[f"{key}_share"] = round(BI.share(index, queries, 5, nprobe), 4)
+    found = BI.search_exact(index, queries, 5)[0]
+    _, extra["ivf_adaptive_s"] = timed(found)
+    pairs, extra["lsh_candidates_s"] = timed(AN.lsh_candidates(corpus, queries, 8, 16, probes=LSH_PROBES))
     hits, extra["lsh_s"] = timed(AN.lsh_search(corpus, queries, 5, 8, 16, candidates=pairs))
     extra["lsh_recall5"] = round(ME.recall_precision(hits, truth, 5).first()["recall"], 4)
     extra["lsh_share"] = round(pairs.count() / (n_corpus * n_q), 6) if n_corpus and n_q else 0.0

@@ -135,7 +135,7 @@ def seed_centroids(vectors: DataFrame, nlist: int, rounds: int = SEED_ROUNDS) ->
     found = [(r["id"], np.asarray(r["embedding"], np.float64)) for r in first]
     both = lambda: (np.array([v for _, v in found]), np.array([i for i, _ in found], np.int64))
     for k in range(1, rounds + 1):
-        near = materialized(_to_nearest(vectors, *both()))
+        near = _to_nearest(vectors, *both())           # computed twice, which is less than to write it
         total = float(near.agg(F.sum(F.col("d2").cast("decimal(28,6)"))).first()[0])
         if total == 0:
             break

@@ -35,7 +35,8 @@ from kestrel.operators.filters import predicate
 from kestrel.operators.knn import QUERY_BLOCK, _local_topk, _unpacked, packed, rank_per_query, score_name
 from kestrel.session import materialized, shared_path
 
-#: Vectors of a block, and rings of a cluster (of equal width, up to the largest distance).
+#: Vectors of a block at most, and rings of a cluster at most (of equal width, up to the largest
+#: distance; fewer where a ring would hold less than a quarter of a block on average).
 BLOCK, RINGS = 1024, 8
 #: Digits of distances to centroids, and what bounds are widened by to cover the rounding.
 DIGITS, SLACK = 6, 2e-6
@@ -50,6 +51,7 @@ class BlockIndex:
     width: float
     path: str
     rows: int
+    rings: int
 
     @property
     def nlist(self) -> int:
@@ -85,8 +87,9 @@ def build(corpus: DataFrame, nlist: int = 100, path: str | None = None, train: D
     centroids = np.array([learned[c] for c in sorted(learned)])
     rows = materialized(_placed(corpus, centroids))
     widest, n = rows.agg(F.max("r"), F.count(F.lit(1))).first()
-    width = round((widest or 0.0) / RINGS, DIGITS) or 1.0
-    ringed = rows.withColumn("ring", F.least(F.floor(F.col("r") / width), F.lit(RINGS)).cast("int"))
+    n_rings = max(1, min(RINGS, 4 * n // (BLOCK * len(centroids))))
+    width = round((widest or 0.0) / n_rings, DIGITS) or 1.0
+    ringed = rows.withColumn("ring", F.least(F.floor(F.col("r") / width), F.lit(n_rings - 1)).cast("int"))
     kinds = {f.name: f.dataType.simpleString() for f in ringed.schema}
 
     def pack(batches):
@@ -95,7 +98,7 @@ def build(corpus: DataFrame, nlist: int = 100, path: str | None = None, train: D
                 continue
             cluster, ring, r = (b.column(k).to_numpy() for k in (0, 1, 2))
             ids, x = b.column(3).to_numpy(), arrow_matrix(b.column(4), centroids.shape[1]).astype(np.float32 if "float" in kinds["embedding"] else np.float64)
-            key = cluster.astype(np.int64) * (RINGS + 1) + ring
+            key = cluster.astype(np.int64) * n_rings + ring
             starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
             cuts = [i for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]) for i in range(s, e, BLOCK)]
             ends = [*cuts[1:], len(key)]
@@ -113,7 +116,7 @@ def build(corpus: DataFrame, nlist: int = 100, path: str | None = None, train: D
     (dealt.mapInArrow(pack, "cluster int, ring int, n long, r_min double, r_max double, dim int, ids binary, matrix binary, "
                             f"attributes array<{kinds['attributes']}>")
      .write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/blocks"))
-    config = {"nlist": nlist, "width": width, "kind": "blocks", "rings": RINGS, "rows": n}
+    config = {"nlist": nlist, "width": width, "kind": "blocks", "rings": n_rings, "rows": n}
     spark.createDataFrame([(json.dumps(config),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
     spark.createDataFrame([(k, [float(v) for v in c]) for k, c in enumerate(centroids)], "cluster int, centroid array<double>").coalesce(1) \
         .write.mode("overwrite").parquet(f"{path}/centroids")
@@ -124,7 +127,7 @@ def load(spark: SparkSession, path: str) -> BlockIndex:
     """Open an index written by :func:`build`."""
     config = json.loads(spark.read.text(f"{path}/config").first()[0])
     rows = spark.read.parquet(f"{path}/centroids").orderBy("cluster").collect()              # nlist rows
-    return BlockIndex(spark.read.parquet(f"{path}/blocks"), np.array([r["centroid"] for r in rows]), config["width"], path, config["rows"])
+    return BlockIndex(spark.read.parquet(f"{path}/blocks"), np.array([r["centroid"] for r in rows]), config["width"], path, config["rows"], config["rings"])
 
 
 def _surviving(index: BlockIndex, filters: dict | None, mode: str) -> DataFrame:
@@ -153,7 +156,7 @@ class _Rings:
 
 def _rings(blocks: DataFrame) -> _Rings:
     rows = blocks.groupBy("cluster", "ring").agg(F.sum("left").alias("n"), F.min("r_min").alias("low"), F.max("r_max").alias("high")) \
-        .orderBy("cluster", "ring").collect()                              # at most nlist x (RINGS + 1) rows
+        .orderBy("cluster", "ring").collect()                              # at most nlist x RINGS rows
     get = lambda c, kind: np.array([r[c] for r in rows], kind)
     return _Rings(get("cluster", np.int64), get("ring", np.int64), get("n", np.int64), get("low", float), get("high", float))
 
@@ -185,8 +188,16 @@ def first_rings(q: np.ndarray, centroids: np.ndarray, rings: _Rings, k: int) ->
     return bound, chosen
 
 
+def _clusters(rings: _Rings) -> _Rings:
+    """The clusters as rings, one each: for searches that open whole clusters."""
+    names, at = np.unique(rings.cluster, return_inverse=True)
+    return _Rings(names, np.zeros(len(names), np.int64), np.bincount(at, weights=rings.n, minlength=len(names)).astype(np.int64),
+                  np.zeros(len(names)), np.zeros(len(names)))
+
+
 def _opened(index: BlockIndex, queries: DataFrame, rings: _Rings, choose, limit: bool = False) -> DataFrame:
     """``id, part, embedding, cluster, nth``: a query once for each ring that ``choose`` opens."""
+    n_rings = index.rings
     shared = queries.sparkSession.sparkContext.broadcast((index.centroids, rings))
     tile = max(1, (1 << 22) // max(1, len(rings.n)))                       # bounds the (queries x rings) arrays
 
@@ -201,21 +212,22 @@ def _opened(index: BlockIndex, queries: DataFrame, rings: _Rings, choose, limit:
                 nth = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(at), pa.array(own.cluster[col] * (RINGS + 1) + own.ring[col]), some.column(1).take(at),
+                    [some.column(0).take(at), pa.array(own.cluster[col] * n_rings + own.ring[col]), some.column(1).take(at),
                      pa.array(own.cluster[col].astype(np.int32)), pa.array(nth)], ["id", "part", "embedding", "cluster", "nth"])
 
     kind = queries.schema["embedding"].dataType.simpleString()
     return queries.mapInArrow(run, f"id long, part long, embedding {kind}, cluster int, nth long")
 
 
-def _topk(blocks: DataFrame, opened: DataFrame, k: int, metric: str, n_rings: int) -> DataFrame:
-    """``query_id, id, distance`` of each pair of a block and a query block that opens its ring."""
+def _topk(index: BlockIndex, blocks: DataFrame, opened: DataFrame, k: int, metric: str, most: int, whole: bool = False) -> DataFrame:
+    """``query_id, id, distance`` of each pair of a block and a query block that opens its ring (with
+    ``whole``, its cluster). A query opens ``most`` parts at most."""
     name = score_name(metric)
     # the clusters of all queries, as many as the index has at most: a broadcast of known size, by
     # which the scan of the partitioned blocks is pruned
-    probed = F.broadcast(opened.filter(F.col("nth") < n_rings).select("cluster").distinct())
+    probed = F.broadcast(opened.filter(F.col("nth") < most).select("cluster").distinct())
     left = blocks.join(probed, "cluster", "left_semi").select(
-        (F.col("cluster").cast("long") * (RINGS + 1) + F.col("ring")).alias("part"), F.pmod(F.xxhash64("ids"), F.lit(AN.SALTS)).cast("int").alias("salt"),
+        (F.col("cluster").cast("long") * index.rings + (F.lit(0) if whole else F.col("ring"))).alias("part"), F.pmod(F.xxhash64("ids"), F.lit(AN.SALTS)).cast("int").alias("salt"),
         "ids", "matrix", "dim", "keep")
     right = packed(opened.select("id", "part", "embedding"), QUERY_BLOCK).select(
         "part", F.explode(F.sequence(F.lit(0), F.lit(AN.SALTS - 1))).alias("salt"), F.col("ids").alias("qids"), F.col("matrix").alias("qmatrix"),
@@ -249,7 +261,7 @@ def _checked(k: int, metric: str) -> None:
 
 def _probed(index: BlockIndex, queries: DataFrame, k: int, nprobe: int, filters: dict | None, mode: str, query_id: str):
     blocks = _surviving(index, filters, mode)
-    rings = _rings(blocks)
+    rings = _clusters(_rings(blocks))
     need = max(k, nprobe * index.rows / index.nlist) if predicate(filters, mode) is not None else k
     opened = _opened(index, _queries(queries, query_id), rings, lambda q, centroids, own, _: nearest_rings(q, centroids, own, need, nprobe))
     return blocks, rings, materialized(opened)
@@ -261,7 +273,7 @@ def search(index: BlockIndex, queries: DataFrame, k: int = 5, nprobe: int = 10,
     further ones (see above): ``query_id, rank, id, distance``. ``nprobe >= nlist`` is exact."""
     _checked(k, metric)
     blocks, rings, opened = _probed(index, queries, k, nprobe, filters, mode, query_id)
-    return rank_per_query(_topk(blocks, opened, k, metric, len(rings.n)), k, metric).select("query_id", "rank", "id", score_name(metric))
+    return rank_per_query(_topk(index, blocks, opened, k, metric, len(rings.n), whole=True), k, metric).select("query_id", "rank", "id", score_name(metric))
 
 
 def share(index: BlockIndex, queries: DataFrame, k: int = 5, nprobe: int = 10, filters: dict | None = None, mode: str = "null",
@@ -270,7 +282,7 @@ def share(index: BlockIndex, queries: DataFrame, k: int = 5, nprobe: int = 10, f
     _, rings, opened = _probed(index, queries, k, nprobe, filters, mode, query_id)
     pairs = _queries(queries, query_id).count() * int(rings.n.sum())
     compared = opened.select("part").groupBy("part").count().collect()                      # at most a row for each ring
-    n = dict(zip((rings.cluster * (RINGS + 1) + rings.ring).tolist(), rings.n.tolist()))
+    n = dict(zip((rings.cluster * index.rings + rings.ring).tolist(), rings.n.tolist()))
     return sum(r["count"] * n[r["part"]] for r in compared) / pairs if pairs else 0.0
 
 
@@ -286,7 +298,7 @@ def search_exact(index: BlockIndex, queries: DataFrame, k: int = 5, metric: str
     rings = _rings(blocks)
     asked = _queries(queries, query_id)
     first = materialized(_opened(index, asked, rings, lambda q, centroids, own, _: first_rings(q, centroids, own, k)[1]))
-    near = materialized(rank_per_query(_topk(blocks, first, k, metric, len(rings.n)), k, metric).select("query_id", "id", name))
+    near = materialized(rank_per_query(_topk(index, blocks, first, k, metric, len(rings.n)), k, metric).select("query_id", "id", name))
     limit = near.groupBy("query_id").agg(F.max(name).alias("limit"), F.count(F.lit(1)).alias(n_of)).select(
         F.col("query_id").alias("id"), F.when(F.col(n_of) >= k, F.sqrt("limit") if metric == "l2_squared" else F.col("limit")).alias("limit"))
 
@@ -296,9 +308,9 @@ def search_exact(index: BlockIndex, queries: DataFrame, k: int = 5, metric: str
         return ~done & (bound <= most[:, None])
 
     rest = materialized(_opened(index, asked.join(limit, "id", "left").select("id", "embedding", "limit"), rings, further, limit=True))
-    more = _topk(blocks, rest, k, metric, len(rings.n))
+    more = _topk(index, blocks, rest, k, metric, len(rings.n))
     hits = rank_per_query(near.unionByName(more), k, metric).select("query_id", "rank", "id", name)
-    sizes = F.create_map(*[F.lit(x) for c, r, n in zip(rings.cluster.tolist(), rings.ring.tolist(), rings.n.tolist()) for x in (c * (RINGS + 1) + r, n)]) \
+    sizes = F.create_map(*[F.lit(x) for c, r, n in zip(rings.cluster.tolist(), rings.ring.tolist(), rings.n.tolist()) for x in (c * index.rings + r, n)]) \
         if len(rings.n) else F.create_map(F.lit(0), F.lit(0))
     compared = first.select("id", "part").unionByName(rest.select("id", "part")).groupBy("id").agg(
         F.sum(F.element_at(sizes, F.col("part").cast("int"))).cast("long").alias("compared"))
