@@ -79,3 +79,26 @@ def test_empty_truth_gives_zero(spark):
     truth = spark.createDataFrame([], "query_id long, id long")
     r = ME.recall_precision(res, truth, k=5).first()
     assert r["recall"] == 0.0 and r["n_queries"] == 0 and r["f1"] == 0.0
+
+
+def test_percentiles_by_selection_equal_a_sort(spark):
+    import random
+    r = random.Random(4)
+    groups = {"even": [r.random() for _ in range(500)], "equal": [2.0] * 40, "skewed": [10.0 ** r.uniform(-9, 6) for _ in range(300)],
+              "ties": [r.choice([0.1, 0.2, 0.3]) for _ in range(99)], "one": [1.5] * 6, "far": [1.0] * 50 + [1e300] * 2,
+              "missing": [None] * 10 + [1.0] * 30, "cold": [1.0] * 3, "endless": [1.0, 2.0, float("inf")] * 9}
+    rows, i = [], 0
+    for g, values in groups.items():
+        for k, v in enumerate(values):
+            rows.append((g, "flat", k, i, v))
+            i += 1
+    df = spark.createDataFrame(rows, "engine string, index_type string, ts long, sample_id long, seconds double").repartition(5)
+    got = {r["engine"]: (r["p50_ms"], r["p95_ms"], r["p99_ms"]) for r in ME.latency_percentiles(df).collect()}
+    want = {}
+    for g, values in groups.items():
+        warm = sorted(values[5:], key=lambda v: (v is not None, v or 0.0))
+        if warm:
+            want[g] = tuple(None if (v := warm[int(len(warm) * p)]) is None else v * 1000.0 for p in (0.5, 0.95, 0.99))
+    assert got == want
+    plan = ME.latency_percentiles(df.limit(0))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan                  # only the wanted bins were sorted, before
