@@ -21,7 +21,8 @@ from kestrel.operators import keyword as KW
 from kestrel.operators import rag as RG
 from kestrel.operators import knn as K
 from kestrel.operators import stats as ST
-from kestrel.session import materialized
+from kestrel.session import materialized, shared_path
+from kestrel.sources import embed_cache as EC
 from kestrel.sources import ingest as I
 from kestrel.sources import tables as S
 
@@ -165,6 +166,13 @@ def embed_documents(spark, sf):
     return emb(S.read_table(spark, sf, "documents"), dim=64)
 
 
+def embed_cached(spark, sf):
+    """The documents of even id are embedded first; then all, of which the cache holds some."""
+    docs, path = S.read_table(spark, sf, "documents"), shared_path(spark, "embeddings", unique=True)
+    EC.fill(docs.filter(F.col("doc_id") % 2 == 0), path, "hashed-64")
+    return EC.embed(docs, path, id_col="doc_id")
+
+
 def _json_fields(df, *extra):
     return df.select(*extra,
         "id", F.length("content").cast("long").alias("content_len"), "author", "date", "category",
@@ -231,6 +239,21 @@ def _stored(spark, sf, what, tables, build):
     return _STORED[key]
 
 
+def _stored_table(spark, sf):
+    """The corpus as an ingested table with its physical layout."""
+    def build():
+        path = shared_path(spark, "tables/documents", unique=True)
+        I.ingest(spark, S.ingest_batch(spark, sf), path, id_col="source_id")
+        return path
+    return I.table_at(spark, _stored(spark, sf, "table", ["documents", "embeddings"], build))
+
+
+def _stored_filter(filters, cols):
+    def run(spark, sf):
+        return FL.apply_filters(_stored_table(spark, sf), filters).select("id", *cols)
+    return run
+
+
 def _corpus_index(spark, sf):
     return _stored(spark, sf, "keywords", ["documents"], lambda: KW.build_index(S.texts(spark, sf)))
 
@@ -518,6 +541,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filter_tag_json": _filter_query({"tags": "src3"}, ["source"], mode="text"),
     "filter_source": _filter_query({"source": "src5"}, ["source"]),
     "filter_conjunction": _filter_query(CONJ, ["author", "category", "date", "source"]),
+    "stored_filter_author": _stored_filter({"author": "author3"}, ["author"]),
+    "stored_filter_category": _stored_filter({"category": "fr"}, ["category"]),
+    "stored_filter_date_range": _stored_filter({"date_from": "2020-06-01", "date_to": "2021-06-30"}, ["date"]),
+    "stored_filter_conjunction": _stored_filter(CONJ, ["author", "category", "date", "source"]),
     "dimension_violations": dimension_violations,
     "valid_queries": valid_queries,
     "document_count": document_count,
@@ -529,6 +556,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_raw_documents": load_raw_documents,
     "load_sample_embeddings": load_sample_embeddings,
     "embed_documents": embed_documents,
+    "embed_cached": embed_cached,
     "ingest_null_defaults": ingest_null_defaults,
     "ingest_empty_defaults": ingest_empty_defaults,
     "schema_documents": schema_documents,

@@ -510,3 +510,7 @@ UNION ALL SELECT 'recall', 'kestrel', 'lsh', 'avg_precision', round(precision, 6
 UNION ALL SELECT 'recall', 'kestrel', 'exact', 'recall@5', round(recall, 6) FROM xqa
 UNION ALL SELECT 'recall', 'kestrel', 'exact', 'avg_precision', round(precision, 6) FROM xqa""",
 }
+
+# the same rows by another path
+SQL |= {f"stored_{name}": SQL[name] for name in ("filter_author", "filter_category", "filter_date_range", "filter_conjunction")}
+SQL["embed_cached"] = SQL["embed_documents"]

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from kestrel.functions.embed import embed_documents
 from kestrel.functions.vectors import parse_vector_text, vector_to_text
 from kestrel.session import shared_path
+from kestrel.sources import layout
 from kestrel.sources.tables import COLLECTION_SCHEMA, DOCUMENT_SCHEMA
 
 # Fixed value: the longest content of the collection form, for callers who want the cut.
@@ -127,15 +128,23 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
 def table_at(spark: SparkSession, path: str, mode: str = "null") -> DataFrame:
     """The rows of all batches that are done."""
     schema = DOCUMENT_SCHEMA if mode == "null" else COLLECTION_SCHEMA
+    stored = layout.read(spark, f"{path}/data", schema, "batch")
+    return spark.createDataFrame([], schema) if stored is None else _done(spark, path, schema, stored)
+
+
+def _done(spark: SparkSession, path: str, schema: T.StructType, stored: DataFrame) -> DataFrame:
     done = ledger(spark, path).filter("done").select("batch").distinct()
-    try:
-        stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.StringType())])).parquet(f"{path}/data")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
     # batches are folders, so that Spark can leave out those that aren't done
-    return stored.join(done, "batch", "left_semi").select(*[f.name for f in schema.fields])
+    return layout.shaped(stored.join(done, "batch", "left_semi"), schema)
+
+
+def declare_table(spark: SparkSession, name: str, path: str, mode: str = "null") -> DataFrame:
+    """The table at ``path`` under a name for SQL (A1): ``name`` are the rows of batches that are done,
+    ``name_rows`` the catalog table with its declared columns and partitions. Call again after inserts."""
+    schema = DOCUMENT_SCHEMA if mode == "null" else COLLECTION_SCHEMA
+    rows = _done(spark, path, schema, layout.declare(spark, f"{name}_rows", f"{path}/data", schema, "batch"))
+    rows.createOrReplaceTempView(f"`{name}`")
+    return rows
 
 
 def next_id(spark: SparkSession, path: str, mode: str) -> int:
@@ -186,7 +195,7 @@ def ingest(spark: SparkSession, batch: DataFrame, path: str | None = None, mode:
     if not past:
         _noted(spark, path, name, start, size, False)
     rows = to_null_form(batch, id_col, start) if mode == "null" else to_empty_form(batch, id_col, start)
-    rows.write.mode("overwrite").parquet(f"{path}/data/batch={name}")
+    layout.write(rows, f"{path}/data/batch={name}")
     _noted(spark, path, name, start, size, True)
     return table_at(spark, path, mode)
 
