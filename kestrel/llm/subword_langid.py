@@ -4,10 +4,18 @@ stochastic gradient descent in numpy, calibrated rejection.
 A text's vector is the mean of the embeddings of the hashed byte n-grams of its
 words. As the softmax is linear, a word adds a fixed vector of logits, so a task
 computes each word once. Training takes a bounded sample of labelled rows.
+
+The softmax only tells learned languages apart, and is sure of texts in others. Rejection
+therefore also asks how usual the n-grams of a text's letters are in all learned languages
+together: texts mixed of two of them are, other languages and random letters aren't. Digits
+and marks belong to no language and don't count. The bound lies between
+held-back pieces and negatives: pieces of each language under the counts of the others, and
+pieces whose words have their letters shuffled.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,8 +27,8 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import WordTable, hold, ngram_hashes, remainder, segment_sums, slices
 
 UNKNOWN = "und"
-#: Training sample: at most so many documents of each language, and of at most so many languages
-#: (the most frequent), none longer than this. Bounds the driver's data; scoring has no bound.
+#: Training sample: at most so many documents of each language, and no more in all than so many
+#: languages would give, none longer than this. Bounds the driver's data; scoring has no bound.
 PER_LANGUAGE, LANGUAGES, TRAIN_CHARS = 250, 256, 20_000
 BUCKETS, DIMENSIONS, SIZES = 1 << 16, 16, (1, 2, 3, 4)
 #: Words of a training example: texts are cut into pieces so that short texts are learned too.
@@ -28,6 +36,10 @@ PIECE_WORDS = 24
 EPOCHS, RATE = 4, 2.0
 #: Share of the calibration pieces that rejection may cost, and the probability that always passes.
 REJECTED_SHARE, SURE = 0.001, 0.4
+#: Shares of the negatives that the bound on familiarity should reject, and of the pieces that it may cost
+#: where both overlap (whole texts are more even than pieces and lose less); usual n-grams that every text
+#: is given besides its own: few words are too little to reject a text by.
+NEGATIVES_SHARE, STRANGE_SHARE, PRIOR = 0.99, 0.005, 40
 MOD, HELD_OUT = 4, 2
 
 
@@ -37,6 +49,9 @@ class Model:
     logits: np.ndarray                       # (BUCKETS, languages): embedding times softmax weights
     temperature: float = 1.0
     threshold: float = SURE
+    familiar: np.ndarray | None = None       # log frequency of each bucket over all languages
+    usual: float = 0.0                       # its mean in known texts
+    least: float = -np.inf                   # texts below it are rejected
     table: WordTable | None = field(default=None, repr=False)
 
     def __getstate__(self):
@@ -51,6 +66,16 @@ def words_of(text: str) -> list[bytes]:
     return [b"<" + w + b">" for w in text.lower().encode("utf-8", "replace").split()]
 
 
+_NO_LETTERS = bytes(i for i in range(128) if not chr(i).isalpha())
+_DIGIT = re.compile(rb"[0-9]")
+
+
+def letters(words: list[bytes]) -> list[bytes]:
+    """Words with border marks without ASCII marks inside; nothing is left of words with digits."""
+    cores = (b"" if _DIGIT.search(w) else w.translate(None, _NO_LETTERS) for w in words)
+    return [b"<" + c + b">" if c else b"" for c in cores]
+
+
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words' n-grams, and the word of each."""
     h, owner = ngram_hashes(words, SIZES)
@@ -109,10 +134,46 @@ def fit(texts: list[str], labels: list[str], seed: int = 1) -> Model:
         model.temperature = _temperature(z, y[cal])
         top = _softmax(z / model.temperature).max(axis=1)
         model.threshold = float(min(SURE, np.quantile(top, REJECTED_SHARE)))
+        _calibrate(model, pieces, y, fit_on, cal, rng)
     model.table = None
     return model
 
 
+def _calibrate(model: Model, pieces: list[list[bytes]], y: np.ndarray, fit_on: np.ndarray, cal: np.ndarray, rng) -> None:
+    """Familiarity and its bound. Languages weigh the same. Where negatives and known pieces overlap, the
+    bound costs the known ones ``STRANGE_SHARE``."""
+    count = np.zeros((len(model.languages), BUCKETS))
+    for k in range(len(model.languages)):
+        count[k] = np.bincount(subwords(letters([w for r in fit_on[y[fit_on] == k] for w in pieces[r]]))[0], minlength=BUCKETS)
+    share = (count + 0.5) / (count + 0.5).sum(axis=1, keepdims=True)
+    model.familiar = np.log(share.mean(axis=0))
+    own = {r: letters(pieces[r]) for r in cal}
+    familiar = lambda table, docs: _familiarity(*_log_frequency(table, docs), model.usual)
+    sums, n = _log_frequency(model.familiar, list(own.values()))
+    model.usual = float(sums.sum() / max(1, n.sum()))
+    known = _familiarity(sums, n, model.usual)
+    shuffled = [[b"<" + bytes(rng.permutation(np.frombuffer(w[1:-1], np.uint8))) + b">" for w in d if w] for d in own.values()]
+    strangers = [familiar(model.familiar, shuffled)]
+    if len(model.languages) > 1:
+        total = share.sum(axis=0)
+        strangers += [familiar(np.log((total - share[k]) / (len(share) - 1)), [own[r] for r in cal[y[cal] == k]])
+                      for k in range(len(model.languages))]
+    bound = float(np.quantile(known, STRANGE_SHARE))
+    strange = max(float(np.quantile(x, NEGATIVES_SHARE)) for x in strangers if len(x))
+    model.least = (bound + strange) / 2 if strange < bound else bound
+
+
+def _familiarity(sums: np.ndarray, n: np.ndarray, usual: float) -> np.ndarray:
+    return (sums + PRIOR * usual) / (n + PRIOR)
+
+
+def _log_frequency(table: np.ndarray, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``table`` over the n-grams of each document, and their number."""
+    bucket, owner = subwords([w for d in docs for w in d])
+    of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])[owner]
+    return np.bincount(of, table[bucket], minlength=len(docs)), np.bincount(of, minlength=len(docs))
+
+
 def _temperature(z: np.ndarray, y: np.ndarray) -> float:
     """The divisor of the logits that makes held-back labels likeliest (grid)."""
     best, at = np.inf, 1.0
@@ -123,37 +184,51 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
     return at
 
 
-def raw(model: Model, docs: list[list[bytes]]) -> np.ndarray:
-    """Mean logits of documents given as word lists (zeros without words)."""
-    width = len(model.languages)
+def sums_of(model: Model, docs: list[list[bytes]]) -> np.ndarray:
+    """Sums over documents given as word lists: logits and their number of n-grams, then log frequency
+    of the letters' n-grams and their number."""
     if model.table is None:
-        def compute(words):
+        familiar = np.zeros(BUCKETS) if model.familiar is None else model.familiar
+
+        def over(values, words):
             bucket, owner = subwords(words)
             order = np.argsort(owner, kind="stable")
             n = np.bincount(owner, minlength=len(words))
-            return np.hstack([segment_sums(model.logits[bucket[order]], n), n[:, None]])
-        model.table = WordTable(width + 1, compute)
-    flat = [w for d in docs for w in d]
-    slots = model.table.slots(flat)
-    sums = segment_sums(model.table.values[slots], np.array([len(d) for d in docs], np.int64))
-    return sums[:, :width] / np.maximum(sums[:, width:], 1)
+            return np.hstack([segment_sums(values[bucket[order]], n), n[:, None]])
+        model.table = WordTable(model.logits.shape[1] + 3, lambda words: np.hstack([over(model.logits, words),
+                                                                                   over(familiar[:, None], letters(words))]))
+    slots = model.table.slots([w for d in docs for w in d])
+    return segment_sums(model.table.values[slots], np.array([len(d) for d in docs], np.int64))
+
+
+def raw(model: Model, docs: list[list[bytes]]) -> np.ndarray:
+    """Mean logits of documents (zeros without words)."""
+    sums = sums_of(model, docs)
+    return _means(sums)
+
+
+def _means(sums: np.ndarray) -> np.ndarray:
+    return sums[:, :-3] / np.maximum(sums[:, -3:-2], 1)
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from rows with a non-null language whose crc32(id) mod 4 is not 2
     (a null id counts as training). The sample: at most ``PER_LANGUAGE`` rows of
-    each of the ``LANGUAGES`` most frequent languages, in the order of a hash."""
+    each language in the order of a hash; of more than ``LANGUAGES`` languages, the first
+    rows of each until there are ``PER_LANGUAGE * LANGUAGES``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")) \
         .filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= TRAIN_CHARS)
                 & (F.coalesce(remainder("doc_id", MOD), F.lit(0)) != HELD_OUT))
     hashed = F.xxhash64("doc_id", F.lit("langid"))
-    # ids first: texts are read only for the sample
-    picked = (rows.select("doc_id", "lang", hashed.alias("h"))
-              .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-              .filter(F.col("n") <= PER_LANGUAGE))
-    ids = [r[0] for r in picked.orderBy("n", "lang").limit(PER_LANGUAGE * LANGUAGES).select("doc_id").collect() if r[0] is not None]
-    sample = rows.filter(F.col("doc_id").isin(ids) if ids else F.lit(False)) \
-        .dropDuplicates(["doc_id", "lang"]).orderBy("doc_id", "lang").collect()
+    # ids first: texts are read only for the sample; rows without an id are told apart by their text
+    rows = rows.withColumn("t", F.xxhash64("text"))
+    picked = (rows.select("doc_id", "lang", "t", hashed.alias("h"))
+              .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "t")))
+              .filter(F.col("n") <= PER_LANGUAGE)
+              .orderBy("n", "lang").limit(PER_LANGUAGE * LANGUAGES).select("doc_id", "lang", "t").alias("p"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("doc_id", "lang", "t")]
+    sample = rows.alias("r").join(F.broadcast(picked), same, "left_semi") \
+        .dropDuplicates(["doc_id", "lang", "t"]).orderBy("doc_id", "lang", "t").collect()
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
@@ -164,15 +239,17 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     """Language, calibrated probability and rejection of each text."""
     ok = np.array([bool(model.languages) and t is not None and _LETTER.search(t) is not None for t in texts], bool)
     lang = [UNKNOWN] * len(texts)
-    score = np.zeros(len(texts))
+    score, strange = np.zeros(len(texts)), np.zeros(len(texts), bool)
     at = np.flatnonzero(ok)
     if len(at):
-        p = _softmax(raw(model, [words_of(texts[i]) for i in at]) / model.temperature)
+        sums = sums_of(model, [words_of(texts[i]) for i in at])
+        p = _softmax(_means(sums) / model.temperature)
+        strange[at] = _familiarity(sums[:, -2], sums[:, -1], model.usual) < model.least
         top = p.argmax(axis=1)
         score[at] = p[np.arange(len(at)), top]
         for i, k in zip(at, top):
             lang[i] = model.languages[k]
-    return lang, score, ~ok | (score < model.threshold)
+    return lang, score, ~ok | (score < model.threshold) | strange
 
 
 def _shared(docs: DataFrame, model: Model):
@@ -184,7 +261,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     ``und`` with score 0 where the text is null or has no letter, or when nothing
     was learned; such rows are rejected, and so are texts whose calibrated
-    probability is below the model's threshold. Equal probabilities: the language
+    probability or familiarity is below the model's bounds. Equal probabilities: the language
     first in alphabetical order. Repeated rows are scored each, a null id gives a
     null ``held_out``, an empty table an empty result, other columns are not read."""
     shared = _shared(docs, model)

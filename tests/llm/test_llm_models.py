@@ -28,6 +28,34 @@ def test_language_held_out(spark):
     assert np.mean([x["rejected"] for x in got.values()]) < 0.01
 
 
+def test_unlearned_languages_are_rejected(spark):
+    """Each language left out of the training, random letters, and texts mixed of two learned languages."""
+    docs = [r for r in spark.read.parquet(f"{SF01}/documents.parquet").collect() if r["text"]]
+    learn = [r for r in docs if crc(r["doc_id"], 4) != 2 and len(r["text"]) <= L.TRAIN_CHARS]
+    held = [r for r in docs if crc(r["doc_id"], 4) == 2]
+    rejected = lambda model, texts: np.mean(L.predict(model, texts)[2])
+    languages = sorted({r["lang"] for r in docs})
+    for left_out in languages:
+        some = [r for r in learn if r["lang"] != left_out][:600]
+        model = L.fit([r["text"] for r in some], [r["lang"] for r in some])
+        assert rejected(model, [r["text"] for r in held if r["lang"] == left_out]) >= 0.8
+        assert rejected(model, [r["text"] for r in held if r["lang"] != left_out]) <= 0.02
+    r = random.Random(3)
+    letters = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(r.randint(60, 400))) for _ in range(200)]
+    assert rejected(model, letters) >= 0.95
+    learned = [x["text"].split() for x in held if x["lang"] != left_out]
+    mixed = [" ".join(r.choice(learned)[:40] + r.choice(learned)[:40]) for _ in range(200)]
+    assert rejected(model, mixed) <= 0.02
+
+
+def test_language_sample_with_null_and_repeated_ids(spark):
+    rows = [(None, f"wort haus baum nummer {chr(97 + k)}", "de") for k in range(5)] + [(7, "word house tree", "en")] * 4 + [(None, "wort haus baum nummer a", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(docs)
+    assert model.languages == ["de", "en"] or crc(7, 4) == 2
+    assert len(L.identify(docs, model).collect()) == len(rows)
+
+
 def test_language_edges(spark):
     model = L.train(frame(spark))
     assert model.languages == ["a", "b"]
