@@ -49,7 +49,8 @@ def write(rows: DataFrame, path: str, **options: str) -> None:
     a task."""
     keyed = rows.withColumn(KEY, category_key(F.col("category"))).drop("category")
     (keyed.repartitionByRange(KEY, "date", "id").sortWithinPartitions(KEY, "date", "id")
-     .write.mode("overwrite").options(**{**OPTIONS, **options}).partitionBy(KEY).parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "static").options(**{**OPTIONS, **options})
+     .partitionBy(KEY).parquet(path))
 
 
 def shaped(stored: DataFrame, schema: T.StructType) -> DataFrame:
@@ -71,9 +72,10 @@ def ddl(name: str, path: str, schema: T.StructType, *partitions: str) -> str:
     """``CREATE TABLE`` of the stored rows at ``path``."""
     whole = stored_schema(schema, *partitions)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in whole.fields)
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
     options = ", ".join(f"'{k}' = '{v}'" for k, v in OPTIONS.items())
     return (f"CREATE TABLE IF NOT EXISTS `{name}` ({columns}) USING parquet OPTIONS ({options}) "
-            f"PARTITIONED BY ({', '.join((*partitions, KEY))}) LOCATION '{path}'")
+            f"PARTITIONED BY ({', '.join((*partitions, KEY))}) LOCATION '{place}'")
 
 
 def declare(spark: SparkSession, name: str, path: str, schema: T.StructType, *partitions: str) -> DataFrame:
