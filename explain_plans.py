@@ -15,7 +15,7 @@ from kestrel.plans import catalog as C  # noqa: E402
 from kestrel.session import get_spark  # noqa: E402
 
 KEY = ["knn_l2", "knn_single", "knn_filtered", "ivf_search", "ivf_filtered", "ivf_adaptive", "ann_lsh", "lsh_filtered", "keyword_match", "keyword_rank", "hybrid_rrf",
-       "rag_prompts", "embed_documents", "latency_summary", "corpus_stats"]
+       "rag_prompts", "embed_documents", "latency_summary", "corpus_stats", "stored_filter_category", "stored_filter_author", "embed_cached"]
 NOTES = ("PushedFilters", "PartitionFilters", "ReadSchema")
 
 
