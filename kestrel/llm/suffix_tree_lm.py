@@ -1,22 +1,23 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 Tokens are words and one end for each text. The tree predicts a token from the words
-before it. Contexts of growing length are counted over all training texts; one is
-retained if it is frequent enough and its next-symbol distribution diverges from that
-of its suffix; distributions are smoothed towards the suffix's; the longest retained
-suffix of what came before predicts the next token.
-
-The tree's symbols are the frequent words, the end, and one symbol for all other words
-together. Within that symbol, and at the root, tokens have the distribution of all
-words by absolute discounting, whose mass for one unknown word covers words that no
-training text holds: the same event space as the base score's.
-
-Texts meet words by a join: frequent words from a broadcast table of bounded size,
-all others through a shuffle.
+before it. A context (one to three words) is retained if it occurs often enough in the
+training texts and the distribution of its next tokens diverges from that of its suffix. It
+lists the tokens that follow it several times; their chances are smoothed towards the
+suffix's, and all other tokens share what is left as they do after the suffix. At the
+root, tokens have the distribution of all words by absolute discounting, whose mass for one
+unknown word covers words that no training text holds: the same event space as the base
+score's.
+
+The least counts are absolute, so the tree grows with the text. It is a table: counts of
+(context, next) are grouped rows, each length is a few joins. Texts meet words and the
+tree's rows by a join: the most frequent ones from broadcast tables of bounded size, all
+others through a shuffle. Words and grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from dataclasses import dataclass
 
@@ -27,18 +28,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import remainder, segment_sums, slices, written
+from kestrel.llm.common import mixed, remainder, segment_sums, slices, written
 
-#: Longest context, and the least shares of all tokens of the tree's symbols and of what its
-#: contexts precede. So its tables have at most DEPTH / CONTEXT_SHARE rows of 1 / SYMBOL_SHARE
-#: cells, whatever the input's size.
-DEPTH, SYMBOL_SHARE, CONTEXT_SHARE = 3, 1e-4, 5e-4
+#: Longest context; the least count of a context, and of a token that a context lists.
+DEPTH, LEAST_CONTEXT, LEAST_FOLLOWER = 3, 20, 5
 #: Divergence: nats that a context's symbols must gain over its suffix, for each symbol it distinguishes.
 LEAST_GAIN = 1.0
+#: Rows of the tree that all tasks hold, at most; the others are joined through a shuffle.
+FREQUENT_ROWS = 1 << 19
+#: Bits of the largest bitmap (32 MB).
+MARK_BITS = 28
+#: Tells a context's own row from that of a gram of the same words.
+CONTEXT = 0x5DEECE66D1234567
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Words of the broadcast table, at most; the other words are joined through a shuffle.
 FREQUENT_WORDS = 1 << 18
 #: Words that a counting task holds before it passes them on.
 HELD_WORDS = 300_000
+#: Pairs of context and token that a counting task holds.
+HELD_PAIRS = 1 << 20
 MOD, HELD_OUT = 7, 2
 
 
@@ -47,12 +55,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def word_key(word: bytes) -> int:
-    """Spark's ``xxhash64`` of the word."""
-    h = xxhash.xxh64_intdigest(word, seed=42)
-    return h - (1 << 64) if h >> 63 else h
-
-
 def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``word binary, c, n``: occurrences in training texts and in all texts; the
     empty word counts the texts' ends. Tasks combine before the shuffle."""
@@ -83,106 +85,202 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             .groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
 
 
-@dataclass
-class Tree:
-    """Retained contexts of frequent words, as rows of a table of corrections: log10 of
-    a symbol's chance after the context against its chance at the root (row 0)."""
-    slot: dict[bytes, int]              # symbol numbers; the last number stands for all other words
-    keys: list[np.ndarray]              # for each length from 1: sorted context keys
-    rows: list[np.ndarray]              # their rows
-    correction: np.ndarray
-
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        other = len(self.slot)
-        get = self.slot.get
-        return np.fromiter((get(w, other) for w in words), np.int64, len(words))
-
-    def states(self, symbol: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Row of the longest retained context before each token."""
-        out = np.zeros(len(symbol), np.int64)
-        inside = np.arange(len(symbol)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        for d, (keys, rows) in enumerate(zip(self.keys, self.rows), 1):
-            at = np.flatnonzero(inside >= d)
-            if not len(keys) or not len(at):
-                continue
-            key = context_keys(symbol, at, d, len(self.slot) + 1)
-            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[place] == key
-            out[at[hit]] = rows[place[hit]]
-        return out
+def hasher():
+    """A function that gives the keys of words as one array. It remembers up to ``HELD_WORDS`` words."""
+    known: dict[bytes, int] = {}
+
+    def keys(words: list[bytes]) -> np.ndarray:
+        if len(known) > HELD_WORDS:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w, seed=42)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return keys
 
 
-def context_keys(symbol: np.ndarray, at: np.ndarray, d: int, base: int) -> np.ndarray:
-    """The ``d`` symbols before each place as one number."""
-    key = np.zeros(len(at), np.int64)
-    for back in range(d, 0, -1):
-        key = key * base + symbol[at - back]
-    return key
+def grams(key: np.ndarray, depth: int) -> list[np.ndarray]:
+    """For k = 0 .. ``depth``: a key of the k + 1 words that end at each place. Built from the last
+    word backwards, so the key before is that of the suffix. Meaningless where k words don't precede."""
+    out = [key]
+    with np.errstate(over="ignore"):
+        for k in range(1, depth + 1):
+            before = np.zeros_like(key)
+            before[k:] = key[:-k] if k < len(key) else 0
+            out.append(mixed(out[-1] * _STEP + before + np.uint64(k)))
+    return out
 
 
-def count_followers(docs: DataFrame, doc_id: str, text: str, tree: Tree, d: int, alive: np.ndarray) -> np.ndarray:
-    """Counts of the symbols after each context in ``alive`` (sorted keys of length
-    ``d``) in training texts: (contexts, symbols). Both are bounded by their shares."""
-    width = len(tree.slot) + 1
-    shared = docs.sparkSession.sparkContext.broadcast((tree.slot, alive))
+@dataclass
+class Marks:
+    """A bitmap of keys by their lowest bits. Its size is bounded; where more keys than bits meet
+    it marks too much, which costs rows that a join drops later, not results."""
+    words: np.ndarray
+
+    def hold(self, key: np.ndarray) -> np.ndarray:
+        place = key & np.uint64(64 * len(self.words) - 1)
+        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> Marks:
+        out = np.zeros(1 << min(max(16 * len(keys), 1 << 10).bit_length(), MARK_BITS), bool)
+        out[(keys & np.uint64(len(out) - 1)).astype(np.int64)] = True
+        return cls(np.packbits(out, bitorder="little").view("<u8"))
+
+
+def marks(keys: DataFrame, most_bits: int = MARK_BITS) -> Marks:
+    """Marks of the only column, about 16 bits for each key up to ``2 ** most_bits``: the
+    driver gets 64 of them at once, never the keys."""
+    bits = min(max(10, (16 * keys.count()).bit_length()), most_bits)
+    (name,) = keys.columns
+    place = F.col(name).bitwiseAND((1 << bits) - 1)
+    got = (keys.select(F.shiftright(place, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast({name} & 63 AS int))").alias("bit"))
+           .groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow())
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[got.column("at").to_numpy()] = got.column("word").to_numpy().view(np.uint64)
+    return Marks(words)
+
+
+def pair_counts(docs: DataFrame, doc_id: str, text: str, d: int, contexts: Marks, ends: Marks) -> DataFrame:
+    """``gram, ctx, below, n``: in training texts, how often a token follows ``d`` words. ``gram`` is
+    the key of all of them, ``ctx`` of the words before, ``below`` of the gram without its first word.
+    Only where ``contexts`` marks ``ctx`` and ``ends`` marks ``below``; tasks combine before the shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast((contexts, ends))
+
+    def rows(parts):
+        gram, ctx, below = (np.concatenate(x) for x in zip(*parts))
+        gram, first, n = np.unique(gram, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (gram, ctx[first], below[first])] + [pa.array(n)],
+                                          ["gram", "ctx", "below", "n"])
 
     def run(batches):
-        slot, alive = shared.value
-        own = Tree(slot, [alive], [np.arange(len(alive))], np.zeros((0, 0)))
-        total = np.zeros(len(alive) * width, np.int64)
+        contexts, ends = shared.value
+        keys, parts, held = hasher(), [], 0
         for b in slices(batches, 0):
             tokens = [[*words_of(t), b""] for t in b.column(0).to_pylist()]
             lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            symbol = own.symbols([w for t in tokens for w in t])
-            inside = np.arange(len(symbol)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            at = np.flatnonzero(inside >= d)
-            key = context_keys(symbol, at, d, width)
-            place = np.minimum(np.searchsorted(alive, key), len(alive) - 1)
-            hit = alive[place] == key
-            total += np.bincount(place[hit] * width + symbol[at[hit]], minlength=len(total))
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
+            own = grams(keys([w for t in tokens for w in t]), d)
+            at = np.flatnonzero(places(lengths) >= d)
+            at = at[ends.hold(own[d - 1][at])]
+            at = at[contexts.hold(own[d - 1][at - 1])]
+            parts.append((own[d][at], own[d - 1][at - 1], own[d - 1][at]))
+            held += len(at)
+            if held > HELD_PAIRS:
+                yield rows(parts)
+                parts, held = [], 0
+        if held:
+            yield rows(parts)
 
     src = docs.filter(F.coalesce(remainder(doc_id, MOD) != HELD_OUT, F.lit(True))).select(F.col(text).cast("string").alias("text"))
-    got = src.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(alive) * width, np.int64)
-    out[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out.reshape(len(alive), width)
-
-
-def grow(docs: DataFrame, words: list[bytes], c: np.ndarray, chance: np.ndarray, n: int, depth: int = DEPTH,
-         symbol_share: float = SYMBOL_SHARE, context_share: float = CONTEXT_SHARE, least_gain: float = LEAST_GAIN,
-         doc_id: str = "doc_id", text: str = "text") -> Tree:
-    """The tree of ``docs``. ``words`` hold all frequent ones among ``n`` training
-    tokens, ``c`` their counts, ``chance`` their log10 chances at the root."""
-    order = sorted(np.flatnonzero(c >= max(1, symbol_share * n)).tolist(), key=lambda i: words[i])
-    tree = Tree({words[i]: k for k, i in enumerate(order)}, [], [], np.zeros((1, len(order) + 1), np.float32))
-    width = len(order) + 1
-    root = np.append(10.0 ** chance[order], 0.0)
-    root[-1] = max(1e-9, 1.0 - root.sum())
-    end = tree.slot.get(b"", -1)
-    alive = np.array([k for k, i in enumerate(order) if k != end and c[i] >= context_share * n], np.int64)
-    dist, table = {(): root}, [np.zeros(width)]
+    return (src.mapInArrow(run, "gram long, ctx long, below long, n long")
+            .groupBy("gram", "ctx", "below").agg(F.sum("n").alias("n")))
+
+
+def places(lengths: np.ndarray) -> np.ndarray:
+    """Each token's place in its text."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def grow(docs: DataFrame, words: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH,
+         least_context: int = LEAST_CONTEXT, least_follower: int = LEAST_FOLLOWER, least_gain: float = LEAST_GAIN) -> DataFrame:
+    """The tree as rows ``key, value, n``. A retained context (key ``^ CONTEXT``) has log10 of the factor
+    by which it changes its suffix's chance of the tokens that it doesn't list; a token that it
+    lists (key of context and token) has log10 of its chance against that at the root.
+
+    ``words`` has ``gram, n, root`` (log10 chance) of the words. A context's count is that of the gram
+    it is, since an end follows every word; so each length needs one pass, and only over the
+    contexts that are frequent, and the suffixes of whose grams are."""
+    level = words.filter(F.col("n") >= least_follower).select("gram", "n", "root", F.col("root").alias("p"))
+    entries = []
     for d in range(1, depth + 1):
-        if not len(alive):
+        alive = level.filter(F.col("n") >= least_context)
+        contexts = marks(alive.select("gram"))
+        if not contexts.words.any():
             break
-        counts = count_followers(docs, doc_id, text, tree, d, alive)
-        keys, rows, longer = [], [], []
-        for key, row in zip(alive.tolist(), counts):
-            context = tuple(key // width ** i % width for i in range(d - 1, -1, -1))
-            total, seen = row.sum(), row > 0
-            below = next(dist[context[i:]] for i in range(1, d + 1) if context[i:] in dist)
-            if total and (row[seen] * np.log(row[seen] / total / below[seen])).sum() >= least_gain * seen.sum():
-                dist[context] = own = (row + seen.sum() * below) / (total + seen.sum())
-                keys.append(key)
-                rows.append(len(table))
-                table.append(np.log10(own) - np.log10(root))
-            longer += [key * width + s for s in np.flatnonzero(row >= context_share * n).tolist() if s not in (end, width - 1)]
-        tree.keys.append(np.array(keys, np.int64))
-        tree.rows.append(np.array(rows, np.int64))
-        alive = np.array(sorted(longer), np.int64)
-    tree.correction = np.array(table, np.float32)
-    return tree
+        pairs = pair_counts(docs, doc_id, text, d, contexts, marks(level.select("gram"))).filter(F.col("n") >= least_follower)
+        rated = written(pairs.join(alive.select(F.col("gram").alias("ctx"), F.col("n").alias("total")), "ctx")
+                        .join(level.select(F.col("gram").alias("below"), F.col("p").alias("base"), "root"), "below"), "pairs")
+        n, total, base = F.col("n"), F.col("total"), F.pow(F.lit(10.0), F.col("base"))
+        own = rated.groupBy("ctx").agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("listed"),
+                                       F.sum(base).alias("covered"), F.sum(n * F.ln(n / total / base)).alias("gain"))
+        rest, room, k = total - F.col("listed"), F.greatest(F.lit(1e-9), 1 - F.col("covered")), F.col("kinds") + 1
+        gain = F.col("gain") + F.when(rest > 0, rest * F.ln(rest / total / room)).otherwise(0.0)
+        kept = written(own.filter(gain >= least_gain * (F.col("kinds") + (rest > 0).cast("int")))
+                       .select("ctx", "total", k.alias("k"), F.log10((rest + k * room) / (total + k) / room).alias("factor")), "contexts")
+        p = F.when(F.col("k").isNotNull(), F.log10((n + F.col("k") * base) / (total + F.col("k")))).otherwise(F.col("base"))
+        level = written(rated.join(kept.select("ctx", "k"), "ctx", "left")
+                        .select("gram", "n", "root", p.alias("p"), F.col("k").isNotNull().alias("listed")), "level")
+        entries += [kept.select(F.col("ctx").bitwiseXOR(CONTEXT).alias("key"), F.col("factor").alias("value"), F.col("total").alias("n")),
+                    level.filter("listed").select(F.col("gram").alias("key"), (F.col("p") - F.col("root")).alias("value"), "n")]
+    if not entries:
+        return docs.sparkSession.createDataFrame([], "key long, value double, n long")
+    return functools.reduce(DataFrame.union, entries)
+
+
+def commonest(rows: DataFrame, room: int):
+    """The least ``floor(log2(n) * 8)`` of the most frequent rows that fit into ``room``."""
+    sizes = rows.groupBy(F.floor(F.log2("n") * 8).alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()
+    least = float("inf")
+    for s, k in sorted(((r["s"], r["k"]) for r in sizes), reverse=True):
+        if k > room:
+            break
+        least, room = s, room - k
+    return least
+
+
+@dataclass
+class Tree:
+    """What tasks hold of the tree: its most frequent rows, and marks of the others."""
+    key: np.ndarray                     # sorted
+    value: np.ndarray
+    near: Marks
+    far: Marks
+
+    def look(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (nan: none here), and whether a row elsewhere may have the key."""
+        value = np.full(len(key), np.nan)
+        may = np.flatnonzero(self.near.hold(key)) if len(self.key) else np.zeros(0, np.int64)
+        if len(may):
+            place = np.minimum(np.searchsorted(self.key, key[may]), len(self.key) - 1)
+            hit = self.key[place] == key[may]
+            value[may[hit]] = self.value[place[hit]]
+        return value, self.far.hold(key) & np.isnan(value)
+
+    def change(self, key: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """For each token log10 of its chance against the root's, from its longest contexts down to the
+        first that lists it. Where rows elsewhere may count, 0, and what is known of the place:
+        arrays of place, code (twice the length, plus one for a listed token), key, value."""
+        own, inside = grams(key, DEPTH), places(lengths)
+        got, unsure = [], np.zeros(len(key), bool)
+        for d in range(1, DEPTH + 1):
+            at = np.flatnonzero(inside >= d)
+            for code in (2 * d, 2 * d + 1):              # tokens are looked up where the context is known or likely
+                which = own[d][at] if code % 2 else own[d - 1][at - 1] ^ np.uint64(CONTEXT)
+                value, elsewhere = self.look(which)
+                some = np.flatnonzero(elsewhere | ~np.isnan(value))
+                at, which, value = at[some], which[some], value[some]
+                unsure[at[elsewhere[some]]] = True
+                got.append((at, np.full(len(at), code, np.int8), which, value))
+        out, done = np.zeros(len(key)), unsure.copy()
+        for d in range(DEPTH, 0, -1):
+            (there, _, _, factor), (at, _, _, value) = got[2 * d - 2:2 * d]
+            listed = at[~done[at]]
+            out[listed] += value[~done[at]]
+            done[listed] = True
+            there, factor = there[~done[there]], factor[~done[there]]
+            out[there] += factor
+        rows = [np.concatenate(x) for x in zip(*(tuple(c[unsure[g[0]]] for c in g) for g in got))]
+        order = np.argsort(rows[0], kind="stable")
+        return out, [x[order] for x in rows]
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    """``uid, y`` from ``uid, at, code, value``: the changes of each text's unsure places."""
+    value = lambda code: F.max(F.when(F.col("code") == code, F.col("value")))
+    wide = rows.groupBy("uid", "at").agg(*[value(code).alias(f"v{code}") for code in range(2, 2 * DEPTH + 2)])
+    total = F.lit(0.0)
+    for d in range(1, DEPTH + 1):
+        total = F.coalesce(F.col(f"v{2 * d + 1}"), total + F.coalesce(F.col(f"v{2 * d}"), F.lit(0.0)))
+    return wide.select("uid", total.alias("y")).groupBy("uid").agg(F.sum("y").alias("y"))
 
 
 def root(words: DataFrame) -> tuple[int, int, float]:
@@ -193,7 +291,8 @@ def root(words: DataFrame) -> tuple[int, int, float]:
     return n, v, min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.1
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT_WORDS) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT_WORDS,
+          frequent_rows: int = FREQUENT_ROWS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for
     every row: learns from the texts whose crc32(id) mod 7 is not 2 (a null id
     counts as training) and scores all of them.
@@ -208,23 +307,24 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
     chance = F.log10(F.when(F.col("c") > 0, F.col("c") - discount).otherwise(discount * v) / n) if n else F.lit(0.0)
     rated = words.select(F.xxhash64("word").alias("key"), "word", "c", "n", chance.alias("chance"))
 
-    # the most frequent words: from the largest power of 2 ** (1 / 8) down, while they fit
     step = F.floor(F.log2("n") * 8)
-    sizes = rated.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()
-    least, room = float("inf"), frequent
-    for s, k in sorted(((r["s"], r["k"]) for r in sizes), reverse=True):
-        if k > room:
-            break
-        least, room = s, room - k
+    least = commonest(rated, frequent)
     top = rated.filter(step >= F.lit(least)).select("word", "c", "chance").toPandas()
     names, c, x = list(map(bytes, top["word"])), top["c"].to_numpy(float), top["chance"].to_numpy(float)
-    tree = grow(docs, names, c, x, n, doc_id=doc_id, text=text) if n else Tree({}, [], [], np.zeros((1, 1), np.float32))
-    symbol_of = np.array([tree.slot.get(w, len(tree.slot)) for w in names] + [len(tree.slot)], np.int64)
     values = np.vstack([np.column_stack([np.log10(c + 1), c > 0, x]), np.zeros((1, 3))])     # the last row: not there
-    shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(names)}, values, symbol_of, tree))
+    known = rated.select(F.col("key").alias("gram"), F.col("c").alias("n"), F.col("chance").alias("root"))
+    rows = written(grow(docs, known, doc_id, text), "tree")
+    row_least = commonest(rows, frequent_rows)
+    near = rows.filter(step >= F.lit(row_least)).select("key", "value").toArrow()
+    far = rows.filter(step < F.lit(row_least)).select("key", "value")
+    key = near.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    tree = Tree(key[order], near.column("value").to_numpy()[order], Marks.of(key), marks(far.select("key")))
+    shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(names)}, values, tree))
 
     def read(batches):
-        slot, values, symbol_of, tree = shared.value
+        slot, values, tree = shared.value
+        keys = hasher()
         uid = TaskContext.get().partitionId() << 40
         for b in slices(batches):
             tokens = [[*words_of(t), b""] for t in b.column(1).to_pylist()]
@@ -232,27 +332,34 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
             flat = [w for d in tokens for w in d]
             at = np.fromiter((slot.get(w, -1) for w in flat), np.int64, len(flat))
             sums = segment_sums(values[at], lengths)
-            symbol = symbol_of[at]
-            sums[:, 2] += segment_sums(tree.correction[tree.states(symbol, lengths), symbol], lengths)
-            rare = np.fromiter((word_key(flat[i]) for i in np.flatnonzero(at < 0).tolist()), np.int64)
-            offsets = np.r_[0, np.cumsum(segment_sums((at < 0).astype(float), lengths))].astype(np.int32)
+            key = keys(flat)
+            change, (place, code, which, value) = tree.change(key, lengths)
+            sums[:, 2] += segment_sums(change, lengths)
+            lists = lambda n, x: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), x)
+            rare = lists(segment_sums((at < 0).astype(float), lengths), pa.array(key[at < 0].view(np.int64)))
+            unsure = lists(np.histogram(place, np.r_[0, np.cumsum(lengths)])[0] if len(place) else np.zeros(len(lengths)), pa.StructArray.from_arrays(
+                [pa.array(place), pa.array(code), pa.array(which.view(np.int64)), pa.array(value, from_pandas=True)], ["at", "code", "key", "value"]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(uid, uid + len(tokens))), b.column(0), b.column(2), pa.array(lengths),
-                 *(pa.array(sums[:, k]) for k in range(3)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare))],
-                ["uid", "doc_id", "held_out", "n_tokens", "base", "known", "chance", "rare"])
+                 *(pa.array(sums[:, k]) for k in range(3)), rare, unsure],
+                ["uid", "doc_id", "held_out", "n_tokens", "base", "known", "chance", "rare", "unsure"])
             uid += len(tokens)
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                       (remainder(doc_id, MOD) == HELD_OUT).alias("held_out"))
     parts = written(src.mapInArrow(read, "uid long, doc_id long, held_out boolean, n_tokens long, base double, "
-                                         "known double, chance double, rare array<long>"), "parts")
+                                         "known double, chance double, rare array<long>, "
+                                         "unsure array<struct<at:long,code:tinyint,key:long,value:double>>"), "parts")
     rest = (parts.select("uid", F.explode("rare").alias("key"))
             .join(rated.filter(step < F.lit(least)).select("key", "c", F.col("chance").alias("x")), "key")
             .groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1)).alias("b"), F.sum((F.col("c") > 0).cast("double")).alias("k"),
                                 F.sum("x").alias("x")))
+    open_places = parts.select("uid", F.inline("unsure"))
+    found = open_places.filter("value IS NULL").drop("value").join(far, "key").select("uid", "at", "code", "value")
+    tree_rest = folded(open_places.filter("value IS NOT NULL").select("uid", "at", "code", "value").union(found))
     or0 = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return parts.join(rest, "uid", "left").select(
+    return parts.join(rest, "uid", "left").join(tree_rest, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + or0("k")).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + or0("b") - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
-        (F.col("chance") + or0("x")).alias("score"))
+        (F.col("chance") + or0("x") + or0("y")).alias("score"))

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 from conftest import SF01
 from llm_cases import ROWS, empty, frame
+from pyspark.sql import functions as F
 
 from kestrel.llm import crf_toxicity as T
 from kestrel.llm import subword_langid as L
@@ -183,34 +184,61 @@ def test_lm_equals_direct_tree(spark):
     once, twice = (sum(k == m for k in c.values()) for m in (1, 2))
     cut = min(0.9, max(0.1, once / (once + 2 * twice)))
     chance = lambda w: ((c[w] - cut) if c[w] else cut * v) / n
-    symbols = sorted(w for w in c if c[w] >= max(1, M.SYMBOL_SHARE * n))
-    sym = lambda w: w if w in symbols else None
-    root = {s: chance(s) for s in symbols}
-    root[None] = max(1e-9, 1 - sum(root.values()))
-    trees, alive = {(): root}, {(s,) for s in symbols if s and c[s] >= M.CONTEXT_SHARE * n}
+    trees = {}
+
+    def p(x, w):
+        """Chance of ``w`` after the words ``x``, from the longest retained suffix of ``x``."""
+        while x and x not in trees:
+            x = x[1:]
+        if not x:
+            return chance(w)
+        listed, factor = trees[x]
+        return listed[w] if w in listed else factor * p(x[1:], w)
+
     for d in range(1, M.DEPTH + 1):
         count = collections.defaultdict(collections.Counter)
         for t in learn:
-            s = list(map(sym, t))
-            for k in range(d, len(s)):
-                count[tuple(s[k - d:k])][s[k]] += 1
-        longer = set()
-        for x in alive:
-            row = count[x]
-            total, kinds = sum(row.values()), len(row)
-            below = next(trees[x[k:]] for k in range(1, d + 1) if x[k:] in trees)
-            if total and sum(m * math.log(m / total / below[s]) for s, m in row.items()) >= M.LEAST_GAIN * kinds:
-                trees[x] = {s: (row[s] + kinds * below[s]) / (total + kinds) for s in root}
-            longer |= {x + (s,) for s, m in row.items() if s and m >= M.CONTEXT_SHARE * n}
-        alive = longer
-    assert {0, 1, 2} <= {len(x) for x in trees}
-    for got in M.score(frame(spark, rows)).collect():
-        t = dict(rows)[got["doc_id"]].split() + [""]
-        s, want = list(map(sym, t)), 0.0
-        for k, w in enumerate(t):
-            x = next(tuple(s[k - d:k]) for d in range(M.DEPTH, -1, -1) if k >= d and tuple(s[k - d:k]) in trees)
-            want += math.log10(chance(w) * trees[x][s[k]] / root[s[k]])
-        assert abs(got["score"] - want) < 1e-3 * abs(want), got
+            for k in range(d, len(t)):
+                count[tuple(t[k - d:k])][t[k]] += 1
+        for x, row in count.items():
+            total = sum(row.values())
+            row = {w: m for w, m in row.items() if m >= M.LEAST_FOLLOWER}
+            if total < M.LEAST_CONTEXT or not row:
+                continue
+            below = {w: p(x[1:], w) for w in row}
+            rest, room, k = total - sum(row.values()), max(1e-9, 1 - sum(below.values())), len(row) + 1
+            gain = sum(m * math.log(m / total / below[w]) for w, m in row.items()) + (rest * math.log(rest / total / room) if rest else 0)
+            if gain >= M.LEAST_GAIN * (len(row) + (rest > 0)):
+                trees[x] = {w: (m + k * below[w]) / (total + k) for w, m in row.items()}, (rest + k * room) / (total + k) / room
+    assert {1, 2, 3} <= {len(x) for x in trees}
+    for x in trees:                                      # distributions over all words and one unknown
+        assert abs(sum(p(x, w) for w in c) + p(x, "unknown") - 1) < 1e-6
+    for frequent, frequent_rows in ((M.FREQUENT_WORDS, M.FREQUENT_ROWS), (2, 12), (0, 0)):    # held rows, some and all through the shuffle
+        got = M.score(frame(spark, rows), frequent=frequent, frequent_rows=frequent_rows).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            t = dict(rows)[r["doc_id"]].split() + [""]
+            want = sum(math.log10(p(tuple(t[max(0, k - M.DEPTH):k]), w)) for k, w in enumerate(t))
+            assert abs(r["score"] - want) < 1e-6 * abs(want), r
+
+
+def test_lm_tree_grows_with_the_text(spark):
+    def tree(sf):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        words = M.word_counts(docs)
+        n = M.root(words)[0]
+        known = words.filter("c > 0").select(F.xxhash64("word").alias("gram"), F.col("c").alias("n"), F.log10(F.col("c") / n).alias("root"))
+        return M.grow(docs, known).count()
+    assert tree("sf0.1") >= 5 * tree("sf0.01")
+
+
+def test_lm_marks(spark):
+    keys = np.random.default_rng(1).integers(-2 ** 63, 2 ** 63 - 1, 3000)
+    df = spark.createDataFrame([(int(k),) for k in keys], "key long")
+    other = np.random.default_rng(2).integers(0, 2 ** 64 - 1, 3000, np.uint64)
+    for got in (M.marks(df), M.Marks.of(keys.view(np.uint64)), M.marks(df, 12)):
+        assert got.hold(keys.view(np.uint64)).all()
+    assert M.marks(df).hold(other).mean() < 0.15 and not M.marks(df.limit(0)).hold(other).any()
 
 
 def test_lm_beats_the_base_on_held_out_texts(spark):
