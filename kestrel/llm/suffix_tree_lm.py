@@ -18,17 +18,17 @@ others through a shuffle. Words and grams are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import functools
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import mixed, remainder, segment_sums, slices, written
+from kestrel.llm.phrase_graph import _dense, _keys
 
 #: Longest context; the least count of a context, and of a token that a context lists.
 DEPTH, LEAST_CONTEXT, LEAST_FOLLOWER = 3, 20, 5
@@ -36,66 +36,104 @@ DEPTH, LEAST_CONTEXT, LEAST_FOLLOWER = 3, 20, 5
 LEAST_GAIN = 1.0
 #: Rows of the tree that all tasks hold, at most; the others are joined through a shuffle.
 FREQUENT_ROWS = 1 << 19
-#: Bits of the largest bitmap (32 MB).
-MARK_BITS = 28
+#: Bits of the largest bitmap (16 MB).
+MARK_BITS = 27
 #: Tells a context's own row from that of a gram of the same words.
 CONTEXT = 0x5DEECE66D1234567
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Words of the broadcast table, at most; the other words are joined through a shuffle.
 FREQUENT_WORDS = 1 << 18
-#: Words that a counting task holds before it passes them on.
-HELD_WORDS = 300_000
-#: Pairs of context and token that a counting task holds.
-HELD_PAIRS = 1 << 20
+#: Entries that a counting task combines at once, bytes of text of a slice, and bytes hashed at once.
+HELD, SLICE, BLOCK_BYTES = 1 << 21, 1 << 20, 1 << 20
 MOD, HELD_OUT = 7, 2
+#: The key of an end, and a random number for each byte: 0 for white space, A-Z as a-z.
+END = np.uint64(1)
+_BYTE = mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1))
+_BYTE[[0x20, *range(0x09, 0x0E)]] = 0
+
+
+def token_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the tokens of all texts, A-Z lower-cased, one end (``END``) after each text; and the
+    number of each text's tokens. A word's key is a sum over its bytes of a random number of the byte
+    times a power for its place, then mixed."""
+    column = pc.fill_null(column, "").cast(pa.binary())
+    _, edges, data = column.buffers()
+    edges = np.frombuffer(edges, np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[edges[0]:edges[-1]]
+    edges -= edges[0]
+    word = _BYTE[data] != 0
+    begin = word.copy()
+    begin[1:] &= ~word[:-1]
+    first = edges[:-1][edges[:-1] < edges[1:]]
+    begin[first] = word[first]                          # words end with their text
+    starts = np.flatnonzero(begin)
+    bounds = np.r_[starts, len(data)]
+    key, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):                              # some bytes at a time, whole words
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK_BYTES)) - 1)
+        sizes = np.diff(bounds[at:to + 1])
+        own, begins = _BYTE[data[bounds[at]:bounds[to]]], bounds[at:to] - bounds[at]
+        own *= powers(int(sizes.max()))[np.arange(len(own)) - np.repeat(begins, sizes)]
+        key[at:to] = mixed(np.add.reduceat(own, begins))
+        at = to
+    lengths = np.diff(np.searchsorted(starts, edges)) + 1
+    out = np.full(len(starts) + len(lengths), END)
+    inner = np.ones(len(out), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    out[inner] = key
+    return out, lengths
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(bits: int) -> np.ndarray:
+    return np.cumprod(np.full(1 << bits, _STEP))
+
+
+def powers(n: int) -> np.ndarray:
+    return _powers(max(12, n.bit_length()))
+
+
+def combined(key: np.ndarray, *n: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys in order, and the sums of ``n`` for each."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return [key[first], *(np.add.reduceat(x[order], first) if len(key) else x for x in n)]
+
+
+def gathered(batches, make, most: int = HELD):
+    """Lists of the arrays that ``make`` gives for each slice, joined while they hold ``most`` entries or less."""
+    parts, held = [], 0
+    for b in slices(batches, 0, 1 << 14, SLICE):
+        parts.append(make(b))
+        held += len(parts[-1][0])
+        if held > most:
+            yield [np.concatenate(x) for x in zip(*parts)]
+            parts, held = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*parts)]
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words with A-Z lower-cased (other letters as they are)."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+def as_batch(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names.split())
 
 
 def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``word binary, c, n``: occurrences in training texts and in all texts; the
-    empty word counts the texts' ends. Tasks combine before the shuffle."""
-    src = docs.select(F.coalesce(remainder(doc_id, MOD) != HELD_OUT, F.lit(True)).alias("learn"),
-                      F.col(text).cast("string").alias("text"))
-
-    def rows(both):
-        train, rest = both
-        words = list(train.keys() | rest.keys())
-        c = np.fromiter((train[w] for w in words), np.int64, len(words))
-        n = c + np.fromiter((rest[w] for w in words), np.int64, len(words))
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c), pa.array(n)], ["word", "c", "n"])
+    """``key, c, n``: occurrences of each token in training texts and in all texts.
+    Tasks combine before the shuffle."""
+    src = docs.select(F.col(text).cast("string").alias("text"),
+                      F.coalesce(remainder(doc_id, MOD) != HELD_OUT, F.lit(True)).alias("learn"))
+
+    def make(b):
+        key, lengths = token_keys(b.column(0))
+        return key, np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), lengths)
 
     def run(batches):
-        both = Counter(), Counter()
-        for b in slices(batches):
-            for learn, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = both[0] if learn else both[1]
-                own.update(words_of(t))
-                own[b""] += 1
-            if len(both[0]) + len(both[1]) > HELD_WORDS:
-                yield rows(both)
-                both = Counter(), Counter()
-        if both[0] or both[1]:
-            yield rows(both)
-
-    return (src.mapInArrow(run, "word binary, c long, n long")
-            .groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
-
-
-def hasher():
-    """A function that gives the keys of words as one array. It remembers up to ``HELD_WORDS`` words."""
-    known: dict[bytes, int] = {}
-
-    def keys(words: list[bytes]) -> np.ndarray:
-        if len(known) > HELD_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w, seed=42)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    return keys
+        for key, learn in gathered(batches, make):
+            yield as_batch("key c n", *combined(key, learn, np.ones(len(key), np.int64)))
+
+    return (src.mapInArrow(run, "key long, c long, n long")
+            .groupBy("key").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
 
 
 def grams(key: np.ndarray, depth: int) -> list[np.ndarray]:
@@ -120,12 +158,6 @@ class Marks:
         place = key & np.uint64(64 * len(self.words) - 1)
         return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-    @classmethod
-    def of(cls, keys: np.ndarray) -> Marks:
-        out = np.zeros(1 << min(max(16 * len(keys), 1 << 10).bit_length(), MARK_BITS), bool)
-        out[(keys & np.uint64(len(out) - 1)).astype(np.int64)] = True
-        return cls(np.packbits(out, bitorder="little").view("<u8"))
-
 
 def marks(keys: DataFrame, most_bits: int = MARK_BITS) -> Marks:
     """Marks of the only column, about 16 bits for each key up to ``2 ** most_bits``: the
@@ -140,39 +172,97 @@ def marks(keys: DataFrame, most_bits: int = MARK_BITS) -> Marks:
     return Marks(words)
 
 
-def pair_counts(docs: DataFrame, doc_id: str, text: str, d: int, contexts: Marks, ends: Marks) -> DataFrame:
-    """``gram, ctx, below, n``: in training texts, how often a token follows ``d`` words. ``gram`` is
-    the key of all of them, ``ctx`` of the words before, ``below`` of the gram without its first word.
-    Only where ``contexts`` marks ``ctx`` and ``ends`` marks ``below``; tasks combine before the shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast((contexts, ends))
-
-    def rows(parts):
-        gram, ctx, below = (np.concatenate(x) for x in zip(*parts))
-        gram, first, n = np.unique(gram, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (gram, ctx[first], below[first])] + [pa.array(n)],
-                                          ["gram", "ctx", "below", "n"])
+def training(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.filter(F.coalesce(remainder(doc_id, MOD) != HELD_OUT, F.lit(True))).select(F.col(text).cast("string").alias("text"))
+
+
+def candidates(d: int, contexts: Marks, ends: Marks):
+    """Makes ``gram, ctx, below`` of a slice's tokens that follow ``d`` words: the keys of all of them, of
+    the words before, and of the gram without its first word. Only where ``contexts`` marks ``ctx`` and
+    ``ends`` marks ``below``."""
+    def make(b):
+        key, lengths = token_keys(b.column(0))
+        own = grams(key, d)
+        at = np.flatnonzero(ends.hold(own[d - 1]))
+        at = at[places(lengths)[at] >= d]
+        at = at[contexts.hold(own[d - 1][at - 1])]
+        return own[d][at], own[d - 1][at - 1], own[d - 1][at]
+    return make
+
+
+def heavy(texts: DataFrame, d: int, contexts: Marks, ends: Marks, least: int, bits: int = MARK_BITS) -> Marks:
+    """Marks the candidates' grams that may occur ``least`` times: counted by 32 bits of their keys, which
+    travel as sorted numbers. Keys are dealt to buckets by the lowest bits, so a bucket makes its own
+    part of the bitmap; the driver gets the bitmap in parts, its size is fixed."""
+    shared = texts.sparkSession.sparkContext.broadcast((contexts, ends))
+    deal = min(max(6, (int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()), 12)
+
+    def spread(batches):
+        for gram, *_ in gathered(batches, candidates(d, *shared.value)):
+            # the bucket's bits first, then those of the place in its part, then some more
+            turned = (gram << np.uint64(64 - bits)) >> np.uint64(64 - bits)
+            turned = (turned >> np.uint64(bits - deal) << np.uint64(32)) | ((turned << np.uint64(32 - bits + deal)) & np.uint64(0xFFFFFFFF)) \
+                | (gram >> np.uint64(64 - (32 - bits + deal)))
+            key, n = combined(turned, np.ones(len(gram), np.int64))
+            cuts = np.searchsorted(key, np.arange((1 << deal) + 1, dtype=np.uint64) << np.uint64(32)).tolist()
+            short, n = key.astype(np.uint32), np.minimum(n, least).astype(np.uint8)
+            got = [(i, _dense(short[x:y]), n[x:y].tobytes()) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.binary(), pa.binary()))],
+                                             ["bucket", "keys", "n"])
+
+    def part(bucket, key, n):
+        key, n = combined(np.concatenate(key), np.concatenate(n).astype(np.int64))
+        out = np.zeros(1 << (bits - deal), bool)
+        out[(key[n >= least] >> np.uint32(32 - bits + deal)).astype(np.int64)] = True
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())],
+                                          ["bucket", "part"])
+
+    def merge(batches):
+        own, key, n, size = None, [], [], 0
+        for b in batches:
+            for bucket, k, c in zip(*(x.to_pylist() for x in b.columns)):
+                if own is not None and bucket != own:
+                    yield part(own, key, n)
+                    key, n, size = [], [], 0
+                own = bucket
+                key.append(_keys(k))
+                n.append(np.frombuffer(c, np.uint8))
+                size += len(key[-1])
+                if size > 1 << 23:                     # the same keys of many slices are one entry
+                    k, c = combined(np.concatenate(key), np.concatenate(n).astype(np.int64))
+                    key, n, size = [k], [np.minimum(c, least).astype(np.uint8)], 0
+        if own is not None:
+            yield part(own, key, n)
+
+    parts = (texts.mapInArrow(spread, "bucket int, keys binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
+             .mapInArrow(merge, "bucket int, part binary"))
+    out = np.zeros((1 << deal, 1 << (bits - deal - 6)), np.uint64)
+    for r in parts.toLocalIterator():
+        out[r["bucket"]] = np.frombuffer(r["part"], np.uint64)
+    return Marks(out.ravel())
+
+
+def pair_counts(docs: DataFrame, doc_id: str, text: str, d: int, contexts: Marks, ends: Marks, least: int) -> DataFrame:
+    """``gram, ctx, below, n`` of the candidates that occur ``least`` times in training texts. What is
+    shuffled are grams that :func:`heavy` marks; tasks combine them before."""
+    texts = training(docs, doc_id, text)
+    shared = docs.sparkSession.sparkContext.broadcast((contexts, ends, heavy(texts, d, contexts, ends, least)))
 
     def run(batches):
-        contexts, ends = shared.value
-        keys, parts, held = hasher(), [], 0
-        for b in slices(batches, 0):
-            tokens = [[*words_of(t), b""] for t in b.column(0).to_pylist()]
-            lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            own = grams(keys([w for t in tokens for w in t]), d)
-            at = np.flatnonzero(places(lengths) >= d)
-            at = at[ends.hold(own[d - 1][at])]
-            at = at[contexts.hold(own[d - 1][at - 1])]
-            parts.append((own[d][at], own[d - 1][at - 1], own[d - 1][at]))
-            held += len(at)
-            if held > HELD_PAIRS:
-                yield rows(parts)
-                parts, held = [], 0
-        if held:
-            yield rows(parts)
-
-    src = docs.filter(F.coalesce(remainder(doc_id, MOD) != HELD_OUT, F.lit(True))).select(F.col(text).cast("string").alias("text"))
-    return (src.mapInArrow(run, "gram long, ctx long, below long, n long")
-            .groupBy("gram", "ctx", "below").agg(F.sum("n").alias("n")))
+        *known, likely = shared.value
+        every = candidates(d, *known)
+
+        def make(b):
+            got = every(b)
+            some = likely.hold(got[0])
+            return [x[some] for x in got]
+
+        for gram, ctx, below in gathered(batches, make):
+            gram, first, n = np.unique(gram, return_index=True, return_counts=True)
+            yield as_batch("gram ctx below n", gram, ctx[first], below[first], n)
+
+    return (texts.mapInArrow(run, "gram long, ctx long, below long, n long")
+            .groupBy("gram", "ctx", "below").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
 
 
 def places(lengths: np.ndarray) -> np.ndarray:
@@ -196,7 +286,7 @@ def grow(docs: DataFrame, words: DataFrame, doc_id: str = "doc_id", text: str =
         contexts = marks(alive.select("gram"))
         if not contexts.words.any():
             break
-        pairs = pair_counts(docs, doc_id, text, d, contexts, marks(level.select("gram"))).filter(F.col("n") >= least_follower)
+        pairs = pair_counts(docs, doc_id, text, d, contexts, marks(level.select("gram")), least_follower)
         rated = written(pairs.join(alive.select(F.col("gram").alias("ctx"), F.col("n").alias("total")), "ctx")
                         .join(level.select(F.col("gram").alias("below"), F.col("p").alias("base"), "root"), "below"), "pairs")
         n, total, base = F.col("n"), F.col("total"), F.pow(F.lit(10.0), F.col("base"))
@@ -227,23 +317,39 @@ def commonest(rows: DataFrame, room: int):
     return least
 
 
+class Table:
+    """Places of keys in a sorted array, found by their first bits."""
+
+    def __init__(self, key: np.ndarray):
+        self.key, self.shift = key, 64 - max(10, (2 * len(key)).bit_length())
+        self.start = np.searchsorted(key >> np.uint64(self.shift), np.arange((1 << 64 - self.shift) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for those that aren't there."""
+        out = np.full(len(key), -1, np.int32)
+        bucket = (key >> np.uint64(self.shift)).astype(np.int64)
+        at, end = self.start[bucket], self.start[bucket + 1]
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            hit = self.key[at] == key[left]
+            out[left[hit]] = at[hit]
+            more = ~hit & (at + 1 < end)
+            left, at, end = left[more], at[more] + 1, end[more]
+        return out
+
+
 @dataclass
 class Tree:
     """What tasks hold of the tree: its most frequent rows, and marks of the others."""
-    key: np.ndarray                     # sorted
+    near: Table
     value: np.ndarray
-    near: Marks
     far: Marks
 
     def look(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values (nan: none here), and whether a row elsewhere may have the key."""
-        value = np.full(len(key), np.nan)
-        may = np.flatnonzero(self.near.hold(key)) if len(self.key) else np.zeros(0, np.int64)
-        if len(may):
-            place = np.minimum(np.searchsorted(self.key, key[may]), len(self.key) - 1)
-            hit = self.key[place] == key[may]
-            value[may[hit]] = self.value[place[hit]]
-        return value, self.far.hold(key) & np.isnan(value)
+        at = self.near.find(key)
+        return self.value[at], self.far.hold(key) & (at < 0)
 
     def change(self, key: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """For each token log10 of its chance against the root's, from its longest contexts down to the
@@ -291,6 +397,13 @@ def root(words: DataFrame) -> tuple[int, int, float]:
     return n, v, min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.1
 
 
+def sorted_rows(table: pa.Table) -> list[np.ndarray]:
+    """The columns in the order of the first one, the keys."""
+    key, *rest = (c.to_numpy() for c in table.columns)
+    order = np.argsort(key.view(np.uint64))
+    return [key.view(np.uint64)[order], *(x[order].astype(float) for x in rest)]
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT_WORDS,
           frequent_rows: int = FREQUENT_ROWS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for
@@ -298,41 +411,34 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
     counts as training) and scores all of them.
 
     Null and empty texts consist of their end. Without training texts every token is
-    unknown and certain: both scores are 0. Words are told apart by 64-bit hashes in
-    the join. Repeated rows count and are scored each; an empty table gives an empty
+    unknown and certain: both scores are 0. Repeated rows count and are scored each; an empty table gives an empty
     result; other columns are not read."""
     spark = docs.sparkSession
     words = written(word_counts(docs, doc_id, text), "words")
     n, v, discount = root(words)
     chance = F.log10(F.when(F.col("c") > 0, F.col("c") - discount).otherwise(discount * v) / n) if n else F.lit(0.0)
-    rated = words.select(F.xxhash64("word").alias("key"), "word", "c", "n", chance.alias("chance"))
+    rated = words.select("key", "c", "n", chance.alias("chance"))
 
     step = F.floor(F.log2("n") * 8)
     least = commonest(rated, frequent)
-    top = rated.filter(step >= F.lit(least)).select("word", "c", "chance").toPandas()
-    names, c, x = list(map(bytes, top["word"])), top["c"].to_numpy(float), top["chance"].to_numpy(float)
+    held = lambda rows: sorted_rows(rows.toArrow())
+    top, c, x = held(rated.filter(step >= F.lit(least)).select("key", "c", "chance"))
     values = np.vstack([np.column_stack([np.log10(c + 1), c > 0, x]), np.zeros((1, 3))])     # the last row: not there
     known = rated.select(F.col("key").alias("gram"), F.col("c").alias("n"), F.col("chance").alias("root"))
     rows = written(grow(docs, known, doc_id, text), "tree")
     row_least = commonest(rows, frequent_rows)
-    near = rows.filter(step >= F.lit(row_least)).select("key", "value").toArrow()
+    near, change = held(rows.filter(step >= F.lit(row_least)).select("key", "value"))
     far = rows.filter(step < F.lit(row_least)).select("key", "value")
-    key = near.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    tree = Tree(key[order], near.column("value").to_numpy()[order], Marks.of(key), marks(far.select("key")))
-    shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(names)}, values, tree))
+    tree = Tree(Table(near), np.append(change, np.nan), marks(far.select("key")))
+    shared = spark.sparkContext.broadcast((Table(top), values, tree))
 
     def read(batches):
         slot, values, tree = shared.value
-        keys = hasher()
         uid = TaskContext.get().partitionId() << 40
-        for b in slices(batches):
-            tokens = [[*words_of(t), b""] for t in b.column(1).to_pylist()]
-            lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            flat = [w for d in tokens for w in d]
-            at = np.fromiter((slot.get(w, -1) for w in flat), np.int64, len(flat))
+        for b in slices(batches, 1, 0, SLICE):
+            key, lengths = token_keys(b.column(1))
+            at = slot.find(key)
             sums = segment_sums(values[at], lengths)
-            key = keys(flat)
             change, (place, code, which, value) = tree.change(key, lengths)
             sums[:, 2] += segment_sums(change, lengths)
             lists = lambda n, x: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), x)
@@ -340,10 +446,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
             unsure = lists(np.histogram(place, np.r_[0, np.cumsum(lengths)])[0] if len(place) else np.zeros(len(lengths)), pa.StructArray.from_arrays(
                 [pa.array(place), pa.array(code), pa.array(which.view(np.int64)), pa.array(value, from_pandas=True)], ["at", "code", "key", "value"]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(uid, uid + len(tokens))), b.column(0), b.column(2), pa.array(lengths),
+                [pa.array(np.arange(uid, uid + len(lengths))), b.column(0), b.column(2), pa.array(lengths),
                  *(pa.array(sums[:, k]) for k in range(3)), rare, unsure],
                 ["uid", "doc_id", "held_out", "n_tokens", "base", "known", "chance", "rare", "unsure"])
-            uid += len(tokens)
+            uid += len(lengths)
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                       (remainder(doc_id, MOD) == HELD_OUT).alias("held_out"))

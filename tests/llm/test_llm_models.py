@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from conftest import SF01
 from llm_cases import ROWS, empty, frame
 from pyspark.sql import functions as F
@@ -227,7 +228,7 @@ def test_lm_tree_grows_with_the_text(spark):
         docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
         words = M.word_counts(docs)
         n = M.root(words)[0]
-        known = words.filter("c > 0").select(F.xxhash64("word").alias("gram"), F.col("c").alias("n"), F.log10(F.col("c") / n).alias("root"))
+        known = words.filter("c > 0").select(F.col("key").alias("gram"), F.col("c").alias("n"), F.log10(F.col("c") / n).alias("root"))
         return M.grow(docs, known).count()
     assert tree("sf0.1") >= 5 * tree("sf0.01")
 
@@ -236,9 +237,24 @@ def test_lm_marks(spark):
     keys = np.random.default_rng(1).integers(-2 ** 63, 2 ** 63 - 1, 3000)
     df = spark.createDataFrame([(int(k),) for k in keys], "key long")
     other = np.random.default_rng(2).integers(0, 2 ** 64 - 1, 3000, np.uint64)
-    for got in (M.marks(df), M.Marks.of(keys.view(np.uint64)), M.marks(df, 12)):
+    for got in (M.marks(df), M.marks(df, 12)):
         assert got.hold(keys.view(np.uint64)).all()
     assert M.marks(df).hold(other).mean() < 0.15 and not M.marks(df.limit(0)).hold(other).any()
+    table = M.Table(np.sort(keys.view(np.uint64)))
+    assert (table.key[table.find(keys.view(np.uint64))] == keys.view(np.uint64)).all() and (table.find(other) == -1).all()
+
+
+def test_lm_token_keys(monkeypatch):
+    """Equal words have equal keys, others different ones, wherever blocks and slices cut."""
+    texts = [t for _, t in ROWS] + ["a\u00a0b \x1c c", " x", "x ", "ab a b"]
+    for block in (1 << 20, 1, 50):
+        monkeypatch.setattr(M, "BLOCK_BYTES", block)
+        for column in (pa.array(texts), pa.array(["zz z", *texts, "q"]).slice(1, len(texts))):
+            key, lengths = M.token_keys(column)
+            words = [w for t in texts for w in [*(t or "").encode().lower().split(), b""]]
+            assert lengths.tolist() == [len((t or "").encode().split()) + 1 for t in texts] and len(key) == len(words)
+            assert len(set(zip(words, key.tolist()))) == len(set(words)) == len(set(key.tolist()))
+    assert [len(x) for x in M.token_keys(pa.array([], pa.string()))] == [0, 0]
 
 
 def test_lm_beats_the_base_on_held_out_texts(spark):
