@@ -35,7 +35,7 @@ DEPTH, LEAST_CONTEXT, LEAST_FOLLOWER = 3, 20, 5
 #: Divergence: nats that a context's symbols must gain over its suffix, for each symbol it distinguishes.
 LEAST_GAIN = 1.0
 #: Rows of the tree that all tasks hold, at most; the others are joined through a shuffle.
-FREQUENT_ROWS = 1 << 19
+FREQUENT_ROWS = 1 << 20
 #: Bits of the largest bitmap (16 MB).
 MARK_BITS = 27
 #: Tells a context's own row from that of a gram of the same words.
@@ -150,26 +150,36 @@ def grams(key: np.ndarray, depth: int) -> list[np.ndarray]:
 
 @dataclass
 class Marks:
-    """A bitmap of keys by their lowest bits. Its size is bounded; where more keys than bits meet
-    it marks too much, which costs rows that a join drops later, not results."""
+    """A bitmap of keys by their lowest bits and, if ``twice``, also by their upper half's. Its size is
+    bounded; where more keys than bits meet it marks too much, which costs rows that a join drops
+    later, not results."""
     words: np.ndarray
+    twice: bool = False
 
-    def hold(self, key: np.ndarray) -> np.ndarray:
+    def _bits(self, key: np.ndarray) -> np.ndarray:
         place = key & np.uint64(64 * len(self.words) - 1)
         return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
+    def hold(self, key: np.ndarray) -> np.ndarray:
+        out = self._bits(key)
+        if self.twice:
+            some = np.flatnonzero(out)
+            out[some] = self._bits(key[some] >> np.uint64(32))
+        return out
+
 
 def marks(keys: DataFrame, most_bits: int = MARK_BITS) -> Marks:
-    """Marks of the only column, about 16 bits for each key up to ``2 ** most_bits``: the
-    driver gets 64 of them at once, never the keys."""
-    bits = min(max(10, (16 * keys.count()).bit_length()), most_bits)
+    """Marks of the only column, some 64 bits for each key up to ``2 ** most_bits``: the driver
+    gets 64 bits at once, never the keys."""
+    bits = min(max(10, (64 * keys.count()).bit_length()), most_bits)
     (name,) = keys.columns
-    place = F.col(name).bitwiseAND((1 << bits) - 1)
-    got = (keys.select(F.shiftright(place, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast({name} & 63 AS int))").alias("bit"))
+    place = F.col("key").bitwiseAND((1 << bits) - 1)
+    got = (keys.select(F.explode(F.array(name, F.shiftrightunsigned(name, 32))).alias("key"))
+           .select(F.shiftright(place, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(key & 63 AS int))").alias("bit"))
            .groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow())
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[got.column("at").to_numpy()] = got.column("word").to_numpy().view(np.uint64)
-    return Marks(words)
+    return Marks(words, True)
 
 
 def training(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -353,36 +363,41 @@ class Tree:
 
     def change(self, key: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """For each token log10 of its chance against the root's, from its longest contexts down to the
-        first that lists it. Where rows elsewhere may count, 0, and what is known of the place:
-        arrays of place, code (twice the length, plus one for a listed token), key, value."""
+        first that lists it. Where a row elsewhere may change that, 0, and what counts there: arrays of
+        8 * place + code (twice the length, plus one for a listed token), key, value (nan: elsewhere)."""
         own, inside = grams(key, DEPTH), places(lengths)
-        got, unsure = [], np.zeros(len(key), bool)
+        got, known, unsure = [], np.zeros(len(key), np.int8), np.zeros(len(key), bool)
         for d in range(1, DEPTH + 1):
             at = np.flatnonzero(inside >= d)
             for code in (2 * d, 2 * d + 1):              # tokens are looked up where the context is known or likely
                 which = own[d][at] if code % 2 else own[d - 1][at - 1] ^ np.uint64(CONTEXT)
                 value, elsewhere = self.look(which)
                 some = np.flatnonzero(elsewhere | ~np.isnan(value))
-                at, which, value = at[some], which[some], value[some]
-                unsure[at[elsewhere[some]]] = True
-                got.append((at, np.full(len(at), code, np.int8), which, value))
-        out, done = np.zeros(len(key)), unsure.copy()
-        for d in range(DEPTH, 0, -1):
-            (there, _, _, factor), (at, _, _, value) = got[2 * d - 2:2 * d]
-            listed = at[~done[at]]
-            out[listed] += value[~done[at]]
-            done[listed] = True
-            there, factor = there[~done[there]], factor[~done[there]]
-            out[there] += factor
-        rows = [np.concatenate(x) for x in zip(*(tuple(c[unsure[g[0]]] for c in g) for g in got))]
-        order = np.argsort(rows[0], kind="stable")
+                at, which, value, elsewhere = at[some], which[some], value[some], elsewhere[some]
+                unsure[at[elsewhere]] = True
+                got.append((at, which, value))
+            known[at[~elsewhere]] = d                    # the longest context that is known to list the token
+            unsure[at[~elsewhere]] = False               # nothing shorter matters
+        out, rows = np.zeros(len(key)), []
+        for d in range(1, DEPTH + 1):
+            for code in (2 * d, 2 * d + 1):
+                at, which, value = got[code - 2]
+                counts = known[at] == d if code % 2 else known[at] < d
+                now = counts & ~unsure[at]
+                out[at[now]] += value[now]
+                later = unsure[at] & (counts if code % 2 == 0 else known[at] <= d)
+                rows.append((8 * at[later] + code, which[later], value[later]))
+        rows = [np.concatenate(x) for x in zip(*rows)]
+        order = np.argsort(rows[0])
         return out, [x[order] for x in rows]
 
 
 def folded(rows: DataFrame) -> DataFrame:
-    """``uid, y`` from ``uid, at, code, value``: the changes of each text's unsure places."""
+    """``uid, y`` from ``uid, at, value``: the changes of each text's unsure places."""
     value = lambda code: F.max(F.when(F.col("code") == code, F.col("value")))
-    wide = rows.groupBy("uid", "at").agg(*[value(code).alias(f"v{code}") for code in range(2, 2 * DEPTH + 2)])
+    code = F.col("at").bitwiseAND(7)
+    value = lambda c: F.max(F.when(code == c, F.col("value")))
+    wide = rows.groupBy("uid", F.shiftright("at", 3)).agg(*[value(c).alias(f"v{c}") for c in range(2, 2 * DEPTH + 2)])
     total = F.lit(0.0)
     for d in range(1, DEPTH + 1):
         total = F.coalesce(F.col(f"v{2 * d + 1}"), total + F.coalesce(F.col(f"v{2 * d}"), F.lit(0.0)))
@@ -439,12 +454,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
             key, lengths = token_keys(b.column(1))
             at = slot.find(key)
             sums = segment_sums(values[at], lengths)
-            change, (place, code, which, value) = tree.change(key, lengths)
+            change, (place, which, value) = tree.change(key, lengths)
             sums[:, 2] += segment_sums(change, lengths)
             lists = lambda n, x: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), x)
             rare = lists(segment_sums((at < 0).astype(float), lengths), pa.array(key[at < 0].view(np.int64)))
-            unsure = lists(np.histogram(place, np.r_[0, np.cumsum(lengths)])[0] if len(place) else np.zeros(len(lengths)), pa.StructArray.from_arrays(
-                [pa.array(place), pa.array(code), pa.array(which.view(np.int64)), pa.array(value, from_pandas=True)], ["at", "code", "key", "value"]))
+            here = np.diff(np.searchsorted(place, 8 * np.r_[0, np.cumsum(lengths)]))
+            unsure = lists(here, pa.StructArray.from_arrays(
+                [pa.array(place), pa.array(which.view(np.int64), mask=~np.isnan(value)), pa.array(value, from_pandas=True)], ["at", "key", "value"]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(uid, uid + len(lengths))), b.column(0), b.column(2), pa.array(lengths),
                  *(pa.array(sums[:, k]) for k in range(3)), rare, unsure],
@@ -455,14 +471,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
                       (remainder(doc_id, MOD) == HELD_OUT).alias("held_out"))
     parts = written(src.mapInArrow(read, "uid long, doc_id long, held_out boolean, n_tokens long, base double, "
                                          "known double, chance double, rare array<long>, "
-                                         "unsure array<struct<at:long,code:tinyint,key:long,value:double>>"), "parts")
+                                         "unsure array<struct<at:long,key:long,value:double>>"), "parts")
     rest = (parts.select("uid", F.explode("rare").alias("key"))
             .join(rated.filter(step < F.lit(least)).select("key", "c", F.col("chance").alias("x")), "key")
             .groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1)).alias("b"), F.sum((F.col("c") > 0).cast("double")).alias("k"),
                                 F.sum("x").alias("x")))
     open_places = parts.select("uid", F.inline("unsure"))
-    found = open_places.filter("value IS NULL").drop("value").join(far, "key").select("uid", "at", "code", "value")
-    tree_rest = folded(open_places.filter("value IS NOT NULL").select("uid", "at", "code", "value").union(found))
+    found = open_places.filter("value IS NULL").drop("value").join(far, "key").select("uid", "at", "value")
+    tree_rest = folded(open_places.filter("value IS NOT NULL").select("uid", "at", "value").union(found))
     or0 = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return parts.join(rest, "uid", "left").join(tree_rest, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + or0("k")).cast("long").alias("n_known"),
