@@ -238,7 +238,7 @@ def heavy(texts: DataFrame, d: int, contexts: Marks, ends: Marks, least: int, bi
                 key.append(_keys(k))
                 n.append(np.frombuffer(c, np.uint8))
                 size += len(key[-1])
-                if size > 1 << 23:                     # the same keys of many slices are one entry
+                if size > 1 << 21:                     # the same keys of many slices are one entry
                     k, c = combined(np.concatenate(key), np.concatenate(n).astype(np.int64))
                     key, n, size = [k], [np.minimum(c, least).astype(np.uint8)], 0
         if own is not None:
@@ -361,9 +361,10 @@ class Tree:
         at = self.near.find(key)
         return self.value[at], self.far.hold(key) & (at < 0)
 
-    def change(self, key: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def change(self, key: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """For each token log10 of its chance against the root's, from its longest contexts down to the
-        first that lists it. Where a row elsewhere may change that, 0, and what counts there: arrays of
+        first that lists it. Where one row elsewhere may change that, also arrays of place, key, and what
+        comes on top of the row's value if it is there. Where several may, 0, and what counts: arrays of
         8 * place + code (twice the length, plus one for a listed token), key, value (nan: elsewhere)."""
         own, inside = grams(key, DEPTH), places(lengths)
         got, known, unsure = [], np.zeros(len(key), np.int8), np.zeros(len(key), bool)
@@ -378,18 +379,30 @@ class Tree:
                 got.append((at, which, value))
             known[at[~elsewhere]] = d                    # the longest context that is known to list the token
             unsure[at[~elsewhere]] = False               # nothing shorter matters
-        out, rows = np.zeros(len(key)), []
-        for d in range(1, DEPTH + 1):
-            for code in (2 * d, 2 * d + 1):
-                at, which, value = got[code - 2]
-                counts = known[at] == d if code % 2 else known[at] < d
-                now = counts & ~unsure[at]
-                out[at[now]] += value[now]
-                later = unsure[at] & (counts if code % 2 == 0 else known[at] <= d)
-                rows.append((8 * at[later] + code, which[later], value[later]))
+        far, depth = np.zeros(len(key), np.int8), np.zeros(len(key), np.int8)
+        counting, likely = [], []
+        for code, (at, which, value) in enumerate(got, 2):
+            d = code // 2
+            counts = known[at] <= d if code % 2 else known[at] < d
+            counting.append([x[counts] for x in (at, which, value)])
+            at, which, value = counting[-1]
+            some = unsure[at] & np.isnan(value)
+            far[at[some]] += 1
+            depth[at[some]] = d * (code % 2)             # a token's row replaces all up to its length
+            likely.append((at[some], which[some]))
+        out, extra, rows = np.zeros(len(key)), np.zeros(len(key)), []
+        for code, (at, which, value) in enumerate(counting, 2):
+            now = (far[at] < 2) & ~np.isnan(value)
+            out[at[now]] += value[now]
+            now &= depth[at] >= code // 2
+            extra[at[now]] -= value[now]
+            later = far[at] > 1
+            rows.append((8 * at[later] + code, which[later], value[later]))
+        at, which = (np.concatenate(x) for x in zip(*likely))
+        at, which = at[far[at] == 1], which[far[at] == 1]
+        one = [at, which, extra[at].astype(np.float32)]
         rows = [np.concatenate(x) for x in zip(*rows)]
-        order = np.argsort(rows[0])
-        return out, [x[order] for x in rows]
+        return out, *([x[np.argsort(c[0])] for x in c] for c in (one, rows))
 
 
 def folded(rows: DataFrame) -> DataFrame:
@@ -454,31 +467,34 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
             key, lengths = token_keys(b.column(1))
             at = slot.find(key)
             sums = segment_sums(values[at], lengths)
-            change, (place, which, value) = tree.change(key, lengths)
+            change, (at_one, key_one, extra), (place, which, value) = tree.change(key, lengths)
             sums[:, 2] += segment_sums(change, lengths)
-            lists = lambda n, x: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), x)
-            rare = lists(segment_sums((at < 0).astype(float), lengths), pa.array(key[at < 0].view(np.int64)))
-            here = np.diff(np.searchsorted(place, 8 * np.r_[0, np.cumsum(lengths)]))
-            unsure = lists(here, pa.StructArray.from_arrays(
+            ends = np.r_[0, np.cumsum(lengths)]
+            lists = lambda at, x: pa.ListArray.from_arrays(pa.array(np.searchsorted(at, ends).astype(np.int32)), x)
+            rare = lists(np.flatnonzero(at < 0), pa.array(key[at < 0].view(np.int64)))
+            likely = lists(at_one, pa.StructArray.from_arrays([pa.array(key_one.view(np.int64)), pa.array(extra)], ["key", "extra"]))
+            unsure = lists(place // 8, pa.StructArray.from_arrays(
                 [pa.array(place), pa.array(which.view(np.int64), mask=~np.isnan(value)), pa.array(value, from_pandas=True)], ["at", "key", "value"]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(uid, uid + len(lengths))), b.column(0), b.column(2), pa.array(lengths),
-                 *(pa.array(sums[:, k]) for k in range(3)), rare, unsure],
-                ["uid", "doc_id", "held_out", "n_tokens", "base", "known", "chance", "rare", "unsure"])
+                 *(pa.array(sums[:, k]) for k in range(3)), rare, likely, unsure],
+                ["uid", "doc_id", "held_out", "n_tokens", "base", "known", "chance", "rare", "likely", "unsure"])
             uid += len(lengths)
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                       (remainder(doc_id, MOD) == HELD_OUT).alias("held_out"))
     parts = written(src.mapInArrow(read, "uid long, doc_id long, held_out boolean, n_tokens long, base double, "
                                          "known double, chance double, rare array<long>, "
-                                         "unsure array<struct<at:long,key:long,value:double>>"), "parts")
+                                         "likely array<struct<key:long,extra:float>>, unsure array<struct<at:long,key:long,value:double>>"), "parts")
     rest = (parts.select("uid", F.explode("rare").alias("key"))
             .join(rated.filter(step < F.lit(least)).select("key", "c", F.col("chance").alias("x")), "key")
             .groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1)).alias("b"), F.sum((F.col("c") > 0).cast("double")).alias("k"),
                                 F.sum("x").alias("x")))
-    open_places = parts.select("uid", F.inline("unsure"))
-    found = open_places.filter("value IS NULL").drop("value").join(far, "key").select("uid", "at", "value")
-    tree_rest = folded(open_places.filter("value IS NOT NULL").select("uid", "at", "value").union(found))
+    one = parts.select("uid", F.inline("likely")).join(far, "key").select("uid", (F.col("value") + F.col("extra")).alias("y"))
+    several = parts.select("uid", F.inline("unsure"))
+    found = several.filter("value IS NULL").drop("value").join(far, "key").select("uid", "at", "value")
+    several = folded(several.filter("value IS NOT NULL").select("uid", "at", "value").union(found))
+    tree_rest = one.union(several).groupBy("uid").agg(F.sum("y").alias("y"))
     or0 = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return parts.join(rest, "uid", "left").join(tree_rest, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + or0("k")).cast("long").alias("n_known"),
