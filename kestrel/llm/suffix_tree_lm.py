@@ -42,9 +42,9 @@ MARK_BITS = 27
 CONTEXT = 0x5DEECE66D1234567
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Words of the broadcast table, at most; the other words are joined through a shuffle.
-FREQUENT_WORDS = 1 << 18
+FREQUENT_WORDS = 1 << 19
 #: Entries that a counting task combines at once, bytes of text of a slice, and bytes hashed at once.
-HELD, SLICE, BLOCK_BYTES = 1 << 21, 1 << 20, 1 << 20
+HELD, SLICE, BLOCK_BYTES = 1 << 21, 1 << 20, 1 << 17
 MOD, HELD_OUT = 7, 2
 #: The key of an end, and a random number for each byte: 0 for white space, A-Z as a-z.
 END = np.uint64(1)
@@ -128,23 +128,81 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         key, lengths = token_keys(b.column(0))
         return key, np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), lengths)
 
-    def run(batches):
+    def arrays(batches):
         for key, learn in gathered(batches, make):
-            yield as_batch("key c n", *combined(key, learn, np.ones(len(key), np.int64)))
+            yield key, learn, np.ones(len(key), np.int64)
 
-    return (src.mapInArrow(run, "key long, c long, n long")
-            .groupBy("key").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
+    return summed(src, arrays, lambda key: key, "key", "c n")
+
+
+def buckets(spark) -> int:
+    """Bits of the numbers of a shuffle's buckets."""
+    return min(max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()), 16)
+
+
+def summed(src: DataFrame, arrays, key_of, keys: str, sums: str, least: int = 0) -> DataFrame:
+    """``gram`` (if there are several keys), keys and sums, of the arrays that ``arrays`` gives in each task:
+    added up by ``key_of`` the keys, where the last sum is ``least`` or more. Tasks combine, and ship a
+    bucket's rows as bytes; buckets are ranges of the hash, so no key is in a heavy one."""
+    names, n_keys = [*keys.split(), *sums.split()], len(keys.split())
+    deal = buckets(src.sparkSession)
+
+    def added(columns):
+        key = key_of(*columns[:n_keys])
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        return key[first], [x[order][first] for x in columns[:n_keys]] + [np.add.reduceat(x[order], first) for x in columns[n_keys:]]
+
+    def spread(batches):
+        for columns in arrays(batches):
+            if not len(columns[0]):
+                continue
+            key, columns = added(columns)
+            columns = columns[:n_keys] + [x.astype(np.uint32) for x in columns[n_keys:]]
+            cuts = [*np.searchsorted(key, np.arange(1 << deal, dtype=np.uint64) << np.uint64(64 - deal)).tolist(), len(key)]
+            some = [(i, x, y) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in some], pa.int32()),
+                                              *(pa.array([c[x:y].tobytes() for _, x, y in some], pa.binary()) for c in columns)], ["bucket", *names])
+
+    def rows(parts):
+        key, columns = added([np.concatenate(x) for x in zip(*parts)])
+        kept = columns[-1] >= least
+        out = ([key] if n_keys > 1 else []) + columns
+        return as_batch(result, *(x[kept] for x in out))
+
+    def merge(batches):
+        own, parts, size = None, [], 0
+        for b in batches:
+            for bucket, *blobs in zip(*(x.to_pylist() for x in b.columns)):
+                if own is not None and bucket != own:
+                    yield rows(parts)
+                    parts, size = [], 0
+                own = bucket
+                parts.append([np.frombuffer(x, np.uint64) for x in blobs[:n_keys]] + [np.frombuffer(x, np.uint32).astype(np.int64) for x in blobs[n_keys:]])
+                size += len(parts[-1][0])
+                if size > HELD:                        # the same keys of many tasks are one entry
+                    parts, size = [added([np.concatenate(x) for x in zip(*parts)])[1]], 0
+        if own is not None:
+            yield rows(parts)
+
+    result = " ".join((["gram"] if n_keys > 1 else []) + names)
+    return (src.mapInArrow(spread, "bucket int, " + ", ".join(f"{x} binary" for x in names)).repartition("bucket").sortWithinPartitions("bucket")
+            .mapInArrow(merge, ", ".join(f"{x} long" for x in result.split())))
+
+
+def longer(d: int, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Keys of grams of ``d + 1`` words from those of their first ``d`` words and their last ``d`` words."""
+    with np.errstate(over="ignore"):
+        return mixed(last * _STEP + before + np.uint64(d))
 
 
 def grams(key: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For k = 0 .. ``depth``: a key of the k + 1 words that end at each place. Built from the last
-    word backwards, so the key before is that of the suffix. Meaningless where k words don't precede."""
+    """For d = 0 .. ``depth``: a key of the d + 1 words that end at each place. Meaningless where d words
+    don't precede."""
     out = [key]
-    with np.errstate(over="ignore"):
-        for k in range(1, depth + 1):
-            before = np.zeros_like(key)
-            before[k:] = key[:-k] if k < len(key) else 0
-            out.append(mixed(out[-1] * _STEP + before + np.uint64(k)))
+    for d in range(1, depth + 1):
+        out.append(longer(d, np.r_[np.uint64(0), out[-1][:-1]][:len(key)], out[-1]))
     return out
 
 
@@ -205,7 +263,7 @@ def heavy(texts: DataFrame, d: int, contexts: Marks, ends: Marks, least: int, bi
     travel as sorted numbers. Keys are dealt to buckets by the lowest bits, so a bucket makes its own
     part of the bitmap; the driver gets the bitmap in parts, its size is fixed."""
     shared = texts.sparkSession.sparkContext.broadcast((contexts, ends))
-    deal = min(max(6, (int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()), 12)
+    deal = buckets(texts.sparkSession)
 
     def spread(batches):
         for gram, *_ in gathered(batches, candidates(d, *shared.value)):
@@ -253,26 +311,25 @@ def heavy(texts: DataFrame, d: int, contexts: Marks, ends: Marks, least: int, bi
 
 
 def pair_counts(docs: DataFrame, doc_id: str, text: str, d: int, contexts: Marks, ends: Marks, least: int) -> DataFrame:
-    """``gram, ctx, below, n`` of the candidates that occur ``least`` times in training texts. What is
-    shuffled are grams that :func:`heavy` marks; tasks combine them before."""
+    """``gram, ctx, below, n`` of the candidates that occur ``least`` times in training texts. Of short
+    grams, only those that :func:`heavy` marks are shuffled; of the longest, few are candidates at all."""
     texts = training(docs, doc_id, text)
-    shared = docs.sparkSession.sparkContext.broadcast((contexts, ends, heavy(texts, d, contexts, ends, least)))
+    likely = heavy(texts, d, contexts, ends, least) if d < DEPTH else None
+    shared = docs.sparkSession.sparkContext.broadcast((contexts, ends, likely))
 
-    def run(batches):
+    def arrays(batches):
         *known, likely = shared.value
         every = candidates(d, *known)
 
         def make(b):
-            got = every(b)
-            some = likely.hold(got[0])
-            return [x[some] for x in got]
+            gram, *rest = every(b)
+            some = likely.hold(gram) if likely else slice(None)
+            return [x[some] for x in rest]
 
-        for gram, ctx, below in gathered(batches, make):
-            gram, first, n = np.unique(gram, return_index=True, return_counts=True)
-            yield as_batch("gram ctx below n", gram, ctx[first], below[first], n)
+        for ctx, below in gathered(batches, make):
+            yield ctx, below, np.ones(len(ctx), np.int64)
 
-    return (texts.mapInArrow(run, "gram long, ctx long, below long, n long")
-            .groupBy("gram", "ctx", "below").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+    return summed(texts, arrays, lambda ctx, below: longer(d, ctx, below), "ctx below", "n", least)
 
 
 def places(lengths: np.ndarray) -> np.ndarray:
