@@ -41,6 +41,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Removes the folders of :func:`written` frames that nothing reads any more."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("llm-"):
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remainder(doc_id: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod`` (null for a null id)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import mixed, remainder, segment_sums, slices, written
+from kestrel.llm.common import discard, mixed, remainder, segment_sums, slices, written
 from kestrel.llm.phrase_graph import _dense, _keys
 
 #: Longest context; the least count of a context, and of a token that a context lists.
@@ -35,7 +35,7 @@ DEPTH, LEAST_CONTEXT, LEAST_FOLLOWER = 3, 20, 5
 #: Divergence: nats that a context's symbols must gain over its suffix, for each symbol it distinguishes.
 LEAST_GAIN = 1.0
 #: Rows of the tree that all tasks hold, at most; the others are joined through a shuffle.
-FREQUENT_ROWS = 1 << 20
+FREQUENT_ROWS = 1 << 21
 #: Bits of the largest bitmap (16 MB).
 MARK_BITS = 27
 #: Tells a context's own row from that of a gram of the same words.
@@ -347,7 +347,7 @@ def grow(docs: DataFrame, words: DataFrame, doc_id: str = "doc_id", text: str =
     it is, since an end follows every word; so each length needs one pass, and only over the
     contexts that are frequent, and the suffixes of whose grams are."""
     level = words.filter(F.col("n") >= least_follower).select("gram", "n", "root", F.col("root").alias("p"))
-    entries = []
+    entries, steps = [], []
     for d in range(1, depth + 1):
         alive = level.filter(F.col("n") >= least_context)
         contexts = marks(alive.select("gram"))
@@ -366,11 +366,13 @@ def grow(docs: DataFrame, words: DataFrame, doc_id: str = "doc_id", text: str =
         p = F.when(F.col("k").isNotNull(), F.log10((n + F.col("k") * base) / (total + F.col("k")))).otherwise(F.col("base"))
         level = written(rated.join(kept.select("ctx", "k"), "ctx", "left")
                         .select("gram", "n", "root", p.alias("p"), F.col("k").isNotNull().alias("listed")), "level")
+        steps += [rated, kept, level]
         entries += [kept.select(F.col("ctx").bitwiseXOR(CONTEXT).alias("key"), F.col("factor").alias("value"), F.col("total").alias("n")),
                     level.filter("listed").select(F.col("gram").alias("key"), (F.col("p") - F.col("root")).alias("value"), "n")]
-    if not entries:
-        return docs.sparkSession.createDataFrame([], "key long, value double, n long")
-    return functools.reduce(DataFrame.union, entries)
+    empty = docs.sparkSession.createDataFrame([], "key long, value double, n long")
+    rows = written(functools.reduce(DataFrame.union, entries, empty), "tree")
+    discard(*steps)
+    return rows
 
 
 def commonest(rows: DataFrame, room: int):
@@ -388,7 +390,7 @@ class Table:
     """Places of keys in a sorted array, found by their first bits."""
 
     def __init__(self, key: np.ndarray):
-        self.key, self.shift = key, 64 - max(10, (2 * len(key)).bit_length())
+        self.key, self.shift = key, 64 - max(10, len(key).bit_length())
         self.start = np.searchsorted(key >> np.uint64(self.shift), np.arange((1 << 64 - self.shift) + 1, dtype=np.uint64)).astype(np.int32)
 
     def find(self, key: np.ndarray) -> np.ndarray:
@@ -501,7 +503,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
     spark = docs.sparkSession
     words = written(word_counts(docs, doc_id, text), "words")
     n, v, discount = root(words)
-    chance = F.log10(F.when(F.col("c") > 0, F.col("c") - discount).otherwise(discount * v) / n) if n else F.lit(0.0)
+    chance = F.log10(F.when(F.col("c") > 0, F.col("c") - discount).otherwise(discount * v) / n) if n else F.col("c") * 0.0
     rated = words.select("key", "c", "n", chance.alias("chance"))
 
     step = F.floor(F.log2("n") * 8)
@@ -510,11 +512,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
     top, c, x = held(rated.filter(step >= F.lit(least)).select("key", "c", "chance"))
     values = np.vstack([np.column_stack([np.log10(c + 1), c > 0, x]), np.zeros((1, 3))])     # the last row: not there
     known = rated.select(F.col("key").alias("gram"), F.col("c").alias("n"), F.col("chance").alias("root"))
-    rows = written(grow(docs, known, doc_id, text), "tree")
+    rows = grow(docs, known, doc_id, text)
     row_least = commonest(rows, frequent_rows)
     near, change = held(rows.filter(step >= F.lit(row_least)).select("key", "value"))
     far = rows.filter(step < F.lit(row_least)).select("key", "value")
-    tree = Tree(Table(near), np.append(change, np.nan), marks(far.select("key")))
+    tree = Tree(Table(near), np.append(change, np.nan).astype(np.float32), marks(far.select("key")))
     shared = spark.sparkContext.broadcast((Table(top), values, tree))
 
     def read(batches):
@@ -542,11 +544,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
                       (remainder(doc_id, MOD) == HELD_OUT).alias("held_out"))
     parts = written(src.mapInArrow(read, "uid long, doc_id long, held_out boolean, n_tokens long, base double, "
                                          "known double, chance double, rare array<long>, "
-                                         "likely array<struct<key:long,extra:float>>, unsure array<struct<at:long,key:long,value:double>>"), "parts")
+                                         "likely array<struct<key:long,extra:float>>, unsure array<struct<at:long,key:long,value:float>>"), "parts")
     rest = (parts.select("uid", F.explode("rare").alias("key"))
-            .join(rated.filter(step < F.lit(least)).select("key", "c", F.col("chance").alias("x")), "key")
+            .join(rated.filter(step < F.lit(least)).select("key", "c"), "key")
             .groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1)).alias("b"), F.sum((F.col("c") > 0).cast("double")).alias("k"),
-                                F.sum("x").alias("x")))
+                                F.sum(chance).alias("x")))
     one = parts.select("uid", F.inline("likely")).join(far, "key").select("uid", (F.col("value") + F.col("extra")).alias("y"))
     several = parts.select("uid", F.inline("unsure"))
     found = several.filter("value IS NULL").drop("value").join(far, "key").select("uid", "at", "value")
