@@ -70,6 +70,81 @@ def test_lsh_scores_candidates_only(spark, data):
     assert share <= 0.3 and ME.recall_precision(hits, truth, 5).first()["recall"] >= 2 * share
 
 
+def _shuffled(df):
+    """Rows that the exchanges of ``df``'s plan wrote."""
+    df.collect()
+    todo, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            rows += p.metrics().apply("shuffleRecordsWritten").value()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return rows
+
+
+def _random(spark, n, every, dim=16):
+    import numpy as np
+    from conftest import vec_frame
+    vecs = np.random.default_rng(3).normal(size=(n, dim)).astype(np.float32)
+    corpus = vec_frame(spark, list(enumerate(vecs.tolist())))
+    return vecs, corpus, corpus.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "embedding")
+
+
+@pytest.mark.parametrize("filtered", [False, True])
+def test_lsh_shuffles_vectors_not_pairs(spark, filtered):
+    """Most of the 400,000 pairs meet; what is shuffled are vectors and the best rows of each task."""
+    _, corpus, queries = _random(spark, 2000, 10)
+    corpus = corpus.withColumn("category", F.lit("en"))
+    pairs = AN.lsh_candidates(corpus, queries, 8, 4, probes=4).count()
+    hits = AN.lsh_search(corpus, queries, 5, 8, 4, probes=4, least=2, filters={"category": "en"} if filtered else None)
+    assert pairs > 200_000 and _shuffled(hits) < 20_000
+    assert _shuffled(AN.lsh_candidates(corpus, queries, 8, 4, probes=4)) < 20_000
+    n = AN.lsh_levels(corpus, queries, 8, 4, probes=4, least=1).agg(F.sum("n")).first()[0]
+    assert n == pairs
+
+
+@pytest.mark.parametrize("bits", [4, 12])
+@pytest.mark.parametrize("enough", [None, 40])
+def test_lsh_candidates_and_search_equal_brute_force(spark, bits, enough):
+    """Rows that repeat meet as often as they are there; blocks are cut between ids, and Arrow batches anywhere."""
+    vecs, corpus, queries = _random(spark, 900, 30)
+    corpus = corpus.unionByName(corpus.filter("id % 3 = 0")).unionByName(corpus.filter("id % 9 = 0").withColumn("embedding", F.reverse("embedding")))
+    queries = queries.unionByName(queries.filter("query_id % 60 = 0"))
+    meets, own = {}, {}
+    for r in AN.lsh_codes(corpus, 6, bits).collect():
+        own.setdefault((r["band"], r["code"]), []).append(r["id"])
+    for r in queries.collect():
+        import numpy as np
+        codes = AN.probe_codes(np.array([r["embedding"]]), AN.lsh_planes(6, bits, 16), 3)[0]
+        for band in range(6):
+            for code in codes[band].tolist():
+                for i in own.get((band, code), ()):
+                    meets[r["query_id"], i] = meets.get((r["query_id"], i), 0) + 1
+    floor = {}
+    for q in {q for q, _ in meets}:
+        levels = [min(n, 3) for (a, _), n in meets.items() if a == q]
+        floor[q] = 3 if enough is None else next((x for x in (3, 2) if sum(y >= x for y in levels) >= enough), 1)
+    # a level without pairs changes nothing
+    want = {(q, i, n) for (q, i), n in meets.items() if n >= floor[q]}
+    pairs = spark.createDataFrame([(q, i) for q, i, _ in want], "query_id long, id long")
+    rows = lambda df: sorted((r[0], r[1], r[2], round(r[3], 9)) for r in df.collect())
+    best = {metric: rows(AN.score_pairs(corpus, queries, pairs, 7, metric)) for metric in ("l2", "ip") if enough is None}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        got = AN.lsh_candidates(corpus, queries, 6, bits, probes=3, least=3, enough=enough).collect()
+        assert len(got) == len(want) and {(r["query_id"], r["id"], r["hits"]) for r in got} == want
+        for metric in best:
+            assert rows(AN.lsh_search(corpus, queries, 7, 6, bits, metric, probes=3, least=3)) == best[metric]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_lsh_self_is_candidate(data):
     corpus, qv, _ = data
     top = AN.lsh_search(corpus, qv, k=1).filter("rank = 1")
