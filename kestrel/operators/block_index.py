@@ -40,6 +40,8 @@ from kestrel.session import materialized, shared_path
 BLOCK, RINGS = 1024, 8
 #: Digits of distances to centroids, and what bounds are widened by to cover the rounding.
 DIGITS, SLACK = 6, 2e-6
+#: Cells of the (queries x rings) arrays of a step, and rows handed on at once: what a task holds of either.
+OPEN_CELLS, OPEN_ROWS = 1 << 18, 1 << 13
 #: Columns that filters may use, kept with each vector if the corpus has them.
 ATTRIBUTES = ("author", "date", "category", "tags", "source", "metadata")
 
@@ -199,7 +201,7 @@ def _opened(index: BlockIndex, queries: DataFrame, rings: _Rings, choose, limit:
     """``id, part, embedding, cluster, nth``: a query once for each ring that ``choose`` opens."""
     n_rings = index.rings
     shared = queries.sparkSession.sparkContext.broadcast((index.centroids, rings))
-    tile = max(1, (1 << 22) // max(1, len(rings.n)))                       # bounds the (queries x rings) arrays
+    tile = max(1, OPEN_CELLS // max(1, len(rings.n)))
 
     def run(batches):
         centroids, own = shared.value
@@ -210,10 +212,11 @@ def _opened(index: BlockIndex, queries: DataFrame, rings: _Rings, choose, limit:
                 row, col = np.nonzero(choose(arrow_matrix(some.column(1), centroids.shape[1]), centroids, own, most))
                 first = np.flatnonzero(np.diff(row, prepend=-1))
                 nth = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(at), pa.array(own.cluster[col] * n_rings + own.ring[col]), some.column(1).take(at),
-                     pa.array(own.cluster[col].astype(np.int32)), pa.array(nth)], ["id", "part", "embedding", "cluster", "nth"])
+                for j in range(0, len(row), OPEN_ROWS):                    # a row carries its query's vector
+                    at, to, n = pa.array(row[j:j + OPEN_ROWS]), col[j:j + OPEN_ROWS], nth[j:j + OPEN_ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column(0).take(at), pa.array(own.cluster[to] * n_rings + own.ring[to]), some.column(1).take(at),
+                         pa.array(own.cluster[to].astype(np.int32)), pa.array(n)], ["id", "part", "embedding", "cluster", "nth"])
 
     kind = queries.schema["embedding"].dataType.simpleString()
     return queries.mapInArrow(run, f"id long, part long, embedding {kind}, cluster int, nth long")
@@ -236,7 +239,7 @@ def _topk(index: BlockIndex, blocks: DataFrame, opened: DataFrame, k: int, metri
 
     def run(batches):
         for b in batches:
-            for ids, x, dim, keep, qids, q, qdim in zip(*(c.to_pylist() for c in b.columns)):
+            for ids, x, dim, keep, qids, q, qdim in ([c[i].as_py() for c in b.columns] for i in range(b.num_rows)):   # one pair at a time
                 if dim != qdim:
                     raise ValueError(f"query vectors of size {qdim} for stored vectors of size {dim}")
                 own, vectors = _unpacked(ids, x, dim)

@@ -174,3 +174,25 @@ def test_retrieve_by_strategy(spark, data, index):
     for k in (0, 101):
         with pytest.raises(ValueError):
             HY.retrieve(corpus, few, k)
+
+
+def test_opened_rings_leave_a_task_in_small_batches():
+    """Queries that open all rings: what is handed on at once doesn't grow with queries and rings."""
+    import types
+
+    import pyarrow as pa
+    n, n_rings, dim = 500, 1600, 4
+    context = types.SimpleNamespace(broadcast=lambda x: types.SimpleNamespace(value=x))
+    kind = types.SimpleNamespace(dataType=types.SimpleNamespace(simpleString=lambda: "array<float>"))
+    queries = types.SimpleNamespace(sparkSession=types.SimpleNamespace(sparkContext=context), schema={"embedding": kind}, mapInArrow=lambda run, schema: run)
+    index = BI.BlockIndex(None, np.eye(200, dim), 1.0, "", 10**6, 8)
+    rings = BI._Rings(np.repeat(np.arange(200), 8), np.tile(np.arange(8), 200), np.full(n_rings, 9), np.zeros(n_rings), np.ones(n_rings))
+    run = BI._opened(index, queries, rings, lambda q, centroids, own, _: np.ones((len(q), len(own.n)), bool))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([[0.0] * dim] * n, pa.list_(pa.float32()))], ["id", "embedding"])
+    sizes, last = [], {}
+    for b in run([batch]):
+        sizes.append(b.num_rows)
+        for i, p, nth in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist()):
+            assert nth == last.get(i, -1) + 1 == p
+            last[i] = nth
+    assert sum(sizes) == n * n_rings and max(sizes) <= 1 << 13 and set(last.values()) == {n_rings - 1}
