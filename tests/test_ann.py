@@ -108,6 +108,20 @@ def test_lsh_shuffles_vectors_not_pairs(spark, filtered):
     assert n == pairs
 
 
+def test_lsh_copies_queries_a_bounded_number_of_times(spark, monkeypatch):
+    _, corpus, queries = _random(spark, 400, 20)
+    monkeypatch.setattr(AN, "MOST_CELLS", 2)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        hits = AN.lsh_search(corpus, queries, 5, 4, 4)
+        # vectors and queries by id, their blocks, two copies of the query blocks, the best rows of each task
+        assert _shuffled(hits) <= 420 + 40 + 2 * 20 + 2 * 20 * 5
+        assert "BroadcastHashJoin" not in hits._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 @pytest.mark.parametrize("bits", [4, 12])
 @pytest.mark.parametrize("enough", [None, 40])
 def test_lsh_candidates_and_search_equal_brute_force(spark, bits, enough):
