@@ -138,3 +138,22 @@ def test_batch_plan_uses_window_group_limit(fixture):
     corpus, qv = fixture
     plan = K.knn(corpus, qv, k=5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_rows_that_leave_a_task_do_not_grow_with_corpus_blocks(spark, monkeypatch):
+    monkeypatch.setattr(K, "CORPUS_BLOCK", 8)
+    monkeypatch.setattr(K, "QUERY_BLOCK", 4)
+    merge = K.rank_per_query
+    left = []
+    monkeypatch.setattr(K, "rank_per_query", lambda df, *a: (left.append(df), merge(df, *a))[1])
+    vec = lambda i: [float(i * 37 % 101), float(i * 53 % 89)]
+    corpus = vec_frame(spark, [(i, vec(i)) for i in range(400)])
+    qv = vec_frame(spark, [(i, vec(i)) for i in (0, 50, 100, 150, 150, 200)]).withColumnRenamed("id", "query_id").coalesce(1)
+    hits = K.knn(corpus, qv, k=3, salts=2)
+    # 6 rows, 5 queries, 2 cells; 50 corpus blocks
+    assert left[-1].count() <= 6 * 2 * 3
+    x = np.array([vec(i) for i in range(400)])
+    for q in (0, 50, 100, 200):
+        want = sorted((float(np.sqrt(((x[i] - x[q]) ** 2).sum())), i) for i in range(400))[:3]
+        got = [(r["distance"], r["id"]) for r in hits.filter(F.col("query_id") == q).orderBy("rank").collect()]
+        assert [i for _, i in got] == [i for _, i in want] and np.allclose([d for d, _ in got], [d for d, _ in want])

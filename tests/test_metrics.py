@@ -102,3 +102,11 @@ def test_percentiles_by_selection_equal_a_sort(spark):
     assert got == want
     plan = ME.latency_percentiles(df.limit(0))._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan                  # only the wanted bins were sorted, before
+
+
+def test_truth_and_results_are_computed_once(spark):
+    res = spark.createDataFrame([(1, 1, 10), (1, 2, 10)], "query_id long, rank long, id long")
+    truth = spark.createDataFrame([(1, 10), (1, 12), (None, 5)], "query_id long, id long").mapInArrow(lambda b: b, "query_id long, id long")
+    q = ME.quality(res, truth, 5)
+    assert q._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {tuple(r) for r in q.collect()} == {(1, 2, 1, 1), (None, 1, 0, None)}
