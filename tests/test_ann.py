@@ -194,3 +194,16 @@ def test_hot_cluster_split_over_batches(spark):
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_lsh_rows_that_leave_a_task_do_not_grow_with_corpus_blocks(spark, monkeypatch):
+    monkeypatch.setattr(AN, "CORPUS_BLOCK", 8)
+    monkeypatch.setattr(AN, "MOST_CELLS", 2)
+    merge, left = AN.rank_per_query, []
+    monkeypatch.setattr(AN, "rank_per_query", lambda df, *a: (left.append(df), merge(df, *a))[1])
+    _, corpus, queries = _random(spark, 400, 10)
+    hits = AN.lsh_search(corpus, queries, 5, 8, 4, probes=16)
+    # every pair meets, and 50 corpus blocks have 5 of each of 40 queries
+    assert left[-1].count() <= 2 * 40 * 5
+    assert [tuple(r)[:3] for r in hits.orderBy("query_id", "rank").collect()] == \
+        [tuple(r)[:3] for r in K.knn(corpus, queries, 5).orderBy("query_id", "rank").collect()]
