@@ -45,6 +45,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 FREQUENT_WORDS = 1 << 19
 #: Entries that a counting task combines at once, bytes of text of a slice, and bytes hashed at once.
 HELD, SLICE, BLOCK_BYTES = 1 << 21, 1 << 20, 1 << 17
+#: Bytes of text that are scored at once; buckets, and rows, of a batch that leaves a counting task.
+SCORED, SENT_BUCKETS, SENT_ROWS = 1 << 18, 8, 1 << 16
 MOD, HELD_OUT = 7, 2
 #: The key of an end, and a random number for each byte: 0 for white space, A-Z as a-z.
 END = np.uint64(1)
@@ -101,6 +103,13 @@ def combined(key: np.ndarray, *n: np.ndarray) -> list[np.ndarray]:
     return [key[first], *(np.add.reduceat(x[order], first) if len(key) else x for x in n)]
 
 
+def joined(parts: list) -> list[np.ndarray]:
+    """The columns of all ``parts``, which is emptied, so that no more than one column is there twice."""
+    columns = [list(x) for x in zip(*parts)]
+    parts.clear()
+    return [np.concatenate(columns.pop(0)) for _ in range(len(columns))]
+
+
 def gathered(batches, make, most: int = HELD):
     """Lists of the arrays that ``make`` gives for each slice, joined while they hold ``most`` entries or less."""
     parts, held = [], 0
@@ -108,10 +117,10 @@ def gathered(batches, make, most: int = HELD):
         parts.append(make(b))
         held += len(parts[-1][0])
         if held > most:
-            yield [np.concatenate(x) for x in zip(*parts)]
-            parts, held = [], 0
+            held = 0
+            yield joined(parts)
     if held:
-        yield [np.concatenate(x) for x in zip(*parts)]
+        yield joined(parts)
 
 
 def as_batch(names: str, *columns) -> pa.RecordBatch:
@@ -126,11 +135,12 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def make(b):
         key, lengths = token_keys(b.column(0))
-        return key, np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), lengths)
+        return key, np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8), lengths)
 
     def arrays(batches):
-        for key, learn in gathered(batches, make):
-            yield key, learn, np.ones(len(key), np.int64)
+        for own in gathered(batches, make):
+            own.append(np.ones(len(own[0]), np.uint8))
+            yield own
 
     return summed(src, arrays, lambda key: key, "key", "c n")
 
@@ -143,7 +153,8 @@ def buckets(spark) -> int:
 def summed(src: DataFrame, arrays, key_of, keys: str, sums: str, least: int = 0) -> DataFrame:
     """``gram`` (if there are several keys), keys and sums, of the arrays that ``arrays`` gives in each task:
     added up by ``key_of`` the keys, where the last sum is ``least`` or more. Tasks combine, and ship a
-    bucket's rows as bytes; buckets are ranges of the hash, so no key is in a heavy one."""
+    bucket's rows as bytes; buckets are ranges of the hash, so no key is in a heavy one. Lists of arrays are
+    emptied while they are added up, and leave in batches of bounded size."""
     names, n_keys = [*keys.split(), *sums.split()], len(keys.split())
     deal = buckets(src.sparkSession)
 
@@ -151,8 +162,11 @@ def summed(src: DataFrame, arrays, key_of, keys: str, sums: str, least: int = 0)
         key = key_of(*columns[:n_keys])
         order = np.argsort(key)
         key = key[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        return key[first], [x[order][first] for x in columns[:n_keys]] + [np.add.reduceat(x[order], first) for x in columns[n_keys:]]
+        first, out = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), []
+        while columns:
+            x = columns.pop(0)[order]
+            out.append(x[first] if len(out) < n_keys else np.add.reduceat(x, first, dtype=np.int64))
+        return key[first], out
 
     def spread(batches):
         for columns in arrays(batches):
@@ -161,30 +175,34 @@ def summed(src: DataFrame, arrays, key_of, keys: str, sums: str, least: int = 0)
             key, columns = added(columns)
             columns = columns[:n_keys] + [x.astype(np.uint32) for x in columns[n_keys:]]
             cuts = [*np.searchsorted(key, np.arange(1 << deal, dtype=np.uint64) << np.uint64(64 - deal)).tolist(), len(key)]
-            some = [(i, x, y) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in some], pa.int32()),
-                                              *(pa.array([c[x:y].tobytes() for _, x, y in some], pa.binary()) for c in columns)], ["bucket", *names])
+            every = [(i, x, y) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+            for some in (every[i:i + SENT_BUCKETS] for i in range(0, len(every), SENT_BUCKETS)):
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in some], pa.int32()),
+                                                  *(pa.array([c[x:y].tobytes() for _, x, y in some], pa.binary()) for c in columns)], ["bucket", *names])
 
     def rows(parts):
-        key, columns = added([np.concatenate(x) for x in zip(*parts)])
+        key, columns = added(joined(parts))
         kept = columns[-1] >= least
-        out = ([key] if n_keys > 1 else []) + columns
-        return as_batch(result, *(x[kept] for x in out))
+        out = as_batch(result, *(x[kept] for x in ([key] if n_keys > 1 else []) + columns))
+        del key, columns, kept
+        for i in range(0, out.num_rows, SENT_ROWS):
+            yield out.slice(i, SENT_ROWS)
 
     def merge(batches):
         own, parts, size = None, [], 0
         for b in batches:
-            for bucket, *blobs in zip(*(x.to_pylist() for x in b.columns)):
+            for i in range(b.num_rows):
+                bucket, *blobs = (x[i].as_py() for x in b.columns)
                 if own is not None and bucket != own:
-                    yield rows(parts)
+                    yield from rows(parts)
                     parts, size = [], 0
                 own = bucket
                 parts.append([np.frombuffer(x, np.uint64) for x in blobs[:n_keys]] + [np.frombuffer(x, np.uint32).astype(np.int64) for x in blobs[n_keys:]])
                 size += len(parts[-1][0])
                 if size > HELD:                        # the same keys of many tasks are one entry
-                    parts, size = [added([np.concatenate(x) for x in zip(*parts)])[1]], 0
+                    parts, size = [added(joined(parts))[1]], 0
         if own is not None:
-            yield rows(parts)
+            yield from rows(parts)
 
     result = " ".join((["gram"] if n_keys > 1 else []) + names)
     return (src.mapInArrow(spread, "bucket int, " + ", ".join(f"{x} binary" for x in names)).repartition("bucket").sortWithinPartitions("bucket")
@@ -266,7 +284,9 @@ def heavy(texts: DataFrame, d: int, contexts: Marks, ends: Marks, least: int, bi
     deal = buckets(texts.sparkSession)
 
     def spread(batches):
-        for gram, *_ in gathered(batches, candidates(d, *shared.value)):
+        for own in gathered(batches, candidates(d, *shared.value)):
+            gram = own[0]
+            own.clear()
             # the bucket's bits first, then those of the place in its part, then some more
             turned = (gram << np.uint64(64 - bits)) >> np.uint64(64 - bits)
             turned = (turned >> np.uint64(bits - deal) << np.uint64(32)) | ((turned << np.uint64(32 - bits + deal)) & np.uint64(0xFFFFFFFF)) \
@@ -326,8 +346,9 @@ def pair_counts(docs: DataFrame, doc_id: str, text: str, d: int, contexts: Marks
             some = likely.hold(gram) if likely else slice(None)
             return [x[some] for x in rest]
 
-        for ctx, below in gathered(batches, make):
-            yield ctx, below, np.ones(len(ctx), np.int64)
+        for own in gathered(batches, make):
+            own.append(np.ones(len(own[0]), np.uint8))
+            yield own
 
     return summed(texts, arrays, lambda ctx, below: longer(d, ctx, below), "ctx below", "n", least)
 
@@ -522,7 +543,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
     def read(batches):
         slot, values, tree = shared.value
         uid = TaskContext.get().partitionId() << 40
-        for b in slices(batches, 1, 0, SLICE):
+        for b in slices(batches, 1, 0, SCORED):
             key, lengths = token_keys(b.column(1))
             at = slot.find(key)
             sums = segment_sums(values[at], lengths)

@@ -261,3 +261,17 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     rows = [r for r in M.score(spark.read.parquet(f"{SF01}/documents.parquet")).collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > 0.9 * sum(r["base_score"] for r in rows)
     assert rows
+
+
+def test_counted_tokens_are_held_once():
+    import tracemalloc
+    n, k = 1 << 16, 8
+    batches = [pa.record_batch([pa.array(["x"])], ["text"])] * k
+    tracemalloc.start()
+    try:
+        at = tracemalloc.get_traced_memory()[0]
+        own, = [(tracemalloc.get_traced_memory()[0] - at, len(own[0])) for own in M.gathered(batches, lambda b: [np.zeros(n, np.uint64) for _ in range(3)])]
+    finally:
+        tracemalloc.stop()
+    assert own[1] == n * k
+    assert own[0] < 1.3 * 3 * 8 * n * k
