@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import WordTable, hold, ngram_hashes, remainder, segment_sums, slices
+from kestrel.llm.common import WordTable, give_back, hold, ngram_hashes, remainder, segment_sums, slices
 
 UNKNOWN = "und"
 #: Training sample: at most so many documents of each language, and no more in all than so many
@@ -40,6 +40,8 @@ REJECTED_SHARE, SURE = 0.001, 0.4
 #: where both overlap (whole texts are more even than pieces and lose less); usual n-grams that every text
 #: is given besides its own: few words are too little to reject a text by.
 NEGATIVES_SHARE, STRANGE_SHARE, PRIOR = 0.99, 0.005, 40
+#: Words that a task keeps, and bytes of text that it takes at once.
+WORDS, TEXT_BYTES = 1 << 16, 1 << 19
 MOD, HELD_OUT = 4, 2
 
 
@@ -196,7 +198,7 @@ def sums_of(model: Model, docs: list[list[bytes]]) -> np.ndarray:
             n = np.bincount(owner, minlength=len(words))
             return np.hstack([segment_sums(values[bucket[order]], n), n[:, None]])
         model.table = WordTable(model.logits.shape[1] + 3, lambda words: np.hstack([over(model.logits, words),
-                                                                                   over(familiar[:, None], letters(words))]))
+                                                                                   over(familiar[:, None], letters(words))]), WORDS)
     slots = model.table.slots([w for d in docs for w in d])
     return segment_sums(model.table.values[slots], np.array([len(d) for d in docs], np.int64))
 
@@ -269,11 +271,13 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     def run(batches):
         own = shared.value
         hold("language", own.forget)
-        for b in slices(batches):
+        for b in slices(batches, most_bytes=TEXT_BYTES):
             lang, score, rejected = predict(own, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
                 ["doc_id", "held_out", "lang_pred", "score", "rejected"])
+        own.forget()
+        give_back()
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                       (remainder(doc_id, MOD) == HELD_OUT).alias("held_out"))
@@ -288,8 +292,10 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         own = shared.value
         hold("language", own.forget)
-        for b in slices(batches, at):
+        for b in slices(batches, at, most_bytes=TEXT_BYTES):
             _, _, rejected = predict(own, b.column(at).to_pylist())
             yield b.filter(pa.array(~rejected))
+        own.forget()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

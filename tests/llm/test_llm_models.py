@@ -86,6 +86,23 @@ def test_language_word_memory_is_bounded(spark):
     assert np.allclose(got, want, atol=1e-5) and len(model.table.slot) <= 7
 
 
+def test_language_keeps_no_words_behind_a_task(spark, monkeypatch):
+    """Words that a task keeps are few, are forgotten at its end, and unused memory goes back."""
+    model = L.fit(["some text with words"] * 20, ["x", "y"] * 10)
+    L.raw(model, [[b"<word>"]])
+    assert model.table.limit <= 1 << 16
+    calls, frames = [], []
+    monkeypatch.setattr(L, "give_back", lambda: calls.append(model.table))
+    monkeypatch.setattr(L, "_shared", lambda docs, m: type("Shared", (), {"value": m}))
+
+    class Docs:
+        columns, schema = ["doc_id", "text"], None
+        mapInArrow = lambda self, run, schema: frames.extend(run([pa.record_batch({"doc_id": [1, 2], "text": ["words and text", None]})]))
+
+    L.accepted(Docs(), model)
+    assert calls == [None] and sum(b.num_rows for b in frames) <= 2
+
+
 def test_marginals_equal_enumeration():
     r = np.random.default_rng(0)
     for lengths in ([3, 0, 5], [7], [1, 1, 0]):
