@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import discard, mixed, remainder, segment_sums, slices, written
+from kestrel.llm.common import discard, mixed, remainder, segment_sums, settings, slices, written
 from kestrel.llm.phrase_graph import _dense, _keys
 
 #: Longest context; the least count of a context, and of a token that a context lists.
@@ -36,6 +36,11 @@ DEPTH, LEAST_CONTEXT, LEAST_FOLLOWER = 3, 20, 5
 LEAST_GAIN = 1.0
 #: Rows of the tree that all tasks hold, at most; the others are joined through a shuffle.
 FREQUENT_ROWS = 1 << 21
+#: And one row of so many at most, so that a GB of text sends as much through the shuffle whether the tree is
+#: small or large. Rounds in which texts are scored, at most; one more for each FREQUENT_ROWS of the other rows.
+HELD_SHARE, ROUNDS = 2, 8
+#: Spark removes the shuffle files of each step when it has ended, not with the driver's garbage.
+_CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: Bits of the largest bitmap (16 MB).
 MARK_BITS = 27
 #: Tells a context's own row from that of a gram of the same words.
@@ -480,7 +485,7 @@ class Tree:
             rows.append((8 * at[later] + code, which[later], value[later]))
         at, which = (np.concatenate(x) for x in zip(*likely))
         at, which = at[far[at] == 1], which[far[at] == 1]
-        one = [at, which, extra[at].astype(np.float32)]
+        one = [at, which, extra[at]]
         rows = [np.concatenate(x) for x in zip(*rows)]
         return out, *([x[np.argsort(c[0])] for x in c] for c in (one, rows))
 
@@ -521,6 +526,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
     Null and empty texts consist of their end. Without training texts every token is
     unknown and certain: both scores are 0. Repeated rows count and are scored each; an empty table gives an empty
     result; other columns are not read."""
+    with settings(docs.sparkSession, _CLEAN):
+        return _score(docs, doc_id, text, frequent, frequent_rows)
+
+
+def _score(docs: DataFrame, doc_id: str, text: str, frequent: int, frequent_rows: int) -> DataFrame:
     spark = docs.sparkSession
     words = written(word_counts(docs, doc_id, text), "words")
     n, v, discount = root(words)
@@ -534,9 +544,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
     values = np.vstack([np.column_stack([np.log10(c + 1), c > 0, x]), np.zeros((1, 3))])     # the last row: not there
     known = rated.select(F.col("key").alias("gram"), F.col("c").alias("n"), F.col("chance").alias("root"))
     rows = grow(docs, known, doc_id, text)
-    row_least = commonest(rows, frequent_rows)
+    n_rows = rows.count()
+    row_least = commonest(rows, min(frequent_rows, n_rows // HELD_SHARE))
     near, change = held(rows.filter(step >= F.lit(row_least)).select("key", "value"))
-    far = rows.filter(step < F.lit(row_least)).select("key", "value")
+    # as exact as the held ones, so that a score doesn't depend on where a row is
+    far = rows.filter(step < F.lit(row_least)).select("key", F.col("value").cast("float").cast("double").alias("value"))
     tree = Tree(Table(near), np.append(change, np.nan).astype(np.float32), marks(far.select("key")))
     shared = spark.sparkContext.broadcast((Table(top), values, tree))
 
@@ -563,21 +575,33 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                       (remainder(doc_id, MOD) == HELD_OUT).alias("held_out"))
-    parts = written(src.mapInArrow(read, "uid long, doc_id long, held_out boolean, n_tokens long, base double, "
-                                         "known double, chance double, rare array<long>, "
-                                         "likely array<struct<key:long,extra:float>>, unsure array<struct<at:long,key:long,value:float>>"), "parts")
-    rest = (parts.select("uid", F.explode("rare").alias("key"))
-            .join(rated.filter(step < F.lit(least)).select("key", "c"), "key")
-            .groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1)).alias("b"), F.sum((F.col("c") > 0).cast("double")).alias("k"),
-                                F.sum(chance).alias("x")))
-    one = parts.select("uid", F.inline("likely")).join(far, "key").select("uid", (F.col("value") + F.col("extra")).alias("y"))
-    several = parts.select("uid", F.inline("unsure"))
-    found = several.filter("value IS NULL").drop("value").join(far, "key").select("uid", "at", "value")
-    several = folded(several.filter("value IS NOT NULL").select("uid", "at", "value").union(found))
-    tree_rest = one.union(several).groupBy("uid").agg(F.sum("y").alias("y"))
-    or0 = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return parts.join(rest, "uid", "left").join(tree_rest, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + or0("k")).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + or0("b") - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
-        (F.col("chance") + or0("x") + or0("y")).alias("score"))
+
+    def scores(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        parts = written(texts.mapInArrow(read, "uid long, doc_id long, held_out boolean, n_tokens long, base double, "
+                                               "known double, chance double, rare array<long>, "
+                                               "likely array<struct<key:long,extra:double>>, unsure array<struct<at:long,key:long,value:float>>"), "parts")
+        rest = (parts.select("uid", F.explode("rare").alias("key"))
+                .join(rated.filter(step < F.lit(least)).select("key", "c"), "key")
+                .groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1)).alias("b"), F.sum((F.col("c") > 0).cast("double")).alias("k"),
+                                    F.sum(chance).alias("x")))
+        one = parts.select("uid", F.inline("likely")).join(far, "key").select("uid", (F.col("value") + F.col("extra")).alias("y"))
+        several = parts.select("uid", F.inline("unsure"))
+        found = several.filter("value IS NULL").drop("value").join(far, "key").select("uid", "at", "value")
+        several = folded(several.filter("value IS NOT NULL").select("uid", "at", "value").union(found))
+        tree_rest = one.union(several).groupBy("uid").agg(F.sum("y").alias("y"))
+        or0 = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        return parts, parts.join(rest, "uid", "left").join(tree_rest, "uid", "left").select(
+            "doc_id", "held_out", "n_tokens", (F.col("known") + or0("k")).cast("long").alias("n_known"),
+            F.lit(n).cast("long").alias("train_tokens"),
+            (F.col("base") + or0("b") - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
+            (F.col("chance") + or0("x") + or0("y")).alias("score"))
+
+    rounds = min(ROUNDS, 1 + (n_rows - len(change)) // FREQUENT_ROWS)
+    if rounds == 1:
+        return scores(src)[1]
+    done = []
+    for r in range(rounds):                              # what a round ships is gone when the next one begins
+        parts, out = scores(src.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r))
+        done.append(written(out, "scores"))
+        discard(parts)
+    return functools.reduce(DataFrame.union, done)

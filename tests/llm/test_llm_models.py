@@ -240,6 +240,25 @@ def test_lm_equals_direct_tree(spark):
             assert abs(r["score"] - want) < 1e-6 * abs(want), r
 
 
+def test_lm_rounds_score_all_texts_and_hold_a_share(spark, monkeypatch):
+    """Rare rows are met in several rounds, which leave nothing behind; a share of a small tree goes through the shuffle."""
+    r = random.Random(5)
+    texts = [" ".join(r.choices(["a", "b", "c", "d"], [8, 4, 2, 1], k=r.randint(0, 30))) for _ in range(300)]
+    rows = [(None if k % 50 == 0 else k // 2, None if k % 40 == 0 else t) for k, t in enumerate(texts)]
+    rooms, folders = [], []
+    commonest, written = M.commonest, M.written
+    monkeypatch.setattr(M, "commonest", lambda t, room: (rooms.append((t.count(), room)), commonest(t, room))[1])
+    monkeypatch.setattr(M, "written", lambda df, name: (folders.append(name), written(df, name))[1])
+    flat = lambda got: sorted((str(x["doc_id"]), x["n_tokens"], x["n_known"], round(x["base_score"], 6), round(x["score"], 5)) for x in got)
+    want = flat(M.score(frame(spark, rows)).collect())
+    assert rooms[-1][0] > 4 and rooms[-1][1] == rooms[-1][0] // 2 and folders.count("parts") == 1
+    folders.clear()
+    monkeypatch.setattr(M, "FREQUENT_ROWS", 1)
+    monkeypatch.setattr(M, "ROUNDS", 2)
+    assert flat(M.score(frame(spark, rows)).collect()) == want and len(want) == len(rows)
+    assert folders.count("parts") == folders.count("scores") == 2
+
+
 def test_lm_tree_grows_with_the_text(spark):
     def tree(sf):
         docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
