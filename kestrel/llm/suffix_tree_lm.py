@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import discard, mixed, remainder, segment_sums, settings, slices, written
-from kestrel.llm.phrase_graph import _dense, _keys
 
 #: Longest context; the least count of a context, and of a token that a context lists.
 DEPTH, LEAST_CONTEXT, LEAST_FOLLOWER = 3, 20, 5
@@ -53,6 +52,8 @@ HELD, SLICE, BLOCK_BYTES = 1 << 21, 1 << 20, 1 << 17
 #: Bytes of text that are scored at once; buckets, and rows, of a batch that leaves a counting task.
 SCORED, SENT_BUCKETS, SENT_ROWS = 1 << 18, 8, 1 << 16
 MOD, HELD_OUT = 7, 2
+#: Bits of a word's place among the frequent ones.
+PLACE_BITS = FREQUENT_WORDS.bit_length()
 #: The key of an end, and a random number for each byte: 0 for white space, A-Z as a-z.
 END = np.uint64(1)
 _BYTE = mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1))
@@ -120,7 +121,7 @@ def gathered(batches, make, most: int = HELD):
     parts, held = [], 0
     for b in slices(batches, 0, 1 << 14, SLICE):
         parts.append(make(b))
-        held += len(parts[-1][0])
+        held += max(map(len, parts[-1]))
         if held > most:
             held = 0
             yield joined(parts)
@@ -268,94 +269,124 @@ def training(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def candidates(d: int, contexts: Marks, ends: Marks):
-    """Makes ``gram, ctx, below`` of a slice's tokens that follow ``d`` words: the keys of all of them, of
-    the words before, and of the gram without its first word. Only where ``contexts`` marks ``ctx`` and
-    ``ends`` marks ``below``."""
+    """Makes of a slice the keys of its tokens, and the places of those that follow ``d`` words: only where
+    ``contexts`` marks the words before, and ``ends`` marks the gram without its first word. Also the keys
+    of both."""
     def make(b):
         key, lengths = token_keys(b.column(0))
-        own = grams(key, d)
-        at = np.flatnonzero(ends.hold(own[d - 1]))
+        last = grams(key, d - 1)[-1]
+        at = np.flatnonzero(ends.hold(last))
         at = at[places(lengths)[at] >= d]
-        at = at[contexts.hold(own[d - 1][at - 1])]
-        return own[d][at], own[d - 1][at - 1], own[d - 1][at]
+        at = at[contexts.hold(last[at - 1])]
+        return key, at, last[at - 1], last[at]
     return make
 
 
-def heavy(texts: DataFrame, d: int, contexts: Marks, ends: Marks, least: int, bits: int = MARK_BITS) -> Marks:
-    """Marks the candidates' grams that may occur ``least`` times: counted by 32 bits of their keys, which
-    travel as sorted numbers. Keys are dealt to buckets by the lowest bits, so a bucket makes its own
-    part of the bitmap; the driver gets the bitmap in parts, its size is fixed."""
-    shared = texts.sparkSession.sparkContext.broadcast((contexts, ends))
-    deal = buckets(texts.sparkSession)
+def packed(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted numbers as their steps, and counts, byte by byte of all: the upper bytes compress away."""
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in (np.diff(key, prepend=np.uint64(0)), n.astype(np.uint32))]
+    return pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, size: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob, 12 * size, "zstd", asbytes=True), np.uint8)
+    steps, n = (np.ascontiguousarray(raw[x:y].reshape(-1, size).T) for x, y in ((0, 8 * size), (8 * size, 12 * size)))
+    return [np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64), n.view(np.uint32).ravel().astype(np.int64)]
+
+
+def pair_counts(docs: DataFrame, doc_id: str, text: str, d: int, contexts: Marks, ends: Marks, least: int, top: np.ndarray) -> DataFrame:
+    """``gram, ctx, below, n`` of the candidates that occur ``least`` times in training texts. ``top`` has the
+    keys of frequent words: grams of up to three of them travel as their places there, sorted and packed, which
+    takes a few bytes an entry, so all are added up in one pass. The others travel as two keys."""
+    spark = docs.sparkSession
+    shared, deal = spark.sparkContext.broadcast((contexts, ends, Table(top))), buckets(spark)
+    coded = (d + 1) * PLACE_BITS <= 64
+
+    def make(b):
+        contexts, ends, words = shared.value
+        key, at, ctx, below = candidates(d, contexts, ends)(b)
+        if not coded:
+            return np.zeros(0, np.uint64), ctx, below
+        place = words.find(key)
+        gram, known = np.zeros(len(at), np.uint64), np.ones(len(at), bool)
+        for i in range(d, -1, -1):
+            own = place[at - i]
+            known &= own >= 0
+            gram = (gram << np.uint64(PLACE_BITS)) | own.astype(np.uint64)
+        return gram[known], ctx[~known], below[~known]
+
+    def added(key, n, *rest):
+        """Sums of distinct keys, in order, and ``rest`` of the first of each."""
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        return [key[first], np.add.reduceat(n[order], first) if len(key) else n, *(x[order[first]] for x in rest)]
 
     def spread(batches):
-        for own in gathered(batches, candidates(d, *shared.value)):
-            gram = own[0]
-            own.clear()
-            # the bucket's bits first, then those of the place in its part, then some more
-            turned = (gram << np.uint64(64 - bits)) >> np.uint64(64 - bits)
-            turned = (turned >> np.uint64(bits - deal) << np.uint64(32)) | ((turned << np.uint64(32 - bits + deal)) & np.uint64(0xFFFFFFFF)) \
-                | (gram >> np.uint64(64 - (32 - bits + deal)))
-            key, n = combined(turned, np.ones(len(gram), np.int64))
-            cuts = np.searchsorted(key, np.arange((1 << deal) + 1, dtype=np.uint64) << np.uint64(32)).tolist()
-            short, n = key.astype(np.uint32), np.minimum(n, least).astype(np.uint8)
-            got = [(i, _dense(short[x:y]), n[x:y].tobytes()) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.binary(), pa.binary()))],
-                                             ["bucket", "keys", "n"])
-
-    def part(bucket, key, n):
-        key, n = combined(np.concatenate(key), np.concatenate(n).astype(np.int64))
-        out = np.zeros(1 << (bits - deal), bool)
-        out[(key[n >= least] >> np.uint32(32 - bits + deal)).astype(np.int64)] = True
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())],
-                                          ["bucket", "part"])
+        for parts in gathered(batches, make):
+            gram, ctx, below = parts
+            parts.clear()
+            gram.sort()
+            first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+            n, gram = np.diff(np.r_[first, len(gram)]), gram[first]
+            bucket = (mixed(gram) >> np.uint64(64 - deal)).astype(np.uint16)
+            order = np.argsort(bucket, kind="stable")      # in the order of the grams within a bucket
+            gram, n = gram[order], n[order]
+            cuts = np.searchsorted(bucket[order], np.arange((1 << deal) + 1)).tolist()
+            key, m, ctx, below = added(longer(d, ctx, below), np.ones(len(ctx), np.int64), ctx, below)
+            ends = [*np.searchsorted(key, np.arange(1 << deal, dtype=np.uint64) << np.uint64(64 - deal)).tolist(), len(key)]
+            for i in range(0, 1 << deal, SENT_BUCKETS):
+                got = [(j, cuts[j + 1] - cuts[j], packed(gram[cuts[j]:cuts[j + 1]], n[cuts[j]:cuts[j + 1]]),
+                        *(x[ends[j]:ends[j + 1]].tobytes() for x in (ctx, below, m.astype(np.uint32))))
+                       for j in range(i, min(i + SENT_BUCKETS, 1 << deal)) if cuts[j + 1] > cuts[j] or ends[j + 1] > ends[j]]
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.int32(), *[pa.binary()] * 4))],
+                                                     ["bucket", "size", "grams", "ctx", "below", "n"])
+
+    def rows(near, far):
+        columns = [[], [], []]
+        if near:
+            gram, n = added(*joined(near))
+            gram, n = gram[n >= least], n[n >= least]
+            words = [shared.value[2].key[(gram >> np.uint64(PLACE_BITS * i) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)] for i in range(d, -1, -1)]
+            ctx, below = words[:-1], words[1:]
+            for k in range(1, d):                          # keys of longer and longer grams
+                ctx, below = ([longer(k, x, y) for x, y in zip(own, own[1:])] for own in (ctx, below))
+            for column, x in zip(columns, (ctx[0], below[0], n)):
+                column.append(x)
+        if far:
+            _, n, ctx, below = added(*joined(far))
+            for column, x in zip(columns, (ctx, below, n)):
+                column.append(x[n >= least])
+        ctx, below, n = (np.concatenate(x) for x in columns)
+        out = as_batch("gram ctx below n", longer(d, ctx, below), ctx, below, n)
+        for i in range(0, out.num_rows, SENT_ROWS):
+            yield out.slice(i, SENT_ROWS)
 
     def merge(batches):
-        own, key, n, size = None, [], [], 0
+        own, near, far, sizes = None, [], [], [0, 0]
         for b in batches:
-            for bucket, k, c in zip(*(x.to_pylist() for x in b.columns)):
+            for i in range(b.num_rows):
+                bucket, size, blob, *others = (x[i].as_py() for x in b.columns)
                 if own is not None and bucket != own:
-                    yield part(own, key, n)
-                    key, n, size = [], [], 0
+                    yield from rows(near, far)
+                    near, far, sizes = [], [], [0, 0]
                 own = bucket
-                key.append(_keys(k))
-                n.append(np.frombuffer(c, np.uint8))
-                size += len(key[-1])
-                if size > 1 << 21:                     # the same keys of many slices are one entry
-                    k, c = combined(np.concatenate(key), np.concatenate(n).astype(np.int64))
-                    key, n, size = [k], [np.minimum(c, least).astype(np.uint8)], 0
+                if size:
+                    near.append(unpacked(blob, size))
+                if others[0]:
+                    ctx, below = (np.frombuffer(x, np.uint64) for x in others[:2])
+                    far.append([longer(d, ctx, below), np.frombuffer(others[2], np.uint32).astype(np.int64), ctx, below])
+                sizes = [sizes[0] + size, sizes[1] + len(others[0]) // 8]
+                if sizes[0] > HELD:                        # the same grams of many tasks are one entry
+                    near, sizes[0] = [added(*joined(near))], 0
+                if sizes[1] > HELD:
+                    far, sizes[1] = [added(*joined(far))], 0
         if own is not None:
-            yield part(own, key, n)
-
-    parts = (texts.mapInArrow(spread, "bucket int, keys binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
-             .mapInArrow(merge, "bucket int, part binary"))
-    out = np.zeros((1 << deal, 1 << (bits - deal - 6)), np.uint64)
-    for r in parts.toLocalIterator():
-        out[r["bucket"]] = np.frombuffer(r["part"], np.uint64)
-    return Marks(out.ravel())
-
-
-def pair_counts(docs: DataFrame, doc_id: str, text: str, d: int, contexts: Marks, ends: Marks, least: int) -> DataFrame:
-    """``gram, ctx, below, n`` of the candidates that occur ``least`` times in training texts. Of short
-    grams, only those that :func:`heavy` marks are shuffled; of the longest, few are candidates at all."""
-    texts = training(docs, doc_id, text)
-    likely = heavy(texts, d, contexts, ends, least) if d < DEPTH else None
-    shared = docs.sparkSession.sparkContext.broadcast((contexts, ends, likely))
-
-    def arrays(batches):
-        *known, likely = shared.value
-        every = candidates(d, *known)
-
-        def make(b):
-            gram, *rest = every(b)
-            some = likely.hold(gram) if likely else slice(None)
-            return [x[some] for x in rest]
-
-        for own in gathered(batches, make):
-            own.append(np.ones(len(own[0]), np.uint8))
-            yield own
+            yield from rows(near, far)
 
-    return summed(texts, arrays, lambda ctx, below: longer(d, ctx, below), "ctx below", "n", least)
+    return (training(docs, doc_id, text).mapInArrow(spread, "bucket int, size int, grams binary, ctx binary, below binary, n binary")
+            .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "gram long, ctx long, below long, n long"))
 
 
 def places(lengths: np.ndarray) -> np.ndarray:
@@ -373,13 +404,15 @@ def grow(docs: DataFrame, words: DataFrame, doc_id: str = "doc_id", text: str =
     it is, since an end follows every word; so each length needs one pass, and only over the
     contexts that are frequent, and the suffixes of whose grams are."""
     level = words.filter(F.col("n") >= least_follower).select("gram", "n", "root", F.col("root").alias("p"))
+    often = F.floor(F.log2("n") * 8) >= F.lit(commonest(level, FREQUENT_WORDS))
+    (top,) = sorted_rows(level.filter(often).select("gram").toArrow())
     entries, steps = [], []
     for d in range(1, depth + 1):
         alive = level.filter(F.col("n") >= least_context)
         contexts = marks(alive.select("gram"))
         if not contexts.words.any():
             break
-        pairs = pair_counts(docs, doc_id, text, d, contexts, marks(level.select("gram")), least_follower)
+        pairs = pair_counts(docs, doc_id, text, d, contexts, marks(level.select("gram")), least_follower, top)
         rated = written(pairs.join(alive.select(F.col("gram").alias("ctx"), F.col("n").alias("total")), "ctx")
                         .join(level.select(F.col("gram").alias("below"), F.col("p").alias("base"), "root"), "below"), "pairs")
         n, total, base = F.col("n"), F.col("total"), F.pow(F.lit(10.0), F.col("base"))
@@ -452,26 +485,24 @@ class Tree:
         comes on top of the row's value if it is there. Where several may, 0, and what counts: arrays of
         8 * place + code (twice the length, plus one for a listed token), key, value (nan: elsewhere)."""
         own, inside = grams(key, DEPTH), places(lengths)
-        got, known, unsure = [], np.zeros(len(key), np.int8), np.zeros(len(key), bool)
-        for d in range(1, DEPTH + 1):
-            at = np.flatnonzero(inside >= d)
+        got, known = {}, np.zeros(len(key), np.int8)
+        for d in range(DEPTH, 0, -1):                    # the longest first: nothing shorter matters once a token is known to be listed
+            at = np.flatnonzero((inside >= d) & (known == 0))
             for code in (2 * d, 2 * d + 1):              # tokens are looked up where the context is known or likely
                 which = own[d][at] if code % 2 else own[d - 1][at - 1] ^ np.uint64(CONTEXT)
                 value, elsewhere = self.look(which)
                 some = np.flatnonzero(elsewhere | ~np.isnan(value))
                 at, which, value, elsewhere = at[some], which[some], value[some], elsewhere[some]
-                unsure[at[elsewhere]] = True
-                got.append((at, which, value))
+                got[code] = at, which, value
             known[at[~elsewhere]] = d                    # the longest context that is known to list the token
-            unsure[at[~elsewhere]] = False               # nothing shorter matters
         far, depth = np.zeros(len(key), np.int8), np.zeros(len(key), np.int8)
         counting, likely = [], []
-        for code, (at, which, value) in enumerate(got, 2):
-            d = code // 2
+        for code in sorted(got):
+            d, (at, which, value) = code // 2, got[code]
             counts = known[at] <= d if code % 2 else known[at] < d
             counting.append([x[counts] for x in (at, which, value)])
             at, which, value = counting[-1]
-            some = unsure[at] & np.isnan(value)
+            some = np.isnan(value)
             far[at[some]] += 1
             depth[at[some]] = d * (code % 2)             # a token's row replaces all up to its length
             likely.append((at[some], which[some]))

@@ -311,3 +311,38 @@ def test_counted_tokens_are_held_once():
         tracemalloc.stop()
     assert own[1] == n * k
     assert own[0] < 1.3 * 3 * 8 * n * k
+
+
+def test_lm_grams_of_rare_and_frequent_words_are_counted(spark):
+    """Counts of grams that travel as places of frequent words and as keys, and of both in one table."""
+    r = random.Random(3)
+    rows = [(k, " ".join(r.choices("abcdefgh", [30, 20, 10, 8, 6, 4, 2, 1], k=r.randint(0, 30)))) for k in range(400)]
+    learn = [t.split() + [""] for k, t in rows if crc(k, 7) != 2]
+    docs, found = frame(spark, rows), []
+    words = M.word_counts(docs).select(F.col("key").alias("gram"), F.col("c").alias("n"), F.lit(-1.0).alias("root")).filter("n > 0").localCheckpoint()
+    every = M.marks(words.select("gram"))
+    for room in (0, 3, M.FREQUENT_WORDS):
+        least = M.commonest(words, room)
+        (top,) = M.sorted_rows(words.filter(F.floor(F.log2("n") * 8) >= F.lit(least)).select("gram").toArrow())
+        assert len(top) == min(len(top), room) and (room < 3 or len(top) > 1)
+        found.append(sorted((x["gram"], x["ctx"], x["below"], x["n"]) for x in M.pair_counts(docs, "doc_id", "text", 1, every, every, 5, top).collect()))
+    pairs = collections.Counter(p for t in learn for p in zip(t, t[1:]))
+    assert found[0] == found[1] == found[2] and sorted(x[3] for x in found[0]) == sorted(n for n in pairs.values() if n >= 5)
+    key = np.sort(np.random.default_rng(1).integers(0, 2 ** 64 - 1, 1000, np.uint64))
+    for n in (1000, 1):
+        again = M.unpacked(M.packed(key[:n], np.arange(n) + 1), n)
+        assert (again[0] == key[:n]).all() and (again[1] == np.arange(n) + 1).all()
+
+
+def test_lm_counts_each_length_in_one_pass(spark):
+    """A pass over the texts for the words, one for each length, and one that scores; none is run again."""
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        passes.add(1)
+        yield from batches
+
+    r = random.Random(5)
+    docs = frame(spark, [(k, " ".join(r.choices("abcd", k=30))) for k in range(400)]).select("doc_id", "text").coalesce(1)
+    M.score(docs.mapInArrow(counted, docs.schema)).write.format("noop").mode("overwrite").save()
+    assert passes.value == 1 + M.DEPTH + 1
