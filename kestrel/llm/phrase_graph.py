@@ -8,8 +8,8 @@ that end with it. Each task builds and reduces the graph of its texts; graphs ar
 
 Most grams are rare and decide nothing. A first pass adds up weights by hash, in buckets,
 and marks the hashes that reach the minimum in a bitmap of fixed size; the second pass
-ships only grams whose hash is marked, as words. Hashes that meet only mark too much, so
-counts stay exact.
+ships only grams whose hash is marked, as numbers into the words of their block. Hashes that
+meet only mark too much, so counts stay exact.
 
 Heavy edges (weight at least the minimum) are compacted: a node with one heavy edge in and
 one out, both as heavy as all of the node's flow, is unary, and stretches of unary nodes
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import mixed, slices, written
+from kestrel.llm.common import CLEAN, buckets, discard, mixed, settings, slices, written
 
 LEAST, TOP = 10, 2000
 #: A longer candidate with at least this many percent of a phrase's count stands for it.
@@ -36,6 +36,8 @@ SCALE = 1_000_000
 GRAPH_BYTES, GRAPH_ROWS = 6 << 20, 1 << 16
 #: Bits of the bitmap's size (16 MB).
 MARK_BITS = 27
+#: Grams of a bucket that are added up at once, and rows of a batch that leaves a task.
+HELD, SENT_ROWS = 1 << 21, 1 << 16
 #: A mark for the end of a piece; it ends pieces itself, so it is no word.
 END = "."
 
@@ -70,7 +72,7 @@ class LocalGraph:
         self.uses = np.bincount(at, weights=self.flow, minlength=len(self.firsts)).astype(np.int64)
 
         plain = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words.to_pylist()), np.uint64, k)
-        tongue = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.langs.to_pylist()), np.uint64, len(self.langs))
+        self.tongue = tongue = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.langs.to_pylist()), np.uint64, len(self.langs))
         plain = np.append(plain, np.uint64(0))
         with np.errstate(over="ignore"):
             by_word = mixed(plain[self.firsts % k] * _FACTOR + tongue[self.firsts // k]) if k else np.zeros(0, np.uint64)
@@ -80,20 +82,80 @@ class LocalGraph:
         self.hashes = (by_word, by_node[self.nodes], by_edge[self.edges])
         self.weights = (self.uses, self.flow[self.nodes], self.n[self.edges])
 
-    def rows(self, kept: list[np.ndarray]) -> pa.RecordBatch:
-        """``lang, x, y, z, n`` of the grams chosen (words, nodes, edges), and totals (no words)."""
+    def chosen(self, kept: list[np.ndarray]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Words, ``codes``, counts and hashes of the grams chosen (words, nodes, edges), and of totals (no
+        words). ``codes`` has a row for each of language, first, second and third word: places in the
+        words from 1, 0 for none."""
         w, v = np.flatnonzero(kept[0]), self.nodes[kept[1]]
-        e = self.edges[kept[2]]
+        e, k = self.edges[kept[2]], max(self.k, 1)
+        totals = np.bincount(self.firsts // k, weights=self.uses, minlength=len(self.langs)).astype(np.int64)
+        none = lambda *x: np.full(sum(map(len, x)), -1)
         first = np.concatenate([self.firsts[w], self.one[v], self.one[self.node[e]]])
-        second = np.concatenate([np.full(len(w), self.k), self.second[v], self.second[self.node[e]]])
-        third = np.concatenate([np.full(len(w) + len(v), self.k), self.third[e]])
-        totals = np.bincount(self.firsts // max(self.k, 1), weights=self.uses, minlength=len(self.langs)).astype(np.int64)
-        none = np.full(len(totals), self.k)
-        word = lambda *i: self.words.take(pa.array(x := np.concatenate(i), mask=x == self.k))
-        return pa.RecordBatch.from_arrays(
-            [self.langs.take(pa.array(np.concatenate([first // max(self.k, 1), np.arange(len(totals))]))), word(first % max(self.k, 1), none),
-             word(second, none), word(third, none), pa.array(np.concatenate([self.uses[w], self.flow[v], self.n[e], totals]))],
-            ["lang", "x", "y", "z", "n"])
+        codes = np.stack([np.r_[first // k, np.arange(len(totals))] + self.k, np.r_[first % k, none(totals)],
+                          np.r_[none(w), self.second[v], self.second[self.node[e]], none(totals)], np.r_[none(w, v), self.third[e], none(totals)]])
+        words = pa.concat_arrays([x.cast(pa.binary()) for x in (self.words, self.langs)])
+        return (words, codes + 1, np.concatenate([self.uses[w], self.flow[v], self.n[e], totals]),
+                np.concatenate([*(h[x] for h, x in zip(self.hashes, kept)), self.tongue]))
+
+    def rows(self, kept: list[np.ndarray]) -> pa.RecordBatch:
+        return as_rows(*self.chosen(kept)[:3])
+
+    def blocks(self, kept: list[np.ndarray], deal: int) -> pa.RecordBatch:
+        """``bucket, rows, words, size, block`` of what is chosen; buckets are the first ``deal`` bits of the hash."""
+        words, codes, n, hashes = self.chosen(kept)
+        bucket = (hashes >> np.uint64(64 - deal)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        codes, n = codes[:, order], n[order]
+        cuts = np.searchsorted(bucket[order], np.arange((1 << deal) + 1)).tolist()
+        got = [(i, *packed(words, codes[:, x:y], n[x:y])) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+        return pa.RecordBatch.from_arrays([pa.array([x[j] for x in got], t) for j, t in enumerate((*[pa.int32()] * 4, pa.binary()))],
+                                          ["bucket", "rows", "words", "size", "block"])
+
+
+def as_rows(words: pa.Array, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """``lang, x, y, z, n`` of a block of grams."""
+    words = words.cast(pa.string())
+    return pa.RecordBatch.from_arrays([*(words.take(pa.array(c - 1, mask=c == 0)) for c in codes), pa.array(n)], ["lang", "x", "y", "z", "n"])
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits, byte by byte of all: the upper bytes compress away."""
+    return np.ascontiguousarray(x.astype("<u4").ravel().view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _whole(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def packed(words: pa.Array, codes: np.ndarray, n: np.ndarray) -> tuple[int, int, int, bytes]:
+    """A block of grams with only the words that it has: their number, that of the words, bytes unpacked, bytes."""
+    used, at = np.unique(codes, return_inverse=True)
+    own = words.take(pa.array(used[used > 0] - 1))
+    raw = b"".join([_planes(at.reshape(codes.shape) + (used[0] > 0)), _planes(n), _planes(pc.binary_length(own).to_numpy()), *own.to_pylist()])
+    return codes.shape[1], len(own), len(raw), pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(rows: int, words: int, size: int, block: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words, codes and counts of a block."""
+    raw = np.frombuffer(pa.decompress(block, size, "zstd", asbytes=True), np.uint8)
+    codes, n, lengths, data = np.split(raw, np.cumsum([16 * rows, 4 * rows, 4 * words]))
+    edges = np.r_[0, np.cumsum(_whole(lengths))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), words, [None, pa.py_buffer(edges), pa.py_buffer(data.tobytes())]), _whole(codes).reshape(4, rows), _whole(n)
+
+
+def added(blocks: list) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """One block of all of ``blocks``: each gram once, with the sum of its counts."""
+    words = pa.concat_arrays([w for w, _, _ in blocks]).dictionary_encode()
+    place, at, codes = words.indices.to_numpy() + 1, 0, []
+    for own, c, _ in blocks:
+        codes.append(np.r_[0, place[at:at + len(own)]][c])
+        at += len(own)
+    codes, n = np.concatenate(codes, axis=1), np.concatenate([n for _, _, n in blocks])
+    front, back = (codes[i] * (len(words.dictionary) + 1) + codes[i + 1] for i in (0, 2))
+    order = np.lexsort((back, front))
+    front, back = front[order], back[order]
+    first = np.flatnonzero(np.r_[True, (front[1:] != front[:-1]) | (back[1:] != back[:-1])])
+    return words.dictionary, codes[:, order[first]], np.add.reduceat(n[order], first)
 
 
 def _dense(keys: np.ndarray) -> bytes:
@@ -115,8 +177,7 @@ def marks(texts: DataFrame, least: int, bits: int = MARK_BITS) -> np.ndarray:
     """A bitmap of ``2 ** bits`` positions: the first bits of the hashes whose weights add up to
     ``least`` or more in all texts. Hashes are dealt to buckets by these bits, so a bucket makes its
     own part of the bitmap; of a gram, each task's slice has one entry, whatever its count."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    deal = min(max(6, (parts - 1).bit_length()), 16, bits - 3)        # buckets: a power of two
+    deal = min(buckets(texts.sparkSession), bits - 3)
     kind = np.uint8 if least < 256 else np.uint32
 
     def spread(batches):
@@ -162,10 +223,11 @@ def marks(texts: DataFrame, least: int, bits: int = MARK_BITS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([part(keys, weights)], pa.binary())], ["bucket", "part"])
 
     blobs = texts.mapInArrow(spread, "bucket int, keys binary, weights binary")
-    parts = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, part binary")
+    parts = written(blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, part binary"), "marks")
     out = np.zeros((1 << deal, 1 << (bits - deal - 3)), np.uint8)
     for r in parts.toLocalIterator():                  # the bitmap in parts: its size is fixed
         out[r["bucket"]] = np.frombuffer(r["part"], np.uint8)
+    discard(parts)
     return out.ravel()
 
 
@@ -173,20 +235,42 @@ def graph(docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str = "
     """``lang, x, y, z, n``: all edges (three words), nodes (two) and words that occur ``least`` times
     or more, with their counts; the row without words has all words of the language."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(marks(texts, least, bits))
+    shared, deal = docs.sparkSession.sparkContext.broadcast(marks(texts, least, bits)), buckets(docs.sparkSession)
 
-    def run(batches):
+    def spread(batches):
         marked = shared.value
         for g in _graphs(batches):
             kept = []
             for h in g.hashes:
                 place = h >> np.uint64(64 - bits)
                 kept.append((marked[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
-            yield g.rows(kept)
+            yield g.blocks(kept, deal)
+
+    def rows(blocks):
+        words, codes, n = added(blocks)
+        kept = (n >= least) | (codes[1] == 0)
+        out = as_rows(words, codes[:, kept], n[kept])
+        for i in range(0, out.num_rows, SENT_ROWS):
+            yield out.slice(i, SENT_ROWS)
+
+    def merge(batches):
+        own, blocks, size = None, [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                bucket, *block = (x[i].as_py() for x in b.columns)
+                if own is not None and bucket != own:
+                    yield from rows(blocks)
+                    blocks, size = [], 0
+                own = bucket
+                blocks.append(unpacked(*block))
+                size += block[0]
+                if size > HELD:                        # the same grams of many slices are one entry
+                    blocks, size = [added(blocks)], 0
+        if own is not None:
+            yield from rows(blocks)
 
-    rows = texts.mapInArrow(run, "lang string, x string, y string, z string, n long")
-    total = rows.groupBy("lang", "x", "y", "z").agg(F.sum("n").alias("n"))
-    return written(total.filter((F.col("n") >= least) | F.col("x").isNull()), "graph")
+    return written(texts.mapInArrow(spread, "bucket int, rows int, words int, size int, block binary").repartition("bucket").sortWithinPartitions("bucket")
+                   .mapInArrow(merge, "lang string, x string, y string, z string, n long"), "graph")
 
 
 def nodes(grams: DataFrame) -> DataFrame:
@@ -251,7 +335,7 @@ def paths(grams: DataFrame) -> DataFrame:
 
 def candidates(grams: DataFrame) -> DataFrame:
     """``lang, phrase, a, l, r, score, path_words`` of all candidates that no longer one covers."""
-    node = nodes(grams)
+    node = written(nodes(grams), "nodes")
     chain = compacted(node)
     word = grams.filter(F.col("x").isNotNull() & F.col("y").isNull()).select("lang", "x", F.col("n").alias("f"))
     edge = grams.filter(F.col("z").isNotNull())
@@ -287,8 +371,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, lang: str
     is unique; an empty table gives an empty result; other columns are not read. A text of any
     length is one slice of work. ``path_words`` is the number of words of the compacted path that
     the phrase lies on (its own number if that is no longer)."""
-    grams = graph(docs, least, lang, text)
-    found = candidates(grams)
+    with settings(docs.sparkSession, CLEAN):
+        grams = graph(docs, least, lang, text)
+        found = candidates(grams)
     salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     # the first of each share of a language, then the first of these: no language is one task's sort

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import discard, mixed, remainder, segment_sums, settings, slices, written
+from kestrel.llm.common import CLEAN, buckets, discard, mixed, remainder, segment_sums, settings, slices, written
 
 #: Longest context; the least count of a context, and of a token that a context lists.
 DEPTH, LEAST_CONTEXT, LEAST_FOLLOWER = 3, 20, 5
@@ -38,8 +38,6 @@ FREQUENT_ROWS = 1 << 21
 #: And one row of so many at most, so that a GB of text sends as much through the shuffle whether the tree is
 #: small or large. Rounds in which texts are scored, at most; one more for each FREQUENT_ROWS of the other rows.
 HELD_SHARE, ROUNDS = 2, 8
-#: Spark removes the shuffle files of each step when it has ended, not with the driver's garbage.
-_CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: Bits of the largest bitmap (16 MB).
 MARK_BITS = 27
 #: Tells a context's own row from that of a gram of the same words.
@@ -151,11 +149,6 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return summed(src, arrays, lambda key: key, "key", "c n")
 
 
-def buckets(spark) -> int:
-    """Bits of the numbers of a shuffle's buckets."""
-    return min(max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()), 16)
-
-
 def summed(src: DataFrame, arrays, key_of, keys: str, sums: str, least: int = 0) -> DataFrame:
     """``gram`` (if there are several keys), keys and sums, of the arrays that ``arrays`` gives in each task:
     added up by ``key_of`` the keys, where the last sum is ``least`` or more. Tasks combine, and ship a
@@ -557,7 +550,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent:
     Null and empty texts consist of their end. Without training texts every token is
     unknown and certain: both scores are 0. Repeated rows count and are scored each; an empty table gives an empty
     result; other columns are not read."""
-    with settings(docs.sparkSession, _CLEAN):
+    with settings(docs.sparkSession, CLEAN):
         return _score(docs, doc_id, text, frequent, frequent_rows)
 
 

@@ -119,3 +119,49 @@ def test_scores_beyond_64_bits(spark):
     grams = spark.createDataFrame([("en", "p", None, None, big + 7), ("en", "q", None, None, big + 9), ("en", "p", "q", None, big - 1)], kind)
     row = G.candidates(grams).collect()[0]
     assert row["score"] == 10**6 * (big - 1) ** 2 // ((big + 7) * (big + 9))
+
+
+def test_blocks_add_up_to_the_rows():
+    """What travels in blocks, unpacked and added up in any order, is the rows of both graphs."""
+    docs = texts(3, 30) + [("a\nb \x00", "a\nb a b c"), ("", "\x00 \x00 \x00"), ("en", "")]
+    want, blocks = Counter(), {}
+    for part in (docs[:20], docs[20:]):
+        g = G.LocalGraph(pa.array([x or "und" for x, _ in part]), pa.array([t for _, t in part]))
+        every = [h == h for h in g.hashes]
+        for r in g.rows(every).to_pylist():
+            want[r["lang"], r["x"], r["y"], r["z"]] += r["n"]
+        for r in g.blocks(every, 3).to_pylist():
+            bucket, *block = r.values()
+            blocks.setdefault(bucket, []).append(G.unpacked(*block))
+    assert len(blocks) == 8
+    found = Counter()
+    for own in blocks.values():
+        for some in (own, own[::-1], [G.added(own[:1]), *own[1:]]):
+            rows = G.as_rows(*G.added(some)).to_pylist()
+            assert len({tuple(r.values())[:4] for r in rows}) == len(rows)
+        for r in rows:
+            found[r["lang"], r["x"], r["y"], r["z"]] += r["n"]
+    assert found == want
+
+
+def test_counted_texts_are_read_twice(spark):
+    """One pass marks, one counts; neither runs again where shuffle files go with their step."""
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        passes.add(1)
+        yield from batches
+
+    docs = rows(spark, texts(3, 200)).coalesce(1)
+    assert G.collocations(docs.mapInArrow(counted, docs.schema), least=5).count()
+    assert passes.value == 2
+
+
+def test_shuffle_files_go_with_their_step(spark, monkeypatch):
+    """All that is shuffled before the phrases are asked for goes when its step has ended, the marks' too."""
+    (key, value), = G.CLEAN.items()
+    steps, written, old = [], G.written, spark.conf.get(key, None)
+    monkeypatch.setattr(G, "written", lambda df, name: (steps.append((name, spark.conf.get(key))), written(df, name))[1])
+    found = G.collocations(rows(spark, texts(3, 200)), least=5)
+    assert {"marks", "graph", "nodes", "jumps"} == {name for name, _ in steps} and {x for _, x in steps} == {value}
+    assert spark.conf.get(key, None) == old and found.count()
