@@ -36,8 +36,8 @@ SCALE = 1_000_000
 GRAPH_BYTES, GRAPH_ROWS = 6 << 20, 1 << 16
 #: Bits of the bitmap's size (16 MB).
 MARK_BITS = 27
-#: Grams of a bucket that are added up at once, and rows of a batch that leaves a task.
-HELD, SENT_ROWS = 1 << 21, 1 << 16
+#: Bytes of a bucket's blocks that are added up at once, and rows of a batch that leaves a task.
+HELD, SENT_ROWS = 32 << 20, 1 << 16
 #: A mark for the end of a piece; it ends pieces itself, so it is no word.
 END = "."
 
@@ -263,7 +263,7 @@ def graph(docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str = "
                     blocks, size = [], 0
                 own = bucket
                 blocks.append(unpacked(*block))
-                size += block[0]
+                size += block[2]
                 if size > HELD:                        # the same grams of many slices are one entry
                     blocks, size = [added(blocks)], 0
         if own is not None:

@@ -23,11 +23,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import CLEAN, buckets, discard, mixed, remainder, segment_sums, settings, slices, written
+from kestrel.llm.common import CLEAN, buckets, discard, give_back, mixed, remainder, segment_sums, settings, slices, written
 
 #: Longest context; the least count of a context, and of a token that a context lists.
 DEPTH, LEAST_CONTEXT, LEAST_FOLLOWER = 3, 20, 5
@@ -99,14 +99,6 @@ def powers(n: int) -> np.ndarray:
     return _powers(max(12, n.bit_length()))
 
 
-def combined(key: np.ndarray, *n: np.ndarray) -> list[np.ndarray]:
-    """Distinct keys in order, and the sums of ``n`` for each."""
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    return [key[first], *(np.add.reduceat(x[order], first) if len(key) else x for x in n)]
-
-
 def joined(parts: list) -> list[np.ndarray]:
     """The columns of all ``parts``, which is emptied, so that no more than one column is there twice."""
     columns = [list(x) for x in zip(*parts)]
@@ -146,33 +138,31 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             own.append(np.ones(len(own[0]), np.uint8))
             yield own
 
-    return summed(src, arrays, lambda key: key, "key", "c n")
+    return summed(src, arrays, "c n")
 
 
-def summed(src: DataFrame, arrays, key_of, keys: str, sums: str, least: int = 0) -> DataFrame:
-    """``gram`` (if there are several keys), keys and sums, of the arrays that ``arrays`` gives in each task:
-    added up by ``key_of`` the keys, where the last sum is ``least`` or more. Tasks combine, and ship a
-    bucket's rows as bytes; buckets are ranges of the hash, so no key is in a heavy one. Lists of arrays are
+def summed(src: DataFrame, arrays, sums: str) -> DataFrame:
+    """``key`` and sums, of the arrays that ``arrays`` gives in each task, added up by key. Tasks combine, and ship
+    a bucket's rows as bytes; buckets are ranges of the key, so no key is in a heavy one. Lists of arrays are
     emptied while they are added up, and leave in batches of bounded size."""
-    names, n_keys = [*keys.split(), *sums.split()], len(keys.split())
-    deal = buckets(src.sparkSession)
+    names, deal = ["key", *sums.split()], buckets(src.sparkSession)
 
     def added(columns):
-        key = key_of(*columns[:n_keys])
+        key = columns.pop(0)
         order = np.argsort(key)
         key = key[order]
-        first, out = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), []
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        out = [key[first]]
         while columns:
-            x = columns.pop(0)[order]
-            out.append(x[first] if len(out) < n_keys else np.add.reduceat(x, first, dtype=np.int64))
-        return key[first], out
+            out.append(np.add.reduceat(columns.pop(0)[order], first, dtype=np.int64))
+        return out
 
     def spread(batches):
         for columns in arrays(batches):
             if not len(columns[0]):
                 continue
-            key, columns = added(columns)
-            columns = columns[:n_keys] + [x.astype(np.uint32) for x in columns[n_keys:]]
+            key, *columns = added(columns)
+            columns = [key, *(x.astype(np.uint32) for x in columns)]
             cuts = [*np.searchsorted(key, np.arange(1 << deal, dtype=np.uint64) << np.uint64(64 - deal)).tolist(), len(key)]
             every = [(i, x, y) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
             for some in (every[i:i + SENT_BUCKETS] for i in range(0, len(every), SENT_BUCKETS)):
@@ -180,10 +170,7 @@ def summed(src: DataFrame, arrays, key_of, keys: str, sums: str, least: int = 0)
                                                   *(pa.array([c[x:y].tobytes() for _, x, y in some], pa.binary()) for c in columns)], ["bucket", *names])
 
     def rows(parts):
-        key, columns = added(joined(parts))
-        kept = columns[-1] >= least
-        out = as_batch(result, *(x[kept] for x in ([key] if n_keys > 1 else []) + columns))
-        del key, columns, kept
+        out = as_batch(" ".join(names), *added(joined(parts)))
         for i in range(0, out.num_rows, SENT_ROWS):
             yield out.slice(i, SENT_ROWS)
 
@@ -196,16 +183,15 @@ def summed(src: DataFrame, arrays, key_of, keys: str, sums: str, least: int = 0)
                     yield from rows(parts)
                     parts, size = [], 0
                 own = bucket
-                parts.append([np.frombuffer(x, np.uint64) for x in blobs[:n_keys]] + [np.frombuffer(x, np.uint32).astype(np.int64) for x in blobs[n_keys:]])
+                parts.append([np.frombuffer(blobs[0], np.uint64)] + [np.frombuffer(x, np.uint32).astype(np.int64) for x in blobs[1:]])
                 size += len(parts[-1][0])
                 if size > HELD:                        # the same keys of many tasks are one entry
-                    parts, size = [added(joined(parts))[1]], 0
+                    parts, size = [added(joined(parts))], 0
         if own is not None:
             yield from rows(parts)
 
-    result = " ".join((["gram"] if n_keys > 1 else []) + names)
     return (src.mapInArrow(spread, "bucket int, " + ", ".join(f"{x} binary" for x in names)).repartition("bucket").sortWithinPartitions("bucket")
-            .mapInArrow(merge, ", ".join(f"{x} long" for x in result.split())))
+            .mapInArrow(merge, ", ".join(f"{x} long" for x in names)))
 
 
 def longer(d: int, before: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -225,11 +211,9 @@ def grams(key: np.ndarray, depth: int) -> list[np.ndarray]:
 
 @dataclass
 class Marks:
-    """A bitmap of keys by their lowest bits and, if ``twice``, also by their upper half's. Its size is
-    bounded; where more keys than bits meet it marks too much, which costs rows that a join drops
-    later, not results."""
+    """A bitmap of keys by their lowest bits and by their upper half's. Its size is bounded; where more
+    keys than bits meet it marks too much, which costs rows that a join drops later, not results."""
     words: np.ndarray
-    twice: bool = False
 
     def _bits(self, key: np.ndarray) -> np.ndarray:
         place = key & np.uint64(64 * len(self.words) - 1)
@@ -237,9 +221,8 @@ class Marks:
 
     def hold(self, key: np.ndarray) -> np.ndarray:
         out = self._bits(key)
-        if self.twice:
-            some = np.flatnonzero(out)
-            out[some] = self._bits(key[some] >> np.uint64(32))
+        some = np.flatnonzero(out)
+        out[some] = self._bits(key[some] >> np.uint64(32))
         return out
 
 
@@ -254,7 +237,7 @@ def marks(keys: DataFrame, most_bits: int = MARK_BITS) -> Marks:
            .groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow())
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[got.column("at").to_numpy()] = got.column("word").to_numpy().view(np.uint64)
-    return Marks(words, True)
+    return Marks(words)
 
 
 def training(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -287,13 +270,12 @@ def unpacked(blob: bytes, size: int) -> list[np.ndarray]:
     return [np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64), n.view(np.uint32).ravel().astype(np.int64)]
 
 
-def pair_counts(docs: DataFrame, doc_id: str, text: str, d: int, contexts: Marks, ends: Marks, least: int, top: np.ndarray) -> DataFrame:
-    """``gram, ctx, below, n`` of the candidates that occur ``least`` times in training texts. ``top`` has the
-    keys of frequent words: grams of up to three of them travel as their places there, sorted and packed, which
-    takes a few bytes an entry, so all are added up in one pass. The others travel as two keys."""
-    spark = docs.sparkSession
-    shared, deal = spark.sparkContext.broadcast((contexts, ends, Table(top))), buckets(spark)
-    coded = (d + 1) * PLACE_BITS <= 64
+def pair_counts(docs: DataFrame, doc_id: str, text: str, d: int, shared: Broadcast, least: int) -> DataFrame:
+    """``gram, ctx, below, n`` of the candidates that occur ``least`` times in training texts. ``shared`` has the
+    marks of contexts and ends, and a table of frequent words: grams of up to three of them travel as their
+    places there, sorted and packed, which takes a few bytes an entry, so all are added up in one pass. The
+    others travel as two keys."""
+    coded, deal = (d + 1) * PLACE_BITS <= 64, buckets(docs.sparkSession)
 
     def make(b):
         contexts, ends, words = shared.value
@@ -405,9 +387,13 @@ def grow(docs: DataFrame, words: DataFrame, doc_id: str = "doc_id", text: str =
         contexts = marks(alive.select("gram"))
         if not contexts.words.any():
             break
-        pairs = pair_counts(docs, doc_id, text, d, contexts, marks(level.select("gram")), least_follower, top)
+        shared = docs.sparkSession.sparkContext.broadcast((contexts, marks(level.select("gram")), Table(top)))
+        pairs = pair_counts(docs, doc_id, text, d, shared, least_follower)
         rated = written(pairs.join(alive.select(F.col("gram").alias("ctx"), F.col("n").alias("total")), "ctx")
                         .join(level.select(F.col("gram").alias("below"), F.col("p").alias("base"), "root"), "below"), "pairs")
+        shared.destroy()                                 # neither the driver nor executors keep what was for one length
+        del shared, contexts
+        give_back()
         n, total, base = F.col("n"), F.col("total"), F.pow(F.lit(10.0), F.col("base"))
         own = rated.groupBy("ctx").agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("listed"),
                                        F.sum(base).alias("covered"), F.sum(n * F.ln(n / total / base)).alias("gain"))
@@ -575,6 +561,9 @@ def _score(docs: DataFrame, doc_id: str, text: str, frequent: int, frequent_rows
     far = rows.filter(step < F.lit(row_least)).select("key", F.col("value").cast("float").cast("double").alias("value"))
     tree = Tree(Table(near), np.append(change, np.nan).astype(np.float32), marks(far.select("key")))
     shared = spark.sparkContext.broadcast((Table(top), values, tree))
+    held_rows = len(change)
+    del tree, near, change, top, values, c, x
+    give_back()
 
     def read(batches):
         slot, values, tree = shared.value
@@ -620,12 +609,11 @@ def _score(docs: DataFrame, doc_id: str, text: str, frequent: int, frequent_rows
             (F.col("base") + or0("b") - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
             (F.col("chance") + or0("x") + or0("y")).alias("score"))
 
-    rounds = min(ROUNDS, 1 + (n_rows - len(change)) // FREQUENT_ROWS)
-    if rounds == 1:
-        return scores(src)[1]
-    done = []
-    for r in range(rounds):                              # what a round ships is gone when the next one begins
+    rounds = min(ROUNDS, 1 + (n_rows - held_rows) // FREQUENT_ROWS)
+    done = [] if rounds > 1 else [scores(src)[1]]
+    for r in range(rounds if rounds > 1 else 0):         # what a round ships is gone when the next one begins
         parts, out = scores(src.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == r))
         done.append(written(out, "scores"))
         discard(parts)
+    shared.destroy()                                     # all texts are read
     return functools.reduce(DataFrame.union, done)

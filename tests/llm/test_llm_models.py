@@ -325,7 +325,8 @@ def test_lm_grams_of_rare_and_frequent_words_are_counted(spark):
         least = M.commonest(words, room)
         (top,) = M.sorted_rows(words.filter(F.floor(F.log2("n") * 8) >= F.lit(least)).select("gram").toArrow())
         assert len(top) == min(len(top), room) and (room < 3 or len(top) > 1)
-        found.append(sorted((x["gram"], x["ctx"], x["below"], x["n"]) for x in M.pair_counts(docs, "doc_id", "text", 1, every, every, 5, top).collect()))
+        shared = spark.sparkContext.broadcast((every, every, M.Table(top)))
+        found.append(sorted((x["gram"], x["ctx"], x["below"], x["n"]) for x in M.pair_counts(docs, "doc_id", "text", 1, shared, 5).collect()))
     pairs = collections.Counter(p for t in learn for p in zip(t, t[1:]))
     assert found[0] == found[1] == found[2] and sorted(x[3] for x in found[0]) == sorted(n for n in pairs.values() if n >= 5)
     key = np.sort(np.random.default_rng(1).integers(0, 2 ** 64 - 1, 1000, np.uint64))
@@ -346,3 +347,13 @@ def test_lm_counts_each_length_in_one_pass(spark):
     docs = frame(spark, [(k, " ".join(r.choices("abcd", k=30))) for k in range(400)]).select("doc_id", "text").coalesce(1)
     M.score(docs.mapInArrow(counted, docs.schema)).write.format("noop").mode("overwrite").save()
     assert passes.value == 1 + M.DEPTH + 1
+
+
+def test_lm_broadcasts_go_with_their_step(spark, monkeypatch):
+    """Neither the driver nor executors keep the tables of a length, or of the scores, once texts have met them."""
+    made, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (made.append(broadcast(self, value)), made[-1])[1])
+    r = random.Random(5)
+    found = M.score(frame(spark, [(k, " ".join(r.choices("abcd", k=30))) for k in range(400)]))
+    assert len(made) == M.DEPTH + 1 and not any(x._jbroadcast.isValid() for x in made)
+    assert found.count() == 400

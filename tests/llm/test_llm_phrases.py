@@ -165,3 +165,11 @@ def test_shuffle_files_go_with_their_step(spark, monkeypatch):
     found = G.collocations(rows(spark, texts(3, 200)), least=5)
     assert {"marks", "graph", "nodes", "jumps"} == {name for name, _ in steps} and {x for _, x in steps} == {value}
     assert spark.conf.get(key, None) == old and found.count()
+
+
+def test_long_words_are_added_up_in_parts(spark, monkeypatch):
+    """Blocks of a bucket are added up whenever they hold many bytes; counts stay whole."""
+    monkeypatch.setattr(G, "HELD", 1000)
+    monkeypatch.setattr(G, "GRAPH_ROWS", 5)
+    docs = [("en", f"{'long' * 100} {'word' * 100} end")] * 60
+    assert got(G.collocations(rows(spark, docs))) == brute(docs, 10, 2000)
